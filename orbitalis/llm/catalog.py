@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitalis.llm import chat_format, packing, pu_classifier, repair_codec, secret_scan, sharding
+from orbitalis.llm import chat_format, packing, pu_classifier, repair_codec, secret_scan, sharding, substring_dedup
 from orbitalis.llm.storage import input_table
 from orbitalis.llm.tokens import vocabulary_path
 
@@ -22,6 +22,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.remove_repeats(input_table(spark, sf_dir, "documents"), 35)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(input_table(spark, sf_dir, "documents"))
 
@@ -47,4 +52,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_substrings": substring_dedup.ORACLE}
