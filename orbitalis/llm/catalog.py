@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitalis.llm import chat_format, packing, pu_classifier, repair_codec, secret_scan, sharding, substring_dedup
+from orbitalis.llm import chat_format, packing, parity_join, pu_classifier, repair_codec, secret_scan, sharding, substring_dedup
 from orbitalis.llm.storage import input_table
 from orbitalis.llm.tokens import vocabulary_path
 
@@ -47,9 +47,13 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest_formatted(chat_format.format_conversations(turns))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.similarity_classes(input_table(spark, sf_dir, "documents"), 75, 100, 5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substrings": substring_dedup.ORACLE}
+    return {"op4_substrings": substring_dedup.ORACLE, "op10_jaccard": parity_join.ORACLE}
