@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitalis.llm import chat_format, packing, parity_join, pu_classifier, repair_codec, secret_scan, sharding, substring_dedup
+from orbitalis.llm import chat_format, packing, parity_join, pu_classifier, quality_rules, repair_codec, secret_scan, sharding, substring_dedup
 from orbitalis.llm.storage import input_table
 from orbitalis.llm.tokens import vocabulary_path
 
@@ -22,6 +22,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_llr_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = input_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    done = quality_rules.apply_rules(input_table(spark, sf_dir, "documents"), trusted)
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup.remove_repeats(input_table(spark, sf_dir, "documents"), 35)
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
