@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitalis.llm import chat_format, packing, parity_join, pu_classifier, quality_rules, repair_codec, secret_scan, sharding, substring_dedup
+from orbitalis.llm import chat_format, decontaminate, packing, parity_join, pu_classifier, quality_rules, repair_codec, secret_scan, sharding, substring_dedup
 from orbitalis.llm.storage import input_table
 from orbitalis.llm.tokens import vocabulary_path
 
@@ -53,6 +53,10 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest_formatted(chat_format.format_conversations(turns))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(input_table(spark, sf_dir, "documents"), input_table(spark, sf_dir, "benchmark"))
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.similarity_classes(input_table(spark, sf_dir, "documents"), 75, 100, 5)
 
