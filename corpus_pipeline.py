@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitalis.llm import packing, pu_classifier, secret_scan
+from orbitalis.llm import decontaminate, packing, parity_join, pu_classifier, secret_scan
 from orbitalis.llm.storage import input_table, materialize
 from orbitalis.llm.tokens import vocabulary_path
 
@@ -24,6 +24,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(kept, "doc_id", "left_semi")
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones: that with the smallest id."""
+    classes = parity_join.similarity_classes(docs)
+    kept = classes.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    leaks = decontaminate.find_leaks(docs, input_table(spark, sf_dir, "benchmark"))
+    return docs.join(leaks.where("contaminated").select("doc_id"), "doc_id", "left_anti")
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with found secrets replaced in the text."""
     return secret_scan.redacted(docs)
@@ -36,6 +49,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
     ("secrets", secrets),
     ("packing", pack),
 ]
