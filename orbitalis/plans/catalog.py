@@ -117,10 +117,11 @@ def key_order(spark, sf_dir):
     return placed.select(F.col("body").alias("id"), "key", F.col("id").alias("place"))
 
 
-@query(ORD_TREE + " SELECT CAST(depth AS INTEGER) AS depth, prefix, n, round(mass, 6) AS mass, round(cx, 6) + 0.0 AS cx, round(cy, 6) + 0.0 AS cy, round(cz, 6) + 0.0 AS cz, is_leaf FROM c")
+@query(ORD_TREE + " SELECT CAST(depth AS INTEGER) AS depth, prefix, n, round(mass, 6) AS mass, round(mass * cx, 2) + 0.0 AS mx, round(mass * cy, 2) + 0.0 AS my, round(mass * cz, 2) + 0.0 AS mz, is_leaf FROM c")
 def tree_cells(spark, sf_dir):
     _, tree, _ = _ord_tree(spark, sf_dir)
-    return rounded(tree.withColumn("mass", F.round("mass", 6)), 6, "cx", "cy", "cz")
+    moments = {"m" + c: F.round(F.col("mass") * F.col("c" + c), 2) + 0.0 for c in "xyz"}  # exact in cents
+    return tree.select("depth", "prefix", "n", F.round("mass", 6).alias("mass"), *(v.alias(k) for k, v in moments.items()), "is_leaf")
 
 
 @query(

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orbitalis.sources.tables import STATE
 
-_HEAD = struct.Struct("<iid")
+_HEAD = "<iid"
 
 
 def _decoded(spark: SparkSession, path: str, fields: int, head: bool, limit: int | None) -> DataFrame:
@@ -25,12 +25,12 @@ def _decoded(spark: SparkSession, path: str, fields: int, head: bool, limit: int
         for batch in batches:
             for raw in batch.column(0).to_pylist():
                 if head:
-                    n, dims, _ = _HEAD.unpack_from(raw)
-                    if dims != 3 or len(raw) != _HEAD.size + 8 * fields * n:
+                    n, dims, _ = struct.unpack_from(_HEAD, raw)
+                    if dims != 3 or len(raw) != struct.calcsize(_HEAD) + 8 * fields * n:
                         raise ValueError(f"{len(raw)} bytes don't fit {n} bodies of {dims} dimensions")
                 elif len(raw) % (8 * fields):
                     raise ValueError(f"{len(raw)} bytes aren't whole bodies")
-                a = np.frombuffer(raw, "<f8", offset=_HEAD.size if head else 0).reshape(-1, fields)
+                a = np.frombuffer(raw, "<f8", offset=struct.calcsize(_HEAD) if head else 0).reshape(-1, fields)
                 for at in range(0, len(a[:limit]), 1 << 16):
                     p = a[:limit][at : at + (1 << 16)]
                     yield pa.RecordBatch.from_pydict({"id": np.arange(at, at + len(p)), "mass": p[:, 6].copy(), **{c: p[:, i].copy() for i, c in enumerate(("x", "y", "z", "vx", "vy", "vz"))}})
@@ -51,7 +51,7 @@ def packed(bodies: DataFrame, preamble: bool, softening: float = 0.0, time: floa
     p = bodies.orderBy("id").select("x", "y", "z", "vx", "vy", "vz", "mass").toPandas().to_numpy("<f8")
     if not preamble:
         return p.tobytes()
-    return _HEAD.pack(len(p), 3, time) + np.column_stack((p, np.full(len(p), softening))).astype("<f8").tobytes()
+    return struct.pack(_HEAD, len(p), 3, time) + np.column_stack((p, np.full(len(p), softening))).astype("<f8").tobytes()
 
 
 def read_vtu_points(path_text: str) -> dict[str, np.ndarray]:

@@ -99,7 +99,7 @@ def write_snapshot(bodies: DataFrame, path: str, kind: str = "vtp") -> list[str]
         text = vtp_piece(rows, vectors, scalars) if kind == "vtp" else vtk_points(rows, vectors, scalars)
         yield pa.RecordBatch.from_pydict({"value": pa.array([text])})
 
-    bodies.select(*cols).mapInArrow(run, "value string").write.mode("overwrite").text(path, lineSep="")
+    bodies.select(*cols).mapInArrow(run, "value string").write.mode("overwrite").text(path)
     found = bodies.sparkSession.read.format("binaryFile").load(path).select("path").collect()
     return sorted(r["path"].rsplit("/", 1)[-1] for r in found)
 
