@@ -16,10 +16,11 @@ Candidates are checked in two steps: a compact sketch of parity bits, whose
 Hamming distance is a lower bound of the difference, and then the shingles.
 
 Only what joins documents is needed, so signatures with many sets aren't
-expanded into pairs.  First each set is checked against the first set of each
-of its signatures.  Links found join components.  Then pairs in different
-components that have enough signatures in common (k - D less the empty bands)
-are checked, all of them; within a component no pair is.  Equal sets are one
+expanded into pairs.  Sets with too few shared signatures and the most frequent
+ones of the others go first (see _telling).  Then each set is checked against the most central
+set of each of its signatures.  Links found join components.  Then all pairs in
+different components that share a signature are checked; within a component no
+pair is.  Equal sets are one
 class from the start, and stand in the exchange once for each task.
 
 Edge cases: null, empty and blank texts have an empty set, and link with
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitalis.llm import textkernel as tk
@@ -43,6 +44,7 @@ from orbitalis.llm.components import connected_components
 from orbitalis.llm.storage import materialize
 
 _U = np.uint64
+BRIEF = 256  # bits of the sketch that candidates carry along
 PREFIX = 0xFFFF  # stands for a size band where the signature is a token
 
 
@@ -103,7 +105,7 @@ def class_of(tokens: np.ndarray) -> bytes:
 
 
 def signatures(tokens: np.ndarray, shape: Shape) -> list[tuple[int, int, np.ndarray]]:
-    """(size band or PREFIX, empty bands, signatures) of a set."""
+    """(size band or PREFIX, least number in common with a partner, signatures) of a set."""
     n, out, risky = len(tokens), [], False
     high, mixed = tokens >> _U(32), tk.mix(tokens ^ _U(0x2545F4914F6CDD1D))
     for j, apart in shape.roles(n):
@@ -111,17 +113,18 @@ def signatures(tokens: np.ndarray, shape: Shape) -> list[tuple[int, int, np.ndar
         band = (high * _U(k)) >> _U(32)
         begin = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1])))
         value = np.bitwise_xor.reduceat(mixed, begin)
-        out.append((j, k - len(begin), tk.mix(value ^ tk.mix(band[begin] + _U(j << 32)))))
-        risky |= k - apart - (k - len(begin)) < 1
+        common = len(begin) - apart  # k bands less those that differ less the empty ones
+        out.append((j, max(1, common), tk.mix(value ^ tk.mix(band[begin] + _U(j << 32)))))
+        risky |= common < 1
     if risky:
         some = n - -(-n * shape.num // shape.den) + 1
-        out.append((PREFIX, 0, tk.mix(tokens[:some] ^ _U(0x9FB21C651E98DF25))))
+        out.append((PREFIX, 1, tk.mix(tokens[:some] ^ _U(0x9FB21C651E98DF25))))
     return out
 
 
 def parity_bits(tokens: np.ndarray) -> bytes:
     """The sketch of parity bits, four or more bits for each token, a power of two."""
-    size = 1 << max(6, (4 * len(tokens) - 1).bit_length()) if len(tokens) else 64
+    size = 1 << max(BRIEF.bit_length() - 1, (4 * len(tokens) - 1).bit_length() if len(tokens) else 0)
     bits = np.bincount((tk.mix(tokens + _U(7)) & _U(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
@@ -136,6 +139,14 @@ def differing_bits(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def folded(sketch: bytes, bits: int = BRIEF) -> bytes:
+    """A shorter sketch of the same set: the parities of its halves, again and again."""
+    x = np.frombuffer(sketch, np.uint8)
+    while 8 * len(x) > bits:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.tobytes()
+
+
 def _each_run(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data, off = tk.text_bytes(column)
     for a, b in tk.runs(off):
@@ -159,19 +170,19 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, cls long, cls2 long")
 
 
-_ASKED = "part int, sigs binary, owner binary, cls binary, n binary, band binary, empty binary"
+_ASKED = "part int, sigs binary, owner binary, cls binary, band binary, least binary"
 _FLUSH = 3_000_000
 _MOST_OWNERS = 60_000
 
 
-def _asked(sigs: list[np.ndarray], cls: list[int], n: list[int], band: list[int], empty: list[int], parts: int) -> pa.RecordBatch:
+def _asked(sigs: list[np.ndarray], cls: list[int], band: list[int], least: list[int], parts: int) -> pa.RecordBatch:
     """A task's signatures by part: 48 bits each, with a 16-bit index into the part's owners."""
     sig = np.concatenate(sigs)
     owner = np.repeat(np.arange(len(sigs)), [len(s) for s in sigs])
     part = ((sig >> _U(32)) * _U(parts)) >> _U(32)
     order = np.argsort(part, kind="stable")
     sig, owner, cuts = sig[order], owner[order], np.searchsorted(part[order], np.arange(parts + 1))
-    tables = np.array(cls, np.int64), np.array(n, np.uint32), np.array(band, np.uint16), np.array(empty, np.uint32)
+    tables = np.array(cls, np.int64), np.array(band, np.uint16), np.array(least, np.uint32)
     rows = []
     for p in range(parts):
         s, o = sig[cuts[p] : cuts[p + 1]], owner[cuts[p] : cuts[p + 1]]
@@ -180,18 +191,17 @@ def _asked(sigs: list[np.ndarray], cls: list[int], n: list[int], band: list[int]
             low = s.view(np.uint8).reshape(-1, 8)[:, :6]
             rows.append((p, np.ascontiguousarray(low).tobytes(), index.astype(np.uint16).tobytes(), *(t[used].tobytes() for t in tables)))
     cols = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "sigs", "owner", "cls", "n", "band", "empty"])
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "sigs", "owner", "cls", "band", "least"])
 
 
-_SHARED = "sig long, cls long, n int, band int, empty int, pivot long"
+_SHARED = "sig long, cls long, band int, least int"
 
 
 def shared_signatures(docs: DataFrame, shape: Shape, width: int, parts: int) -> DataFrame:
-    """Rows (sig, cls, n, band, empty, pivot) for signatures of two classes or more;
-    pivot is the smallest class of the signature."""
+    """Rows (sig, cls, band, least) for signatures of two classes or more."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, ...] = ([], [], [], [], [])
+        held: tuple[list, ...] = ([], [], [], [])
         size, seen = 0, set()
         for batch in batches:
             for _, data, off in _each_run(batch.column(0)):
@@ -200,35 +210,35 @@ def shared_signatures(docs: DataFrame, shape: Shape, width: int, parts: int) ->
                         continue
                     seen.add(c)
                     own = int.from_bytes(c[:8], "little", signed=True)
-                    for band, empty, sigs in signatures(tokens, shape):
-                        for to, x in zip(held, (sigs, own, len(tokens), band, empty), strict=True):
+                    for band, least, sigs in signatures(tokens, shape):
+                        for to, x in zip(held, (sigs, own, band, least), strict=True):
                             to.append(x)
                         size += len(sigs)
                 if size > _FLUSH or len(held[0]) > _MOST_OWNERS:
                     yield _asked(*held, parts)
-                    held, size = ([], [], [], [], []), 0
+                    held, size = ([], [], [], []), 0
                     if len(seen) > 1 << 18:
                         seen.clear()
         if held[0]:
             yield _asked(*held, parts)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, owners, cls, n, band, empty, base = [], [], [], [], [], [], 0
+        sigs, owners, cls, band, least, base = [], [], [], [], [], 0
         for b in batches:
-            for s, o, c, m, j, e in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            for s, o, c, j, e in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 low = np.frombuffer(s, np.uint8).reshape(-1, 6)
                 full = np.zeros((len(low), 8), np.uint8)
                 full[:, :6] = low
                 sigs.append(full.view(_U).ravel())
                 owners.append(np.frombuffer(o, np.uint16).astype(np.int32) + base)
-                for to, x, t in ((cls, c, np.int64), (n, m, np.uint32), (band, j, np.uint16), (empty, e, np.uint32)):
+                for to, x, t in ((cls, c, np.int64), (band, j, np.uint16), (least, e, np.uint32)):
                     to.append(np.frombuffer(x, t))
                 base += len(cls[-1])
         if not sigs:
             return
         sig, own = np.concatenate(sigs), np.concatenate(owners)
         sigs.clear(), owners.clear()
-        cls_, n_, band_, empty_ = (np.concatenate(x) for x in (cls, n, band, empty))
+        cls_, band_, least_ = (np.concatenate(x) for x in (cls, band, least))
         order = np.argsort(sig, kind="stable")
         s = sig[order]
         same = np.concatenate(([False], s[1:] == s[:-1], [False]))
@@ -240,19 +250,17 @@ def shared_signatures(docs: DataFrame, shape: Shape, width: int, parts: int) ->
         s, c, o = s[fresh], c[fresh], o[fresh]  # a class once for each signature
         begin = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
         count = np.diff(np.concatenate((begin, [len(s)])))
-        many, pivot = np.repeat(count > 1, count), np.repeat(c[begin], count)
-        for at in range(0, int(many.sum()), 200_000):
-            x = np.flatnonzero(many)[at : at + 200_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(s[x].view(np.int64)), pa.array(c[x]), pa.array(n_[o[x]].astype(np.int32)), pa.array(band_[o[x]].astype(np.int32)), pa.array(empty_[o[x]].astype(np.int32)), pa.array(pivot[x])],
-                names=["sig", "cls", "n", "band", "empty", "pivot"],
-            )
+        many = np.flatnonzero(np.repeat(count > 1, count))
+        for at in range(0, len(many), 200_000):
+            x = many[at : at + 200_000]
+            yield pa.RecordBatch.from_arrays([pa.array(s[x].view(np.int64)), pa.array(c[x]), pa.array(band_[o[x]].astype(np.int32)), pa.array(least_[o[x]].astype(np.int32))], names=["sig", "cls", "band", "least"])
 
     asked = docs.select("text").mapInArrow(ask, _ASKED).repartition(parts, "part")
     return asked.drop("part").mapInArrow(meet, _SHARED)
 
 
-_BROADCAST_ROWS = 500_000
+_BROADCAST_ROWS = 200_000
+_BRIEF = [f"s{i}" for i in range(BRIEF // 64)]
 
 
 def _sized(small: DataFrame) -> DataFrame:
@@ -260,23 +268,51 @@ def _sized(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= _BROADCAST_ROWS else small
 
 
+def _telling(shared: DataFrame) -> DataFrame:
+    """Rows (sig, cls, pivot) that are enough to find every similar pair.  pivot is
+    the signature's set that meets others most often: the source of its copies,
+    rather than one of them.
+
+    A set must share `least` signatures with any partner.  One that has fewer
+    shared signatures at all is out.  Of the others, only the rarest count, all
+    but least - 1 of them: partners share one among these (prefix filter), and
+    signatures of passages that very many documents share come last.
+    """
+    for _ in range(2):
+        enough = shared.groupBy("cls", "band").agg(F.count("*").alias("m"), F.max("least").alias("l")).where("m >= l").select("cls", "band")
+        some = shared.join(_sized(materialize(enough, "enough")), ["cls", "band"], "left_semi")
+        groups = some.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1")
+        wide = materialize(some.join(groups, "sig"), "shared")
+        shared = wide.select("sig", "cls", "band", "least")
+    own = Window.partitionBy("cls", "band")
+    ranked = wide.withColumns({"m": F.count("*").over(own), "r": F.row_number().over(own.orderBy("size", "sig"))})
+    rare = ranked.withColumn("w", F.sum("size").over(own)).where("r <= m - least + 1").select("sig", "cls", "w")
+    groups = rare.groupBy("sig").agg(F.count("*").alias("size"), F.max(F.struct("w", "cls")).alias("top")).where("size > 1")
+    return materialize(rare.join(groups, "sig").select("sig", "cls", F.col("top.cls").alias("pivot")), "telling")
+
+
 def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """cls, n, sketch and text of one document of each wanted class."""
     first = materialize(sets.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "representatives")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, sketch, good = [], [], []
+            n, sketch, brief, good = [], [], [], []
             cls = batch.column(0).to_pylist()
             for a, data, off in _each_run(batch.column(1)):
                 for i, tokens in enumerate(shingle_sets(data, off, width)):
                     good.append(int.from_bytes(class_of(tokens)[:8], "little", signed=True) == cls[a + i])
                     n.append(len(tokens))
                     sketch.append(parity_bits(tokens))
-            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(sketch, pa.binary()), batch.column(1)], names=["cls", "n", "sketch", "text"])
+                    brief.append(folded(sketch[-1]))
+            b = np.frombuffer(b"".join(brief), np.int64).reshape(-1, BRIEF // 64)
+            out = pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int32()), pa.array(sketch, pa.binary()), *(pa.array(b[:, i].copy()) for i in range(b.shape[1])), batch.column(1)],
+                names=["cls", "n", "sketch", *_BRIEF, "text"],
+            )
             yield out.filter(pa.array(good, pa.bool_()))
 
-    picked = docs.join(_sized(first), "doc_id").select("cls", "text").mapInArrow(run, "cls long, n int, sketch binary, text string")
+    picked = docs.join(_sized(first), "doc_id").select("cls", "text").mapInArrow(run, "cls long, n int, sketch binary, " + "".join(f"{b} long, " for b in _BRIEF) + "text string")
     return materialize(picked, "texts")
 
 
@@ -312,10 +348,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, shape: Shape, width: int) -> D
     return close.join(a, "a").join(b, "b").mapInArrow(exact, "a long, b long").distinct()
 
 
-def _across(shared: DataFrame, comps: DataFrame, shape: Shape, parts: int) -> DataFrame:
-    """Pairs (a, b) of classes in different components that share enough signatures."""
-    marked = shared.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    ordered = marked.select("sig", "comp", "cls", "n", "band", "empty").repartition(parts, "sig").sortWithinPartitions("sig", "comp")
+def _across(telling: DataFrame, comps: DataFrame, texts: DataFrame, shape: Shape, parts: int) -> DataFrame:
+    """Pairs (a, b) of classes in different components that share a signature and
+    whose brief sketches differ no more than those of similar sets may."""
+    known = _sized(materialize(texts.select("cls", "n", *_BRIEF).distinct(), "brief"))
+    marked = telling.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")).join(known, "cls")
+    fields = ["sig", "comp", "cls", "n", *_BRIEF]
+    ordered = marked.select("sig", "comp", "cls", F.col("n").cast("long").alias("n"), *_BRIEF).repartition(parts, "sig").sortWithinPartitions("sig", "comp")
     limit = 1 << 20
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,16 +363,14 @@ def _across(shared: DataFrame, comps: DataFrame, shape: Shape, parts: int) -> Da
 
         def flush() -> pa.RecordBatch:
             nonlocal size
-            rows = np.concatenate(held)
+            rows = np.unique(np.concatenate(held), axis=0)
             held.clear()
             size = 0
-            kinds, n = np.unique(rows, axis=0, return_counts=True)
-            return pa.RecordBatch.from_arrays([*(pa.array(kinds[:, i].copy()) for i in range(4)), pa.array(n.astype(np.int64))], names=["a", "b", "band", "need", "found"])
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy())], names=["a", "b"])
 
         def pairs(g: np.ndarray) -> Iterator[np.ndarray]:
-            """Pairs across the components of one signature's rows."""
-            comp = g[:, 1]
-            ends = np.searchsorted(comp, comp, "right")
+            """Pairs across the components of one signature's rows, a block at a time."""
+            ends = np.searchsorted(g[:, 1], g[:, 1], "right")
             n = len(g) - ends
             at = 0
             while at < len(g):
@@ -341,29 +378,29 @@ def _across(shared: DataFrame, comps: DataFrame, shape: Shape, parts: int) -> Da
                 k = n[at:to]
                 i = np.repeat(np.arange(at, to), k)
                 j = np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k) + ends[i]
-                x, y = g[i], g[j]
-                bands = np.array([1 if j == PREFIX else shape.bands(j) for j in x[:, 4].tolist()])
-                need = np.maximum(1, bands - shape.most_apart(x[:, 3], y[:, 3]) - np.minimum(x[:, 5], y[:, 5]))
-                need[x[:, 4] == PREFIX] = 1
-                a, b = np.minimum(x[:, 2], y[:, 2]), np.maximum(x[:, 2], y[:, 2])
-                yield np.stack((a, b, x[:, 4], need), 1)
+                apart = np.zeros(len(i), np.int64)
+                for c in range(4, len(fields)):
+                    apart += np.bitwise_count((g[i, c] ^ g[j, c]).view(_U))
+                near = apart <= shape.most_apart(g[i, 3], g[j, 3])
+                i, j = i[near], j[near]
+                yield np.stack((np.minimum(g[i, 2], g[j, 2]), np.maximum(g[i, 2], g[j, 2])), 1)
                 at = to
 
-        rest = np.zeros((0, 6), np.int64)
-        for batch in batches:
-            now = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(6)], 1)
-            now = np.concatenate((rest, now))
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(now[:, 0])) + 1, [len(now)]))
-            mixed = np.flatnonzero(now[cuts[:-2], 1] != now[cuts[1:-1] - 1, 1]) if len(cuts) > 2 else []
-            for g in mixed:
-                for rows in pairs(now[cuts[g] : cuts[g + 1]]):
-                    held.append(rows)
-                    size += len(rows)
-                    if size > limit:
-                        yield flush()
-            rest = now[cuts[-2] :]
-        if len(rest) and rest[0, 1] != rest[-1, 1]:
-            for rows in pairs(rest):
+        def groups() -> Iterator[np.ndarray]:
+            """The rows of each signature that has several components."""
+            rest = np.zeros((0, len(fields)), np.int64)
+            for batch in batches:
+                now = np.concatenate((rest, np.stack([batch.column(i).to_numpy() for i in range(len(fields))], 1)))
+                cuts = np.concatenate(([0], np.flatnonzero(now[1:, 0] != now[:-1, 0]) + 1))
+                last = np.concatenate((cuts[1:], [len(now)])) - 1
+                for g in np.flatnonzero(now[cuts[:-1], 1] != now[last[:-1], 1]):
+                    yield now[cuts[g] : cuts[g + 1]]
+                rest = now[cuts[-1] :]
+            if len(rest) and rest[0, 1] != rest[-1, 1]:
+                yield rest
+
+        for g in groups():
+            for rows in pairs(g):
                 held.append(rows)
                 size += len(rows)
                 if size > limit:
@@ -371,8 +408,7 @@ def _across(shared: DataFrame, comps: DataFrame, shape: Shape, parts: int) -> Da
         if held:
             yield flush()
 
-    counted = ordered.mapInArrow(run, "a long, b long, band long, need long, found long")
-    return counted.groupBy("a", "b", "band", "need").agg(F.sum("found").alias("found")).where("found >= need").select("a", "b").distinct()
+    return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
 def similarity_classes(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -382,13 +418,12 @@ def similarity_classes(docs: DataFrame, num: int = 75, den: int = 100, width: in
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = materialize(set_table(docs, width), "sets")
-    shared = materialize(shared_signatures(docs, shape, width, parts), "shared")
-    wanted = shared.select("cls").distinct()
-    texts = _texts(docs, sets, wanted, width)
-    stars = materialize(shared.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct(), "stars")
+    telling = _telling(materialize(shared_signatures(docs, shape, width, parts), "signatures"))
+    texts = _texts(docs, sets, telling.select("cls").distinct(), width)
+    stars = materialize(telling.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct(), "stars")
     links = materialize(_verified(stars, texts, shape, width), "links")
     comps = connected_components(links)
-    across = _across(shared, comps, shape, parts).join(stars, ["a", "b"], "left_anti")
+    across = _across(telling, comps, texts, shape, parts).join(stars, ["a", "b"], "left_anti")
     more = materialize(_verified(materialize(across, "across"), texts, shape, width), "links")
     comps = connected_components(links.union(more))
     # linked classes go by their component, all others by their full class
