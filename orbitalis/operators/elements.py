@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbitalis.operators.ranking import ranked
+
 #: Gravitational constant in AU^3 kg^-1 day^-2, the Sun's mass in kg, the target epoch (fixed values).
 GRAVITY = 1.48812e-34
 SUN = 1.98847e30
@@ -82,8 +84,7 @@ def state_vectors(elements: DataFrame) -> DataFrame:
     joined = full.join(parents, (full["class"] == "SAT") & (full["central_body"] == F.col("_parent")), "left")
     moved = joined.withColumns(state_columns(F.when(F.col("_m").isNotNull(), GRAVITY * F.col("_m")).otherwise(sun)))
     moved = moved.withColumns({c: F.col(c) + F.coalesce("_" + c, F.lit(0.0)) for c in ("x", "y", "z", "vx", "vy", "vz")})
-    ids = F.row_number().over(Window.orderBy("row")).cast("long") - 1
-    return moved.select(ids.alias("id"), "name", "class", "mass", "x", "y", "z", "vx", "vy", "vz", "mass_missing", "row")
+    return ranked(moved, "id", "row").select("id", "name", "class", "mass", "x", "y", "z", "vx", "vy", "vz", "mass_missing", "row")
 
 
 def combine(first: DataFrame, second: DataFrame, sun: bool = True) -> DataFrame:
@@ -100,4 +101,4 @@ def combine(first: DataFrame, second: DataFrame, sun: bool = True) -> DataFrame:
         every = star.union(every)
     named = every.where("name <> ''").withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("_file", "_row"))).where("_n = 1").drop("_n")
     kept = named.unionByName(every.where("coalesce(name, '') = ''"))
-    return kept.withColumn("id", F.row_number().over(Window.orderBy("_file", "_row")).cast("long") - 1).select("id", *names)
+    return ranked(kept, "id", "_file", "_row").select("id", *names)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbitalis.functions import keys
+from orbitalis.operators.ranking import ranked
 
 
 def key_histogram(bodies: DataFrame, bits: int) -> DataFrame:
@@ -65,7 +66,11 @@ def refine_bins(bodies: DataFrame, most: float, budget: int, digit: int = 1, dep
 
 def tiles(bodies: DataFrame, k: int) -> DataFrame:
     """Near-equal runs of the key order: tile and its size (sizes differ by one at most)."""
-    return bodies.withColumn("tile", F.ntile(k).over(Window.orderBy("key", "id"))).groupBy("tile").agg(F.count("*").alias("n"))
+    placed = ranked(bodies.select("key", "id"), "_rank", "key", "id")
+    small, more = divmod(bodies.count(), k)
+    rank, large = F.col("_rank"), more * (small + 1)
+    tile = F.when(rank < large, F.floor(rank / (small + 1))).otherwise(F.floor((rank - large) / max(small, 1)) + more)
+    return placed.groupBy((tile + 1).cast("int").alias("tile")).agg(F.count("*").alias("n"))
 
 
 def slice_starts(n: int, parts: int, grain: int) -> list[int]:

@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitalis.functions import durations, geometry, keys
-from orbitalis.operators import arrow_walk, cells, direct, elements, essential, motion, partition, walk
-from orbitalis.operators.domain import Domain, bounding_box, cubic_domain, keyed, sort_by_key
+from orbitalis.operators import arrow_walk, cells, direct, elements, essential, motion, partition, ranking, walk
+from orbitalis.operators.domain import Domain, bounding_box, cubic_domain, keyed
 from orbitalis.plans import simulate
 from orbitalis.plans.config import SimConfig
-from orbitalis.sources import generate, tables, views
+from orbitalis.sources import generate, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -112,9 +112,7 @@ def morton_roundtrip(spark, sf_dir):
 @query(_with(ORD, DOM, KEYED) + " SELECT id, key, row_number() OVER (ORDER BY key, id) - 1 AS place FROM k")
 def key_order(spark, sf_dir):
     bodies = views.bodies_ord(spark, sf_dir)
-    ordered = sort_by_key(keyed(bodies, cubic_domain(bodies)).select(F.col("id").alias("body"), F.col("id"), "key"))
-    placed = tables.with_ids(ordered.withColumn("row", F.monotonically_increasing_id()))
-    return placed.select(F.col("body").alias("id"), "key", F.col("id").alias("place"))
+    return ranking.ranked(keyed(bodies, cubic_domain(bodies)).select("id", "key"), "place", "key", "id")
 
 
 @query(ORD_TREE + " SELECT CAST(depth AS INTEGER) AS depth, prefix, n, round(mass, 6) AS mass, round(mass * cx, 2) + 0.0 AS mx, round(mass * cy, 2) + 0.0 AS my, round(mass * cz, 2) + 0.0 AS mz, is_leaf FROM c")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orbitalis.operators.ranking import number_rows
+
 STATE = "id long, mass double, x double, y double, z double, vx double, vy double, vz double"
 NAMED = "id long, name string, class string, mass double, x double, y double, z double, vx double, vy double, vz double"
 ELEMENTS = "e double, a double, i double, om double, w double, ma double, epoch double, H double, albedo double, diameter double, mass double, class string, name string, central_body string"
@@ -37,18 +39,9 @@ def read_named(spark: SparkSession, path: str, limit: int | None = None) -> Data
 
 
 def with_ids(rows: DataFrame, limit: int | None = None) -> DataFrame:
-    """ids from 0 in the order of `row`; the first `limit` rows if one is given.  Each
-    partition of the order learns how many rows stand before it, so no task sorts all."""
-    part = F.shiftright("row", 33)
-    sizes = {r["p"]: r["n"] for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # one number a partition
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    from pyspark.sql import Window
-
-    base = F.element_at(F.create_map(*[F.lit(v) for p in before for v in (p, before[p])]), part) if before else F.lit(0)
-    place = F.row_number().over(Window.partitionBy(part).orderBy("row")) - 1 + base
-    out = rows.drop("id").withColumn("id", place.cast("long")).drop("row")
+    """ids from 0 in the order of `row` (a fresh monotonically_increasing_id); the
+    first `limit` rows if one is given."""
+    out = number_rows(rows.drop("id"), "id", "row")
     return out.where(F.col("id") < limit) if limit is not None else out
 
 

@@ -300,3 +300,15 @@ def test_results_do_not_depend_on_partitions(spark):
     config = SimConfig.of("body", leaf_size=4, softening=0.01)
     one, many = (walk.Walk(b.repartition(n), config).accelerations() for n in (1, 5))
     assert motion.acceleration_error(one, many).first()["largest"] < 1e-10
+
+
+def test_sql_functions(spark):
+    from orbitalis.functions import sql
+
+    sql.register(spark)
+    df = spark.createDataFrame([(5, 1 << 20, 77), (0, 0, (1 << 21) - 1)], "ix long, iy long, iz long")
+    df.createOrReplaceTempView("cellsof")
+    got = spark.sql("SELECT morton_key(ix, iy, iz) AS k, morton_prefix(morton_key(ix, iy, iz), 3) AS p FROM cellsof").collect()
+    want = df.select(keys.interleave(F.col("ix"), F.col("iy"), F.col("iz")).alias("k")).withColumn("p", keys.prefix_at(F.col("k"), 3)).collect()
+    assert got == want
+    assert spark.sql("SELECT morton_cell(0.5D, 0D, 1D), cell_side(2, 8D), duration_days('12h')").first() == (1 << 20, 2.0, 0.5)
