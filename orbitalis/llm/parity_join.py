@@ -44,7 +44,7 @@ from orbitalis.llm.components import connected_components
 from orbitalis.llm.storage import materialize
 
 _U = np.uint64
-BRIEF = 256  # bits of the sketch that candidates carry along
+BRIEF = 1024  # bits of the sketch that candidates carry along
 PREFIX = 0xFFFF  # stands for a size band where the signature is a token
 
 
@@ -171,15 +171,15 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
 
 
 _ASKED = "part int, sigs binary, owner binary, cls binary, band binary, least binary"
-_FLUSH = 3_000_000
+_FLUSH = 1_000_000
 _MOST_OWNERS = 60_000
 
 
 def _asked(sigs: list[np.ndarray], cls: list[int], band: list[int], least: list[int], parts: int) -> pa.RecordBatch:
     """A task's signatures by part: 48 bits each, with a 16-bit index into the part's owners."""
     sig = np.concatenate(sigs)
-    owner = np.repeat(np.arange(len(sigs)), [len(s) for s in sigs])
-    part = ((sig >> _U(32)) * _U(parts)) >> _U(32)
+    owner = np.repeat(np.arange(len(sigs), dtype=np.uint16), [len(s) for s in sigs])
+    part = (((sig >> _U(32)) * _U(parts)) >> _U(32)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
     order = np.argsort(part, kind="stable")
     sig, owner, cuts = sig[order], owner[order], np.searchsorted(part[order], np.arange(parts + 1))
     tables = np.array(cls, np.int64), np.array(band, np.uint16), np.array(least, np.uint32)
@@ -352,7 +352,10 @@ def _across(telling: DataFrame, comps: DataFrame, texts: DataFrame, shape: Shape
     """Pairs (a, b) of classes in different components that share a signature and
     whose brief sketches differ no more than those of similar sets may."""
     known = _sized(materialize(texts.select("cls", "n", *_BRIEF).distinct(), "brief"))
-    marked = telling.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")).join(known, "cls")
+    marked = telling.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("comp", "cls").alias("comp"))
+    marked = materialize(marked, "marked")
+    open_ = marked.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
+    marked = marked.join(open_, "sig", "left_semi").join(known, "cls")
     fields = ["sig", "comp", "cls", "n", *_BRIEF]
     ordered = marked.select("sig", "comp", "cls", F.col("n").cast("long").alias("n"), *_BRIEF).repartition(parts, "sig").sortWithinPartitions("sig", "comp")
     limit = 1 << 20
