@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbitalis.functions import keys
+from orbitalis.operators.scratch import cut
 
 SECOND = ("xx", "yy", "zz", "xy", "xz", "yz")
 
 
-def all_cells(bodies: DataFrame, depth: int = keys.BITS, digit: int = 3, second: bool = False, boxes: bool = False, origin=(0.0, 0.0, 0.0)) -> DataFrame:
-    """Every non-empty cell down to a depth: depth, prefix, n, mass and centre of
+def all_cells(bodies: DataFrame, depth: int = keys.BITS, digit: int = 3, second: bool = False, boxes: bool = False, origin=(0.0, 0.0, 0.0), first: int = 0) -> DataFrame:
+    """Every non-empty cell from depth `first` down to a depth: depth, prefix, n, mass and centre of
     mass; with second, central second moments; with boxes, those of the bodies.
     Moments are summed about `origin` (the domain's middle keeps them accurate)."""
     x, y, z = (F.col(c) - o for c, o in zip("xyz", origin, strict=True))
@@ -30,7 +31,7 @@ def all_cells(bodies: DataFrame, depth: int = keys.BITS, digit: int = 3, second:
     if boxes:
         sums |= {p + c: f(c) for p, f in (("l", F.min), ("h", F.max)) for c in "xyz"}
     by_key = bodies.groupBy("key").agg(*(v.alias(k) for k, v in sums.items()))
-    level = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("depth")
+    level = F.explode(F.sequence(F.lit(first), F.lit(depth))).alias("depth")
     again = {k: (F.min if k[0] == "l" else F.max if k[0] == "h" else F.sum)(k).alias(k) for k in sums}
     nested = by_key.select("*", level).withColumn("prefix", keys.prefix_at(F.col("key"), F.col("depth"), digit))
     cells = nested.groupBy("depth", "prefix").agg(*again.values())
@@ -42,13 +43,39 @@ def all_cells(bodies: DataFrame, depth: int = keys.BITS, digit: int = 3, second:
 
 def tree(bodies: DataFrame, capacity: int, depth: int = keys.BITS, digit: int = 3, **more) -> DataFrame:
     """The cells that a tree with leaves of at most `capacity` bodies has."""
-    cells = all_cells(bodies, depth, digit, **more)
+    return _kept(all_cells(bodies, depth, digit, **more), capacity, depth, digit)
+
+
+def _kept(cells: DataFrame, capacity: int, depth: int, digit: int) -> DataFrame:
     crowded = cells.where(F.col("n") > capacity).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("_up"))
     kept = cells.withColumn("_up", keys.parent(F.col("prefix"), digit)).join(crowded, ["depth", "_up"], "left_semi")
     kept = kept.unionByName(cells.where("depth = 0").withColumn("_up", F.lit(0).cast("long")))
     return kept.drop("_up").withColumn("is_leaf", (F.col("n") <= capacity) | (F.col("depth") == depth))
 
 
+def tree_by_levels(bodies: DataFrame, capacity: int, depth: int = keys.BITS, digit: int = 3, step: int = 7, **more) -> DataFrame:
+    """The same cells as tree(), `step` levels at a time.
+
+    Only bodies of cells that are still crowded go on to the next levels, so a
+    huge table isn't counted into levels far below its leaves, where nearly each
+    body is a row of its own.  Costs a semi-join of the bodies for each step;
+    worth it where the table, not the number of jobs, decides.
+    """
+    active, parts, first = bodies, [], 0
+    while True:
+        last = min(first + step, depth)
+        parts.append(cut(all_cells(active, last, digit, first=first + 1 if parts else 0, **more)))
+        crowded = parts[-1].where((F.col("depth") == last) & (F.col("n") > capacity)).select(F.col("prefix").alias("_up"))
+        if last == depth or crowded.isEmpty():
+            break
+        active = active.withColumn("_up", keys.prefix_at(F.col("key"), last, digit)).join(crowded, "_up", "left_semi").drop("_up")
+        first = last
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return _kept(every, capacity, depth, digit)
+
+
 def with_leaf(bodies: DataFrame, cells: DataFrame, depth: int = keys.BITS, digit: int = 3) -> DataFrame:
     """Bodies with the depth and prefix of their leaf."""
     leaves = cells.where("is_leaf").select(F.col("depth").alias("leaf_depth"), F.col("prefix").alias("leaf_prefix"))

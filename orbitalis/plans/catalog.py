@@ -122,6 +122,12 @@ def tree_cells(spark, sf_dir):
     return tree.select("depth", "prefix", "n", F.round("mass", 6).alias("mass"), *(v.alias(k) for k, v in moments.items()), "is_leaf")
 
 
+@query(ORD_TREE + " SELECT CAST(depth AS INTEGER) AS depth, prefix, n, is_leaf FROM c")
+def tree_by_levels(spark, sf_dir):
+    placed, _, _ = _ord_tree(spark, sf_dir)
+    return cells.tree_by_levels(placed, 16, step=3).select("depth", "prefix", "n", "is_leaf")
+
+
 @query(
     EMB_TREE
     + """, m AS (SELECT lv.depth, lv.prefix, sum(lv.mass * (x - cx) * (x - cx)) AS xx, sum(lv.mass * (y - cy) * (y - cy)) AS yy, sum(lv.mass * (z - cz) * (z - cz)) AS zz,
