@@ -104,6 +104,26 @@ def write_snapshot(bodies: DataFrame, path: str, kind: str = "vtp") -> list[str]
     return sorted(r["path"].rsplit("/", 1)[-1] for r in found)
 
 
+def write_boxes(cells: DataFrame, path: str, domain, scalars: tuple[str, ...] = ("n",)) -> None:
+    """Cells (depth, prefix), essential records or histogram buckets as boxes, one
+    piece for each partition."""
+    from orbitalis.functions import keys
+
+    low, span = domain.low, domain.span
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in b.to_pylist()]
+        yield pa.RecordBatch.from_pydict({"value": pa.array([box_piece(rows, span, low, scalars)])})
+
+    corners = [c.alias("i" + n) for n, c in zip("xyz", keys.decode(F.col("prefix")), strict=True)]
+    cells.select("depth", *corners, *scalars).mapInArrow(run, "value string").write.mode("overwrite").text(path)
+
+
+def histogram_cells(histogram: DataFrame, bits: int) -> DataFrame:
+    """Buckets of a key histogram (bits divisible by 3) as cells with n and part."""
+    return histogram.select(F.lit(bits // 3).alias("depth"), F.col("bucket").alias("prefix"), F.col("cnt").alias("n"), *[c for c in histogram.columns if c == "part"])
+
+
 def piece_index(pieces: list[str], vectors: tuple[str, ...] = ("v",), scalars: tuple[str, ...] = ("mass",)) -> str:
     """A parallel index over PolyData pieces."""
     data = "".join(f'<PDataArray type="Float64" Name="{s}"/>' for s in scalars) + "".join(f'<PDataArray type="Float64" Name="{v}" NumberOfComponents="3"/>' for v in vectors)

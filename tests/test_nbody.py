@@ -256,6 +256,11 @@ def test_writers(spark, tmp_path):
     writers.write_positions(b, str(tmp_path / "p"))
     assert tables.read_positions(spark, str(tmp_path / "p")).count() == 20
     tree = cells.tree(domain.keyed(b, domain.cubic_domain(b)), 4)
+    writers.write_boxes(tree, str(tmp_path / "b"), domain.cubic_domain(b))
+    text = "".join(f.read_text() for f in (tmp_path / "b").glob("part*"))
+    assert text.count("UnstructuredGrid version") + text.count("</UnstructuredGrid>") >= 1 and "12" in text
+    hist = writers.histogram_cells(partition.key_histogram(domain.keyed(b, domain.cubic_domain(b)), 6), 6)
+    assert hist.agg(F.sum("n")).first()[0] == 20
     assert writers.graphviz(tree).where("value like '%->%'").count() == tree.count() - 1
 
 
