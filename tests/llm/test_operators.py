@@ -55,8 +55,32 @@ def test_plan_places_each_length_as_often_as_it_is(histogram):
     assert placed == collections.Counter(histogram)
 
 
-def test_packing(spark, docs, none):
-    got = packing.pack(docs, vocabulary_path(), 256, 1).toPandas()
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), min_size=1, max_size=20), st.sampled_from([0.0, 0.05, 1.0]))
+def test_plan_with_donors_leaves_one_sequence_open(histogram, most):
+    plan = packing.make_plan(histogram, 64, most)
+    length = np.repeat(list(histogram), list(histogram.values()))
+    rank = np.concatenate([np.arange(n) for n in histogram.values()])
+    seen = collections.defaultdict(list)
+    for n, s, o in zip(length.tolist(), *(x.tolist() for x in packing.place(plan, length, rank)), strict=True):
+        parts = [(0, n, s, o)] if s >= 0 else packing.cuts(plan, o, n)
+        assert sum(p[1] for p in parts) == n
+        for _, size, sequence, offset in parts:
+            seen[sequence].append((offset, size))
+    for spots in seen.values():
+        at = 0
+        for offset, size in sorted(spots):
+            assert offset == at
+            at += size
+        assert at <= 64
+    assert sorted(seen) == list(range(len(seen)))
+    if most == 0.0:
+        assert sum(sum(n for _, n in spots) < 64 for spots in seen.values()) <= 1
+
+
+@pytest.mark.parametrize("most", [0.0, 1.0])
+def test_packing(spark, docs, none, most):
+    got = packing.pack(docs, vocabulary_path(), 256, 1, most_padding=most).toPandas()
     ids = dict(zip([r[0] for r in ROWS], encoder(vocabulary_path()).encode([r[1] for r in ROWS]), strict=True))
     copies = collections.Counter(r[0] for r in REPEATED)
     for doc, rows in got.groupby("doc_id"):
@@ -68,7 +92,7 @@ def test_packing(spark, docs, none):
     assert (ordered.groupby("sequence_id").length.cumsum() - ordered.length == ordered.offset).all()
     sums = got.groupby("sequence_id").length.sum()
     assert sums.max() <= 256 and sorted(sums.index) == list(range(len(sums)))
-    assert packing.padding(sums.to_numpy(), 256) < 0.1 * sums.sum()
+    assert packing.padding(sums.to_numpy(), 256) < (256 if most == 0.0 else 0.1 * sums.sum())
     assert packing.pack(none, vocabulary_path(), 256, 1).count() == 0
 
 
