@@ -93,8 +93,9 @@ def weights(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing: float,
     if good.count() <= _BROADCAST_ROWS:
         good = F.broadcast(good)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    hashes = F.transform(words(text), lambda x: F.xxhash64(x))
-    each = docs.select(F.col(id_col).alias("_doc"), hashes.alias("hashes")).join(good, F.col("_doc") == F.col("_id"), "left")
+    # joined as texts, which are half as large as their hashes where the join is a shuffle
+    each = docs.select(F.col(id_col).alias("_doc"), text.alias("_text")).join(good, F.col("_doc") == F.col("_id"), "left")
+    each = each.withColumn("hashes", F.transform(words(F.col("_text")), lambda x: F.xxhash64(x)))
     counts = each.select(F.coalesce("_good", F.lit(0)).alias("good"), F.explode(grams(F.col("hashes"), buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("good").alias("k"))
     counts = materialize(counts, "gram-counts")
     n, k = counts.agg(F.sum("n"), F.sum("k")).first()
