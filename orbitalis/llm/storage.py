@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,8 +33,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/orbitalis/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    _written.append(path.rsplit("/", 1)[0])
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Deletes this process's scratch tables, once no result is to be read any more;
+    how many there were."""
+    n, jvm = len(_written), spark._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def input_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -42,3 +42,11 @@ def test_units_give_the_ids_of_the_whole(rows):
     rows = [*rows, "<|endoftext|> x", "it's  'd we'll 12 3"]
     assert e.encode(rows) == [x.tobytes() for x in e.whole(rows)]
     assert e.encode([None, ""]) == [b"", b""]
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    from orbitalis.llm import storage
+
+    storage.clear(spark)
+    table = storage.materialize(spark.range(3), "t")
+    assert table.count() == 3 and storage.clear(spark) == 1 and storage.clear(spark) == 0
