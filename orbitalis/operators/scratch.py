@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame
 
 _SETTING = "spark.checkpoint.dir"
+_written: list[str] = []
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -23,4 +24,14 @@ def cut(df: DataFrame) -> DataFrame:
         atexit.register(shutil.rmtree, own, True)
     path = f"{where.rstrip('/')}/orbitalis/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark) -> int:
+    """Deletes this process's tables, once no result is to be read any more; how many there were."""
+    n, jvm = len(_written), spark._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n

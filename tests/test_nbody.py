@@ -317,3 +317,10 @@ def test_sql_functions(spark):
     want = df.select(keys.interleave(F.col("ix"), F.col("iy"), F.col("iz")).alias("k")).withColumn("p", keys.prefix_at(F.col("k"), 3)).collect()
     assert got == want
     assert spark.sql("SELECT morton_cell(0.5D, 0D, 1D), cell_side(2, 8D), duration_days('12h')").first() == (1 << 20, 2.0, 0.5)
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    from orbitalis.operators import scratch
+
+    scratch.clear(spark)
+    assert scratch.cut(spark.range(3)).count() == 3 and scratch.clear(spark) == 1 and scratch.clear(spark) == 0
