@@ -52,6 +52,7 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, limit: int, end_id: int, i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
+            part = None
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows = []
@@ -62,6 +63,8 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, limit: int, end_id: int, i
                         rows.append((doc, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)]), total))
                         start += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=PIECE_SCHEMA)
+            del batch, part
+            pa.default_memory_pool().release_unused()  # workers live on between tasks
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, PIECES)
 
@@ -246,6 +249,8 @@ def _cut_donors(docs: DataFrame, donors: DataFrame, plan: Plan, vocabulary: str,
                         rows.append((d, s + begin, size, zlib.crc32(x), len(raw) // 4, sequence, offset))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=PLACED_SCHEMA)
+            del batch
+            pa.default_memory_pool().release_unused()
 
     return both.mapInArrow(cut, PLACED).dropDuplicates(["sequence_id", "offset"])
 

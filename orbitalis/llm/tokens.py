@@ -19,7 +19,7 @@ _PLAIN = "!-~À-ɏ"
 _ODD_SPACE = re.compile(f" (?:(?![{_PLAIN}])|(?<![{_PLAIN}] ))")
 _CUT = re.compile(f"(?<=[{_PLAIN}])(?= [{_PLAIN}])")
 #: Bounds of the cache (speed and memory only, never results).
-_CACHE_UNITS = 600_000
+_CACHE_UNITS = 450_000
 _CACHE_LONGEST = 16
 _JOINED = 512
 
