@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from orbitalis.llm.storage import materialize
 
+_ROWS_PER_FILE = 200_000
+
 
 def _toward_smallest(pairs: DataFrame, large: bool) -> DataFrame:
     """pairs (u, v): each v around u is linked with the smallest of u and its v."""
@@ -25,11 +27,12 @@ def _toward_smallest(pairs: DataFrame, large: bool) -> DataFrame:
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and comp (the smallest node of its component) for all nodes but the smallest."""
     edges = materialize(links.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m")).where("v <> m").distinct(), "links")
-    state = None
+    state, files = None, max(4, -(-edges.count() // _ROWS_PER_FILE))  # rounds don't add links
     while True:
         both = edges.select(F.col("v").alias("u"), F.col("m").alias("v")).union(edges.select(F.col("m").alias("u"), "v"))
         edges = _toward_smallest(both, large=True)
-        edges = materialize(_toward_smallest(edges.select(F.col("v").alias("u"), F.col("m").alias("v")), large=False), "links")
+        edges = _toward_smallest(edges.select(F.col("v").alias("u"), F.col("m").alias("v")), large=False)
+        edges = materialize(edges.coalesce(files), "links")
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("v", "m"))).first()
         if now == state:
             return edges.select(F.col("v").alias("node"), F.col("m").alias("comp"))
