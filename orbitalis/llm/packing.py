@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbitalis.llm import textkernel as tk
 from orbitalis.llm.storage import materialize
 from orbitalis.llm.tokens import encoder
 
@@ -64,7 +65,7 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, limit: int, end_id: int, i
                         start += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=PIECE_SCHEMA)
             del batch, part
-            pa.default_memory_pool().release_unused()  # workers live on between tasks
+            tk.release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, PIECES)
 
@@ -250,7 +251,7 @@ def _cut_donors(docs: DataFrame, donors: DataFrame, plan: Plan, vocabulary: str,
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=PLACED_SCHEMA)
             del batch
-            pa.default_memory_pool().release_unused()
+            tk.release()
 
     return both.mapInArrow(cut, PLACED).dropDuplicates(["sequence_id", "offset"])
 

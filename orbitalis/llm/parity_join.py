@@ -166,6 +166,7 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
                     raw.append(class_of(tokens))
             c = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy())], names=["doc_id", "n_shingles", "cls", "cls2"])
+            tk.release()
 
     return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, cls long, cls2 long")
 
@@ -221,6 +222,8 @@ def shared_signatures(docs: DataFrame, shape: Shape, width: int, parts: int) ->
                         seen.clear()
         if held[0]:
             yield _asked(*held, parts)
+        held, seen = ([], [], [], []), set()
+        tk.release()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, owners, cls, band, least, base = [], [], [], [], [], 0
@@ -244,6 +247,7 @@ def shared_signatures(docs: DataFrame, shape: Shape, width: int, parts: int) ->
         same = np.concatenate(([False], s[1:] == s[:-1], [False]))
         keep = order[same[1:] | same[:-1]]  # the signature occurs twice at least
         s, c, o = sig[keep], cls_[own[keep]], own[keep]
+        del sig, own, order, same
         order = np.lexsort((c, s))
         s, c, o = s[order], c[order], o[order]
         fresh = np.concatenate(([True], (s[1:] != s[:-1]) | (c[1:] != c[:-1]))) if len(s) else np.zeros(0, bool)
@@ -254,6 +258,8 @@ def shared_signatures(docs: DataFrame, shape: Shape, width: int, parts: int) ->
         for at in range(0, len(many), 200_000):
             x = many[at : at + 200_000]
             yield pa.RecordBatch.from_arrays([pa.array(s[x].view(np.int64)), pa.array(c[x]), pa.array(band_[o[x]].astype(np.int32)), pa.array(least_[o[x]].astype(np.int32))], names=["sig", "cls", "band", "least"])
+        del s, c, o, keep, cls, band, least, cls_, band_, least_
+        tk.release()
 
     asked = docs.select("text").mapInArrow(ask, _ASKED).repartition(parts, "part")
     return asked.drop("part").mapInArrow(meet, _SHARED)
@@ -311,6 +317,7 @@ def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, width: int) -> D
                 names=["cls", "n", "sketch", *_BRIEF, "text"],
             )
             yield out.filter(pa.array(good, pa.bool_()))
+            tk.release()
 
     picked = docs.join(_sized(first), "doc_id").select("cls", "text").mapInArrow(run, "cls long, n int, sketch binary, " + "".join(f"{b} long, " for b in _BRIEF) + "text string")
     return materialize(picked, "texts")
@@ -410,6 +417,7 @@ def _across(telling: DataFrame, comps: DataFrame, texts: DataFrame, shape: Shape
                     yield flush()
         if held:
             yield flush()
+        tk.release()
 
     return ordered.mapInArrow(run, "a long, b long").distinct()
 

@@ -114,6 +114,7 @@ def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for a, b in tk.runs(off):
                 x = raw_features(data[off[a] : off[b]], off[a : b + 1] - off[a]).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), RAW).cast(pa.list_(pa.float32()))], names=["doc_id", "raw"])
+            tk.release()
 
     return materialize(docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, raw array<float>"), "features")
 

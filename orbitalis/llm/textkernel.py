@@ -9,6 +9,7 @@ that memory follows the block (or the longest single text), not the batch.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterator
 
@@ -23,6 +24,16 @@ _INV_PRIME = pow(_PRIME, -1, 1 << 64)
 _INV_STEP = pow(_STEP, -1, 1 << 64)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives free memory back to the system; Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values (murmur-style xor-multiply)."""
     x = x ^ (x >> _U(33))
