@@ -398,6 +398,18 @@ def test_leaks(spark, docs, none):
     assert decontaminate.find_leaks(docs, benchmark.where("false")).where("contaminated").count() == 0
 
 
+def test_leaks_that_many_documents_share(spark):
+    import random
+
+    rng = random.Random(4)
+    item = " ".join(f"q{rng.randrange(10**6)}" for _ in range(20))
+    benchmark = spark.createDataFrame([(7, item), (8, prose(rng, 30))], "item_id long, text string")
+    for n, leaks in ((300, 100), (10, 1), (30, 2), (60, 60)):  # a third of the rows, small tables, every row
+        rows = [(i, f"{' '.join(f'w{rng.randrange(10**5)}' for _ in range(90))} {item if i < leaks else ''} {' '.join(f'w{rng.randrange(10**5)}' for _ in range(90))}") for i in range(n)]
+        got = {r["doc_id"]: r["item_id"] for r in decontaminate.find_leaks(frame(spark, rows), benchmark).where("contaminated").collect()}
+        assert got == {i: 7 for i in range(leaks)}
+
+
 def test_verbatim_leaks_are_found(spark):
     sf = DATA.replace("0.001", "0.01")
     got = {r["doc_id"] for r in catalog.op9_decontamination(spark, sf).where("contaminated").collect()}
