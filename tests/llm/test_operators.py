@@ -410,6 +410,17 @@ def test_leaks_that_many_documents_share(spark):
         assert got == {i: 7 for i in range(leaks)}
 
 
+def test_leaks_of_more_items_than_the_latent_rank(spark):
+    import random
+
+    rng = random.Random(5)
+    text = [" ".join(f"q{rng.randrange(10**6)}" for _ in range(20)) for _ in range(500)]
+    benchmark = spark.createDataFrame([*enumerate(text), *((1000 + i, t) for i, t in enumerate(text[:300]))], "item_id long, text string")
+    rows = [(i, f"{prose(rng, 40)} {t} {prose(rng, 40)}") for i, t in enumerate(text)] + [(1000 + i, prose(rng, 90)) for i in range(200)]
+    got = {r["doc_id"]: r["item_id"] for r in decontaminate.find_leaks(frame(spark, rows), benchmark).where("contaminated").collect()}
+    assert got == {i: i for i in range(500)}
+
+
 def test_verbatim_leaks_are_found(spark):
     sf = DATA.replace("0.001", "0.01")
     got = {r["doc_id"] for r in catalog.op9_decontamination(spark, sf).where("contaminated").collect()}
