@@ -421,6 +421,22 @@ def test_leaks_of_more_items_than_the_latent_rank(spark):
     assert got == {i: i for i in range(500)}
 
 
+def test_leaks_of_long_items(spark):
+    import random
+
+    rng = random.Random(6)
+    word = lambda: f"q{rng.randrange(10**6)}"
+    long, middling = [word() for _ in range(3000)], [word() for _ in range(900)]
+    plain = [f"c{i % 5}" if i % 8 else word() for i in range(400)]  # one word in eight is informative
+    half = [x if i % 20 < 12 else f"o{i}" for i, x in enumerate(middling)]
+    half[-225:] = middling[-225:]
+    benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate((long, middling, plain))], "item_id long, text string")
+    around = lambda n: " ".join(f"w{rng.randrange(10**5)} c{rng.randrange(5)}" for _ in range(n))
+    rows = [(i, f"{around(40)} {' '.join(x)} {around(40)}") for i, x in enumerate((long, half, plain))] + [(10 + i, around(300)) for i in range(80)]
+    got = {r["doc_id"]: (r["item_id"], r["lcs_share"]) for r in decontaminate.find_leaks(frame(spark, rows), benchmark).where("contaminated").collect()}
+    assert {i: item for i, (item, _) in got.items()} == {0: 0, 1: 1, 2: 2} and got[0][1] == got[2][1] == 1.0
+
+
 def test_verbatim_leaks_are_found(spark):
     sf = DATA.replace("0.001", "0.01")
     got = {r["doc_id"] for r in catalog.op9_decontamination(spark, sf).where("contaminated").collect()}
