@@ -4,8 +4,9 @@ The patterns run over the text itself first (base spans).  Then a worklist
 unwraps layers: percent escapes and Unicode escapes are decoded in place, runs
 of base64 are decoded on their own and decompressed if they hold gzip or zlib
 data.  Every new layer is scanned again and may yield further layers, until
-nothing new appears; a layer whose text was seen before is not taken up again,
-which ends cycles.  Each character of a layer knows the span of the original
+nothing new appears.  What a run of base64 holds is worked out once for each
+run, within which a text that was seen before is not taken up again, which ends
+cycles; each place where the run stands gets its own spans.  Each character of a layer knows the span of the original
 text that it comes from, so every finding is reported as a span of the original
 (code points, end exclusive).  Base spans are always kept.
 
@@ -168,11 +169,32 @@ def _base64(run: str) -> str | None:
     return text if packed or all(c.isprintable() or c in "\n\r\t" for c in text) else None
 
 
+def _sub(pattern: re.Pattern[str], decode, text: str) -> str:
+    return pattern.sub(lambda m: m[0] if (got := decode(m[0])) is None else got, text)
+
+
+def _kinds_inside(text: str) -> frozenset[str]:
+    """The kinds of secrets in a decoded text and all layers below it."""
+    found, work, seen = set(), [text], {text}
+    while work and len(found) < len(KINDS):
+        layer = work.pop()
+        found.update(kind for kind, _, _ in find_secrets(layer))
+        below = [_sub(_PERCENT, _percent, layer)] if "%" in layer else []
+        if "\\" in layer or "&#" in layer:
+            below.append(_sub(_UNICODE, _unicode, layer))
+        below += [inner for m in _BASE64.finditer(layer) if (inner := _base64(m[0]))]
+        fresh = [x for x in dict.fromkeys(below) if x and x not in seen]
+        seen.update(fresh)
+        work += fresh
+    return frozenset(found)
+
+
 def all_secrets(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans and all spans of a text, in order."""
     base = find_secrets(text)
     found = set(base)
     work, seen = [Layer.root(text)], {text}
+    inside: dict[str, frozenset[str]] = {}  # by run
 
     def take(layer: Layer | None) -> None:
         if layer is not None and layer.text and layer.text not in seen:
@@ -188,8 +210,9 @@ def all_secrets(text: str) -> tuple[list[Span], list[Span]]:
         if "\\" in layer.text or "&#" in layer.text:
             take(layer.replaced(_UNICODE, _unicode))
         for m in _BASE64.finditer(layer.text):
-            if (inner := _base64(m[0])) is not None:
-                take(Layer(inner, [0], [(*layer.span(m.start(), m.end()), False)]))
+            if (kinds := inside.get(m[0])) is None:
+                kinds = inside[m[0]] = _kinds_inside(_base64(m[0]) or "")
+            found.update((kind, *layer.span(m.start(), m.end())) for kind in kinds)
     return in_order(base), in_order(found)
 
 

@@ -232,6 +232,15 @@ def test_secret_layers():
     assert secret_scan.redact("ab token=12345678 cd", [("assign", 3, 17), ("hex", 5, 9)]) == "ab [SECRET] cd"
 
 
+def test_repeated_layers_get_a_span_each():
+    b64 = lambda x: base64.b64encode(x if isinstance(x, bytes) else x.encode()).decode()
+    for run in (b64("token: abcdefgh1234"), b64(gzip.compress(b"token: abcdefgh1234", mtime=0)), b64(b64("token: abcdefgh1234"))):
+        text = f"{run} and\n{run} and\n{run}%20"
+        n = len(run)
+        assert secret_scan.all_secrets(text)[1] == [("assign", k * (n + 5), k * (n + 5) + n) for k in range(3)]
+        assert run not in secret_scan.redact(text, secret_scan.all_secrets(text)[1])
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from("ab%4125\\u0&#;xAKI=:+/ é"), max_size=60))
 def test_secret_scan_ends_and_keeps_base(text):
