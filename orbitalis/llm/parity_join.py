@@ -179,7 +179,7 @@ _MOST_OWNERS = 60_000
 def _asked(sigs: list[np.ndarray], cls: list[int], band: list[int], least: list[int], parts: int) -> pa.RecordBatch:
     """A task's signatures by part: 48 bits each, with a 16-bit index into the part's owners."""
     sig = np.concatenate(sigs)
-    owner = np.repeat(np.arange(len(sigs), dtype=np.uint16), [len(s) for s in sigs])
+    owner = np.repeat(np.arange(len(sigs), dtype=np.uint32), [len(s) for s in sigs])
     part = (((sig >> _U(32)) * _U(parts)) >> _U(32)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
     order = np.argsort(part, kind="stable")
     sig, owner, cuts = sig[order], owner[order], np.searchsorted(part[order], np.arange(parts + 1))
@@ -189,6 +189,7 @@ def _asked(sigs: list[np.ndarray], cls: list[int], band: list[int], least: list[
         s, o = sig[cuts[p] : cuts[p + 1]], owner[cuts[p] : cuts[p + 1]]
         if len(s):
             used, index = np.unique(o, return_inverse=True)
+            assert len(used) <= 1 << 16, "owners of a part have 16 bits"
             low = s.view(np.uint8).reshape(-1, 8)[:, :6]
             rows.append((p, np.ascontiguousarray(low).tobytes(), index.astype(np.uint16).tobytes(), *(t[used].tobytes() for t in tables)))
     cols = list(zip(*rows, strict=True))
@@ -215,11 +216,11 @@ def shared_signatures(docs: DataFrame, shape: Shape, width: int, parts: int) ->
                         for to, x in zip(held, (sigs, own, band, least), strict=True):
                             to.append(x)
                         size += len(sigs)
-                if size > _FLUSH or len(held[0]) > _MOST_OWNERS:
-                    yield _asked(*held, parts)
-                    held, size = ([], [], [], []), 0
-                    if len(seen) > 1 << 18:
-                        seen.clear()
+                    if size > _FLUSH or len(held[0]) > _MOST_OWNERS:  # after each text: owners have 16 bits
+                        yield _asked(*held, parts)
+                        held, size = ([], [], [], []), 0
+                        if len(seen) > 1 << 18:
+                            seen.clear()
         if held[0]:
             yield _asked(*held, parts)
         held, seen = ([], [], [], []), set()

@@ -495,6 +495,17 @@ def test_classes_at_the_boundary(spark):
     assert got == brute_classes(rows)
 
 
+def test_signatures_stay_with_their_class_among_many_owners():
+    n = 100_000  # short texts of one partition
+    sig = np.random.default_rng(2).integers(0, 1 << 63, n).astype(np.uint64) << np.uint64(1)
+    out = parity_join._asked(list(sig.reshape(-1, 1)), list(range(n)), [1] * n, [1] * n, 4)
+    seen = {}
+    for _, low, owner, cls, _, _ in zip(*(out.column(i).to_pylist() for i in range(6)), strict=True):
+        classes = np.frombuffer(cls, np.int64)[np.frombuffer(owner, np.uint16)]
+        seen |= dict(zip((low[i : i + 6] for i in range(0, len(low), 6)), classes.tolist(), strict=True))
+    assert seen == {int(x).to_bytes(8, "little")[:6]: i for i, x in enumerate(sig)}
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.integers(1, 400), st.integers(0, 60), st.integers(0, 60), st.integers(0, 10**6))
 def test_similar_sets_share_enough_signatures(common, only_a, only_b, seed):
