@@ -11,8 +11,11 @@ text that it comes from, so every finding is reported as a span of the original
 (code points, end exclusive).  Base spans are always kept.
 
 Edge cases: a null or empty text has no spans; equal spans found in several
-layers are reported once; undecodable runs are plain text; decompression stops
-at `MOST_PLAIN` bytes for one run, a guard against bombs, and scans what it got;
+layers are reported once; undecodable runs are plain text, but parts of
+them between separators and runs wrapped over lines of one width are tried too;
+decompressed data are scanned to the end, in pieces of about `MOST_PLAIN`
+characters that overlap by 1 MiB, so a nested run or a line without end that is
+longer than that may be read in part only, where pieces meet;
 repeated rows and extra columns pass through unchanged.
 """
 
@@ -21,7 +24,9 @@ from __future__ import annotations
 import base64
 import binascii
 import bisect
+import codecs
 import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -38,10 +43,14 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _WORDS = ("passw", "secret", "token", "api")
 MOST_PLAIN = 1 << 24
+_STEP, _OVERLAP = 1 << 20, 1 << 20
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+_SEPARATOR = re.compile(r"[/_+-]")
+_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 _TO_PLAIN = str.maketrans("-_", "+/")
 
 Span = tuple[str, int, int]
@@ -141,51 +150,151 @@ def _unicode(run: str) -> str | None:
         return None
 
 
-def _inflate(data: bytes) -> bytes | None:
-    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0):
-        try:
-            return zlib.decompressobj(47).decompress(data, MOST_PLAIN)
-        except zlib.error:
-            return None
-    return None
-
-
-def _base64(run: str) -> str | None:
-    """The text in a run of base64, decompressed as often as it is compressed."""
+def _packed(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0)
+
+
+def _inflated(steps: Iterator[bytes]) -> Iterator[bytes]:
+    """All members of gzip or zlib data, in steps, up to the end or an error."""
+    unzip, rest = None, b""
+    for step in steps:
+        rest += step
+        while rest:
+            if unzip is None:
+                if not _packed(rest):
+                    break
+                unzip = zlib.decompressobj(47)
+            try:
+                out = unzip.decompress(rest, _STEP)
+                rest = unzip.unconsumed_tail
+                if out:
+                    yield out
+                while not rest and not unzip.eof and (out := unzip.decompress(b"", _STEP)):
+                    yield out
+            except zlib.error:
+                return
+            if unzip.eof:
+                unzip, rest = None, unzip.unused_data
+
+
+def _unpacked(steps: Iterator[bytes], above: tuple[bytes, ...] = ()) -> Iterator[bytes]:
+    """Decompressed as often as it is compressed; data that hold themselves end that."""
+    first = next(steps, b"")
+    if _packed(first) and first not in above:
+        yield from _unpacked(_inflated(itertools.chain([first], steps)), (*above, first))
+    else:
+        yield first
+        yield from steps
+
+
+def _pieces(steps: Iterator[bytes]) -> Iterator[str]:
+    """The text of the steps in pieces of about MOST_PLAIN characters that overlap; cut between lines if there are any."""
+    decoder, text = codecs.getincrementaldecoder("utf-8")("replace"), ""
+    held: list[str] = []
+    size = 0
+    for step in steps:
+        held.append(decoder.decode(step))
+        size += len(held[-1])
+        if size > MOST_PLAIN:
+            text = "".join(held)
+            yield text
+            back = text.find("\n", len(text) - _OVERLAP) + 1
+            held = [text[back or len(text) - _OVERLAP :]]
+            size = len(held[0])
+    yield "".join([*held, decoder.decode(b"", True)])
+
+
+def _base64(run: str) -> Iterator[str]:
+    """The text in a run of base64, decompressed, in pieces; nothing if it holds none."""
     body = run.rstrip("=")
     if len(body) % 4 == 1:
-        return None
+        return
     try:
         data = base64.b64decode(body.translate(_TO_PLAIN) + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
-        return None
-    packed = False
-    while (more := _inflate(data)) is not None:
-        data, packed = more, True
+        return
+    if _packed(data):
+        steps = _unpacked(_inflated(iter([data])), (data,))
+        if first := next(steps, b""):
+            yield from _pieces(itertools.chain([first], steps))
+            return
     try:
         text = data.decode()
     except UnicodeDecodeError:
-        return None
-    return text if packed or all(c.isprintable() or c in "\n\r\t" for c in text) else None
+        return
+    if text and all(c.isprintable() or c in "\n\r\t" for c in text):
+        yield text
+
+
+def _holds(run: str) -> bool:
+    return next(_base64(run), None) is not None
+
+
+def _may_hold(run: str) -> bool:
+    """Whether the beginning of a run looks like text or compressed data."""
+    try:
+        data = base64.b64decode((x := run[:16].rstrip("=").translate(_TO_PLAIN))[: len(x) // 4 * 4])
+        return _packed(data) or all(c.isprintable() or c in "\n\r\t" for c in codecs.getincrementaldecoder("utf-8")().decode(data))
+    except (binascii.Error, ValueError):
+        return False
+
+
+def _parts(run: str) -> Iterator[tuple[int, int]]:
+    """Begin and end of what may be decoded of a run: all of it, or else parts between separators."""
+    if _holds(run):
+        yield 0, len(run)
+        return
+    cuts = [m.start() for m in _SEPARATOR.finditer(run)]
+    done = 0
+    for begin in (0, *(c + 1 for c in cuts)):
+        if begin < done or len(run) - begin < 16 or not _may_hold(run[begin : begin + 16]):
+            continue
+        for end in (len(run), *(c for c in reversed(cuts) if c - begin >= 16)):
+            if (begin or end < len(run)) and _holds(run[begin:end]):
+                yield begin, end
+                done = end
+                break
+
+
+def _wrapped(text: str) -> Iterator[tuple[str, list[int], list[int]]]:
+    """Runs of base64 over several lines of one width, the last may be shorter:
+    the joined run, and where its lines begin and end in the text."""
+    for m in _LINES.finditer(text):
+        spans = [(m.start() + x.start(), m.start() + x.end()) for x in _LINE.finditer(m[0])]
+        i = 0
+        while i + 1 < len(spans):
+            width, j = spans[i][1] - spans[i][0], i + 1
+            while j < len(spans) and spans[j][1] - spans[j][0] == width:
+                j += 1
+            ends = [j + 1] if j < len(spans) and spans[j][1] - spans[j][0] < width else []
+            for end in (*ends, j):
+                joined = "".join(text[a:b] for a, b in spans[i:end])
+                if end - i > 1 and _holds(joined):
+                    yield joined, [a for a, _ in spans[i:end]], [b for _, b in spans[i:end]]
+                    break
+            i = j
 
 
 def _sub(pattern: re.Pattern[str], decode, text: str) -> str:
     return pattern.sub(lambda m: m[0] if (got := decode(m[0])) is None else got, text)
 
 
-def _kinds_inside(text: str) -> frozenset[str]:
-    """The kinds of secrets in a decoded text and all layers below it."""
-    found, work, seen = set(), [text], {text}
+def _kinds_inside(texts: Iterator[str]) -> frozenset[str]:
+    """The kinds of secrets in decoded texts and all layers below them."""
+    found, work, seen = set(), [texts], set()
     while work and len(found) < len(KINDS):
-        layer = work.pop()
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        if not layer or (key := hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest()) in seen:
+            continue
+        seen.add(key)
         found.update(kind for kind, _, _ in find_secrets(layer))
         below = [_sub(_PERCENT, _percent, layer)] if "%" in layer else []
         if "\\" in layer or "&#" in layer:
             below.append(_sub(_UNICODE, _unicode, layer))
-        below += [inner for m in _BASE64.finditer(layer) if (inner := _base64(m[0]))]
-        fresh = [x for x in dict.fromkeys(below) if x and x not in seen]
-        seen.update(fresh)
-        work += fresh
+        runs = [m[0][a:b] for m in _BASE64.finditer(layer) for a, b in _parts(m[0])]
+        work.append(itertools.chain(below, *map(_base64, [*runs, *(x for x, _, _ in _wrapped(layer))])))
     return frozenset(found)
 
 
@@ -194,7 +303,7 @@ def all_secrets(text: str) -> tuple[list[Span], list[Span]]:
     base = find_secrets(text)
     found = set(base)
     work, seen = [Layer.root(text)], {text}
-    inside: dict[str, frozenset[str]] = {}  # by run
+    parts: dict[str, list[tuple[int, int, frozenset[str]]]] = {}  # by run
 
     def take(layer: Layer | None) -> None:
         if layer is not None and layer.text and layer.text not in seen:
@@ -210,9 +319,19 @@ def all_secrets(text: str) -> tuple[list[Span], list[Span]]:
         if "\\" in layer.text or "&#" in layer.text:
             take(layer.replaced(_UNICODE, _unicode))
         for m in _BASE64.finditer(layer.text):
-            if (kinds := inside.get(m[0])) is None:
-                kinds = inside[m[0]] = _kinds_inside(_base64(m[0]) or "")
-            found.update((kind, *layer.span(m.start(), m.end())) for kind in kinds)
+            if m[0] not in parts:
+                parts[m[0]] = [(a, b, _kinds_inside(_base64(m[0][a:b]))) for a, b in _parts(m[0])]
+            for a, b, kinds in parts[m[0]]:
+                found.update((kind, *layer.span(m.start() + a, m.start() + b)) for kind in kinds)
+        for run, starts, ends in _wrapped(layer.text):
+            plain = "".join(itertools.islice(_base64(run), 1))
+            direct = find_secrets(plain) if not _packed(base64.b64decode(run[:4].translate(_TO_PLAIN))) else []
+            width = ends[0] - starts[0]
+            for kind, a, b in direct:  # the lines that it stands in
+                lo, hi = (len(plain[:x].encode()) * 4 // 3 // width for x in (a, b - 1))
+                found.add((kind, *layer.span(starts[lo], ends[hi])))
+            for kind in _kinds_inside(_base64(run)) - {kind for kind, _, _ in direct}:
+                found.add((kind, *layer.span(starts[0], ends[-1])))
     return in_order(base), in_order(found)
 
 

@@ -232,6 +232,26 @@ def test_secret_layers():
     assert secret_scan.redact("ab token=12345678 cd", [("assign", 3, 17), ("hex", 5, 9)]) == "ab [SECRET] cd"
 
 
+def test_layers_are_read_to_the_end():
+    b64 = lambda x: base64.b64encode(x if isinstance(x, bytes) else x.encode()).decode()
+    assign = "token: abcdefgh1234"
+    kinds = lambda t: [(k, t[a:b]) for k, a, b in secret_scan.all_secrets(t)[1]]
+    late = b64(gzip.compress(("é\n" * 9_000_000 + assign).encode(), 1))
+    odd = b64(gzip.compress(("x" + "é" * 9_000_000 + " " + assign).encode(), 1))
+    members = b64(gzip.compress(b"nothing\n") + gzip.compress(assign.encode()))
+    for run in (late, odd, members):
+        assert [k for k, _ in kinds(f"a {run} b")] == ["assign"]
+    run = b64(assign).rstrip("=")
+    for text in (f"https://h.io/cb/{run}", f"id_{run}", f"see a/b/{run}/next"):
+        assert kinds(text) == [("assign", run)]
+    packed = b64(gzip.compress(" ".join(hashlib.sha256(bytes([i])).hexdigest()[:20] for i in range(40)).encode() + assign.encode()))
+    folded = "\n".join(packed[i : i + 76] for i in range(0, len(packed), 76))
+    assert kinds(f"key\n{folded}\nend of it") == [("assign", folded)]
+    plain = b64("some words before the very long " * 1 + " token: abcdefgh12345678 and after it")
+    folded = "\n".join(plain[i : i + 64] for i in range(0, len(plain), 64))
+    assert ("assign", folded) in kinds(f"x {folded} y")
+
+
 def test_repeated_layers_get_a_span_each():
     b64 = lambda x: base64.b64encode(x if isinstance(x, bytes) else x.encode()).decode()
     for run in (b64("token: abcdefgh1234"), b64(gzip.compress(b"token: abcdefgh1234", mtime=0)), b64(b64("token: abcdefgh1234"))):
