@@ -53,18 +53,15 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, limit: int, end_id: int, i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            part = None
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                rows = []
-                for doc, raw in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
-                    raw, start = raw + tail, 0
-                    total = len(raw) // 4
-                    for n in cut_lengths(total, limit):
-                        rows.append((doc, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)]), total))
+            for a, b, ids, off in enc.runs(batch.column(1)):
+                rows, flat = [], ids.astype("<u4").tobytes()
+                for doc, lo, hi in zip(batch.column(0).slice(a, b - a).to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
+                    raw, start = flat[4 * lo : 4 * hi] + tail, 0
+                    for n in cut_lengths(hi - lo + 1, limit):
+                        rows.append((doc, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)]), hi - lo + 1))
                         start += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=PIECE_SCHEMA)
-            del batch, part
+            del batch
             tk.release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, PIECES)

@@ -124,19 +124,35 @@ class Words:
 
     def hashes(self, fold: bool = False) -> np.ndarray:
         """A 64-bit hash of each word; with fold, A-Z are taken as a-z."""
-        out = np.empty(len(self.start), _U)
-        values, at = _byte_values(fold), 0
-        while at < len(out):
-            base = self.start[at]
-            to = max(int(np.searchsorted(self.end, base + BLOCK, "right")), at + 1)
-            span = self.data[base : self.end[to - 1]]
-            total = np.empty(len(span) + 1, _U)
-            total[0] = 0
-            np.cumsum(values[span] * powers(_PRIME, len(span)), out=total[1:])
-            s, e = self.start[at:to] - base, self.end[at:to] - base
-            out[at:to] = mix((total[e] - total[s]) * powers(_INV_PRIME, len(span))[s] + (e - s).astype(_U))
-            at = to
-        return out
+        return span_hashes(self.data, self.start, self.end, fold)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = False) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span; spans are in order and don't overlap."""
+    out = np.empty(len(start), _U)
+    values, at = _byte_values(fold), 0
+    while at < len(out):
+        base = start[at]
+        to = max(int(np.searchsorted(end, base + BLOCK, "right")), at + 1)
+        span = data[base : end[to - 1]]
+        total = np.empty(len(span) + 1, _U)
+        total[0] = 0
+        np.cumsum(values[span] * powers(_PRIME, len(span)), out=total[1:])
+        s, e = start[at:to] - base, end[at:to] - base
+        out[at:to] = mix((total[e] - total[s]) * powers(_INV_PRIME, len(span))[s] + (e - s).astype(_U))
+        at = to
+    return out
+
+
+def spans_of(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... (count of them) for each pair, one after another."""
+    ends = np.cumsum(count, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 1 << 31 and (not len(begin) or int(begin.max()) < (1 << 31) - total) else np.int64
+    shift = (begin - (ends - count)).astype(kind)
+    out = np.repeat(shift, count)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
