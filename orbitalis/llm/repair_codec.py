@@ -62,25 +62,28 @@ class _Sequence:
         self.place_bits = _U(max(1, n.bit_length()))
         self.symbol_bits = (_U(64) - self.place_bits) // _U(2)
 
-    def pairs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def pairs(self, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The pairs that begin at these places: their codes, where each one's places
         begin among all places, these places, and which of them are to be left out."""
         key = self.symbol[at].astype(_U)
         key <<= self.symbol_bits
         key |= self.symbol[self.next[at]].view(np.uint32)
         key <<= self.place_bits
-        key |= at.astype(np.uint32)
+        key |= at.view(np.uint32)
         key.sort()
-        code = key >> self.place_bits
         place = (key & ((_U(1) << self.place_bits) - _U(1))).astype(np.int32)
-        begin = np.concatenate(([0], np.flatnonzero(code[1:] != code[:-1]) + 1, [len(code)]))
+        key >>= self.place_bits
+        begin = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+        codes = key[begin[:-1]]
         # in a run of one symbol, every second pair overlaps the one before
-        twin = np.flatnonzero((code >> self.symbol_bits) == (code & ((_U(1) << self.symbol_bits) - _U(1))))
+        twin = np.flatnonzero(((codes >> self.symbol_bits) == (codes & ((_U(1) << self.symbol_bits) - _U(1)))) & (begin[1:] - begin[:-1] >= least))
         if len(twin):
-            chain = np.concatenate(([False], (code[twin][1:] == code[twin][:-1]) & (self.next[place[twin][:-1]] == place[twin][1:])))
+            size = begin[twin + 1] - begin[twin]
+            twin, of = spans_of(begin[twin], size), np.repeat(twin, size)
+            chain = np.concatenate(([False], (of[1:] == of[:-1]) & (self.next[place[twin][:-1]] == place[twin][1:])))
             i = np.arange(len(twin))
             twin = twin[(i - np.maximum.accumulate(np.where(chain, 0, i))) % 2 == 1]
-        return code[begin[:-1]], begin, place, twin
+        return codes, begin, place, twin
 
     def replace(self, at: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Puts symbols for the pairs at these places; places where pairs have changed."""
@@ -93,13 +96,13 @@ class _Sequence:
         return np.concatenate((at, self.before[at]))
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, least: int = 4, ratio: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, least: int = 4, ratio: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules, their expansion lengths and the compressed sequence; ends marks each document's last id."""
     seq = _Sequence(ids, ends)
     most = (1 << int(seq.symbol_bits)) - 1
-    rules, made, at, limit = [], vocab, np.flatnonzero(~seq.shut[: seq.n]), 0
+    rules, made, at, limit = [], vocab, np.flatnonzero(~seq.shut[: seq.n]).astype(np.int32), 0
     while len(at) and made < most:
-        codes, begin, place, left_out = seq.pairs(at)
+        codes, begin, place, left_out = seq.pairs(at, least)
         size = np.diff(begin)
         count = size.copy()
         if len(left_out):
@@ -113,13 +116,13 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, least: int = 4, rati
         chosen = chosen[np.sort(order[: most - made])]
         rank = np.empty(len(chosen), np.int32)
         rank[np.argsort(-count[chosen], kind="stable")] = np.arange(len(chosen), 0, -1)
-        of, where = np.repeat(np.arange(len(chosen), dtype=np.int32), size[chosen]), spans_of(begin[:-1][chosen], size[chosen])
-        if len(left_out):
-            ok = np.ones(len(place), bool)
-            ok[left_out] = False
-            ok = ok[where]
-            of, where = of[ok], where[ok]
-        spot, mine = place[where], rank[of]
+        number = np.full(len(count), -1, np.int32)
+        number[chosen] = np.arange(len(chosen))
+        of = np.repeat(number, size)
+        of[left_out] = -1
+        ok = of >= 0
+        of, spot = of[ok], place[ok]
+        mine = rank[of]
         seq.rank[spot] = mine
         wins = (mine > seq.rank[seq.before[spot]]) & (mine > seq.rank[seq.next[spot]])
         seq.rank[spot] = 0
@@ -132,12 +135,11 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, least: int = 4, rati
         pair = codes[chosen[good]]
         rules.append(np.stack((pair >> seq.symbol_bits, pair & ((_U(1) << seq.symbol_bits) - _U(1))), 1).astype(np.int64))
         made += len(pair)
-        frequent = np.flatnonzero(count >= least)
-        at = np.concatenate((place[spans_of(begin[:-1][frequent], size[frequent])], changed))
+        at = np.concatenate((place[np.repeat(count >= least, size)], changed))
         if len(at) > seq.n // 16:
             live = np.zeros(seq.n + 1, bool)
             live[at] = True
-            at = np.flatnonzero((live & ~seq.shut)[: seq.n])
+            at = np.flatnonzero((live & ~seq.shut)[: seq.n]).astype(np.int32)
         else:
             at = np.unique(at[at >= 0])
             at = at[~seq.shut[at]]
