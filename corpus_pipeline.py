@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes
 what a stage returns and gives it to the next.  All but the last return the
 columns of documents.
+
+Rows, not ids, are kept or not: rows with null or equal ids but other texts are
+documents of their own, and of rows with equal texts near_duplicates keeps one.
+Null and empty texts are judged like others (they are similar to nothing); an
+empty table gives an empty result; extra columns go along to the last stage.
 """
 
 from __future__ import annotations
@@ -10,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from orbitalis.llm import decontaminate, packing, parity_join, pu_classifier, secret_scan
 from orbitalis.llm.storage import input_table, materialize
@@ -19,22 +23,17 @@ from orbitalis.llm.tokens import vocabulary_path
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
-    scored = pu_classifier.score(docs, input_table(spark, sf_dir, "labels"))
-    kept = scored.where("predicted = 1").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return pu_classifier.good_rows(docs, input_table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones: that with the smallest id."""
-    classes = parity_join.similarity_classes(docs)
-    kept = classes.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return parity_join.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    leaks = decontaminate.find_leaks(docs, input_table(spark, sf_dir, "benchmark"))
-    return docs.join(leaks.where("contaminated").select("doc_id"), "doc_id", "left_anti")
+    return decontaminate.without_leaks(docs, input_table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,18 +15,23 @@ are similar share one of them.
 Candidates are checked in two steps: a compact sketch of parity bits, whose
 Hamming distance is a lower bound of the difference, and then the shingles.
 
+Rows are told apart by where they stand, not by their ids, so null and repeated
+ids do no harm.
+
 Only what joins documents is needed, so signatures with many sets aren't
 expanded into pairs.  Sets with too few shared signatures and the most frequent
 ones of the others go first (see _telling).  Then each set is checked against the most central
 set of each of its signatures.  Links found join components.  Then all pairs in
 different components that share a signature are checked; within a component no
-pair is.  Equal sets are one
+pair is.  A signature with more sets than a tile holds is cut into tiles, and
+pairs of tiles go to different tasks.  Equal sets are one
 class from the start, and stand in the exchange once for each task.
 
 Edge cases: null, empty and blank texts have an empty set, and link with
 nothing; a text with fewer words than a shingle has its whole sequence as one
-shingle; repeated rows are equal sets; an empty table gives no rows; extra
-columns are ignored.
+shingle; repeated rows are equal sets; a null id is no smallest id unless its
+whole component has no other; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +46,7 @@ from pyspark.sql import functions as F
 
 from orbitalis.llm import textkernel as tk
 from orbitalis.llm.components import connected_components
-from orbitalis.llm.storage import materialize
+from orbitalis.llm.storage import materialize, row_key
 
 _U = np.uint64
 BRIEF = 1024  # bits of the sketch that candidates carry along
@@ -153,8 +158,11 @@ def _each_run(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield a, data[off[a] : off[b]], off[a : b + 1] - off[a]
 
 
+_ROW = "row struct<f:long,i:long>"
+
+
 def set_table(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, class (two longs) of each row of docs (doc_id, text)."""
+    """doc_id, row, n_shingles, class (two longs) of each row of docs (doc_id, text, row)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,10 +173,10 @@ def set_table(docs: DataFrame, width: int) -> DataFrame:
                     n.append(len(tokens))
                     raw.append(class_of(tokens))
             c = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy())], names=["doc_id", "n_shingles", "cls", "cls2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy())], names=["doc_id", "row", "n_shingles", "cls", "cls2"])
             tk.release()
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, cls long, cls2 long")
+    return docs.select("doc_id", "text", "row").mapInArrow(run, f"doc_id {kind}, {_ROW}, n_shingles long, cls long, cls2 long")
 
 
 _ASKED = "part int, sigs binary, owner binary, cls binary, band binary, least binary"
@@ -262,7 +270,7 @@ def shared_signatures(docs: DataFrame, shape: Shape, width: int, parts: int) ->
         del s, c, o, keep, cls, band, least, cls_, band_, least_
         tk.release()
 
-    asked = docs.select("text").mapInArrow(ask, _ASKED).repartition(parts, "part")
+    asked = docs.select("text").mapInArrow(ask, _ASKED).repartitionById(parts, "part")
     return asked.drop("part").mapInArrow(meet, _SHARED)
 
 
@@ -300,7 +308,7 @@ def _telling(shared: DataFrame) -> DataFrame:
 
 def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """cls, n, sketch and text of one document of each wanted class."""
-    first = materialize(sets.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "representatives")
+    first = materialize(sets.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("row").alias("row")), "representatives")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,7 +328,7 @@ def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, width: int) -> D
             yield out.filter(pa.array(good, pa.bool_()))
             tk.release()
 
-    picked = docs.join(_sized(first), "doc_id").select("cls", "text").mapInArrow(run, "cls long, n int, sketch binary, " + "".join(f"{b} long, " for b in _BRIEF) + "text string")
+    picked = docs.join(_sized(first), "row").select("cls", "text").mapInArrow(run, "cls long, n int, sketch binary, " + "".join(f"{b} long, " for b in _BRIEF) + "text string")
     return materialize(picked, "texts")
 
 
@@ -356,16 +364,50 @@ def _verified(pairs: DataFrame, texts: DataFrame, shape: Shape, width: int) -> D
     return close.join(a, "a").join(b, "b").mapInArrow(exact, "a long, b long").distinct()
 
 
+_TILE = 8192  # sets of a signature that are compared in one place
+_FIELDS = ["sig", "lo", "hi", "tile", "comp", "cls", "n", *_BRIEF]
+
+
+def _near_pairs(g: np.ndarray, h: np.ndarray | None, shape: Shape, limit: int) -> Iterator[np.ndarray]:
+    """Pairs of classes across the components of rows g (in order of comp), or of g
+    and h, whose brief sketches are near enough; some rows of g at a time."""
+    comp, cls, size, first = (_FIELDS.index(x) for x in ("comp", "cls", "n", _BRIEF[0]))
+    other = g if h is None else h
+    begin = np.searchsorted(g[:, comp], g[:, comp], "right") if h is None else np.zeros(len(g), np.int64)
+    n = len(other) - begin
+    at = 0
+    while at < len(g):
+        to = max(at + 1, int(np.searchsorted(np.cumsum(n[at:]), limit, "right")) + at)
+        k = n[at:to]
+        i, j = np.repeat(np.arange(at, to), k), tk.spans_of(begin[at:to], k)
+        if h is not None:
+            differ = g[i, comp] != other[j, comp]
+            i, j = i[differ], j[differ]
+        apart = np.zeros(len(i), np.int64)
+        for c in range(first, len(_FIELDS)):
+            apart += np.bitwise_count((g[i, c] ^ other[j, c]).view(_U))
+        near = apart <= shape.most_apart(g[i, size], other[j, size])
+        a, b = g[i[near], cls], other[j[near], cls]
+        yield np.stack((np.minimum(a, b), np.maximum(a, b)), 1)
+        at = to
+
+
 def _across(telling: DataFrame, comps: DataFrame, texts: DataFrame, shape: Shape, parts: int) -> DataFrame:
     """Pairs (a, b) of classes in different components that share a signature and
     whose brief sketches differ no more than those of similar sets may."""
     known = _sized(materialize(texts.select("cls", "n", *_BRIEF).distinct(), "brief"))
     marked = telling.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("comp", "cls").alias("comp"))
     marked = materialize(marked, "marked")
-    open_ = marked.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-    marked = marked.join(open_, "sig", "left_semi").join(known, "cls")
-    fields = ["sig", "comp", "cls", "n", *_BRIEF]
-    ordered = marked.select("sig", "comp", "cls", F.col("n").cast("long").alias("n"), *_BRIEF).repartition(parts, "sig").sortWithinPartitions("sig", "comp")
+    open_ = materialize(marked.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x <> y").select("sig", "m"), "open")
+    marked = marked.join(open_, "sig").join(known, "cls")
+    if open_.where(F.col("m") > _TILE).isEmpty():
+        tiled = marked.withColumns({x: F.lit(0).cast("long") for x in ("lo", "hi", "tile")})
+    else:  # a set goes to all pairs of tiles that its own is in
+        tiles = F.ceil(F.col("m") / _TILE)
+        tiled = marked.withColumn("tile", F.pmod(F.xxhash64("cls"), tiles)).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
+        tiled = tiled.withColumns({"lo": F.least("tile", "to"), "hi": F.greatest("tile", "to")})
+    key = ["sig", "lo", "hi"]
+    ordered = tiled.select(*(F.col(x).cast("long").alias(x) for x in _FIELDS)).repartition(parts, *key).sortWithinPartitions(*key, "tile", "comp")
     limit = 1 << 20
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,39 +421,32 @@ def _across(telling: DataFrame, comps: DataFrame, texts: DataFrame, shape: Shape
             size = 0
             return pa.RecordBatch.from_arrays([pa.array(rows[:, 0].copy()), pa.array(rows[:, 1].copy())], names=["a", "b"])
 
-        def pairs(g: np.ndarray) -> Iterator[np.ndarray]:
-            """Pairs across the components of one signature's rows, a block at a time."""
-            ends = np.searchsorted(g[:, 1], g[:, 1], "right")
-            n = len(g) - ends
-            at = 0
-            while at < len(g):
-                to = max(at + 1, int(np.searchsorted(np.cumsum(n[at:]), limit, "right")) + at)
-                k = n[at:to]
-                i = np.repeat(np.arange(at, to), k)
-                j = np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k) + ends[i]
-                apart = np.zeros(len(i), np.int64)
-                for c in range(4, len(fields)):
-                    apart += np.bitwise_count((g[i, c] ^ g[j, c]).view(_U))
-                near = apart <= shape.most_apart(g[i, 3], g[j, 3])
-                i, j = i[near], j[near]
-                yield np.stack((np.minimum(g[i, 2], g[j, 2]), np.maximum(g[i, 2], g[j, 2])), 1)
-                at = to
-
         def groups() -> Iterator[np.ndarray]:
-            """The rows of each signature that has several components."""
-            rest = np.zeros((0, len(fields)), np.int64)
+            """The rows of each signature, or pair of its tiles."""
+            rest: list[np.ndarray] = []
             for batch in batches:
-                now = np.concatenate((rest, np.stack([batch.column(i).to_numpy() for i in range(len(fields))], 1)))
-                cuts = np.concatenate(([0], np.flatnonzero(now[1:, 0] != now[:-1, 0]) + 1))
-                last = np.concatenate((cuts[1:], [len(now)])) - 1
-                for g in np.flatnonzero(now[cuts[:-1], 1] != now[last[:-1], 1]):
-                    yield now[cuts[g] : cuts[g + 1]]
-                rest = now[cuts[-1] :]
-            if len(rest) and rest[0, 1] != rest[-1, 1]:
-                yield rest
+                now = np.stack([batch.column(i).to_numpy() for i in range(len(_FIELDS))], 1)
+                if not len(now):
+                    continue
+                cuts = (np.flatnonzero((now[1:, :3] != now[:-1, :3]).any(1)) + 1).tolist()
+                if rest and (rest[-1][-1, :3] != now[0, :3]).any():
+                    yield np.concatenate(rest)
+                    rest = []
+                for lo, hi in zip([0, *cuts], [*cuts, len(now)], strict=True):
+                    rest.append(now[lo:hi])
+                    if hi < len(now):
+                        yield np.concatenate(rest) if len(rest) > 1 else rest[0]
+                        rest = []
+            if rest:
+                yield np.concatenate(rest)
 
         for g in groups():
-            for rows in pairs(g):
+            if g[0, 1] == g[0, 2]:
+                found = _near_pairs(g, None, shape, limit)
+            else:
+                middle = int(np.searchsorted(g[:, 3], g[0, 2]))
+                found = _near_pairs(g[:middle], g[middle:], shape, limit)
+            for rows in found:
                 held.append(rows)
                 size += len(rows)
                 if size > limit:
@@ -423,13 +458,16 @@ def _across(telling: DataFrame, comps: DataFrame, texts: DataFrame, shape: Shape
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def similarity_classes(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id that links reach) of each row."""
-    spark = docs.sparkSession
+_SIGNATURES_PER_PART = 4_000_000  # bounds what a task holds of them
+
+
+def _classes(docs: DataFrame, num: int, den: int, width: int) -> DataFrame:
+    """doc_id, row, n_shingles and the key (two longs) of its class of each row of
+    docs (doc_id, text, row); similar rows have a common key."""
     shape = Shape(num, den)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = materialize(set_table(docs, width), "sets")
+    shingles = sets.agg(F.sum("n_shingles")).first()[0] or 0  # about as many signatures
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shingles // _SIGNATURES_PER_PART))
     telling = _telling(materialize(shared_signatures(docs, shape, width, parts), "signatures"))
     texts = _texts(docs, sets, telling.select("cls").distinct(), width)
     stars = materialize(telling.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct(), "stars")
@@ -441,11 +479,48 @@ def similarity_classes(docs: DataFrame, num: int = 75, den: int = 100, width: in
     # linked classes go by their component, all others by their full class
     roots = comps.select(F.col("comp").alias("cls"), "comp").distinct()
     named = comps.withColumnRenamed("node", "cls").unionByName(roots)
-    keyed = sets.join(named, "cls", "left").withColumns({"_key": F.coalesce("comp", "cls"), "_key2": F.when(F.col("comp").isNull(), F.col("cls2")).otherwise(0)})
-    alone = F.col("n_shingles") == 0
-    least = keyed.where(~alone).groupBy("_key", "_key2").agg(F.min("doc_id").alias("_least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    out = keyed.join(least, ["_key", "_key2"], "left")
-    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.coalesce("_least", "doc_id")).alias("component_id"))
+    keyed = sets.join(_sized(materialize(named, "named")), "cls", "left")
+    return keyed.select("doc_id", "row", "n_shingles", F.coalesce("comp", "cls").alias("key"), F.when(F.col("comp").isNull(), F.col("cls2")).otherwise(0).alias("key2"))
+
+
+_HOT_KEYS = 1000
+
+
+def _by_class(classes: DataFrame, value, name: str) -> DataFrame:
+    """classes with an aggregate over the rows of each key, null for keys with one
+    row.  Keys with more than a thousandth of the rows, a thousand at most, are
+    looked up in a broadcast table; their rows don't meet in one task."""
+    classes = materialize(classes, "classes")
+    some = classes.where("n_shingles > 0")
+    found = materialize(some.groupBy("key", "key2").agg(value.alias(name), F.count("*").alias("_m")).where("_m > 1"), "keys")
+    total = classes.count()
+    hot = found.where(F.col("_m") * _HOT_KEYS > total).select("key", "key2", F.col(name).alias("_hot"))
+    out = classes.join(F.broadcast(hot), ["key", "key2"], "left")
+    spread = F.col("_hot").isNotNull()
+    out = out.withColumns({"_k": F.when(spread, F.xxhash64("row")).otherwise(F.col("key")), "_k2": F.when(spread, F.lit(0)).otherwise(F.col("key2"))})
+    cold = found.where(F.col("_m") * _HOT_KEYS <= total).select(F.col("key").alias("_k"), F.col("key2").alias("_k2"), F.col(name).alias("_cold"))
+    return out.join(cold, ["_k", "_k2"], "left").withColumn(name, F.coalesce("_hot", "_cold")).drop("_k", "_k2", "_hot", "_cold")
+
+
+def similarity_classes(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest id that links reach) of each row."""
+    docs, row = row_key(docs)
+    classes = _classes(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), row.alias("row")), num, den, width)
+    out = _by_class(classes, F.struct(F.min("doc_id").alias("doc_id")), "least")
+    known = F.when((F.col("n_shingles") > 0) & F.col("least").isNotNull(), F.col("least.doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", known.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without all but one of each group of similar ones: that with
+    the smallest id (null ids come last), the first in its file among equals."""
+    names = docs.columns
+    docs, row = row_key(docs)
+    classes = _classes(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), row.alias("row")), num, den, width)
+    own = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row").alias("c"))
+    best = _by_class(classes, F.min(own), "best")
+    copies = materialize(best.where("n_shingles > 0 and best is not null and best.c <> row").select(F.col("row").alias("_copy")), "copies")
+    return docs.withColumn("_row", row).join(_sized(copies), F.col("_row") == F.col("_copy"), "left_anti").select(*(docs[f"`{c}`"] for c in names))
 
 
 ORACLE = r"""

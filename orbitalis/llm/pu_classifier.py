@@ -8,14 +8,21 @@ the risk of a linear score f under the logistic loss is
 
 (the non-negative estimator).  As l(f) - l(-f) = -f, the unclipped risk is
 convex, and Newton steps reach its minimum in a few passes; where the second
-part would become negative, the step is halved until it isn't.  Each pass is
-one distributed sum of gradient and curvature (a few hundred numbers for each
-partition) over a narrow feature table that is written once.  The prior is the
-share of good documents among the training labels.
-
-Features describe form, not content: length, shares of symbols, capitals,
-repeated words, repeated trigrams, stuttering words and the like, over the
-whole text.  Labels, language, source and id are never features.
+part would become negative, the step is halved until it isn't.  Passes go on
+until a step is small.  Each pass is one distributed sum of gradient and
+curvature over a narrow feature table that is written once; partitions' sums are
+added in a fixed order, so equal inputs give equal scores.
+
+The prior is the share of good documents among the training labels.  These are a
+sample of the corpus, so that share is an unbiased estimate of the prior; an
+estimate from positives and unlabelled rows alone would lean on how well the
+model separates them.  Labels of bad documents are used for nothing else.
+
+Features are hashed n-grams (shares of words in WORD_BUCKETS and of byte trigrams
+in BYTE_BUCKETS buckets) and numbers on form: length, shares of symbols,
+capitals, repeated words, repeated trigrams, stuttering words and the like, over
+the whole text.  N-grams have a stronger ridge.  Labels, language, source and id
+are never features.
 
 Edge cases: a null or empty text has the features of no words and a score; a
 document that is labelled more than once counts as positive only if all its
@@ -26,10 +33,12 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +55,10 @@ _CLASS[ord("0") : ord("9") + 1] = 4
 _CLASS[list(b"!?.,;:\"'")] = 5
 
 RAW = 11
-FEATURES = 32
+WORD_BUCKETS, BYTE_BUCKETS = 64, 128
+GRAMS = WORD_BUCKETS + BYTE_BUCKETS
+FORM = 32
+FEATURES = FORM + GRAMS
 
 
 def _running(mask: np.ndarray) -> np.ndarray:
@@ -98,75 +110,115 @@ def raw_features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     )
 
 
-def expand(raw: np.ndarray) -> np.ndarray:
-    """FEATURES bounded columns: a constant, the raw ones, their roots and a few steps."""
+def gram_features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """GRAMS bytes for each text of a run: 255 times the roots of the n-grams' shares."""
+    n_docs, words = len(off) - 1, tk.Words(data, off)
+    word = (words.hashes(fold=True) >> np.uint64(58)).astype(np.int64)
+    counts = np.bincount(tk.spread(words.first) * WORD_BUCKETS + word, minlength=n_docs * WORD_BUCKETS).reshape(n_docs, -1)
+    x = data.astype(np.uint32)
+    tri = (x[:-2] | (x[1:-1] << np.uint32(8)) | (x[2:] << np.uint32(16))) * np.uint32(0x9E3779B1) >> np.uint32(25) if len(x) > 2 else np.zeros(0, np.uint32)
+    doc = np.repeat(np.arange(n_docs), np.diff(off))[: len(tri)]
+    whole = np.arange(len(tri)) + 2 < off[1:][doc]
+    byte = np.bincount(doc[whole] * BYTE_BUCKETS + tri[whole], minlength=n_docs * BYTE_BUCKETS).reshape(n_docs, -1)
+    share = [c / np.maximum(c.sum(1, keepdims=True), 1) for c in (counts, byte)]
+    return np.round(255 * np.sqrt(np.concatenate(share, 1))).astype(np.uint8)
+
+
+def expand(raw: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """FEATURES bounded columns: a constant, the raw ones, their roots and a few steps, and the n-grams."""
     x = np.clip(raw, 0, 1.5)
-    return np.concatenate([np.ones((len(x), 1)), x, np.sqrt(x[:, 1:]), x[:, [1, 3, 4, 6, 7]] > 0.02, x[:, [2, 6, 7, 4, 3]] > 0.15], 1)
+    return np.concatenate([np.ones((len(x), 1)), x, np.sqrt(x[:, 1:]), x[:, [1, 3, 4, 6, 7]] > 0.02, x[:, [2, 6, 7, 4, 3]] > 0.15, grams / 255.0], 1)
+
+
+def _features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First row, row after the last, raw and n-gram features of runs of texts."""
+    data, off = tk.text_bytes(texts)
+    for a, b in tk.runs(off):
+        d, o = data[off[a] : off[b]], off[a : b + 1] - off[a]
+        yield a, b, raw_features(d, o).astype(np.float32), gram_features(d, o)
 
 
 def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and its raw features (floats), written once."""
+    """doc_id and its features (floats, and a byte for each n-gram bucket), written once."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = tk.text_bytes(batch.column(1))
-            for a, b in tk.runs(off):
-                x = raw_features(data[off[a] : off[b]], off[a : b + 1] - off[a]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), RAW).cast(pa.list_(pa.float32()))], names=["doc_id", "raw"])
+            for a, b, raw, grams in _features(batch.column(1)):
+                flat = pa.FixedSizeListArray.from_arrays(pa.array(raw.ravel()), RAW).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), flat, pa.array([x.tobytes() for x in grams], pa.binary())], names=["doc_id", "raw", "grams"])
             tk.release()
 
-    return materialize(docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, raw array<float>"), "features")
+    return materialize(docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, raw array<float>, grams binary"), "features")
+
 
+def _matrix(raw: pa.Array, grams: pa.Array) -> np.ndarray:
+    return expand(raw.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, RAW), np.frombuffer(b"".join(grams.to_pylist()), np.uint8).reshape(-1, GRAMS))
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return expand(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, RAW))
+
+_BATCH = 2000  # rows expanded at a time
 
 
 def _sums(table: DataFrame, w: np.ndarray) -> np.ndarray:
     """Over all rows: n, loss of the negative label, gradient, curvature; over the
     positives: n, loss of the negative label, sum of the features."""
-    d = FEATURES
+    d = len(w)
+    size = 4 + 2 * d + d * d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = np.zeros(4 + 2 * d + d * d)
-        for batch in batches:
-            z, pos = _matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            f = z @ w
-            s = 1 / (1 + np.exp(-f))
-            soft = np.logaddexp(0, f)
-            acc[:4] += len(z), soft.sum(), pos.sum(), soft[pos].sum()
-            acc[4 : 4 + d] += s @ z
-            acc[4 + d : 4 + 2 * d] += z[pos].sum(0)
-            acc[4 + 2 * d :] += (z.T @ (z * (s * (1 - s))[:, None])).ravel()
-        yield pa.RecordBatch.from_pydict({"i": pa.array(range(len(acc)), pa.int32()), "x": pa.array(acc)})
-
-    rows = table.select("raw", "positive").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x")).collect()
-    out = np.zeros(4 + 2 * d + d * d)
-    for i, x in rows:
-        out[i] = x
+        acc = np.zeros(size)
+        for whole in batches:
+            for at in range(0, whole.num_rows, _BATCH):
+                batch = whole.slice(at, _BATCH)
+                z, pos = _matrix(batch.column(0), batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                f = z @ w
+                s = 1 / (1 + np.exp(-f))
+                soft = np.logaddexp(0, f)
+                acc[:4] += len(z), soft.sum(), pos.sum(), soft[pos].sum()
+                acc[4 : 4 + d] += s @ z
+                acc[4 + d : 4 + 2 * d] += z[pos].sum(0)
+                acc[4 + 2 * d :] += (z.T @ (z * (s * (1 - s))[:, None])).ravel()
+        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "x": pa.array([acc.tobytes()], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        if rows:
+            total = np.zeros(size)
+            for _, x in rows:
+                total += np.frombuffer(x)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([rows[0][0]], pa.int32()), "x": pa.array([total.tobytes()], pa.binary())})
+
+    columns = table.select("raw", "grams", "positive")
+    groups = max(1, math.isqrt(len(table.inputFiles())))  # each adds as many sums as the driver then does
+    partial = columns.mapInArrow(run, "part int, x binary").repartitionById(groups, F.col("part") % groups)
+    out = np.zeros(size)
+    for _, x in sorted(partial.mapInArrow(add, "part int, x binary").collect()):
+        out += np.frombuffer(x)
     return out
 
 
-def fit(table: DataFrame, prior: float, ridge: float = 1e-3, passes: int = 10, tolerance: float = 1e-2) -> np.ndarray:
-    """Weights for a table of (raw, positive) rows."""
+def fit(table: DataFrame, prior: float, ridge: float = 1e-3, gram_ridge: float = 1e-2, tolerance: float = 1e-2, passes: int = 60) -> np.ndarray:
+    """Weights for a table of (raw, grams, positive) rows; an error if `passes` aren't enough."""
     d, w, step = FEATURES, np.zeros(FEATURES), np.zeros(FEATURES)
+    ridges = np.concatenate((np.full(FORM, ridge), np.full(GRAMS, gram_ridge)))
     for _ in range(passes):
         sums = _sums(table, w)
         n, soft, n_pos, soft_pos = sums[:4]
         if not n or not n_pos:
             w[0] = np.log(prior / (1 - prior))
             return w
-        if soft / n - prior * soft_pos / n_pos < 0 and np.abs(step).max() > tolerance:
-            step /= 2  # the negative part of the risk must not fall below 0
+        if soft / n - prior * soft_pos / n_pos < 0:
+            if np.abs(step).max() <= tolerance:
+                return w - step  # the last weights at which the negative part of the risk was none below 0
+            step /= 2
             w = w - step
             continue
-        gradient = sums[4 : 4 + d] / n - prior * sums[4 + d : 4 + 2 * d] / n_pos + ridge * w
-        step = -np.linalg.solve(sums[4 + 2 * d :].reshape(d, d) / n + ridge * np.eye(d), gradient)
+        if np.abs(step).max() < tolerance and w.any():
+            return w
+        gradient = sums[4 : 4 + d] / n - prior * sums[4 + d : 4 + 2 * d] / n_pos + ridges * w
+        step = -np.linalg.solve(sums[4 + 2 * d :].reshape(d, d) / n + np.diag(ridges), gradient)
         w = w + step
-        if np.abs(step).max() < tolerance:
-            break
-    return w
+    raise ArithmeticError(f"no minimum of the risk within {passes} passes")
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -174,22 +226,45 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score and predicted of each row of docs.  labels (doc_id,
-    quality): only rows that aren't held out are learned from."""
-    table = feature_table(docs, id_col, text_col)
+def train(table: DataFrame, labels: DataFrame) -> np.ndarray:
+    """Weights from a feature table; labels (doc_id, quality): only rows that aren't
+    held out are learned from."""
     known = labels.where(F.col("quality").isNotNull() & ~held_out()).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality"))
     n, good = known.agg(F.count("*"), F.sum("quality")).first()
     prior = min(max((good or 0) / n, 0.01), 0.99) if n else 0.5
     positive = known.groupBy("_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("_id", F.lit(True).alias("positive"))
-    marked = materialize(table.join(positive, table.doc_id == positive["_id"], "left").select("raw", F.coalesce("positive", F.lit(False)).alias("positive")), "training")
-    w = fit(marked, prior)
+    marked = materialize(table.join(positive, table.doc_id == positive["_id"], "left").select("raw", "grams", F.coalesce("positive", F.lit(False)).alias("positive")), "training")
+    return fit(marked, prior)
+
+
+def _scores(raw: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-(raw @ w)))
+
+
+def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, score and predicted of each row of docs, after train()."""
+    table = feature_table(docs, id_col, text_col)
+    w = train(table, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = 1 / (1 + np.exp(-(_matrix(batch.column(1)) @ w)))
+            s = _scores(_matrix(batch.column(1), batch.column(2)), w)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     kind = table.schema["doc_id"].dataType.simpleString()
     scored = table.mapInArrow(run, f"doc_id {kind}, score double, predicted int")
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def good_rows(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that the classifier predicts to be good, each judged by its
+    own text: features are computed anew, which spares an exchange of all texts."""
+    w, at = train(feature_table(docs, id_col, text_col), labels), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [_scores(expand(raw.astype(np.float64), grams), w) >= threshold for _, _, raw, grams in _features(batch.column(at).cast(pa.string()))]
+            yield batch.filter(pa.array(np.concatenate(good) if good else [], pa.bool_()))
+            tk.release()
+
+    return docs.mapInArrow(run, docs.schema)

@@ -12,7 +12,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 _written: list[str] = []
@@ -22,6 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names for checkpoints."""
     where = spark.conf.get(_SETTING, None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError(f"{_SETTING} must name a folder that all executors share")
         where = "file://" + (own := tempfile.mkdtemp(prefix="orbitalis-scratch-"))
         spark.conf.set(_SETTING, where)
         atexit.register(shutil.rmtree, own, True)
@@ -37,6 +40,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(df: DataFrame) -> tuple[DataFrame, Column]:
+    """df and a column that tells its rows apart, whatever else they have in common.
+
+    For a table that is read from Parquet files: (a hash of the file's path, the
+    row's number in the file), which needs no pass and stays the same however often and
+    in whatever splits the files are read.  Any other df is written once, with a
+    number.  The column is a struct of two longs.
+    """
+    if df._jdf.queryExecution().analyzed().nodeName().startswith("LogicalRelation") and df._jdf.queryExecution().analyzed().toString().rstrip().endswith("parquet"):
+        at = df.metadataColumn("_metadata")
+        return df, F.struct(F.xxhash64(at["file_path"]).alias("f"), at["row_index"].alias("i"))
+    name = "_row_key"
+    while name in df.columns:
+        name += "_"
+    fixed = materialize(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+    return fixed, F.struct(F.lit(0).cast("long").alias("f"), F.col(name).alias("i"))
+
+
 def clear(spark: SparkSession) -> int:
     """Deletes this process's scratch tables, once no result is to be read any more;
     how many there were."""

@@ -220,6 +220,26 @@ def test_cover_is_a_difference_cover():
     assert {(a - b) % p for a in substring_dedup.COVER for b in substring_dedup.COVER} == set(range(p))
 
 
+def test_windows_with_one_equal_hash_are_not_the_same():
+    rng = np.random.default_rng(3)
+    known = substring_dedup._sorted(rng.integers(0, 4, (30, 2)).astype(np.uint64))
+    asked = np.array([(a, b) for a in range(5) for b in range(5)], np.uint64)
+    assert substring_dedup._among(asked, known).tolist() == [tuple(x) in {tuple(k) for k in known.tolist()} for x in asked.tolist()]
+    values, n = substring_dedup._distinct(known)
+    assert n.sum() == 30 and len({tuple(v) for v in values.tolist()}) == len(values)
+    assert not substring_dedup._among(asked, known[:0]).any()
+
+
+def test_rows_with_null_and_equal_ids_are_rows(spark):
+    import random
+
+    rng = random.Random(8)
+    shared, other = prose(rng, 40), prose(rng, 45)
+    rows = [(None, shared + " " + prose(rng, 9)), (None, prose(rng, 60)), (3, shared), (3, other), (4, None)]
+    got = collections.Counter((r["doc_id"], r["n_removed"]) for r in substring_dedup.remove_repeats(frame(spark, rows)).collect())
+    assert got == {(None, 40): 1, (None, 0): 1, (3, 40): 1, (3, 0): 1, (4, 0): 1}
+
+
 def brute_repeats(rows, size):
     seen = collections.Counter(tuple(w[i : i + size]) for _, t in rows for w in [words_of(t)] for i in range(len(w) - size + 1))
     out = collections.defaultdict(list)
@@ -233,7 +253,7 @@ def brute_repeats(rows, size):
 @pytest.mark.parametrize("size", [21, 35])
 def test_substrings(spark, docs, none, size):
     got = collections.defaultdict(list)
-    for r in substring_dedup.remove_repeats(docs, size, docs_per_chunk=7).collect():
+    for r in substring_dedup.remove_repeats(docs, size, chunk_bytes=4000).collect():
         got[r["doc_id"]].append((r["n_words"], r["n_removed"], r["kept"]))
     assert {k: sorted(v) for k, v in got.items()} == brute_repeats(REPEATED, size)
     assert substring_dedup.remove_repeats(none, size).count() == 0
@@ -296,6 +316,68 @@ def test_repeated_layers_get_a_span_each():
         assert run not in secret_scan.redact(text, secret_scan.all_secrets(text)[1])
 
 
+def run_from(text, at, letters):
+    end = at
+    while end < len(text) and text[end] in letters:
+        end += 1
+    return end
+
+
+def slow_secrets(text):
+    """The base spans, character by character."""
+    upper, value = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    found, at = [], 0
+    while at < len(text):  # assign
+        end = None
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(word, at):
+                p = at + len(word)
+                p += text[p : p + 1] in ("'", '"')
+                p = run_from(text, p, " ")
+                if text[p : p + 1] in (":", "="):
+                    p = run_from(text, p + 1, " ")
+                    p += text[p : p + 1] in ("'", '"')
+                    if (stop := run_from(text, p, value)) > p:
+                        end = stop
+                        if end - p >= 8:
+                            found.append(("assign", at, end))
+                        break
+        at = end or at + 1
+    for kind, begin, letters, least in (("access", "AKIA", upper, 16), ("hex", "", "0123456789abcdef", 32)):
+        at = 0
+        while at < len(text):
+            stop = run_from(text, at + len(begin), letters) if text.startswith(begin, at) else at
+            if stop > at + len(begin):
+                if stop - at >= least:
+                    found.append((kind, at, stop))
+                at = stop
+            else:
+                at += 1
+    return sorted(found, key=lambda s: (s[1], ("assign", "access", "hex").index(s[0])))
+
+
+def test_base_spans_of_a_table(spark):
+    sf = DATA.replace("0.001", "0.01")
+    texts = dict(duck(sf).execute("SELECT doc_id, text FROM documents").fetchall())
+    got = catalog.op5_secrets(spark, sf).collect()
+    assert len(got) == len(texts)
+    some = 0
+    for r in got:
+        base = slow_secrets(texts[r["doc_id"]] or "")
+        some += bool(base)
+        assert tuple(r[f"n_{k}"] for k in ("assign", "access", "hex")) == tuple(sum(s[0] == k for s in base) for k in ("assign", "access", "hex"))
+        said = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r["base_sha256"] == hashlib.sha256(said.encode()).hexdigest() and set(said.split(",")) <= set(r["spans"].split(","))
+    assert some > 3
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["password", "TOKEN", "Api_Key", "apikey", "secret", "passwd", "=", ":", "'", '"', " ", "\t", "abcdefgh", "x", "AKIA", "ABCD1234", "0123456789abcdef", "é", "/", "K"]), max_size=14).map("".join))
+def test_base_spans(text):
+    assert secret_scan.in_order(secret_scan.find_secrets(text)) == slow_secrets(text)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from("ab%4125\\u0&#;xAKI=:+/ é"), max_size=60))
 def test_secret_scan_ends_and_keeps_base(text):
@@ -440,6 +522,41 @@ def test_classifier_on_held_out_rows(spark):
     assert (held.predicted == held.quality).mean() > 0.95 and held[held.quality == 1].predicted.mean() > 0.97
 
 
+def test_fit_is_the_minimum_of_the_risk(spark):
+    rng = np.random.default_rng(6)
+    n, prior, ridge, gram_ridge = 900, 0.45, 1e-2, 5e-2
+    raw, grams = rng.random((n, pu_classifier.RAW)).astype(np.float32), rng.integers(0, 120, (n, pu_classifier.GRAMS)).astype(np.uint8)
+    good = raw[:, 2] + grams[:, 5] / 255 + 0.2 * rng.standard_normal(n) > 0.7
+    positive = good & (rng.random(n) < 0.4)
+    rows = [(r.tolist(), bytearray(x.tobytes()), bool(k)) for r, x, k in zip(raw, grams, positive, strict=True)]
+    table = spark.createDataFrame(rows, "raw array<float>, grams binary, positive boolean")
+    fits = [pu_classifier.fit(table.repartition(3), prior, ridge, gram_ridge, tolerance=1e-6) for _ in range(2)]
+    assert (fits[0] == fits[1]).all()
+    z = pu_classifier.expand(raw.astype(np.float64), grams)
+    ridges = np.concatenate((np.full(pu_classifier.FORM, ridge), np.full(pu_classifier.GRAMS, gram_ridge)))
+    loss = lambda f: np.logaddexp(0, -f)
+
+    def risk(w):
+        f = z @ w
+        rest = loss(-f).mean() - prior * loss(-f[positive]).mean()
+        return prior * loss(f[positive]).mean() + max(0.0, rest) + 0.5 * (ridges * w * w).sum(), rest
+
+    w = np.zeros(pu_classifier.FEATURES)  # plain gradient descent
+    for _ in range(60_000):
+        w -= 0.3 * ((1 / (1 + np.exp(-(z @ w)))) @ z / n - prior * z[positive].mean(0) + ridges * w)
+    assert risk(w)[1] > 0 and risk(fits[0])[0] == pytest.approx(risk(w)[0], abs=1e-6)
+    with pytest.raises(ArithmeticError):
+        pu_classifier.fit(table, prior, passes=1)
+
+
+def test_gram_features_count_within_texts():
+    data = "ab cd ab".encode() + b"" + "ab".encode() + "xyzxyz".encode()
+    got = pu_classifier.gram_features(np.frombuffer(data, np.uint8), np.array([0, 8, 8, 10, 16]))
+    assert (got[1] == 0).all() and got[2, : pu_classifier.WORD_BUCKETS].max() == 255 and (got[2, pu_classifier.WORD_BUCKETS :] == 0).all()
+    alone = pu_classifier.gram_features(np.frombuffer(b"xyzxyz", np.uint8), np.array([0, 6]))
+    assert (got[3] == alone[0]).all() and (alone[0, pu_classifier.WORD_BUCKETS :] > 0).sum() == 3
+
+
 def test_classifier_uses_no_held_out_label(spark):
     sf = DATA
     documents, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -543,6 +660,43 @@ def test_leaks(spark, docs, none):
     assert decontaminate.find_leaks(docs, benchmark.where("false")).where("contaminated").count() == 0
 
 
+def test_paraphrases_are_recalled(spark):
+    """Items told with a quarter of their words replaced, and some clauses moved."""
+    import random
+
+    rng = random.Random(15)
+    word = lambda: f"w{int(rng.paretovariate(0.7)) % 30_000}"
+    text = lambda n: [word() for _ in range(n)]
+    items = [[f"i{rng.randrange(10**6)}" if k % 3 else word() for k in range(30)] for _ in range(60)]
+    rows = []
+    for i, item in enumerate(items):
+        told = [x if rng.random() > 0.25 else word() for x in item]
+        told = told[6:18] + told[:6] + told[18:] if i % 3 == 0 else told
+        rows.append((i, " ".join(text(rng.randrange(80)) + told + text(rng.randrange(80)))))
+    rows += [(1000 + i, " ".join(text(120))) for i in range(300)]
+    benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = [r for r in decontaminate.find_leaks(frame(spark, rows), benchmark).collect() if r["contaminated"]]
+    assert all(r["doc_id"] < 60 and r["item_id"] == r["doc_id"] for r in got) and len(got) >= 54
+    assert sum(r["found_by"] == "latent" for r in got) >= 0.9 * len(got)  # the space has fewer directions than there are rows
+
+
+def test_words_of_like_use_are_near_in_the_latent_space(spark):
+    """An item in which half of the words stand for others that the corpus uses alike."""
+    import random
+
+    rng = random.Random(16)
+    topics = [[[f"t{t}k{k}a", f"t{t}k{k}b"] for k in range(40)] for t in range(30)]  # pairs of words of one use
+    say = lambda t, n: [rng.choice(rng.choice(topics[t])) for _ in range(n)]
+    item = [pair[0] for pair in topics[4][:30]]
+    other = [pair[1] if k % 2 and k < 22 else pair[0] for k, pair in enumerate(topics[4][:30])]  # the answer stands as it is
+    rows = [(i, " ".join(say(i % 30, 150))) for i in range(600)] + [(9000, " ".join(say(7, 48) + other + say(7, 48)))]
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    hit = decontaminate.find_leaks(frame(spark, rows), benchmark, common=1.0, paraphrase=0.9, leak=0.95, sure_cosine=0.5, rank=40).where("contaminated").collect()
+    got = {r["doc_id"]: (r["found_by"], r["lcs_share"]) for r in hit}
+    assert got[9000][0] == "latent" and got[9000][1] < 0.9
+    assert all(i == 9000 or i % 30 == 4 for i in got)  # the corpus has texts on the item's topic, no other may be near
+
+
 def test_leaks_that_many_documents_share(spark):
     import random
 
@@ -663,3 +817,41 @@ def test_components(spark):
     got = {r["node"]: r["comp"] for r in connected_components(links).collect()}
     assert got == {**{i: 0 for i in range(1, 21)}, 50: 40, 60: 40}
     assert connected_components(links.where("false")).count() == 0
+    rng = np.random.default_rng(7)
+    rows = [(int(x), int(y)) for x, y in rng.integers(0, 400, (300, 2))] + [(777, i) for i in range(0, 300, 3)] + [(None, 3), (5, None)]
+    wanted = list(range(800))
+
+    def find(i):
+        while wanted[i] != i:
+            i = wanted[i]
+        return i
+
+    for x, y in rows[:-2]:
+        x, y = find(x), find(y)
+        wanted[max(x, y)] = min(x, y)
+    links = spark.createDataFrame(rows, "a long, b long")
+    for hub in (1000, 5):  # with and without nodes that count as hubs
+        got = {r["node"]: r["comp"] for r in connected_components(links, least_hub=hub).collect()}
+        assert got == {i: find(i) for i in range(800) if find(i) != i}
+
+
+def test_tiles_of_hot_signatures(spark, monkeypatch):
+    import random
+
+    rng = random.Random(12)
+    base = [prose(rng, 60).split() for _ in range(6)]
+    rows = []
+    for i in range(90):  # six groups of near copies, whose first half all documents share
+        words = base[0][:30] + base[i % 6][30:]
+        words[40 + i % 7] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    want = brute_classes(rows)
+    monkeypatch.setattr(parity_join, "_TILE", 4)
+    assert sorted(tuple(r) for r in parity_join.similarity_classes(frame(spark, rows)).collect()) == want
+    g = np.zeros((40, len(parity_join._FIELDS)), np.int64)
+    g[:, 4], g[:, 5], g[:, 6] = np.arange(40) % 5, np.arange(40), 50
+    shape = parity_join.Shape()
+    every = {tuple(x) for part in parity_join._near_pairs(g[np.argsort(g[:, 4], kind="stable")], None, shape, 7) for x in part.tolist()}
+    tiled = {tuple(x) for lo in range(4) for hi in range(lo, 4) for part in parity_join._near_pairs(
+        *((lambda p, q: (p[np.argsort(p[:, 4], kind="stable")], None if lo == hi else q))(g[lo::4], g[hi::4])), shape, 7) for x in part.tolist()}
+    assert every == tiled == {(i, j) for i in range(40) for j in range(i + 1, 40) if i % 5 != j % 5}
