@@ -59,6 +59,32 @@ def box_contains(p, low, high) -> Column:
     return inside
 
 
+def box_union(low_a, high_a, low_b, high_b) -> tuple[tuple[Column, ...], tuple[Column, ...]]:
+    """The smallest box around both."""
+    return tuple(F.least(a, b) for a, b in zip(low_a, low_b, strict=True)), tuple(F.greatest(a, b) for a, b in zip(high_a, high_b, strict=True))
+
+
+def box_grown(p, low, high) -> tuple[tuple[Column, ...], tuple[Column, ...]]:
+    """The smallest box around a box and a point."""
+    return box_union(p, p, low, high)
+
+
+def box_shifted(low, high, by) -> tuple[tuple[Column, ...], tuple[Column, ...]]:
+    return tuple(c + d for c, d in zip(low, by, strict=True)), tuple(c + d for c, d in zip(high, by, strict=True))
+
+
+def box_centre(low, high) -> tuple[Column, ...]:
+    return tuple((a + b) / 2 for a, b in zip(low, high, strict=True))
+
+
+def box_empty(low, high) -> Column:
+    """Whether a box holds no point: null or turned around on some axis."""
+    empty = F.lit(False)
+    for a, b in zip(low, high, strict=True):
+        empty = empty | a.isNull() | b.isNull() | (a > b)
+    return empty
+
+
 def monopole(mass: Column, d, r2: Column) -> tuple[Column, ...]:
     """Acceleration by a mass at difference d; r2 is the softened squared distance."""
     f = mass * F.pow(r2, -1.5)

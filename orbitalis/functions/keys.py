@@ -74,7 +74,7 @@ def key_range(depth: Column, prefix: Column, digit: int = 3) -> tuple[Column, Co
     """The first and last key of a cell."""
     shift = (F.lit(KEY_BITS) - depth * digit).cast("int")
     low = F.call_function("shiftleft", prefix, shift)
-    return low, low + (F.call_function("shiftleft", F.lit(1).cast("long"), shift) - 1)
+    return low, low.bitwiseOR(F.call_function("shiftright", F.lit((1 << KEY_BITS) - 1), (depth * digit).cast("int")))
 
 
 def is_ancestor(depth_a: Column, prefix_a: Column, depth_b: Column, prefix_b: Column, digit: int = 3) -> Column:
@@ -92,3 +92,39 @@ def neighbour(prefix: Column, depth: Column, dx: int, dy: int, dz: int) -> Colum
         ok = (m >= 0) & (m < size)
         inside = ok if inside is None else inside & ok
     return F.when(inside, interleave(*moved))
+
+
+def at_boundary(prefix: Column, depth: Column) -> Column:
+    """Whether a cell touches the domain's surface."""
+    top = F.call_function("shiftleft", F.lit(1).cast("long"), depth.cast("int")) - 1
+    out = None
+    for c in decode(prefix):
+        edge = (c == 0) | (c == top)
+        out = edge if out is None else out | edge
+    return out
+
+
+def steps_apart2(prefix_a: Column, prefix_b: Column) -> Column:
+    """The squared distance of two cells of one depth, in cells."""
+    return sum(((a - b) * (a - b) for a, b in zip(decode(prefix_a), decode(prefix_b), strict=True)), F.lit(0).cast("long"))
+
+
+def top_bit(x: Column) -> Column:
+    """The place of the highest bit that is set, of 64; -1 for 0."""
+    return F.when(x == 0, -1).otherwise(F.length(F.bin(x)) - 1)
+
+
+def top_bit_value(x: Column) -> Column:
+    """The number of which only that bit is set; 0 for 0."""
+    return F.when(x == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), top_bit(x)))
+
+
+def log2_ceiling(n: Column) -> Column:
+    """The least k with 2 ** k >= n; 0 up to 1."""
+    return F.when(n <= 1, 0).otherwise(F.length(F.bin(n - 1)))
+
+
+def first_at_or_after(keys_: Column, key: Column) -> Column:
+    """The place (from 0) in a sorted array of keys of the first that is not below
+    a key; the array's size if there is none."""
+    return F.size(F.filter(keys_, lambda k: k < key))

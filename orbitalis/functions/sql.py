@@ -10,6 +10,8 @@ _SPREAD = "v"
 for _shift, _mask in _MASKS:
     _SPREAD = f"(({_SPREAD} | shiftleft({_SPREAD}, {_shift})) & {_mask}L)" if _SPREAD != "v" else f"((v | shiftleft(v, {_shift})) & {_mask}L)"
 
+_NUMBER = "[+-]?[0-9]*[.]?[0-9]+(e[+-]?[0-9]+)?"
+
 #: name, parameters, result, body; later ones use earlier ones.
 FUNCTIONS = (
     ("morton_cell", "x DOUBLE, low DOUBLE, span DOUBLE", "BIGINT", "CAST(least(greatest(floor((x - low) / span * 2097152.0D), 0), 2097151) AS BIGINT)"),
@@ -17,7 +19,7 @@ FUNCTIONS = (
     ("morton_key", "ix BIGINT, iy BIGINT, iz BIGINT", "BIGINT", "morton_spread(ix) | shiftleft(morton_spread(iy), 1) | shiftleft(morton_spread(iz), 2)"),
     ("morton_prefix", "k BIGINT, depth INT", "BIGINT", "shiftright(k, 63 - 3 * depth)"),
     ("cell_side", "depth INT, span DOUBLE", "DOUBLE", "span / shiftleft(1L, depth)"),
-    ("duration_days", "t STRING", "DOUBLE", "CAST(regexp_extract(lower(trim(t)), '^([0-9.]+)([hdy]?)$', 1) AS DOUBLE) * CASE regexp_extract(lower(trim(t)), '^([0-9.]+)([hdy]?)$', 2) WHEN 'h' THEN 1 / 24D WHEN 'y' THEN 365.25D ELSE 1D END"),
+    ("duration_days", "t STRING", "DOUBLE", f"CASE WHEN lower(trim(t)) RLIKE '^{_NUMBER}[ ]*[hdy]?$' THEN CAST(regexp_extract(lower(trim(t)), '^{_NUMBER}', 0) AS DOUBLE) * CASE right(trim(t), 1) WHEN 'h' THEN 1 / 24D WHEN 'H' THEN 1 / 24D WHEN 'y' THEN 365.25D WHEN 'Y' THEN 365.25D ELSE 1D END END"),
 )
 
 

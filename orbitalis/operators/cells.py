@@ -9,6 +9,10 @@ greatest depth.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,24 +22,43 @@ from orbitalis.operators.scratch import cut
 SECOND = ("xx", "yy", "zz", "xy", "xz", "yz")
 
 
-def all_cells(bodies: DataFrame, depth: int = keys.BITS, digit: int = 3, second: bool = False, boxes: bool = False, origin=(0.0, 0.0, 0.0), first: int = 0) -> DataFrame:
+def all_cells(bodies: DataFrame, depth: int = keys.BITS, digit: int = 3, second: bool = False, boxes: bool = False, origin=(0.0, 0.0, 0.0), first: int = 0, domain=None) -> DataFrame:
     """Every non-empty cell from depth `first` down to a depth: depth, prefix, n, mass and centre of
     mass; with second, central second moments; with boxes, those of the bodies.
-    Moments are summed about `origin` (the domain's middle keeps them accurate)."""
-    x, y, z = (F.col(c) - o for c, o in zip("xyz", origin, strict=True))
-    m = F.col("mass")
+
+    First moments are summed about `origin` (the domain's middle keeps them
+    accurate).  Second moments need the domain: they are summed about the corner
+    of each key's own cell and moved to that of the cell at each depth, so no
+    digits are lost in small cells far from the middle.
+    """
+    if second and domain is None:
+        raise ValueError("second moments are summed about cells, which needs the domain")
+    m, grain = F.col("mass"), domain.span / (1 << keys.BITS) if second else 0.0
+    corner = {c: F.lit(lo) + k * grain for c, lo, k in zip("xyz", domain.low, keys.decode(F.col("key")), strict=True)} if second else {}
+    x, y, z = (F.col(c) - (corner[c] if second else o) for c, o in zip("xyz", origin, strict=True))
     sums = {"n": F.count("*"), "mass": F.sum(m), "mx": F.sum(m * x), "my": F.sum(m * y), "mz": F.sum(m * z)}
+    pairs = {"xx": x * x, "yy": y * y, "zz": z * z, "xy": x * y, "xz": x * z, "yz": y * z}
     if second:
-        pairs = {"xx": x * x, "yy": y * y, "zz": z * z, "xy": x * y, "xz": x * z, "yz": y * z}
         sums |= {"s" + k: F.sum(m * v) for k, v in pairs.items()}
     if boxes:
         sums |= {p + c: f(c) for p, f in (("l", F.min), ("h", F.max)) for c in "xyz"}
     by_key = bodies.groupBy("key").agg(*(v.alias(k) for k, v in sums.items()))
     level = F.explode(F.sequence(F.lit(first), F.lit(depth))).alias("depth")
-    again = {k: (F.min if k[0] == "l" else F.max if k[0] == "h" else F.sum)(k).alias(k) for k in sums}
     nested = by_key.select("*", level).withColumn("prefix", keys.prefix_at(F.col("key"), F.col("depth"), digit))
+    base = dict(zip("xyz", origin, strict=True))
+    if second:
+        start, _ = keys.key_range(F.col("depth"), F.col("prefix"), digit)  # the cell's corner
+        nested = nested.withColumns({"d" + c: (a - b) * grain for c, a, b in zip("xyz", keys.decode(F.col("key")), keys.decode(start), strict=True)})
+        d = {c: F.col("d" + c) for c in "xyz"}
+        moved = {"m" + c: F.col("m" + c) + m * d[c] for c in "xyz"}
+        moved |= {"s" + k: F.col("s" + k) + d[k[0]] * F.col("m" + k[1]) + d[k[1]] * F.col("m" + k[0]) + m * d[k[0]] * d[k[1]] for k in pairs}
+        nested = nested.withColumns(moved)
+    again = {k: (F.min if k[0] == "l" else F.max if k[0] == "h" else F.sum)(k).alias(k) for k in sums}
     cells = nested.groupBy("depth", "prefix").agg(*again.values())
-    out = cells.withColumns({"c" + c: F.col("m" + c) / F.col("mass") + o for c, o in zip("xyz", origin, strict=True)})
+    if second:
+        start, _ = keys.key_range(F.col("depth"), F.col("prefix"), digit)
+        base = {c: F.lit(lo) + k * grain for c, lo, k in zip("xyz", domain.low, keys.decode(start), strict=True)}
+    out = cells.withColumns({"c" + c: F.col("m" + c) / F.col("mass") + base[c] for c in "xyz"})
     if second:
         out = out.withColumns({k: F.col("s" + k) - F.col("m" + k[0]) * F.col("m" + k[1]) / F.col("mass") for k in SECOND}).drop(*("s" + k for k in SECOND))
     return out.drop("mx", "my", "mz")
@@ -76,11 +99,56 @@ def tree_by_levels(bodies: DataFrame, capacity: int, depth: int = keys.BITS, dig
     return _kept(every, capacity, depth, digit)
 
 
+_LEAF = ("_high", "_depth", "_prefix")
+
+
+def _last_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in key order, the bodies with the last leaf before each (-1: none),
+    and at the end one row with the last leaf of all."""
+    part, last, empty = None, dict.fromkeys(_LEAF, -1), None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        part, leaf = b.column("_part")[0].as_py(), b.column("_kind").to_numpy() == 0
+        at = np.maximum.accumulate(np.where(leaf, np.arange(len(leaf)), -1))
+        cols = {}
+        for c in _LEAF:
+            own = b.column(c).fill_null(-1).to_numpy()
+            cols[c] = np.where(at >= 0, own[at], last[c])
+            last[c] = int(cols[c][-1])
+        keep = pa.array(~leaf)
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("_part", "_kind", "_at")), *(pa.array(cols[c]) for c in _LEAF), b.column("_body")], names=["_part", "_kind", "_at", *_LEAF, "_body"]).filter(keep)
+        empty = pa.nulls(1, b.column("_body").type)
+    if part is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([0], pa.int32()), pa.array([0], pa.int64()), *(pa.array([last[c]]) for c in _LEAF), empty], names=["_part", "_kind", "_at", *_LEAF, "_body"])
+
+
 def with_leaf(bodies: DataFrame, cells: DataFrame, depth: int = keys.BITS, digit: int = 3) -> DataFrame:
-    """Bodies with the depth and prefix of their leaf."""
-    leaves = cells.where("is_leaf").select(F.col("depth").alias("leaf_depth"), F.col("prefix").alias("leaf_prefix"))
-    at = bodies.withColumn("leaf_depth", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumn("leaf_prefix", keys.prefix_at(F.col("key"), F.col("leaf_depth"), digit))
-    return at.join(leaves, ["leaf_depth", "leaf_prefix"], "left_semi")
+    """Bodies with the depth and prefix of their leaf; bodies outside all leaves are left out.
+
+    Leaves are ranges of keys that don't overlap, so a body's leaf is the last one
+    that begins at its key or before.  Bodies and leaves are sorted by key into
+    common ranges, each of which is read once in order and written; what a range
+    needs from those before it is one leaf, which goes out in a broadcast table
+    with a row for each range.
+    """
+    low, high = keys.key_range(F.col("depth"), F.col("prefix"), digit)
+    names = [c for c in bodies.columns if c not in ("leaf_depth", "leaf_prefix")]
+    body = F.struct(*names)
+    own = zip((high, F.col("depth"), F.col("prefix")), _LEAF, strict=True)
+    leaves = cells.where("is_leaf").select(low.alias("_at"), F.lit(0).alias("_kind"), *(c.cast("long").alias(n) for c, n in own))
+    placed = bodies.select(F.col("key").alias("_at"), F.lit(1).alias("_kind"), body.alias("_body"))
+    both = leaves.unionByName(placed, allowMissingColumns=True).repartitionByRange("_at").sortWithinPartitions("_at", "_kind")
+    kind = "_part int, _kind int, _at long, _high long, _depth long, _prefix long, _body " + placed.schema["_body"].dataType.simpleString()
+    fixed = cut(both.withColumn("_part", F.spark_partition_id()).mapInArrow(_last_leaf, kind))
+    before, found = [], (-1, -1, -1)
+    for part, *last in sorted(fixed.where("_kind = 0").select("_part", *_LEAF).collect()):  # a row for each range
+        before.append((part, *found))
+        found = tuple(last) if last[0] >= 0 else found
+    known = fixed.where("_kind = 1").join(F.broadcast(bodies.sparkSession.createDataFrame(before, "_part int, h long, d long, p long")), "_part")
+    first = F.col("_high") < 0
+    met = known.select("_at", "_body", *(F.when(first, F.col(b)).otherwise(F.col(n)).alias(b) for b, n in zip("hdp", _LEAF, strict=True))).where("_at <= h")
+    return met.select("_body.*", F.col("d").cast("int").alias("leaf_depth"), F.col("p").alias("leaf_prefix"))
 
 
 def radius2(bodies: DataFrame, cells: DataFrame, depth: int, digit: int) -> DataFrame:
@@ -94,15 +162,15 @@ def radius2(bodies: DataFrame, cells: DataFrame, depth: int, digit: int) -> Data
     return cells.join(leaf, ["depth", "prefix"], "left").withColumn("rsq", F.coalesce("_far", corner)).drop("_far")
 
 
-def merge_records(*records: DataFrame) -> DataFrame:
-    """Cell records of several trees added up: masses sum, centres weigh in, a cell
-    is a leaf only if no tree has split it."""
+def merge_records(*records: DataFrame, sticky: bool = False) -> DataFrame:
+    """Cell records of several trees added up: masses sum, centres weigh in.  A cell
+    is a leaf only if no tree has split it; sticky: if it is one in any tree."""
     every = records[0]
     for r in records[1:]:
         every = every.unionByName(r)
     m = F.col("mass")
     return every.groupBy("depth", "prefix").agg(
-        F.sum("n").alias("n"), F.sum(m).alias("mass"), *((F.sum(m * F.col("c" + c)) / F.sum(m)).alias("c" + c) for c in "xyz"), F.bool_and("is_leaf").alias("is_leaf")
+        F.sum("n").alias("n"), F.sum(m).alias("mass"), *((F.sum(m * F.col("c" + c)) / F.sum(m)).alias("c" + c) for c in "xyz"), (F.bool_or if sticky else F.bool_and)("is_leaf").alias("is_leaf")
     )
 
 
@@ -116,3 +184,8 @@ def from_leaves(leaves: DataFrame, digit: int = 3) -> DataFrame:
     return up.groupBy(F.col("_d").alias("depth"), F.col("_p").alias("prefix")).agg(
         F.sum("n").alias("n"), F.sum(m).alias("mass"), *((F.sum(m * F.col("c" + c)) / F.sum(m)).alias("c" + c) for c in "xyz"), F.bool_or(F.col("_d") == F.col("depth")).alias("is_leaf")
     )
+
+
+def find(cells: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The cells at the (depth, prefix) rows of wanted; rows without a cell keep null columns."""
+    return wanted.select("depth", "prefix").join(cells, ["depth", "prefix"], "left")

@@ -22,10 +22,11 @@ def pairs(targets: DataFrame, sources: DataFrame, condition: Column, block_rows:
     n = sources.count()
     if n <= _BROADCAST_ROWS:
         return targets.join(F.broadcast(sources), condition)
-    blocks = math.ceil(n / block_rows)
-    s = sources.withColumn("_b", F.pmod(F.xxhash64("s_id"), F.lit(blocks)))
-    t = targets.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return t.join(s, (t["_b"] == s["_b"]) & condition).drop("_b")
+    blocks, rows = math.ceil(n / block_rows), math.ceil(targets.count() / block_rows)
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    s = sources.withColumn("_b", F.pmod(F.xxhash64("s_id"), F.lit(blocks)).cast("int")).withColumn("_a", every(rows))
+    t = targets.withColumn("_a", F.pmod(F.xxhash64("t_id"), F.lit(rows)).cast("int")).withColumn("_b", every(blocks))
+    return t.join(s, (t["_a"] == s["_a"]) & (t["_b"] == s["_b"]) & condition).drop("_a", "_b")
 
 
 def _side(bodies: DataFrame, p: str) -> DataFrame:
@@ -52,11 +53,14 @@ def potential_energy(bodies: DataFrame, softening: float = 0.0, gravity: float =
     return pairs(t, s, F.col("t_id") < F.col("s_id")).agg(F.coalesce(F.sum(gravity * F.col("t_mass") * g.potential(F.col("s_mass"), r2)), F.lit(0.0)).alias("potential"))
 
 
-def by_records(bodies: DataFrame, records: DataFrame, softening: float = 0.0, gravity: float = 1.0, least_r2: float = 1e-12) -> DataFrame:
-    """Accelerations of bodies by point records (mass, cx, cy, cz) of other places."""
-    s = records.select(F.monotonically_increasing_id().alias("s_id"), F.col("mass").alias("s_mass"), *(F.col("c" + c).alias("s_" + c) for c in "xyz"))
+def by_records(bodies: DataFrame, records: DataFrame, softening: float = 0.0, gravity: float = 1.0, least_r2: float = 1e-12, part: str | None = None) -> DataFrame:
+    """Accelerations and potential of bodies by point records (mass, cx, cy, cz) of
+    other places; part: the bodies' column that must equal the records' dest."""
+    s = records.select(F.xxhash64("mass", "cx", "cy", "cz").alias("s_id"), F.col("mass").alias("s_mass"), *(F.col("c" + c).alias("s_" + c) for c in "xyz"), *([F.col("dest").alias("s_dest")] if part else []))
+    t = bodies.select(*(F.col(c).alias("t_" + c) for c in ("id", "mass", "x", "y", "z")), *([F.col(part).alias("t_part")] if part else []))
     d = g.difference(g.cols("s_"), g.cols("t_"))
     r2 = g.norm2(d) + softening**2
     a = g.monopole(F.col("s_mass"), d, r2)
-    acted = pairs(_side(bodies, "t_"), s, r2 > least_r2)
-    return acted.groupBy(F.col("t_id").alias("id")).agg(*(F.sum(gravity * c).alias("a" + n) for c, n in zip(a, "xyz", strict=True)))
+    acts = (r2 > least_r2) & (F.col("t_part") == F.col("s_dest")) if part else r2 > least_r2
+    acted = pairs(t, s, acts)
+    return acted.groupBy(F.col("t_id").alias("id")).agg(*(F.sum(gravity * c).alias("a" + n) for c, n in zip(a, "xyz", strict=True)), F.sum(gravity * g.potential(F.col("s_mass"), r2)).alias("phi"))

@@ -38,7 +38,9 @@ def eccentric_anomaly(mean: Column, e: Column, rounds: int = 50) -> Column:
 
 def imputed(elements: DataFrame) -> DataFrame:
     """elements with albedo, diameter and mass filled in; mass_missing marks those left at 0."""
-    u = F.pmod(F.xxhash64(F.lit("albedo"), F.coalesce("name", F.lit("")), "a", "e"), F.lit(1 << 30)) / float(1 << 30)
+    whole = lambda c: F.coalesce(F.round(F.col(c) * 1_000_000).cast("long").cast("string"), F.lit(""))
+    seed = F.concat_ws("/", F.coalesce("name", F.lit("")), whole("a"), whole("e"))
+    u = F.conv(F.substring(F.md5(seed), 1, 7), 16, 10).cast("long") / float(1 << 28)
     low, high = F.lit(OTHER_ALBEDO[0]), F.lit(OTHER_ALBEDO[1])
     for name, (lo, hi) in ALBEDO.items():
         low, high = F.when(F.col("class") == name, lo).otherwise(low), F.when(F.col("class") == name, hi).otherwise(high)

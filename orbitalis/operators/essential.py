@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from orbitalis.functions import geometry as g
 from orbitalis.operators import cells as tree
+from orbitalis.operators import direct, walk
 from orbitalis.operators.scratch import cut
 
 
@@ -68,3 +69,31 @@ def residual(cells: DataFrame, placed: DataFrame) -> DataFrame:
 def merged(own: DataFrame, received: DataFrame) -> DataFrame:
     """A part's own cells and what it received, as one tree."""
     return tree.merge_records(own.select(*received.columns), received)
+
+
+def accelerations(placed: DataFrame, config, domain, theta: float | None = None) -> DataFrame:
+    """id, ax, ay, az, phi of bodies (with key and part) where each part knows its own
+    bodies and what the others send it: records of far cells, which act as one mass
+    on all its bodies without a further test, and the bodies of near leaves.
+
+    Parts are few (places, not bodies); their records are made one after another.
+    """
+    boxes, out, received = cut(part_boxes(placed)), [], []
+    placed = cut(placed)
+    for (part,) in sorted(boxes.select("part").collect()):
+        mine, others = placed.where(F.col("part") == part), boxes.where(F.col("part") != part)
+        out.append(walk.Walk(mine.drop("part", "key"), config, domain).accelerations())
+        cells = cut(tree.tree(mine, config.leaf_size, config.depth, config.digit))
+        sent = cut(records(cells, others, config.theta if theta is None else theta, domain.span, config.digit, config.depth))
+        far = sent.where("accepted").select("dest", "mass", "cx", "cy", "cz")
+        near = with_bodies(sent, tree.with_leaf(mine, cells, config.depth, config.digit))
+        received += [far, near.select("dest", "mass", *(F.col(c).alias("c" + c) for c in "xyz"))]
+    if not out:
+        return placed.select("id", *(F.lit(0.0).alias(c) for c in ("ax", "ay", "az", "phi")))
+    every = received[0]
+    for more in received[1:]:
+        every = every.unionByName(more)
+    acted = direct.by_records(placed, every, config.softening, config.gravity, 0.0, "part")
+    for more in out:
+        acted = acted.unionByName(more)
+    return acted.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("ax", "ay", "az", "phi")))

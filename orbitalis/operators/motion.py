@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orbitalis.operators.domain import bounding_box
+from orbitalis.operators.scratch import cut
+
 
 def kick(bodies: DataFrame, h: float) -> DataFrame:
     """v += a h"""
@@ -89,6 +92,26 @@ def broken(bodies: DataFrame) -> DataFrame:
     return bodies.where(F.isnan("ax") | F.isnan("ay") | F.isnan("az"))
 
 
+def require_finite(bodies: DataFrame, where: str = "") -> DataFrame:
+    """bodies, or an error that names some whose acceleration isn't a number."""
+    if bad := [r["id"] for r in broken(bodies).select("id").limit(5).collect()]:
+        raise ArithmeticError(f"{where}: accelerations of bodies {bad} aren't numbers")
+    return bodies
+
+
+def post_drift_box(bodies: DataFrame, h: float, dt: float) -> DataFrame:
+    """The bounding box that bodies will have after a kick and a drift."""
+    return bounding_box(kick_drift(bodies, h, dt))
+
+
+def by_levels(cells: DataFrame, visit, up: bool = False) -> list:
+    """visit(depth, the cells of that depth) for each depth, from the root down or
+    from the deepest cells up; what the visits return."""
+    last = cells.agg(F.max("depth")).first()[0]
+    order = range(last + 1) if last is not None else ()
+    return [visit(d, cells.where(F.col("depth") == d)) for d in (reversed(order) if up else order)]
+
+
 def check_tree(bodies: DataFrame, cells: DataFrame, digit: int = 3) -> DataFrame:
     """One row: bodies and mass of the table, the root and the leaves, and how many
     inner cells don't hold what their children hold."""
@@ -100,15 +123,17 @@ def check_tree(bodies: DataFrame, cells: DataFrame, digit: int = 3) -> DataFrame
 
 
 def blocked_sum(bodies: DataFrame, value: str, order: str = "id", block: int = 16_384) -> float:
-    """A sum whose result doesn't depend on partitioning: ranks in blocks, each block
-    added in order, blocks added by a fixed binary tree on the driver."""
+    """A sum whose result doesn't depend on partitioning: values in blocks of the
+    order, each block added in order, then blocks of `block` sums, and so on, until
+    one is left; the driver sees one number."""
     low = bodies.agg(F.min(order)).first()[0]
     if low is None:
         return 0.0
-    dealt = bodies.withColumn("_b", F.floor((F.col(order) - low) / block))
-    inside = Window.partitionBy("_b").orderBy(order)
-    parts = dealt.withColumn("_s", F.sum(value).over(inside)).groupBy("_b").agg(F.max_by("_s", order).alias("s")).orderBy("_b").collect()
-    sums = [r["s"] for r in parts]
-    while len(sums) > 1:
-        sums = [sums[i] + (sums[i + 1] if i + 1 < len(sums) else 0.0) for i in range(0, len(sums), 2)]
-    return sums[0]
+    sums = bodies.select((F.col(order) - low).alias("_o"), F.col(value).alias("_v"))
+    while True:
+        dealt = sums.withColumn("_b", F.floor(F.col("_o") / block))
+        ordered = F.array_sort(F.collect_list(F.struct("_o", "_v")))  # a block's values
+        sums = dealt.groupBy("_b").agg(F.aggregate(ordered, F.lit(0.0), lambda acc, x: acc + x["_v"]).alias("_v")).withColumnRenamed("_b", "_o")
+        sums = cut(sums)
+        if sums.agg(F.max("_o")).first()[0] == 0:
+            return sums.first()["_v"]

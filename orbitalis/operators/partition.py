@@ -32,10 +32,36 @@ def splitters(histogram: DataFrame, parts: int) -> list[int]:
 
 def assign_parts(histogram: DataFrame, cuts: list[int]) -> DataFrame:
     """bucket, cnt and part: the number of splitters below the bucket."""
-    part = F.lit(0)
-    for c in cuts:
-        part = part + F.when(F.col("bucket") > c, 1).otherwise(0)
-    return histogram.withColumn("part", part)
+    below = F.lit(sorted(cuts)).cast("array<long>")  # one list, whatever the number of parts
+    return histogram.withColumn("part", F.size(F.filter(below, lambda c: c < F.col("bucket"))))
+
+
+def balance(parted: DataFrame, parts: int, part: str = "part") -> DataFrame:
+    """One row on how evenly rows lie in parts 0 to parts - 1: n, parts, empty, least,
+    most, mean and ratio (most / mean)."""
+    sizes = parted.groupBy(part).agg(F.count("*").alias("k"))
+    full = parted.sparkSession.range(parts).join(sizes, F.col("id") == F.col(part), "left").select(F.coalesce("k", F.lit(0)).alias("k"))
+    total, most = F.sum("k"), F.max("k")
+    return full.agg(
+        total.alias("n"), F.count("*").alias("parts"), F.sum(F.when(F.col("k") == 0, 1).otherwise(0)).alias("empty"), F.min("k").alias("least"), most.alias("most"),
+        (total / parts).alias("mean"), F.when(total > 0, most * parts / total).otherwise(0.0).alias("ratio"),
+    )
+
+
+def where_it_runs(df: DataFrame) -> DataFrame:
+    """partition, host, process and rows of each task that reads df: a look at how
+    work is dealt out, for diagnosis."""
+    import os
+    import socket
+
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    def run(batches):
+        n = sum(b.num_rows for b in batches)
+        yield pa.RecordBatch.from_pydict({"partition": pa.array([TaskContext.get().partitionId()], pa.int32()), "host": [socket.gethostname()], "process": pa.array([os.getpid()], pa.int64()), "n": pa.array([n], pa.int64())})
+
+    return df.mapInArrow(run, "partition int, host string, process long, n long")
 
 
 def heaviest(counts: DataFrame, k: int, count: str = "n", by: tuple[str, ...] = ("depth", "prefix")) -> DataFrame:
@@ -85,18 +111,21 @@ def by_owner(bodies: DataFrame, parts: int) -> DataFrame:
 
 def frontier_cells(cells: DataFrame, budget: int, digit: int = 3) -> list[tuple[int, int, int]]:
     """(depth, prefix, n): from the root, the most populous cell gives way to its
-    children while there is room.  Asks for children of one cell a round, of at
-    most `budget` cells."""
-    top = cells.where("depth = 0").select("depth", "prefix", "n", "is_leaf").collect()
-    front = {(r["depth"], r["prefix"]): (r["n"], r["is_leaf"]) for r in top}
-    while True:
-        best = sorted((-n, k) for k, (n, leaf) in front.items() if not leaf)
-        if not best:
-            break
-        (d, p) = best[0][1]
-        kids = cells.where((F.col("depth") == d + 1) & (keys.parent(F.col("prefix"), digit) == p)).select("depth", "prefix", "n", "is_leaf").collect()
-        if len(front) - 1 + len(kids) > budget:
+    children while there is room.  A cell that gives way has more bodies than at
+    most `budget` others, so the children of the budget's most populous inner
+    cells are all that can be needed: one query, of at most 9 x budget rows."""
+    inner = cells.where("not is_leaf").orderBy(F.desc("n"), "depth", "prefix").limit(budget).select(F.col("depth").alias("_d"), F.col("prefix").alias("_p"))
+    below = cells.join(F.broadcast(inner), (F.col("depth") == F.col("_d") + 1) & (keys.parent(F.col("prefix"), digit) == F.col("_p"))).select("depth", "prefix", "n", "is_leaf")
+    front, kids = {}, {}
+    for r in cells.where("depth = 0").select("depth", "prefix", "n", "is_leaf").union(below).collect():
+        if r["depth"]:
+            kids.setdefault((r["depth"] - 1, r["prefix"] >> digit), {})[r["depth"], r["prefix"]] = (r["n"], r["is_leaf"])
+        else:
+            front[0, 0] = (r["n"], r["is_leaf"])
+    while best := min(((-n, k) for k, (n, leaf) in front.items() if not leaf), default=None):
+        mine = kids.get(best[1], {})
+        if not mine or len(front) - 1 + len(mine) > budget:
             break
-        del front[d, p]
-        front |= {(r["depth"], r["prefix"]): (r["n"], r["is_leaf"]) for r in kids}
+        del front[best[1]]
+        front |= mine
     return sorted((d, p, n) for (d, p), (n, _) in front.items())

@@ -13,16 +13,23 @@ _SETTING = "spark.checkpoint.dir"
 _written: list[str] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written below spark.checkpoint.dir and read back; without that setting
-    (local runs) a folder of our own is used."""
-    spark = df.sparkSession
+def folder(spark) -> str:
+    """The folder that the cluster names for checkpoints; without that setting (local
+    runs) one of our own."""
     where = spark.conf.get(_SETTING, None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError(f"{_SETTING} must name a folder that all executors share")
         where = "file://" + (own := tempfile.mkdtemp(prefix="orbitalis-steps-"))
         spark.conf.set(_SETTING, where)
         atexit.register(shutil.rmtree, own, True)
-    path = f"{where.rstrip('/')}/orbitalis/{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written below the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/orbitalis/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)

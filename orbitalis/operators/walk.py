@@ -19,6 +19,8 @@ from orbitalis.operators import cells as tree
 from orbitalis.operators.domain import Domain, cubic_domain, keyed
 from orbitalis.operators.scratch import cut
 
+#: Cells of one depth that may be broadcast, about 100 bytes each; the upper depths, where all targets meet few cells, always are.
+_BROADCAST_CELLS = 100_000
 _CELL = ("mass", "cx", "cy", "cz", "is_leaf")
 
 
@@ -32,7 +34,7 @@ class Walk:
         self.bodies = cut(keyed(bodies, self.domain))
         middle = tuple(lo + self.domain.span / 2 for lo in self.domain.low)
         wide = config.mac == "bucket"
-        cells = tree.tree(self.bodies, config.leaf_size, config.depth, config.digit, second=config.quadrupole, boxes=wide, origin=middle)
+        cells = tree.tree(self.bodies, config.leaf_size, config.depth, config.digit, second=config.quadrupole, boxes=wide, origin=middle, domain=self.domain)
         if wide:
             cells = tree.radius2(self.bodies, cut(cells), config.depth, config.digit)
         self.cells = cut(cells)
@@ -84,17 +86,21 @@ class Walk:
         if c.exact_leaves:
             accept = accept & ~F.col("is_leaf")
         approx, direct = [], []
+        carried = ["tx", "ty", "tz"] if c.mac == "body" else []  # leaf targets get their bodies at the end
+        sizes = dict(known.groupBy("depth").count().collect())  # a number for each depth
         for level in range(c.depth + 1):
-            met = cut(frontier.join(known.where(F.col("depth") == level), ["depth", "prefix"]).withColumn("_ok", accept))
+            here = known.where(F.col("depth") == level)
+            here = F.broadcast(here) if sizes.get(level, 0) <= _BROADCAST_CELLS else here
+            met = cut(frontier.join(here, ["depth", "prefix"]).withColumn("_ok", accept))
             approx.append(met.where("_ok"))
-            direct.append(met.where("not _ok and is_leaf").select("tid", F.col("depth").alias("leaf_depth"), F.col("prefix").alias("leaf_prefix")))
+            direct.append(met.where("not _ok and is_leaf").select("tid", *carried, F.col("depth").alias("leaf_depth"), F.col("prefix").alias("leaf_prefix")))
             opened = met.where("not _ok and not is_leaf")
             if level == c.depth or opened.isEmpty():
                 break
             child = F.explode(F.sequence(F.lit(0), F.lit((1 << c.digit) - 1)))
             nxt = opened.select(*[x for x in frontier.columns if x not in ("depth", "prefix")], (F.col("depth") + 1).alias("depth"), "prefix", child.alias("_o"))
             frontier = nxt.withColumn("prefix", F.shiftleft("prefix", c.digit) + F.col("_o")).drop("_o")
-        kept = ["tid", "mass", "cx", "cy", "cz", *[k for k in extra if k != "rsq"]]
+        kept = ["tid", *carried, "mass", "cx", "cy", "cz", *[k for k in extra if k != "rsq"]]
         self.approx = _union([a.select(*kept) for a in approx])
         self.direct = _union(direct)
 
@@ -108,9 +114,9 @@ class Walk:
         return self._by_body(self.direct.join(s, ["leaf_depth", "leaf_prefix"])).where("sid <> tid")
 
     def _by_body(self, rows: DataFrame) -> DataFrame:
-        t = self.placed.select(F.col("id").alias("tid"), *(F.col(a).alias("t" + a) for a in "xyz"), F.struct(F.col("leaf_depth").alias("d"), F.col("leaf_prefix").alias("p")).alias("_leaf"))
         if self.config.mac == "body":
-            return rows.join(t.drop("_leaf"), "tid")
+            return rows
+        t = self.placed.select(F.col("id").alias("tid"), *(F.col(a).alias("t" + a) for a in "xyz"), F.struct(F.col("leaf_depth").alias("d"), F.col("leaf_prefix").alias("p")).alias("_leaf"))
         return rows.withColumnRenamed("tid", "_leaf").join(t, "_leaf").drop("_leaf")
 
     def accelerations(self) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from orbitalis.functions import durations, geometry, keys
 from orbitalis.operators import arrow_walk, cells, direct, elements, essential, motion, partition, ranking, walk
+from orbitalis.operators.scratch import cut  # noqa: F401
 from orbitalis.operators.domain import Domain, bounding_box, cubic_domain, keyed
 from orbitalis.plans import simulate
 from orbitalis.plans.config import SimConfig
@@ -53,14 +54,14 @@ def _interleave(x: str, y: str, z: str) -> str:
     return f"CAST(list_sum([((({x} >> i) & 1) << (3 * i)) + ((({y} >> i) & 1) << (3 * i + 1)) + ((({z} >> i) & 1) << (3 * i + 2)) for i in range(21)]) AS BIGINT)"
 
 
-KEYED = f"q AS (SELECT b.*, {_q('x')} AS ix, {_q('y')} AS iy, {_q('z')} AS iz FROM b, d), k AS (SELECT *, {_interleave('ix', 'iy', 'iz')} AS key FROM q)"
-ALL = """lv AS (SELECT k.*, depth, key >> CAST(63 - 3 * depth AS BIGINT) AS prefix FROM k, range(0, 22) AS t(depth)),
-  c0 AS (SELECT depth, prefix, count(*) AS n, sum(mass) AS mass, sum(mass * x) / sum(mass) AS cx, sum(mass * y) / sum(mass) AS cy, sum(mass * z) / sum(mass) AS cz,
+KEYED = f"q AS (SELECT b.*, {_q('x')} AS ix, {_q('y')} AS iy, {_q('z')} AS iz FROM b, d), k AS MATERIALIZED (SELECT *, {_interleave('ix', 'iy', 'iz')} AS key FROM q)"
+ALL = """lv AS MATERIALIZED (SELECT k.*, depth, key >> CAST(63 - 3 * depth AS BIGINT) AS prefix FROM k, range(0, 22) AS t(depth)),
+  c0 AS MATERIALIZED (SELECT depth, prefix, count(*) AS n, sum(mass) AS mass, sum(mass * x) / sum(mass) AS cx, sum(mass * y) / sum(mass) AS cy, sum(mass * z) / sum(mass) AS cz,
     min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z) AS lz, max(z) AS hz FROM lv GROUP BY depth, prefix)"""
 
 
 def _tree(cap: int) -> str:
-    return f"""c AS (SELECT a.*, (a.n <= {cap} OR a.depth = 21) AS is_leaf FROM c0 AS a LEFT JOIN c0 AS p ON p.depth = a.depth - 1 AND p.prefix = a.prefix >> 3
+    return f"""c AS MATERIALIZED (SELECT a.*, (a.n <= {cap} OR a.depth = 21) AS is_leaf FROM c0 AS a LEFT JOIN c0 AS p ON p.depth = a.depth - 1 AND p.prefix = a.prefix >> 3
     WHERE a.depth = 0 OR p.n > {cap})"""
 
 
@@ -86,7 +87,7 @@ def _ord_tree(spark: SparkSession, sf_dir: str, **more) -> tuple[DataFrame, Data
 def _emb_tree(spark: SparkSession, sf_dir: str, **more) -> tuple[DataFrame, DataFrame, Domain]:
     bodies = views.bodies_emb(spark, sf_dir)
     domain = cubic_domain(bodies)
-    return keyed(bodies, domain), cells.tree(keyed(bodies, domain), 8, **more), domain
+    return keyed(bodies, domain), cells.tree(keyed(bodies, domain), 8, domain=domain, **more), domain
 
 
 # ------------------------------------------------------------- keys and cells
@@ -331,10 +332,10 @@ def walk_leafbox(spark, sf_dir):
     return _emb_walk(spark, sf_dir, "leaf_box", softening=0.0).counts()
 
 
-_BIN = """lv AS (SELECT k.*, depth, key >> CAST(63 - depth AS BIGINT) AS prefix FROM k, range(0, 64) AS t(depth)),
-  c0 AS (SELECT depth, prefix, count(*) AS n, sum(mass) AS mass, sum(mass * x) / sum(mass) AS cx, sum(mass * y) / sum(mass) AS cy, sum(mass * z) / sum(mass) AS cz,
+_BIN = """lv AS MATERIALIZED (SELECT k.*, depth, key >> CAST(63 - depth AS BIGINT) AS prefix FROM k, range(0, 64) AS t(depth)),
+  c0 AS MATERIALIZED (SELECT depth, prefix, count(*) AS n, sum(mass) AS mass, sum(mass * x) / sum(mass) AS cx, sum(mass * y) / sum(mass) AS cy, sum(mass * z) / sum(mass) AS cz,
     min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z) AS lz, max(z) AS hz FROM lv GROUP BY depth, prefix),
-  c1 AS (SELECT a.*, (a.n <= 8 OR a.depth = 63) AS is_leaf FROM c0 AS a LEFT JOIN c0 AS p ON p.depth = a.depth - 1 AND p.prefix = a.prefix >> 1 WHERE a.depth = 0 OR p.n > 8),
+  c1 AS MATERIALIZED (SELECT a.*, (a.n <= 8 OR a.depth = 63) AS is_leaf FROM c0 AS a LEFT JOIN c0 AS p ON p.depth = a.depth - 1 AND p.prefix = a.prefix >> 1 WHERE a.depth = 0 OR p.n > 8),
   far2 AS (SELECT lv.depth, lv.prefix, max((x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2) AS f FROM lv JOIN c1 ON c1.depth = lv.depth AND c1.prefix = lv.prefix AND is_leaf GROUP BY ALL),
   c AS (SELECT c1.*, coalesce(f, greatest(hx - cx, cx - lx) ** 2 + greatest(hy - cy, cy - ly) ** 2 + greatest(hz - cz, cz - lz) ** 2) AS rsq FROM c1 LEFT JOIN far2 USING (depth, prefix))"""
 _BUCKET = "(NOT (t.td = c.depth AND t.tp = c.prefix) AND NOT (0.25 * ((c.cx - t.tx) ** 2 + (c.cy - t.ty) ** 2 + (c.cz - t.tz) ** 2) < c.rsq))"

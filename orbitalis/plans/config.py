@@ -43,11 +43,11 @@ class SimConfig:
     max_depth: int = 21
     gravity: float = 1.0
     algorithm: str = "tree"
-    strategy: str = "auto"
+    strategy: str = "auto"  # auto: relational; arrow for mac "body" without second moments from arrow_from bodies up to what may be broadcast
+    arrow_from: int = 3_000
     integrator: str = "kdk"
     dt: float = 0.01
     steps: int = 1
-    cut_every: int = 4
     energy_every: int = 1
     snapshot_every: int = 0
     snapshot_path: str = ""

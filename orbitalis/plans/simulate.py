@@ -1,4 +1,4 @@
-"""Time integration: a loop of queries, with lineage cut every few steps."""
+"""Time integration: a loop of queries, with lineage cut at each step."""
 
 from __future__ import annotations
 
@@ -15,8 +15,6 @@ from orbitalis.plans.config import SimConfig
 from orbitalis.operators.scratch import cut
 from orbitalis.sources import writers
 
-_ARROW_FROM = 3_000
-
 
 class Timers:
     """Seconds by step and phase; phases that aren't enabled are not timed."""
@@ -46,7 +44,7 @@ def accelerations(bodies: DataFrame, config: SimConfig) -> DataFrame:
     strategy = config.strategy
     if strategy == "auto":
         n = bodies.count()
-        strategy = "arrow" if config.mac == "body" and not config.quadrupole and _ARROW_FROM <= n <= arrow_walk.MOST_CELLS else "relational"
+        strategy = "arrow" if config.mac == "body" and not config.quadrupole and config.arrow_from <= n <= arrow_walk.MOST_CELLS else "relational"
     if strategy == "arrow":
         return arrow_walk.accelerations(bodies, config).select("id", "ax", "ay", "az", "phi")
     return walk.Walk(bodies, config).accelerations()
@@ -55,7 +53,8 @@ def accelerations(bodies: DataFrame, config: SimConfig) -> DataFrame:
 def _with_forces(bodies: DataFrame, config: SimConfig, timers: Timers) -> DataFrame:
     with timers.phase("forces"):
         plain = bodies.select("id", "mass", "x", "y", "z", "vx", "vy", "vz")
-        return cut(plain.join(accelerations(plain, config), "id"))
+        state = cut(plain.join(accelerations(plain, config), "id"))
+    return motion.require_finite(state, f"step {timers.step}")
 
 
 def run(bodies: DataFrame, config: SimConfig, on_step: Callable[[int, DataFrame], None] | None = None, timers: Timers | None = None) -> tuple[DataFrame, DataFrame]:
@@ -111,7 +110,23 @@ def compare_with_direct(bodies: DataFrame, config: SimConfig) -> tuple[DataFrame
     return tree_end, exact_end, motion.distance_error(tree_end, exact_end)
 
 
-def report(log: DataFrame, timers: Timers) -> dict:
-    """A run's metrics: largest energy deviation, seconds by phase."""
+def report(log: DataFrame, timers: Timers, balance: DataFrame | None = None) -> dict:
+    """A run's metrics: largest energy deviation, seconds by phase (summed, and the
+    largest and mean step), and the row of partition.balance() if it is given."""
     worst = log.agg(F.max("rel_drift")).first()[0]
-    return {"max_energy_drift": worst, "seconds": timers.summary()}
+    steps: dict[str, list[float]] = defaultdict(list)
+    for _, name, s in timers.rows:
+        steps[name].append(s)
+    out = {"max_energy_drift": worst, "seconds": timers.summary()}
+    out["slowest_step"] = {k: max(v) for k, v in steps.items()}
+    out["mean_step"] = {k: sum(v) / len(v) for k, v in steps.items()}
+    return out | ({"balance": balance.first().asDict()} if balance is not None else {})
+
+
+def lines(report: dict) -> list[str]:
+    """A report as lines for a console."""
+    out = [f"[ENERGY] largest relative drift {report['max_energy_drift']:.3e}"] if report.get("max_energy_drift") is not None else []
+    out += [f"[TIMERS] {k}: {s:.3f} s, slowest step {report['slowest_step'][k]:.3f} s, mean {report['mean_step'][k]:.3f} s" for k, s in report["seconds"].items()]
+    if b := report.get("balance"):
+        out.append(f"[BALANCE] {b['n']} bodies in {b['parts']} parts: min {b['least']} max {b['most']} mean {b['mean']:.1f}, max/mean {b['ratio']:.3f}, {b['empty']} empty")
+    return out

@@ -21,21 +21,33 @@ _HEAD = "<iid"
 
 
 def _decoded(spark: SparkSession, path: str, fields: int, head: bool, limit: int | None) -> DataFrame:
+    """The bodies of a file or of a folder's files in the order of their names, ids
+    from 0 over all of them.  A file is read by one task and may have 2 GB; larger
+    sets are folders of part files."""
+    skip = struct.calcsize(_HEAD) if head else 0
+    listed = spark.read.format("binaryFile").load(path).select("path", "length").collect()  # a row for each file
+    first, total = {}, 0
+    for name, size in sorted(listed):
+        if (size - skip) % (8 * fields) or size < skip:
+            raise ValueError(f"{size} bytes don't fit whole bodies: {name}")
+        first[name], total = total, total + (size - skip) // (8 * fields)
+    most = total if limit is None else min(limit, total)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if head:
                     n, dims, _ = struct.unpack_from(_HEAD, raw)
-                    if dims != 3 or len(raw) != struct.calcsize(_HEAD) + 8 * fields * n:
+                    if dims != 3 or len(raw) != skip + 8 * fields * n:
                         raise ValueError(f"{len(raw)} bytes don't fit {n} bodies of {dims} dimensions")
-                elif len(raw) % (8 * fields):
-                    raise ValueError(f"{len(raw)} bytes aren't whole bodies")
-                a = np.frombuffer(raw, "<f8", offset=struct.calcsize(_HEAD) if head else 0).reshape(-1, fields)
-                for at in range(0, len(a[:limit]), 1 << 16):
-                    p = a[:limit][at : at + (1 << 16)]
-                    yield pa.RecordBatch.from_pydict({"id": np.arange(at, at + len(p)), "mass": p[:, 6].copy(), **{c: p[:, i].copy() for i, c in enumerate(("x", "y", "z", "vx", "vy", "vz"))}})
+                a = np.frombuffer(raw, "<f8", offset=skip).reshape(-1, fields)
+                a = a[: max(0, most - first[name])]
+                for at in range(0, len(a), 1 << 16):
+                    p = a[at : at + (1 << 16)]
+                    ids = np.arange(first[name] + at, first[name] + at + len(p))
+                    yield pa.RecordBatch.from_pydict({"id": ids, "mass": p[:, 6].copy(), **{c: p[:, i].copy() for i, c in enumerate(("x", "y", "z", "vx", "vy", "vz"))}})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, STATE)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, STATE)
 
 
 def read_preamble(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
@@ -46,33 +58,86 @@ def read_plain(spark: SparkSession, path: str, limit: int | None = None) -> Data
     return _decoded(spark, path, 7, False, limit)
 
 
+def _chunks(bodies: DataFrame, preamble: bool, softening: float, time: float) -> Iterator[bytes]:
+    """The file's bytes in pieces of some thousand bodies, in id order."""
+    cols = ["x", "y", "z", "vx", "vy", "vz", "mass"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in cols] + [np.full(b.num_rows, softening)] * preamble, 1)
+            yield pa.RecordBatch.from_pydict({"raw": pa.array([p.astype("<f8").tobytes()], pa.binary())})
+
+    if preamble:
+        yield struct.pack(_HEAD, bodies.count(), 3, time)
+    ordered = bodies.repartitionByRange("id").sortWithinPartitions("id").select(*cols)
+    for (raw,) in ordered.mapInArrow(run, "raw binary").toLocalIterator():
+        yield bytes(raw)
+
+
 def packed(bodies: DataFrame, preamble: bool, softening: float = 0.0, time: float = 0.0) -> bytes:
-    """The file's bytes for a table that fits the driver (these formats are one file)."""
-    p = bodies.orderBy("id").select("x", "y", "z", "vx", "vy", "vz", "mass").toPandas().to_numpy("<f8")
-    if not preamble:
-        return p.tobytes()
-    return struct.pack(_HEAD, len(p), 3, time) + np.column_stack((p, np.full(len(p), softening))).astype("<f8").tobytes()
+    """The whole file's bytes, for tables that fit the driver."""
+    return b"".join(_chunks(bodies, preamble, softening, time))
+
 
+def write_packed(bodies: DataFrame, path: str, preamble: bool, softening: float = 0.0, time: float = 0.0) -> None:
+    """Writes the file through Spark's file systems; these formats are one file, so
+    the driver writes it, a piece at a time."""
+    spark = bodies.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        for raw in _chunks(bodies, preamble, softening, time):
+            stream.write(bytearray(raw))
+    finally:
+        stream.close()
 
-def read_vtu_points(path_text: str) -> dict[str, np.ndarray]:
-    """The arrays of an XML VTK file with base64 data (each behind a 32-bit length)."""
+
+#: numpy kinds of VTK's types (fixed values).
+_KINDS = {"Float64": "f8", "Float32": "f4", "Int64": "i8", "Int32": "i4", "UInt64": "u8", "UInt32": "u4", "UInt8": "u1"}
+
+
+def read_vtu_points(text: str | bytes) -> dict[str, np.ndarray]:
+    """The arrays of an XML VTK file: ASCII, base64 (each behind its length), or raw
+    appended ones."""
     import base64
+    import re
     import xml.etree.ElementTree as ET
 
-    root = ET.fromstring(path_text)
+    raw = text.encode() if isinstance(text, str) else text
+    blob, mark = b"", re.search(rb'<AppendedData encoding="raw">\s*_', raw)
+    if mark:
+        blob, raw = raw[mark.end() :], raw[: mark.start()] + b"</VTKFile>"
+    root = ET.fromstring(raw)
     order = ">" if root.get("byte_order") == "BigEndian" else "<"
-    kinds = {"Float64": "f8", "Float32": "f4", "Int64": "i8", "Int32": "i4", "UInt8": "u1"}
+    size = np.dtype(order + _KINDS[root.get("header_type", "UInt32")])
     out = {}
     for i, node in enumerate(root.iter("DataArray")):
-        name, text = node.get("Name") or f"array{i}", (node.text or "").strip()
-        kind = np.dtype(order + kinds[node.get("type", "Float64")])
-        if node.get("format") == "ascii":
-            data = np.array(text.split(), kind)
+        kind, n = np.dtype(order + _KINDS[node.get("type", "Float64")]), int(node.get("NumberOfComponents") or 1)
+        if node.get("format") == "appended":
+            at = int(node.get("offset"))
+            length = int(np.frombuffer(blob, size, 1, at)[0])
+            data = np.frombuffer(blob, kind, length // kind.itemsize, at + size.itemsize)
+        elif node.get("format") == "ascii":
+            data = np.array((node.text or "").split(), kind)
         else:
-            raw = base64.b64decode(text)
-            data = np.frombuffer(raw, kind, offset=4)
-        n = int(node.get("NumberOfComponents") or 1)
-        out[name] = data.reshape(-1, n) if n > 1 else data
+            data = np.frombuffer(base64.b64decode((node.text or "").strip()), kind, offset=size.itemsize)
+        out[node.get("Name") or f"array{i}"] = data.reshape(-1, n) if n > 1 else data
     return out
 
 
+def read_points(spark: SparkSession, path: str) -> DataFrame:
+    """The points of a folder of XML VTK pieces as rows: id (if they have one), mass,
+    x, y, z; one task reads a piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                a = read_vtu_points(raw)
+                p = a["position"] if "position" in a else a["Points"]
+                n = len(p)
+                yield pa.RecordBatch.from_pydict({
+                    "id": pa.array(a["id"].astype(np.int64) if "id" in a else [None] * n, pa.int64()), "mass": pa.array(a["mass"] if "mass" in a else [None] * n, pa.float64()),
+                    **{c: p[:, k].copy() for k, c in enumerate("xyz")},
+                })
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "id long, mass double, x double, y double, z double")

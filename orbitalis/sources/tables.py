@@ -28,8 +28,15 @@ def read_strict(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tolerant(spark: SparkSession, path: str) -> DataFrame:
-    """Eight columns; header lines and bad rows are left out."""
-    return spark.read.schema(STATE).csv(path, header=False, mode="DROPMALFORMED").where("id is not null and vz is not null")
+    """Eight columns; header lines (any that begin with an i) and bad rows are left out."""
+    lines = spark.read.text(path).where(~F.lower(F.ltrim("value")).startswith("i"))
+    fields = [f.split() for f in STATE.split(", ")]
+    part = F.split("value", ",")
+    parsed = lines.select(*(F.trim(F.get(part, F.lit(i))).try_cast(t).alias(n) for i, (n, t) in enumerate(fields)))
+    good = F.lit(True)
+    for n, _ in fields:
+        good = good & F.col(n).isNotNull()
+    return parsed.where(good)
 
 
 def read_named(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
@@ -57,8 +64,9 @@ def resolve(df: DataFrame) -> DataFrame:
             raise ValueError(f"missing column: {name}")
         picked[name] = match
     out = [F.col(f"`{c}`").cast("long" if n == "id" else "double").alias(n) for n, c in picked.items() if c is not None]
-    if picked["id"] is None:
-        out.insert(0, F.monotonically_increasing_id().alias("id"))
+    if picked["id"] is None:  # ids from 0 in the rows' order
+        numbered = with_ids(df.select(*out, F.monotonically_increasing_id().alias("row")))
+        return numbered.select("id", *(n for n in picked if n != "id"))
     return df.select(*out)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,85 +39,178 @@ def _number(x: float) -> str:
     return repr(float(x))
 
 
-def vtk_points(rows: list[dict], vectors: tuple[str, ...] = ("v",), scalars: tuple[str, ...] = ("mass",)) -> str:
-    """A legacy ASCII VTK file of points with vector and scalar data."""
-    n = len(rows)
-    out = ["# vtk DataFile Version 3.0", "bodies", "ASCII", "DATASET POLYDATA", f"POINTS {n} double"]
-    out += [" ".join(_number(r[c]) for c in "xyz") for r in rows]
-    out += [f"VERTICES {n} {2 * n}", *(f"1 {i}" for i in range(n)), f"POINT_DATA {n}"]
-    for s in scalars:
-        out += [f"SCALARS {s} double 1", "LOOKUP_TABLE default", *(_number(r[s]) for r in rows)]
-    for v in vectors:
-        out += [f"VECTORS {v} double", *(" ".join(_number(r[v + c]) for c in "xyz") for r in rows)]
-    return "\n".join(out) + "\n"
+def _texts(column: np.ndarray) -> str:
+    return " ".join(map(repr, column.ravel().tolist()))
 
 
-def vtp_piece(rows: list[dict], vectors: tuple[str, ...], scalars: tuple[str, ...]) -> str:
-    """An XML PolyData piece in ASCII."""
+class _Piece:
+    """The rows of one partition by column, for text and binary writers."""
 
-    def array(name: str, values: Iterator[str], parts: int = 1, kind: str = "Float64") -> str:
-        return f'<DataArray type="{kind}" Name="{name}" NumberOfComponents="{parts}" format="ascii">{" ".join(values)}</DataArray>'
+    def __init__(self, batches: list[pa.RecordBatch], names: list[str]):
+        self.n = sum(b.num_rows for b in batches)
+        self._cols = {c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in batches]) if batches else np.zeros(0) for c in names}
 
-    n = len(rows)
-    data = [array(s, (_number(r[s]) for r in rows)) for s in scalars]
-    data += [array(v, (_number(r[v + c]) for r in rows for c in "xyz"), 3) for v in vectors]
-    return (
-        '<?xml version="1.0"?>\n<VTKFile type="PolyData" version="1.0" byte_order="LittleEndian"><PolyData>'
-        f'<Piece NumberOfPoints="{n}" NumberOfVerts="{n}"><PointData>{"".join(data)}</PointData>'
-        f"<Points>{array('position', (_number(r[c]) for r in rows for c in 'xyz'), 3)}</Points>"
-        f"<Verts>{array('connectivity', map(str, range(n)), 1, 'Int64')}{array('offsets', map(str, range(1, n + 1)), 1, 'Int64')}</Verts>"
-        "</Piece></PolyData></VTKFile>\n"
-    )
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self._cols[name]
 
+    def vector(self, name: str) -> np.ndarray:
+        return np.stack([self._cols[name + c].astype(np.float64) for c in "xyz"], 1)
 
-def box_piece(rows: list[dict], span: float, low: tuple[float, float, float], scalars: tuple[str, ...]) -> str:
-    """Cells (ix, iy, iz, depth) as hexahedra of an XML unstructured grid."""
-    points, corners = [], [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
-    for r in rows:
-        side = span / 2 ** r["depth"]
-        points += [" ".join(_number(lo + (r["i" + c] + d) * side) for lo, c, d in zip(low, "xyz", corner, strict=True)) for corner in corners]
-    n = len(rows)
-    data = "".join(f'<DataArray type="Float64" Name="{s}" format="ascii">{" ".join(_number(r[s]) for r in rows)}</DataArray>' for s in scalars)
-    ints = lambda name, v, kind="Int64": f'<DataArray type="{kind}" Name="{name}" format="ascii">{" ".join(map(str, v))}</DataArray>'
-    return (
-        '<?xml version="1.0"?>\n<VTKFile type="UnstructuredGrid" version="1.0" byte_order="LittleEndian"><UnstructuredGrid>'
-        f'<Piece NumberOfPoints="{8 * n}" NumberOfCells="{n}"><CellData>{data}</CellData>'
-        f'<Points><DataArray type="Float64" NumberOfComponents="3" format="ascii">{" ".join(points)}</DataArray></Points>'
-        f"<Cells>{ints('connectivity', range(8 * n))}{ints('offsets', range(8, 8 * n + 1, 8))}{ints('types', [12] * n, 'UInt8')}</Cells>"
-        "</Piece></UnstructuredGrid></VTKFile>\n"
+
+def vtk_points(p: _Piece, vectors: tuple[str, ...] = ("v",), scalars: tuple[str, ...] = ("mass",)) -> Iterator[str]:
+    """The lines of a legacy ASCII VTK file of points with vector and scalar data."""
+    rows = lambda v: (" ".join(map(repr, r)) for r in v.tolist())
+    yield from ("# vtk DataFile Version 3.0", "bodies", "ASCII", "DATASET POLYDATA", f"POINTS {p.n} double")
+    yield from rows(p.vector(""))
+    yield f"VERTICES {p.n} {2 * p.n}"
+    yield from (f"1 {i}" for i in range(p.n))
+    yield f"POINT_DATA {p.n}"
+    for s in scalars:
+        yield from (f"SCALARS {s} double 1", "LOOKUP_TABLE default")
+        yield from map(repr, p[s].astype(np.float64).tolist())
+    for v in vectors:
+        yield f"VECTORS {v} double"
+        yield from rows(p.vector(v))
+
+
+def _array(name: str, values: str, parts: int = 1, kind: str = "Float64") -> str:
+    return f'<DataArray type="{kind}" Name="{name}" NumberOfComponents="{parts}" format="ascii">{values}</DataArray>'
+
+
+def _kind(x: np.ndarray) -> str:
+    return "Int64" if x.dtype.kind in "iu" else "Float64"
+
+
+def vtp_piece(p: _Piece, vectors: tuple[str, ...], scalars: tuple[str, ...]) -> Iterator[str]:
+    """The lines of an XML PolyData piece in ASCII, an array in each."""
+    yield '<?xml version="1.0"?>'
+    yield f'<VTKFile type="PolyData" version="1.0" byte_order="LittleEndian"><PolyData><Piece NumberOfPoints="{p.n}" NumberOfVerts="{p.n}"><PointData>'
+    yield from (_array(s, _texts(p[s]), 1, _kind(p[s])) for s in scalars)
+    yield from (_array(v, _texts(p.vector(v)), 3) for v in vectors)
+    yield "</PointData><Points>"
+    yield _array("position", _texts(p.vector("")), 3)
+    yield "</Points><Verts>"
+    yield _array("connectivity", " ".join(map(str, range(p.n))), 1, "Int64")
+    yield _array("offsets", " ".join(map(str, range(1, p.n + 1))), 1, "Int64")
+    yield "</Verts></Piece></PolyData></VTKFile>"
+
+
+#: The arrays of an appended piece: type, components (fixed values).
+_APPENDED = {
+    "Points": ("Float64", 3), "connectivity": ("Int32", 1), "offsets": ("Int32", 1), "mass": ("Float64", 1), "velocity": ("Float64", 3),
+    "acceleration": ("Float64", 3), "potential": ("Float64", 1), "pe": ("Int32", 1), "key": ("UInt64", 1), "id": ("Int64", 1),
+}
+
+
+def vtp_appended(p: _Piece, part: int, have: list[str]) -> bytes:
+    """An XML PolyData piece whose arrays are appended raw, each behind its length;
+    the arrays that have columns, and the part that wrote it."""
+    from orbitalis.sources.binary import _KINDS
+
+    data = {"Points": p.vector(""), "connectivity": np.arange(p.n), "offsets": np.arange(1, p.n + 1), "pe": np.full(p.n, part)}
+    data |= {name: p.vector(v) for name, v in (("velocity", "v"), ("acceleration", "a")) if v + "x" in have}
+    data |= {name: p[c] for name, c in (("mass", "mass"), ("potential", "phi"), ("key", "key"), ("id", "id")) if c in have}
+    tags, blob, at = {}, [], 0
+    for name, (kind, n) in _APPENDED.items():
+        if name in data:
+            raw = data[name].astype("<" + _KINDS[kind]).tobytes()
+            tags[name] = f'<DataArray type="{kind}" Name="{name}" NumberOfComponents="{n}" format="appended" offset="{at}"/>'
+            blob += [len(raw).to_bytes(8, "little"), raw]
+            at += 8 + len(raw)
+    points = "".join(t for n, t in tags.items() if n not in ("Points", "connectivity", "offsets"))
+    head = (
+        '<?xml version="1.0"?>\n<VTKFile type="PolyData" version="1.0" byte_order="LittleEndian" header_type="UInt64"><PolyData>'
+        f'<Piece NumberOfPoints="{p.n}" NumberOfVerts="{p.n}" NumberOfLines="0" NumberOfStrips="0" NumberOfPolys="0"><Points>{tags["Points"]}</Points>'
+        f'<Verts>{tags["connectivity"]}{tags["offsets"]}</Verts><PointData>{points}</PointData></Piece></PolyData><AppendedData encoding="raw">_'
     )
+    return head.encode() + b"".join(blob) + b"</AppendedData></VTKFile>\n"
+
+
+def box_piece(p: _Piece, span: float, low: tuple[float, float, float], scalars: tuple[str, ...]) -> Iterator[str]:
+    """The lines of an XML unstructured grid: cells (ix, iy, iz, depth) as hexahedra."""
+    corners = np.array([(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)])
+    side = span / 2.0 ** p["depth"].astype(np.float64)
+    at = np.stack([p["i" + c] for c in "xyz"], 1)
+    points = np.array(low) + (at[:, None, :] + corners[None]) * side[:, None, None]
+    ints = lambda name, v, kind="Int64": _array(name, " ".join(map(str, v)), 1, kind)
+    yield '<?xml version="1.0"?>'
+    yield f'<VTKFile type="UnstructuredGrid" version="1.0" byte_order="LittleEndian"><UnstructuredGrid><Piece NumberOfPoints="{8 * p.n}" NumberOfCells="{p.n}"><CellData>'
+    yield from (_array(s, _texts(p[s]), 1, _kind(p[s])) for s in scalars)
+    yield "</CellData><Points>"
+    yield _array("position", _texts(points), 3)
+    yield "</Points><Cells>"
+    yield from (ints("connectivity", range(8 * p.n)), ints("offsets", range(8, 8 * p.n + 1, 8)), ints("types", [12] * p.n, "UInt8"))
+    yield "</Cells></Piece></UnstructuredGrid></VTKFile>"
+
+
+def _written(df: DataFrame, path: str, names: list[str], lines) -> None:
+    """Text pieces below path, one for each partition: a partition's columns are held,
+    its text is not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+        size = 0
+        for line in lines(_Piece([b for b in batches if b.num_rows], names)):
+            held.append(line)
+            size += len(line)
+            if size > 1 << 20:
+                yield pa.RecordBatch.from_pydict({"value": pa.array(held, pa.string())})
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pydict({"value": pa.array(held, pa.string())})
+
+    df.select(*names).mapInArrow(run, "value string").write.mode("overwrite").text(path)
 
 
 def write_snapshot(bodies: DataFrame, path: str, kind: str = "vtp") -> list[str]:
-    """One piece for each partition below path; the pieces' names."""
+    """One piece for each partition below path; the pieces' names.  kind: vtp (XML) or
+    vtk (legacy).  Velocities come with their size (speed), accelerations likewise."""
+    sizes = {name: F.sqrt(sum((F.pow(F.col(v + c), 2) for c in "yz"), F.pow(F.col(v + "x"), 2))) for v, name in (("v", "speed"), ("a", "a_size")) if v + "x" in bodies.columns}
+    bodies = bodies.withColumns({**sizes, "rank": F.spark_partition_id()})
     have = bodies.columns
     vectors = tuple(v for v in ("v", "a") if v + "x" in have)
-    scalars = tuple(s for s in ("id", "mass", "phi", "key") if s in have)
+    scalars = tuple(s for s in ("id", "mass", "phi", "key", "speed", "a_size", "rank") if s in have)
     cols = ["x", "y", "z", *(v + c for v in vectors for c in "xyz"), *scalars]
+    make = vtp_piece if kind == "vtp" else vtk_points
+    _written(bodies, path, cols, lambda p: make(p, vectors, scalars))
+    return _names(bodies.sparkSession, path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in b.to_pylist()]
-        text = vtp_piece(rows, vectors, scalars) if kind == "vtp" else vtk_points(rows, vectors, scalars)
-        yield pa.RecordBatch.from_pydict({"value": pa.array([text])})
 
-    bodies.select(*cols).mapInArrow(run, "value string").write.mode("overwrite").text(path)
-    found = bodies.sparkSession.read.format("binaryFile").load(path).select("path").collect()
+def _names(spark, path: str) -> list[str]:
+    found = spark.read.format("binaryFile").load(path).select("path").collect()  # a row for each piece
     return sorted(r["path"].rsplit("/", 1)[-1] for r in found)
 
 
+def write_appended(bodies: DataFrame, path: str, step: int = 0) -> list[str]:
+    """Pieces with raw appended arrays, <path>_<step>_pe<part>.vtp; their names.  The
+    bytes go through Spark's file system from the driver, a piece at a time."""
+    spark, names = bodies.sparkSession, [c for c in ("id", "mass", "x", "y", "z", "vx", "vy", "vz", "ax", "ay", "az", "phi", "key") if c in bodies.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, held = TaskContext.get().partitionId(), [b for b in batches if b.num_rows]
+        if held:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "raw": pa.array([vtp_appended(_Piece(held, names), part, names)], pa.binary())})
+
+    out = []
+    for part, raw in bodies.select(*names).mapInArrow(run, "part int, raw binary").toLocalIterator():
+        out.append(f"{path}_{step:05d}_pe{part}.vtp")
+        target = spark._jvm.org.apache.hadoop.fs.Path(out[-1])
+        stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+        stream.write(bytearray(raw))
+        stream.close()
+    return [x.rsplit("/", 1)[-1] for x in out]
+
+
 def write_boxes(cells: DataFrame, path: str, domain, scalars: tuple[str, ...] = ("n",)) -> None:
     """Cells (depth, prefix), essential records or histogram buckets as boxes, one
     piece for each partition."""
     from orbitalis.functions import keys
 
     low, span = domain.low, domain.span
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in b.to_pylist()]
-        yield pa.RecordBatch.from_pydict({"value": pa.array([box_piece(rows, span, low, scalars)])})
-
     corners = [c.alias("i" + n) for n, c in zip("xyz", keys.decode(F.col("prefix")), strict=True)]
-    cells.select("depth", *corners, *scalars).mapInArrow(run, "value string").write.mode("overwrite").text(path)
+    _written(cells.select("depth", *corners, *scalars), path, ["depth", "ix", "iy", "iz", *scalars], lambda p: box_piece(p, span, low, scalars))
 
 
 def histogram_cells(histogram: DataFrame, bits: int) -> DataFrame:
@@ -157,6 +251,13 @@ def metrics_toml(metrics: dict) -> str:
     return "\n".join(flat) + "\n"
 
 
+def read_metrics(text: str) -> dict:
+    """The metrics of a TOML report."""
+    import tomllib
+
+    return tomllib.loads(text)
+
+
 def due(step: int, every: int, last: int, final: bool = True) -> bool:
     """Whether a snapshot is due: each `every` steps, and at the end."""
     return bool(every and step % every == 0) or (final and step == last)

@@ -62,6 +62,23 @@ def test_errors_fall_with_the_angle_and_arrow_agrees(spark):
     assert w.counts().first().asDict() == got.agg(F.sum("n_approx").alias("n_approx"), F.sum("n_direct").alias("n_direct")).first().asDict()
 
 
+def test_second_moments_of_small_cells(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, 1.0 + float(m), *(0.9 + 1e-6 * x).tolist(), 0.0, 0.0, 0.0) for i, (m, x) in enumerate(zip(rng.random(40), rng.random((40, 3)), strict=True))] + [(99, 1.0, -1.0, -1.0, -1.0, 0.0, 0.0, 0.0), (98, 1.0, 1.0, 1.0, 1.0, 0.0, 0.0, 0.0)]
+    b = spark.createDataFrame(rows, STATE)
+    dom = domain.cubic_domain(b)
+    for digit, depth in ((3, 21), (1, 63)):
+        placed = domain.keyed(b, dom).cache()
+        got = cells.all_cells(placed, depth, digit, second=True, domain=dom).where("n > 5").collect()
+        p = placed.toPandas()
+        for r in got:
+            inside = p[(p.key.to_numpy(np.int64) >> (63 - digit * r["depth"])) == r["prefix"]]
+            x, m = inside[["x", "y", "z"]].to_numpy(float), inside.mass.to_numpy(float)
+            c = (m[:, None] * x).sum(0) / m.sum()
+            want = np.einsum("i,ij,ik->jk", m, x - c, x - c)
+            assert r["n"] == len(inside) and r["xx"] == pytest.approx(want[0, 0], rel=1e-6) and r["yz"] == pytest.approx(want[1, 2], rel=1e-5, abs=1e-9 * abs(want).max())
+
+
 def test_second_moments_help(spark):
     b = generate.two_clusters(spark, 200).cache()
     exact = direct.accelerations(b, 1e-3).cache()
@@ -83,6 +100,8 @@ def test_tree_invariants(spark):
     placed = domain.keyed(b, dom).cache()
     r = motion.check_tree(placed, cells.tree(placed, 4)).first()
     assert r["n"] == r["root_n"] == r["leaf_n"] == 300 and r["wrong_cells"] == 0
+    own = cells.with_leaf(placed, cells.tree(placed, 4))
+    assert own.count() == 300 and own.where(keys.prefix_at(F.col("key"), F.col("leaf_depth")) != F.col("leaf_prefix")).count() == 0
     assert r["mass"] == pytest.approx(r["leaf_mass"], rel=1e-12)
 
 
@@ -248,9 +267,13 @@ def test_writers(spark, tmp_path):
     pieces = writers.write_snapshot(b, str(tmp_path / "v"))
     assert len(pieces) == 2 and 'NumberOfPoints="' in (tmp_path / "v" / pieces[0]).read_text()
     assert pieces[0] in writers.piece_index(pieces) and "0.5" in writers.timeline([(0.5, "a")])
-    rows = [r.asDict() for r in b.collect()]
-    assert "POINTS 20 double" in writers.vtk_points(rows)
-    assert "hexa" not in writers.box_piece([{"depth": 1, "ix": 0, "iy": 0, "iz": 1, "n": 3}], 2.0, (0.0, 0.0, 0.0), ("n",))
+    assert binary.read_points(spark, str(tmp_path / "v")).join(b, "id").where("id is null").count() == 0
+    writers.write_snapshot(b.coalesce(1), str(tmp_path / "k"), "vtk")
+    assert any("POINTS 20 double" in f.read_text() for f in (tmp_path / "k").glob("part*"))
+    names = writers.write_appended(b.withColumn("phi", F.lit(-1.0)), str(tmp_path / "raw" / "run"), 7)
+    arrays = [binary.read_vtu_points((tmp_path / "raw" / n).read_bytes()) for n in names]
+    assert names[0].startswith("run_00007_pe") and sum(len(a["mass"]) for a in arrays) == 20 and (arrays[0]["potential"] == -1).all() and arrays[0]["velocity"].shape[1] == 3
+    assert motion.distance_error(b, binary.read_points(spark, str(tmp_path / "raw"))).first().asDict() == {"summed": 0.0, "largest": 0.0, "n": 20}
     assert writers.due(4, 2, 9) and not writers.due(3, 2, 9) and writers.due_at(1.0, 1.0, 0.5) == (True, 1.5)
     assert "[t]\nx = 1" in writers.metrics_toml({"a": 1.5, "t": {"x": 1}})
     writers.write_positions(b, str(tmp_path / "p"))
@@ -271,6 +294,21 @@ def test_generators(spark):
     m = generate.mirrored(spark, 100).toPandas().set_index("id")
     assert np.allclose(m.loc[50:, "x"].to_numpy() - m.loc[:49, "x"].to_numpy(), 4)
     assert generate.from_json(spark, '{"n": 10, "kind": "collision"}').count() == 10
+    odd = generate.mirrored(spark, 7).agg(F.count("*"), F.sum("mass"), F.sum(F.col("mass") * F.col("x"))).first()
+    assert odd[0] == 7 and odd[1] == pytest.approx(1) and abs(odd[2]) < 1e-12
+    both = generate.collision(spark, 2000, 3, apart=1000.0, approach=0.0)
+    for side in ("x < 0", "x > 0"):  # each sphere is in equilibrium by itself
+        one = both.where(side)
+        e = motion.energies(one.join(direct.accelerations(one), "id")).first()
+        assert e["virial"] == pytest.approx(1, abs=0.1)
+    assert both.agg(F.sum("mass")).first()[0] == pytest.approx(1)
+    text = """{"seed": 3, "defaults": {"mass": {"particle_min": 1, "particle_max": 2, "black_hole_factor": 10}},
+      "systems": [{"name": "main", "particles": 40, "total_mass": 1000, "scale_radius": 3.0, "cutoff_radius": 30.0, "position": [5, 0, 0], "velocity": [0, 1, 0]}],
+      "galaxies": [{"name": "disk", "particles": 30, "disk_radius": 2.0, "disk_thickness": 0.1, "disk_orientation": {"inclination": 90}, "orbit": {"around": "main", "distance": 50.0, "angle": 90}}]}"""
+    got = generate.from_json(spark, text).toPandas().set_index("id")
+    assert len(got) == 70 and got.index.is_unique and got.mass[:40].sum() == pytest.approx(1000) and got.mass[40] == 20
+    assert np.allclose(got.loc[40, ["x", "y", "z"]], [5, 50, 0]) and got.loc[40, "vx"] == pytest.approx(-((1000 / 50) ** 0.5)) and np.hypot(got.x[:40] - 5, got.y[:40]).max() <= 30
+    assert np.abs(got.y[41:] - 50).max() <= 0.06 and np.hypot(got.x[41:] - 5, got.z[41:]).max() <= 2
     r = motion.recentre(p).agg(F.sum(F.col("mass") * F.col("x")), F.sum(F.col("mass") * F.col("vx"))).first()
     assert abs(r[0]) < 1e-12 and abs(r[1]) < 1e-12
 
@@ -317,6 +355,7 @@ def test_sql_functions(spark):
     want = df.select(keys.interleave(F.col("ix"), F.col("iy"), F.col("iz")).alias("k")).withColumn("p", keys.prefix_at(F.col("k"), 3)).collect()
     assert got == want
     assert spark.sql("SELECT morton_cell(0.5D, 0D, 1D), cell_side(2, 8D), duration_days('12h')").first() == (1 << 20, 2.0, 0.5)
+    assert spark.sql("SELECT duration_days(' -2e1D '), duration_days('1Y'), duration_days('3'), duration_days('1m'), duration_days('')").first() == (-20.0, 365.25, 3.0, None, None)
 
 
 def test_scratch_tables_can_be_cleared(spark):
@@ -324,3 +363,84 @@ def test_scratch_tables_can_be_cleared(spark):
 
     scratch.clear(spark)
     assert scratch.cut(spark.range(3)).count() == 3 and scratch.clear(spark) == 1 and scratch.clear(spark) == 0
+
+
+def test_more_functions(spark):
+    df = spark.createDataFrame([(1, 0, -1), (2, 5, 2), (3, 1 << 40, 40)], "n long, x long, bit int")
+    assert df.where(keys.top_bit(F.col("x")) != F.col("bit")).count() == 0
+    assert [r[0] for r in df.select(keys.log2_ceiling(F.col("n"))).collect()] == [0, 1, 2]
+    assert [r[0] for r in df.select(keys.top_bit_value(F.col("x"))).collect()] == [0, 4, 1 << 40]
+    assert df.select(keys.first_at_or_after(F.array(*map(F.lit, (1, 4, 9))), F.col("x"))).first()[0] == 0
+    box = spark.createDataFrame([(0.0, 0.0, 0.0, 1.0, 1.0, 1.0, 3.0, 0.5, -1.0)], "lx double, ly double, lz double, hx double, hy double, hz double, x double, y double, z double")
+    low, high, p = geometry.cols("l"), geometry.cols("h"), geometry.cols()
+    a, b = geometry.box_grown(p, low, high)
+    c, d = geometry.box_shifted(low, high, p)
+    r = box.select(*a, *b, *c, *d, *geometry.box_centre(low, high), geometry.box_empty(low, high), geometry.box_empty(high, low)).first()
+    assert tuple(r) == (0.0, 0.0, -1.0, 3.0, 1.0, 1.0, 3.0, 0.5, -1.0, 4.0, 1.5, 0.0, 0.5, 0.5, 0.5, False, True)
+
+
+def test_balance_levels_and_errors(spark):
+    b = domain.keyed(generate.uniform_cube(spark, 200), domain.Domain((-1.0, -1.0, -1.0), 2.0)).withColumn("part", F.when(F.col("x") < 0, 0).otherwise(2))
+    r = partition.balance(b, 4).first()
+    assert (r["n"], r["parts"], r["empty"]) == (200, 4, 2) and r["ratio"] == pytest.approx(r["most"] / 50)
+    assert partition.where_it_runs(b.repartition(3)).agg(F.sum("n"), F.count("*")).first() == (200, 3)
+    tree = cells.tree(b, 8).cache()
+    depths = motion.by_levels(tree, lambda d, c: (d, c.count()))
+    assert depths[0] == (0, 1) and sum(n for _, n in depths) == tree.count() and motion.by_levels(tree, lambda d, c: d, up=True)[-1] == 0
+    assert cells.find(tree, spark.createDataFrame([(0, 0), (9, -5)], "depth int, prefix long")).where("n = 200").count() == 1
+    with pytest.raises(ArithmeticError, match="aren't numbers"):
+        motion.require_finite(b.withColumns({"a" + c: F.lit(float("nan")) for c in "xyz"}))
+    sticky = cells.merge_records(*(tree.where("depth = 0").withColumn("is_leaf", F.lit(x)) for x in (True, False)), sticky=True)
+    assert sticky.first()["is_leaf"] and sticky.first()["n"] == 400
+    timers = simulate.Timers()
+    _, log = simulate.run(two(spark), SimConfig.of("body", steps=2, dt=0.01, algorithm="direct"), timers=timers)
+    text = simulate.lines(simulate.report(log, timers, partition.balance(b, 4)))
+    assert text[0].startswith("[ENERGY]") and any(x.startswith("[TIMERS] forces") for x in text) and text[-1].startswith("[BALANCE] 200 bodies in 4 parts")
+    assert writers.read_metrics(writers.metrics_toml({"a": 1.5, "t": {"x": 1}})) == {"a": 1.5, "t": {"x": 1}}
+
+
+def test_direct_sums_in_blocks(spark, monkeypatch):
+    b = generate.uniform_cube(spark, 90)
+    want = direct.accelerations(b, 0.01)
+    monkeypatch.setattr(direct, "_BROADCAST_ROWS", 10)
+    whole = direct.pairs
+    monkeypatch.setattr(direct, "pairs", lambda t, s, c: whole(t, s, c, block_rows=17))
+    assert motion.acceleration_error(direct.accelerations(b, 0.01), want).first()["largest"] < 1e-10
+
+
+def test_parts_with_essential_trees(spark):
+    b = generate.uniform_cube(spark, 300, half=5)
+    dom = domain.cubic_domain(b)
+    placed = domain.keyed(b, dom).withColumn("part", (F.col("id") % 3).cast("int"))
+    config = SimConfig.of("body", theta=0.3, leaf_size=4, softening=0.01)
+    got = essential.accelerations(placed, config, dom)
+    assert got.count() == 300 and motion.acceleration_error(got, direct.accelerations(b, 0.01)).first()["rms"] < 0.02
+
+
+def test_files_of_a_folder_have_ids_of_their_own(spark, tmp_path):
+    b = generate.uniform_cube(spark, 30)
+    for i, part in enumerate((b.where("id < 10"), b.where("id >= 10"))):
+        binary.write_packed(part, f"file://{tmp_path}/many/p{i}.bin", False)
+    assert motion.distance_error(b, binary.read_plain(spark, str(tmp_path / "many"))).first().asDict() == {"summed": 0.0, "largest": 0.0, "n": 30}
+    assert sorted(r["id"] for r in binary.read_plain(spark, str(tmp_path / "many"), 12).collect()) == list(range(12))
+    nameless = b.drop("id").coalesce(1)
+    assert sorted(r["id"] for r in tables.resolve(nameless).collect()) == list(range(30))
+
+
+def test_commands(spark, tmp_path):
+    from orbitalis.__main__ import main
+
+    out = lambda name: f"file://{tmp_path}/{name}"
+    assert main(["generate", "--kind", "uniform", "--n", "40", "--out", out("b.tab"), "--format", "preamble"], spark) == ["40 bodies, 0 repeated ids, 0 not finite"]
+    (tmp_path / "c.toml").write_text('dialect = "body"\nalgorithm = "direct"\nsteps = 1\nsoftening = 0.1\n')
+    said = main(["run", out("b.tab"), "--config", out("c.toml"), "--out", out("r")], spark)
+    assert any(x.startswith("[BALANCE] 40 bodies in 8 parts") for x in said)
+    assert tables.read_header(spark, out("r/state.csv")).count() == 40
+    (tmp_path / "j.json").write_text('{"systems": [{"particles": 12}]}')
+    main(["generate", "--json", out("j.json"), "--out", out("g.csv")], spark)
+    assert tables.open_bodies(spark, out("g.csv")).count() == 12
+    head = "e,a,i,om,w,ma,epoch,H,albedo,diameter,mass,class,name,central_body\n"
+    for i in (1, 2):
+        (tmp_path / f"e{i}.csv").write_text(head + f"0.1,{i}.0,1,2,3,4,2451544.5,,,,7e22,PLA,p{i},Sun\n")
+    assert main(["convert", out("e1.csv"), out("e2.csv"), "--out", out("s")], spark) == ["1 bodies, 0 without a mass"] * 2
+    assert tables.read_header(spark, out("s/states1.csv")).count() == 1 and spark.read.csv(out("s/combined.csv"), header=True).count() == 3
