@@ -20,6 +20,7 @@ from orbitalis.operators import cells as tree
 from orbitalis.operators.domain import Domain, cubic_domain, keyed
 
 MOST_CELLS = 2_000_000
+_PAIRS = 500_000
 SCHEMA = "id long, ax double, ay double, az double, phi double, n_approx long, n_direct long"
 
 
@@ -71,15 +72,18 @@ class FlatTree:
             if not self.leaf[cell]:
                 stack += [(k, u) for k in self.children[cell]]
                 continue
-            for s in range(self.lo[cell], self.hi[cell]):
-                other = u[ids[u] != self.id[s]]
-                d = self.pos[s] - pos[other]
-                q = (d * d).sum(1) + eps2
-                direct[other] += 1
+            s = slice(self.lo[cell], self.hi[cell])
+            rows = max(1, _PAIRS // max(1, s.stop - s.start))
+            for at in range(0, len(u), rows):  # all pairs of some targets with the leaf's bodies
+                v = u[at : at + rows]
+                d = self.pos[s][None] - pos[v][:, None]
+                q = (d * d).sum(2) + eps2
+                other = ids[v][:, None] != self.id[s][None]
                 with np.errstate(divide="ignore"):
-                    f = np.where(q > 0, q**-0.5, 0.0)
-                acc[other] += d * (self.m[s] * f**3)[:, None]
-                phi[other] -= self.m[s] * f
+                    f = np.where(other & (q > 0), q**-0.5, 0.0)
+                direct[v] += other.sum(1)
+                acc[v] += np.einsum("ijk,ij->ik", d, self.m[s] * f**3)
+                phi[v] -= f @ self.m[s]
         return acc * c.gravity, phi * c.gravity, approx, direct
 
 

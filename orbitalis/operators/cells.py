@@ -4,7 +4,8 @@ Bodies are first summed by key, so that coincident bodies cost one row.  Each
 key is then counted into its prefix at every depth; map-side aggregation leaves
 few rows for the upper levels.  A cell stays if it is the root or its parent
 holds more than `capacity` bodies; it is a leaf if it doesn't, or lies at the
-greatest depth.
+greatest depth.  Levels are counted some at a time, and only for the bodies of
+cells that are still crowded.
 """
 
 from __future__ import annotations
@@ -66,6 +67,11 @@ def all_cells(bodies: DataFrame, depth: int = keys.BITS, digit: int = 3, second:
 
 def tree(bodies: DataFrame, capacity: int, depth: int = keys.BITS, digit: int = 3, **more) -> DataFrame:
     """The cells that a tree with leaves of at most `capacity` bodies has."""
+    return tree_by_levels(bodies, capacity, depth, digit, 8 * 3 // digit, **more)
+
+
+def tree_at_once(bodies: DataFrame, capacity: int, depth: int = keys.BITS, digit: int = 3, **more) -> DataFrame:
+    """The same in one query, which counts each key into all depths."""
     return _kept(all_cells(bodies, depth, digit, **more), capacity, depth, digit)
 
 
@@ -77,12 +83,11 @@ def _kept(cells: DataFrame, capacity: int, depth: int, digit: int) -> DataFrame:
 
 
 def tree_by_levels(bodies: DataFrame, capacity: int, depth: int = keys.BITS, digit: int = 3, step: int = 7, **more) -> DataFrame:
-    """The same cells as tree(), `step` levels at a time.
+    """The tree's cells, `step` levels at a time.
 
     Only bodies of cells that are still crowded go on to the next levels, so a
     huge table isn't counted into levels far below its leaves, where nearly each
-    body is a row of its own.  Costs a semi-join of the bodies for each step;
-    worth it where the table, not the number of jobs, decides.
+    body is a row of its own.  Costs a semi-join of the bodies for each step.
     """
     active, parts, first = bodies, [], 0
     while True:

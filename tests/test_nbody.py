@@ -100,6 +100,7 @@ def test_tree_invariants(spark):
     placed = domain.keyed(b, dom).cache()
     r = motion.check_tree(placed, cells.tree(placed, 4)).first()
     assert r["n"] == r["root_n"] == r["leaf_n"] == 300 and r["wrong_cells"] == 0
+    assert cells.tree(placed, 4).drop("mass", "cx", "cy", "cz").exceptAll(cells.tree_at_once(placed, 4).drop("mass", "cx", "cy", "cz")).count() == 0
     own = cells.with_leaf(placed, cells.tree(placed, 4))
     assert own.count() == 300 and own.where(keys.prefix_at(F.col("key"), F.col("leaf_depth")) != F.col("leaf_prefix")).count() == 0
     assert r["mass"] == pytest.approx(r["leaf_mass"], rel=1e-12)
