@@ -16,35 +16,32 @@ from orbitalis.llm.storage import materialize
 _ROWS_PER_FILE = 200_000
 
 
-def _toward_smallest(pairs: DataFrame, large: bool, many: int) -> DataFrame:
+def _toward_smallest(pairs: DataFrame, large: bool) -> DataFrame:
     """pairs (u, v): each v around u is linked with the smallest of u and its v.
 
-    A node with more than `many` neighbours, of which there are few, is looked up in
-    a broadcast table, so that its neighbours don't meet in one task.
+    The minima are written before the join.  So both of its sides come straight out
+    of an exchange, and adaptive execution can split a node with very many
+    neighbours over tasks.
     """
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k")).withColumn("m", F.least("m", "u"))
-    hubs = F.broadcast(least.where(F.col("k") > many).select("u", "m"))
-    usual = least.where(F.col("k") <= many).select("u", "m")
-    linked = pairs.join(hubs, "u").unionByName(pairs.join(hubs, "u", "left_anti").join(usual, "u"))
+    least = materialize(pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "least")
+    linked = pairs.join(least, "u")
     out = linked.where("v > u").select("v", "m") if large else linked.select("v", "m").union(least.select(F.col("u").alias("v"), "m"))
     return out.where("v <> m").distinct()
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", least_hub: int = 1000) -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and comp (the smallest node of its component) for all nodes but the smallest.
 
     Null nodes are no nodes: their links are left out.  Links of a node with itself
-    and repeated links change nothing; no links give no rows.  Hubs are nodes with
-    more than a thousandth of all links (`least_hub` at least), so 2000 at most.
+    and repeated links change nothing; no links give no rows.
     """
     good = links.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     edges = materialize(good.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("m")).where("v <> m").distinct(), "links")
-    n = edges.count()  # rounds don't add links
-    state, files, many = None, max(4, -(-n // _ROWS_PER_FILE)), max(least_hub, n // 1000)
+    state, files = None, max(4, -(-edges.count() // _ROWS_PER_FILE))  # rounds don't add links
     while True:
         both = edges.select(F.col("v").alias("u"), F.col("m").alias("v")).union(edges.select(F.col("m").alias("u"), "v"))
-        edges = _toward_smallest(both, True, many)
-        edges = _toward_smallest(edges.select(F.col("v").alias("u"), F.col("m").alias("v")), False, many)
+        edges = materialize(_toward_smallest(both, True).coalesce(files), "links")
+        edges = _toward_smallest(edges.select(F.col("v").alias("u"), F.col("m").alias("v")), False)
         edges = materialize(edges.coalesce(files), "links")
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("v", "m"))).first()
         if now == state:

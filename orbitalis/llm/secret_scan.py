@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbitalis.llm import textkernel as tk
+
 KINDS = ("assign", "access", "hex")
 #: Patterns of the three kinds (fixed values); letters are ASCII ones.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -354,22 +356,31 @@ def redact(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
 ROWS = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string"
 
 
+_ROWS = 500  # texts held as Python strings at a time
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(at, _ROWS)
+        tk.release()
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Per row: doc_id, the counts of base spans, their digest, all spans and, if
     asked for, the redacted text (null where nothing was found)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 base, every = all_secrets(text or "")
                 n = [sum(s[0] == k for s in base) for k in KINDS]
                 rows.append((*n, hashlib.sha256(spans_text(base).encode()).hexdigest(), spans_text(every), redact(text, every) if with_text and every else None))
-            if rows:
-                types = [pa.int64()] * 3 + [pa.string()] * 3
-                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"])
+            types = [pa.int64()] * 3 + [pa.string()] * 3
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"])
 
     out = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, {ROWS}")
     return out if with_text else out.drop("redacted")
@@ -383,7 +394,7 @@ def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") ->
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             texts = [None if t is None else redact(t, all_secrets(t)[1], mark) for t in batch.column(at).to_pylist()]
             cols = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(cols, names=names)

@@ -34,6 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written to a scratch table and read back with its own schema."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_folder(spark)}/orbitalis/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     _written.append(path.rsplit("/", 1)[0])
@@ -68,5 +69,18 @@ def clear(spark: SparkSession) -> int:
     return n
 
 
+_BATCH_SETTING, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lets Python workers get texts in batches of a few MB, however long they are;
+    Spark's own bound is 64 MB, and a smaller one stays."""
+    now = spark.conf.get(_BATCH_SETTING, "64m").lower().rstrip("b")
+    size = int(now[:-1]) << {"k": 10, "m": 20, "g": 30}[now[-1]] if now[-1:] in "kmg" else int(now)
+    if size <= 0 or size > _BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(_BATCH_BYTES))
+
+
 def input_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
