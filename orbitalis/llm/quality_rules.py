@@ -33,10 +33,16 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, SEPARATORS, " " * len(SEPARATORS)), " "), "")
 
 
-def repeated_words(hashes: Column, window: int) -> Column:
-    """How many words lie in windows (of word hashes) found twice or more."""
-    n = F.size(hashes)
-    windows = F.transform(F.sequence(F.lit(1), n - (window - 1)), lambda i: F.xxhash64(F.slice(hashes, i, window)))
+def neighbours(hashes: Column, shift: int = 1) -> Column:
+    """A hash of each element and the one `shift` places on; none for the last ones."""
+    both = F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + shift)))
+    return F.slice(both, 1, F.greatest(F.size(hashes) - shift, F.lit(0)))
+
+
+def repeated_words(hashes: Column, pairs: Column, window: int) -> Column:
+    """How many words lie in windows (of word hashes; pairs: those of two words) found
+    twice or more.  Windows of two, four, ... words come first: where all of a text's
+    are different, so are its longer ones."""
 
     def covered(found: Column) -> Column:
         """found: hash and place of each window, sorted."""
@@ -50,11 +56,15 @@ def repeated_words(hashes: Column, window: int) -> Column:
             lambda acc: acc["n"],
         )
 
-    def of(w: Column) -> Column:
-        placed = F.array_sort(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(w)) == F.size(w), 0).otherwise(_let(placed, covered))
+    def of(found: Column, size: int) -> Column:
+        if size == window:
+            more = _let(F.array_sort(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), covered)
+        else:
+            to = min(2 * size, window)
+            more = _let(neighbours(found, to - size), lambda x: of(x, to))
+        return F.when(F.size(F.array_distinct(found)) == F.size(found), 0).otherwise(more)
 
-    return F.when(n < window + 1, 0).otherwise(_let(windows, of)).cast("long")
+    return F.when(F.size(hashes) < window + 1, 0).otherwise(of(pairs, 2)).cast("long")
 
 
 def _let(value: Column, body) -> Column:
@@ -63,7 +73,7 @@ def _let(value: Column, body) -> Column:
 
 
 def base_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8) -> DataFrame:
-    """doc_id, hashes (of the words), and the base numbers of each row."""
+    """doc_id, hashes (of the words), pairs (of neighbours), and the base numbers of each row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     plain = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), words(text).alias("words"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, " " + SEPARATORS, "")) > 0)
@@ -74,14 +84,11 @@ def base_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.length(F.translate("text", " " + SEPARATORS, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-    ).withColumn("n_repeat_words", repeated_words(F.col("hashes"), window))
+    ).withColumn("pairs", neighbours(F.col("hashes"))).withColumn("n_repeat_words", repeated_words(F.col("hashes"), F.col("pairs"), window))
 
 
-def grams(hashes: Column, buckets: int) -> Column:
-    """The bucket of each word and of each pair of neighbours."""
-    single = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
-    pair = F.transform(hashes, lambda h, i: F.pmod(F.xxhash64(h, F.get(hashes, i + 1)), F.lit(buckets)).cast("int"))
-    return F.concat(single, F.slice(pair, 1, F.greatest(F.size(hashes) - 1, F.lit(0))))
+def bucket(gram: Column, buckets: int) -> Column:
+    return F.pmod(gram, F.lit(buckets)).cast("int")
 
 
 _BROADCAST_ROWS = 500_000
@@ -96,7 +103,8 @@ def weights(docs: DataFrame, trusted: DataFrame, buckets: int, smoothing: float,
     # joined as texts, which are half as large as their hashes where the join is a shuffle
     each = docs.select(F.col(id_col).alias("_doc"), text.alias("_text")).join(good, F.col("_doc") == F.col("_id"), "left")
     each = each.withColumn("hashes", F.transform(words(F.col("_text")), lambda x: F.xxhash64(x)))
-    counts = each.select(F.coalesce("_good", F.lit(0)).alias("good"), F.explode(grams(F.col("hashes"), buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("good").alias("k"))
+    grams = each.select(F.coalesce("_good", F.lit(0)).alias("good"), F.explode(F.concat("hashes", neighbours(F.col("hashes")))).alias("gram"))
+    counts = grams.groupBy(bucket(F.col("gram"), buckets).alias("bucket")).agg(F.count("*").alias("n"), F.sum("good").alias("k"))
     counts = materialize(counts, "gram-counts")
     n, k = counts.agg(F.sum("n"), F.sum("k")).first()
     n, k = n or 0, k or 0
@@ -121,7 +129,8 @@ def apply_rules(
     """doc_id, the base numbers, score, base_failed and kept of each row."""
     table = weights(docs, trusted, buckets, smoothing, id_col, text_col).scalar()
     base = base_columns(docs, id_col, text_col).withColumn("_weights", table)
-    total = F.aggregate(grams(F.col("hashes"), buckets), F.lit(0.0), lambda acc, b: acc + F.get("_weights", b))
+    add = lambda acc, gram: acc + F.get("_weights", bucket(gram, buckets))
+    total = F.aggregate("pairs", F.aggregate("hashes", F.lit(0.0), add), add)
     scored = base.withColumn("score", F.when(F.col("n_words") > 0, total / (2 * F.col("n_words") - 1)).otherwise(0.0))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
-    return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold)).drop("hashes", "_weights")
+    return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold)).drop("hashes", "pairs", "_weights")
