@@ -9,15 +9,19 @@ anchors (|D| in v words) are hashed and compared over the corpus.  A repeated
 anchor is then extended: every full window around it is hashed and compared,
 and those found again are passages.
 
-Documents are dealt into chunks by a hash of their id.  A chunk asks for its
+Documents are dealt into chunks by a hash of id and text, as many as there are
+`chunk_bytes` of text.  A chunk asks for its
 distinct hashes, and is told which of them occur elsewhere as well (or twice
 within it).  A hash shared by a third of all documents costs each chunk one
-entry.  The texts are exchanged once and reused in all three passes.
+entry.  Anchors go by 64 bits, as they only say where to look; windows by 128,
+two independent hashes over independently hashed words.  The texts are exchanged
+once and reused in all three passes.
 
 Edge cases: a null or empty text has no words and keeps an empty text; texts
 with fewer words than a window lose nothing; a text that occurs twice is
-removed in both places if it has a window; repeated rows are copies; an empty
-table gives no rows; extra columns are ignored.
+removed in both places if it has a window; repeated rows, null and equal ids are
+rows of their own; an empty table gives no rows; extra columns are ignored; a
+text longer than a chunk is held whole by one task.
 """
 
 from __future__ import annotations
@@ -39,10 +43,23 @@ ANSWERS = "chunk int, found binary"
 _REQUEST = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("once", pa.binary()), ("often", pa.binary())])
 
 
+def _sorted(rows: np.ndarray) -> np.ndarray:
+    """Rows of one or two hashes in order."""
+    return np.sort(rows, axis=0) if rows.shape[1] == 1 else rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+
+
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows in order, and how often each occurs."""
+    rows = _sorted(rows)
+    begin = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]).any(1)))) if len(rows) else np.zeros(0, np.int64)
+    return rows[begin], np.diff(np.concatenate((begin, [len(rows)])))
+
+
 def requests(chunk: int, hashes: np.ndarray, parts: int) -> pa.RecordBatch:
-    """The chunk's distinct hashes by part, those that it has once and oftener apart."""
-    values, n = np.unique(hashes, return_counts=True)
-    part = ((values >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    """The chunk's distinct hashes (rows of one or two) by part, those that it has
+    once and oftener apart."""
+    values, n = _distinct(hashes)
+    part = ((values[:, 0] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
     cuts = np.searchsorted(part, np.arange(parts + 1))
     rows = []
     for p in range(parts):
@@ -53,26 +70,31 @@ def requests(chunk: int, hashes: np.ndarray, parts: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _REQUEST.types, strict=True)], schema=_REQUEST)
 
 
-def answers(asked: DataFrame, parts: int) -> DataFrame:
-    """For each chunk those of its hashes that occur more than once over all chunks."""
+def answers(asked: DataFrame, parts: int, wide: int) -> DataFrame:
+    """For each chunk those of its hashes (`wide` 64-bit numbers each) that occur more
+    than once over all chunks."""
+
+    def read(raw: list[bytes]) -> list[np.ndarray]:
+        return [np.frombuffer(x, np.uint64).reshape(-1, wide) for x in raw]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks, once, often = [], [], []
         for b in batches:
             chunks += b.column(0).to_pylist()
-            once += [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
-            often += [np.frombuffer(x, np.uint64) for x in b.column(2).to_pylist()]
+            once += read(b.column(1).to_pylist())
+            often += read(b.column(2).to_pylist())
         if not chunks:
             return
-        every = np.sort(np.concatenate([*once, *often]))
-        twice = np.concatenate([every[1:][every[1:] == every[:-1]], *often])
-        twice = np.unique(twice)
+        every, n = _distinct(np.concatenate([*once, *often]))
+        twice = every[n > 1]
         for chunk, a, b in zip(chunks, once, often, strict=True):
-            mine = a[np.isin(a, twice, assume_unique=True)] if len(twice) else a[:0]
+            mine = a[_among(a, twice)]
             if len(mine) or len(b):
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "found": pa.array([mine.tobytes() + b.tobytes()], pa.binary())})
+        del every, twice, once, often
+        tk.release()
 
-    return asked.repartition(parts, "part").select("chunk", "once", "often").mapInArrow(run, ANSWERS)
+    return asked.repartitionById(parts, "part").select("chunk", "once", "often").mapInArrow(run, ANSWERS)
 
 
 class _Run:
@@ -81,6 +103,7 @@ class _Run:
     def __init__(self, data: np.ndarray, off: np.ndarray):
         self.words = tk.Words(data, off)
         self.hash = self.words.hashes()
+        self._second: np.ndarray | None = None
         self.first = self.words.first
         n = np.diff(self.first)
         self.place = np.arange(len(self.hash)) - np.repeat(self.first[:-1], n)  # within the text
@@ -89,6 +112,12 @@ class _Run:
     def starts(self, size: int) -> np.ndarray:
         return self.after >= size
 
+    def windows(self, size: int, start: np.ndarray) -> np.ndarray:
+        """Two hashes of the windows that start at these places."""
+        if self._second is None:
+            self._second = self.words.hashes(family=1)
+        return np.stack([tk.windows(h, size)[start] for h in (self.hash, self._second)], 1)
+
     def anchors(self, size: int, window: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of the anchors and their hashes; texts shorter than a window have none."""
         cover = np.zeros(PERIOD, bool)
@@ -112,65 +141,76 @@ def _runs(texts: pa.Array) -> Iterator[tuple[int, int, _Run, np.ndarray, np.ndar
         yield a, b, _Run(d, o), d, o
 
 
-def _found(right: pa.Table) -> np.ndarray:
-    got = [np.frombuffer(x, np.uint64) for x in right.column("found").to_pylist()]
-    return np.unique(np.concatenate(got)) if got else np.zeros(0, np.uint64)
+def _found(right: pa.Table, wide: int) -> np.ndarray:
+    got = [np.frombuffer(x, np.uint64).reshape(-1, wide) for x in right.column("found").to_pylist()]
+    return _distinct(np.concatenate(got))[0] if got else np.zeros((0, wide), np.uint64)
 
 
 def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Whether each value is in the sorted array."""
-    if not len(known):
-        return np.zeros(len(x), bool)
-    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
-
-
-def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", docs_per_chunk: int = 2000) -> DataFrame:
+    """Whether each row is among the known ones, which are in order."""
+    out = np.zeros(len(x), bool)
+    left, at = np.arange(len(x)), np.searchsorted(known[:, 0], x[:, 0])
+    while len(left):
+        on = (at < len(known)) & (known[np.minimum(at, len(known) - 1), 0] == x[left, 0]) if len(known) else np.zeros(len(left), bool)
+        left, at = left[on], at[on]
+        same = (known[at] == x[left]).all(1)
+        out[left[same]] = True
+        left, at = left[~same], at[~same] + 1  # another row with that first hash
+    return out
+
+
+def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 6 << 20) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the kept words, joined by spaces) of each row."""
     if window < PERIOD:
         raise ValueError(f"a window has at least {PERIOD} words")
     size = window - PERIOD + 1
     kind = docs.schema[id_col].dataType.simpleString()
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    chunks = max(parts, -(-docs.count() // docs_per_chunk))
     dealt = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")).repartition(chunks if chunks < 4 * parts else parts, "chunk")
+    total = dealt.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (8 * chunk_bytes)))
+    chunks = max(parts, -(-total // chunk_bytes))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartition(chunks if chunks < 4 * parts else parts, "chunk")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            own = batch.column(0).to_numpy()
-            for a, b, run, _, _ in _runs(batch.column(1)):
+            own = batch.column("chunk").to_numpy()
+            for a, b, run, _, _ in _runs(batch.column("text")):
                 at, h = run.anchors(size, window)
                 of = np.repeat(own[a:b], np.diff(run.first))[at]
                 for chunk in np.unique(own[a:b]).tolist():
                     held.setdefault(chunk, []).append(h[of == chunk])
         for chunk, got in held.items():
-            yield requests(chunk, np.concatenate(got), parts)
+            yield requests(chunk, np.concatenate(got)[:, None], parts)
+        del held
+        tk.release()
 
     def extend(left: pa.Table, right: pa.Table) -> pa.Table:
-        known, out = _found(right), []
+        known, out = _found(right, 1), []
         if not len(known):
             return _REQUEST.empty_table()
         for _, _, run, _, _ in _runs(left.column("text")):
             at, h = run.anchors(size, window)
-            start = run.candidates(at[_among(h, known)], window)
+            start = run.candidates(at[_among(h[:, None], known)], window)
             if len(start):
-                out.append(tk.windows(run.hash, window)[start])
+                out.append(run.windows(window, start))
         if not out:
             return _REQUEST.empty_table()
         return pa.Table.from_batches([requests(left.column("chunk")[0].as_py(), np.concatenate(out), parts)])
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = _found(right)
+        known = _found(right, 2)
         n_words, n_removed, kept = [], [], []
         for a, b, run, data, off in _runs(left.column("text")):
             n = np.diff(run.first)
             covered = np.zeros(len(run.hash) + 1, np.int64)
-            h = tk.windows(run.hash, window)
-            if len(known) and len(h):
+            if len(known) and len(run.hash) >= window:
+                h = tk.windows(run.hash, window)
                 start = np.flatnonzero(run.starts(window)[: len(h)])
-                start = start[_among(h[start], known)]
+                first = known[:, 0]  # most windows aren't known by their first hash already
+                start = start[first[np.minimum(np.searchsorted(first, h[start]), len(first) - 1)] == h[start]]
+                start = start[_among(run.windows(window, start), known)] if len(start) else start
                 np.add.at(covered, start, 1)
                 np.add.at(covered, start + window, -1)
             gone = np.cumsum(covered)[:-1] > 0
@@ -186,8 +226,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
             n_removed += lost.tolist()
         return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string())})
 
-    first = answers(dealt.select("chunk", "text").mapInArrow(ask, REQUESTS), parts)
-    second = answers(dealt.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(extend, REQUESTS), parts)
+    # all passes read all columns, so that they have one exchange in common
+    first = answers(dealt.mapInArrow(ask, REQUESTS), parts, 1)
+    second = answers(dealt.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(extend, REQUESTS), parts, 2)
     return dealt.groupBy("chunk").cogroup(second.groupBy("chunk")).applyInArrow(cut, f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 

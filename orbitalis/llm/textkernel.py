@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK = 1 << 20
+_HASH_BLOCK = 1 << 16  # bytes hashed at a time, so that what is in work stays in the cache
 _U = np.uint64
 _PRIME = 0x9E3779B97F4A7C15
 _STEP = 0xD1342543DE82EF95
@@ -45,9 +46,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @functools.cache
-def _byte_values(fold: bool) -> np.ndarray:
-    """A random odd-ish value for each byte; with fold, A-Z get those of a-z."""
-    table = mix(np.arange(1, 257, dtype=_U) * _U(_PRIME))
+def _byte_values(fold: bool, family: int = 0) -> np.ndarray:
+    """A random odd-ish value for each byte; with fold, A-Z get those of a-z.
+    Families of hashes are independent of one another."""
+    table = mix(np.arange(1, 257, dtype=_U) * _U(_PRIME) + _U(family << 40))
     if fold:
         table[65:91] = table[97:123]
     return table
@@ -122,18 +124,18 @@ class Words:
         self.end = np.flatnonzero(word & (after | edge[1:])) + 1
         self.first = np.searchsorted(self.start, offsets)
 
-    def hashes(self, fold: bool = False) -> np.ndarray:
+    def hashes(self, fold: bool = False, family: int = 0) -> np.ndarray:
         """A 64-bit hash of each word; with fold, A-Z are taken as a-z."""
-        return span_hashes(self.data, self.start, self.end, fold)
+        return span_hashes(self.data, self.start, self.end, fold, family)
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = False) -> np.ndarray:
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = False, family: int = 0) -> np.ndarray:
     """A 64-bit hash of the bytes of each span; spans are in order and don't overlap."""
     out = np.empty(len(start), _U)
-    values, at = _byte_values(fold), 0
+    values, at = _byte_values(fold, family), 0
     while at < len(out):
         base = start[at]
-        to = max(int(np.searchsorted(end, base + BLOCK, "right")), at + 1)
+        to = max(int(np.searchsorted(end, base + _HASH_BLOCK, "right")), at + 1)
         span = data[base : end[to - 1]]
         total = np.empty(len(span) + 1, _U)
         total[0] = 0
