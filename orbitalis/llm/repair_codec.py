@@ -112,19 +112,27 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, least: int = 4, rati
             break
         limit = max(least, min(limit or top, top) // ratio)
         chosen = np.flatnonzero(count >= limit)
-        order = np.argsort(-count[chosen], kind="stable")
-        chosen = chosen[np.sort(order[: most - made])]
-        rank = np.empty(len(chosen), np.int32)
-        rank[np.argsort(-count[chosen], kind="stable")] = np.arange(len(chosen), 0, -1)
-        number = np.full(len(count), -1, np.int32)
-        number[chosen] = np.arange(len(chosen))
-        of = np.repeat(number, size)
-        of[left_out] = -1
-        ok = of >= 0
-        of, spot = of[ok], place[ok]
+        if len(chosen) > most - made:
+            chosen = np.sort(chosen[np.argsort(-count[chosen], kind="stable")[: most - made]])
+        rank = np.empty(len(chosen), np.int32)  # by count, all different
+        rank[np.argsort(np.minimum(count[chosen], 65_535).astype(np.uint16), kind="stable")] = np.arange(1, len(chosen) + 1)
+        if 4 * int(size[chosen].sum()) < len(place):
+            of, spot = np.repeat(np.arange(len(chosen), dtype=np.int32), size[chosen]), spans_of(begin[:-1][chosen], size[chosen])
+            if len(left_out):
+                out = np.zeros(len(place), bool)
+                out[left_out] = True
+                of, spot = of[~out[spot]], spot[~out[spot]]
+            spot = place[spot]
+        else:
+            number = np.full(len(count), -1, np.int32)
+            number[chosen] = np.arange(len(chosen))
+            of = np.repeat(number, size)
+            of[left_out] = -1
+            ok = of >= 0
+            of, spot = of[ok], place[ok]
         mine = rank[of]
         seq.rank[spot] = mine
-        wins = (mine > seq.rank[seq.before[spot]]) & (mine > seq.rank[seq.next[spot]])
+        wins = mine > np.maximum(seq.rank[seq.before[spot]], seq.rank[seq.next[spot]])
         seq.rank[spot] = 0
         spot, of = spot[wins], of[wins]
         got = np.bincount(of, minlength=len(chosen))

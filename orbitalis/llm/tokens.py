@@ -1,7 +1,9 @@
 """Byte-level BPE ids through the tokenizers library, with a store of units.
 
 A text is cut at single spaces that stand between two plainly printable
-characters: the pre-tokenizer always cuts there too (a space opens the next
+characters, between a letter and a point or line feed, and after a line feed
+that stands between such characters:
+the pre-tokenizer always cuts there too (a space opens the next
 piece), so the ids of the units, joined, are the ids of the text.  Units recur
 far more often than texts, so each worker keeps the ids of those it has met, in
 flat arrays behind a hash table, and looks up all units of a block at once.
@@ -30,6 +32,7 @@ from orbitalis.llm.textkernel import spans_of
 _MOST_UNITS = 1_500_000
 _LONGEST = 32  # bytes of a unit that is kept
 _JOINED = 512
+_RUN = 1 << 18  # bytes taken at a time
 _SLOT_BITS = 22
 
 
@@ -93,6 +96,12 @@ class _Store:
 _PLAIN = np.zeros(256, np.uint8)
 _PLAIN[0x21:0x7F] = 1
 _PLAIN[0xC3:0xC9] = 2
+#: Kinds of bytes: 1 ASCII letter, 2 point, 3 line feed, 4 other plain ASCII.
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = 4
+_KIND[ord("A") : ord("Z") + 1] = _KIND[ord("a") : ord("z") + 1] = 1
+_KIND[list(b",.;:!?")] = 2
+_KIND[ord("\n")] = 3
 
 
 def unit_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -101,6 +110,10 @@ def unit_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     space = space[(space > 1) & (space + 1 < len(data))]
     before = (_PLAIN[data[space - 1]] == 1) | ((_PLAIN[data[space - 2]] == 2) & (data[space - 1] & 0xC0 == 0x80))
     cut = np.zeros(len(data) + 1, bool)
+    kind = _KIND[data]
+    cut[1:-1] = (kind[:-1] == 1) & ((kind[1:] == 2) | (kind[1:] == 3))
+    feed = np.flatnonzero(kind[1:-1] == 3) + 1  # of several line feeds the last goes with what follows
+    cut[feed[(kind[feed - 1] % 3 > 0) & (kind[feed + 1] % 3 > 0)] + 1] = True
     cut[space[before & (_PLAIN[data[space + 1]] > 0)]] = True
     cut[off[1:] - 1] = False  # a space at a text's end stays with what is before it
     cut[off] = True
@@ -225,7 +238,7 @@ class UnitEncoder:
         ids of their texts, one after another, and offsets into them.  A null text
         is an empty one."""
         data, off = tk.text_bytes(column)
-        for a, b in tk.runs(off, tk.BLOCK):
+        for a, b in tk.runs(off, _RUN):
             d, o = data[off[a] : off[b]], off[a : b + 1] - off[a]
             raw = d.tobytes() if self._special else b""
             if not any(x in raw for x in self._special):
