@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substrings": substring_dedup.ORACLE, "op10_jaccard": parity_join.ORACLE}
+    return {"op4_substrings": substring_dedup.ORACLE, "op8_chat": chat_format.ORACLE, "op10_jaccard": parity_join.ORACLE}

@@ -214,3 +214,25 @@ def digest_formatted(formatted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(n, pa.string() if "sha" in n else pa.int64()) for n in rows[0]]))
 
     return formatted.select("conv_id", "text", "loss").mapInArrow(run, DIGESTS)
+
+
+#: SQL of the query over conversations: what is read back is what went in, and the
+#: formatted length is that of texts, escapes and marks.
+ORACLE = r"""
+WITH t AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, replace(text, chr(92), '') AS u, replace(role, chr(92), '') AS v FROM t
+), m AS (
+  SELECT *, length(text) + len(list_filter(range(1, length(u)), lambda i: substr(u, i, 1) IN ('<', '[') AND substr(u, i + 1, 1) IN ('/', 's', 'I', '|', '<'))) AS body,
+    length(role) + len(list_filter(range(1, length(v)), lambda i: substr(v, i, 1) IN ('<', '[') AND substr(v, i + 1, 1) IN ('/', 's', 'I', '|', '<'))) AS named
+  FROM e
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(body + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 19 WHEN 'system' THEN 17 ELSE 28 + named END) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id
+"""

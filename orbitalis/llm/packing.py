@@ -23,6 +23,8 @@ input are ignored; ties in a length are ordered by id, start and hash.
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -77,26 +79,32 @@ class Pattern:
 
 
 def shortest_pack_first(histogram: dict[int, int], limit: int) -> list[Pattern]:
-    """Pack patterns for a histogram of lengths from 1 to limit."""
-    by_fill: dict[int, list[Pattern]] = {}
+    """Pack patterns for a histogram of lengths from 1 to limit.
+
+    Longest first, each piece goes to the pack with the least content if it fits
+    there, or else opens a pack.  Packs of one pattern take a piece each at a time;
+    where all are too full, the pieces of a length fill new packs one after another.
+    """
+    heap: list[tuple[int, int, Pattern]] = []  # by content, then by age
+    made = itertools.count()
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left > 0:
-            fill = next((f for f in sorted(by_fill) if by_fill[f] and f + length <= limit), None)
-            if fill is None:
-                each = 1
-                made = Pattern(length, left, ((length, 1),))
-                by_fill.setdefault(length, []).append(made)
+            if not heap or heap[0][0] + length > limit:
+                each = limit // length  # a new pack is the only one with room until it is full
+                for n, count in ((each, left // each), (left % each, 1)):
+                    if n and count:
+                        heapq.heappush(heap, (n * length, next(made), Pattern(n * length, count, ((length, n),))))
                 break
-            host = by_fill[fill].pop()
-            each = max(1, min((limit - fill) // length, -(-left // host.count)))
-            used = min(host.count, left // each)
+            fill, age, host = heapq.heappop(heap)
+            used = min(host.count, left)
             if used < host.count:
-                by_fill[fill].append(Pattern(fill, host.count - used, host.parts))
-            grown = Pattern(fill + each * length, used, (*host.parts, (length, each)))
-            by_fill.setdefault(grown.fill, []).append(grown)
-            left -= used * each
-    return [p for f in sorted(by_fill) for p in by_fill[f]]
+                heapq.heappush(heap, (fill, age, Pattern(fill, host.count - used, host.parts)))
+            *before, (last, n) = host.parts
+            parts = (*before, (last, n + 1)) if last == length else (*host.parts, (length, 1))
+            heapq.heappush(heap, (fill + length, next(made), Pattern(fill + length, used, parts)))
+            left -= used
+    return [p for _, _, p in sorted(heap, key=lambda x: x[:2])]
 
 
 @dataclass

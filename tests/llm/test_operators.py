@@ -55,6 +55,24 @@ def test_plan_places_each_length_as_often_as_it_is(histogram):
     assert placed == collections.Counter(histogram)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 12), max_size=20))
+def test_plan_is_that_of_one_piece_at_a_time(histogram):
+    packs = []
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            least = min(range(len(packs)), key=lambda i: sum(packs[i]), default=None)
+            if least is None or sum(packs[least]) + length > 64:
+                packs.append([length])
+            else:
+                packs[least].append(length)
+    want = collections.Counter(tuple(sorted(p)) for p in packs)
+    got = collections.Counter()
+    for p in packing.shortest_pack_first(histogram, 64):
+        got[tuple(sorted(x for n, k in p.parts for x in [n] * k))] += p.count
+    assert sum(got.values()) == len(packs) and sorted(sum(p) for p in want.elements()) == sorted(sum(p) for p in got.elements())
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), min_size=1, max_size=20), st.sampled_from([0.0, 0.05, 1.0]))
 def test_plan_with_donors_leaves_one_sequence_open(histogram, most):
@@ -830,9 +848,8 @@ def test_components(spark):
         x, y = find(x), find(y)
         wanted[max(x, y)] = min(x, y)
     links = spark.createDataFrame(rows, "a long, b long")
-    for hub in (1000, 5):  # with and without nodes that count as hubs
-        got = {r["node"]: r["comp"] for r in connected_components(links, least_hub=hub).collect()}
-        assert got == {i: find(i) for i in range(800) if find(i) != i}
+    got = {r["node"]: r["comp"] for r in connected_components(links).collect()}
+    assert got == {i: find(i) for i in range(800) if find(i) != i}
 
 
 def test_tiles_of_hot_signatures(spark, monkeypatch):
