@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbitalis.llm import chat_format, decontaminate, packing, parity_join, pu_classifier, quality_rules, repair_codec, secret_scan, sharding, substring_dedup
+from orbitalis.llm import chat_format, decontaminate, merkle, packing, parity_join, pu_classifier, quality_rules, repair_codec, secret_scan, sharding, spotsigs, substring_dedup
 from orbitalis.llm.storage import input_table
 from orbitalis.llm.tokens import vocabulary_path
 
@@ -61,9 +61,17 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.similarity_classes(input_table(spark, sf_dir, "documents"), 75, 100, 5)
 
 
+def op11_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_with_edits(input_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(input_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substrings": substring_dedup.ORACLE, "op8_chat": chat_format.ORACLE, "op10_jaccard": parity_join.ORACLE}
+    return {"op4_substrings": substring_dedup.ORACLE, "op8_chat": chat_format.ORACLE, "op10_jaccard": parity_join.ORACLE, "op12_merkle": merkle.oracle()}
