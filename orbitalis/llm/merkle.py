@@ -202,7 +202,7 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, tree: str = "lan
     """Each row's leaf, subroot, root and proof, and the root that its tampered (else its
     own) leaf gives with the siblings of the untampered table."""
     spark = docs.sparkSession
-    rows = numbered(leaves(docs, fields, tree, id_col, text_col, tampered))
+    rows = numbered(materialize(leaves(docs, fields, tree, id_col, text_col, tampered), "digests"))  # ranges are sampled; texts are read once
     total = rows.count()
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, {RESULT}"
     if not total:
