@@ -27,42 +27,71 @@ def all_cells(bodies: DataFrame, depth: int = keys.BITS, digit: int = 3, second:
     """Every non-empty cell from depth `first` down to a depth: depth, prefix, n, mass and centre of
     mass; with second, central second moments; with boxes, those of the bodies.
 
-    First moments are summed about `origin` (the domain's middle keeps them
-    accurate).  Second moments need the domain: they are summed about the corner
-    of each key's own cell and moved to that of the cell at each depth, so no
-    digits are lost in small cells far from the middle.
+    First moments are summed about the domain's middle, or else about `origin`.
     """
-    if second and domain is None:
-        raise ValueError("second moments are summed about cells, which needs the domain")
-    m, grain = F.col("mass"), domain.span / (1 << keys.BITS) if second else 0.0
-    corner = {c: F.lit(lo) + k * grain for c, lo, k in zip("xyz", domain.low, keys.decode(F.col("key")), strict=True)} if second else {}
-    x, y, z = (F.col(c) - (corner[c] if second else o) for c, o in zip("xyz", origin, strict=True))
+    if domain is not None:
+        origin = tuple(lo + domain.span / 2 for lo in domain.low)
+    m = F.col("mass")
+    x, y, z = (F.col(c) - o for c, o in zip("xyz", origin, strict=True))
     sums = {"n": F.count("*"), "mass": F.sum(m), "mx": F.sum(m * x), "my": F.sum(m * y), "mz": F.sum(m * z)}
-    pairs = {"xx": x * x, "yy": y * y, "zz": z * z, "xy": x * y, "xz": x * z, "yz": y * z}
-    if second:
-        sums |= {"s" + k: F.sum(m * v) for k, v in pairs.items()}
     if boxes:
         sums |= {p + c: f(c) for p, f in (("l", F.min), ("h", F.max)) for c in "xyz"}
     by_key = bodies.groupBy("key").agg(*(v.alias(k) for k, v in sums.items()))
     level = F.explode(F.sequence(F.lit(first), F.lit(depth))).alias("depth")
     nested = by_key.select("*", level).withColumn("prefix", keys.prefix_at(F.col("key"), F.col("depth"), digit))
-    base = dict(zip("xyz", origin, strict=True))
-    if second:
-        start, _ = keys.key_range(F.col("depth"), F.col("prefix"), digit)  # the cell's corner
-        nested = nested.withColumns({"d" + c: (a - b) * grain for c, a, b in zip("xyz", keys.decode(F.col("key")), keys.decode(start), strict=True)})
-        d = {c: F.col("d" + c) for c in "xyz"}
-        moved = {"m" + c: F.col("m" + c) + m * d[c] for c in "xyz"}
-        moved |= {"s" + k: F.col("s" + k) + d[k[0]] * F.col("m" + k[1]) + d[k[1]] * F.col("m" + k[0]) + m * d[k[0]] * d[k[1]] for k in pairs}
-        nested = nested.withColumns(moved)
     again = {k: (F.min if k[0] == "l" else F.max if k[0] == "h" else F.sum)(k).alias(k) for k in sums}
     cells = nested.groupBy("depth", "prefix").agg(*again.values())
-    if second:
-        start, _ = keys.key_range(F.col("depth"), F.col("prefix"), digit)
-        base = {c: F.lit(lo) + k * grain for c, lo, k in zip("xyz", domain.low, keys.decode(start), strict=True)}
-    out = cells.withColumns({"c" + c: F.col("m" + c) / F.col("mass") + base[c] for c in "xyz"})
-    if second:
-        out = out.withColumns({k: F.col("s" + k) - F.col("m" + k[0]) * F.col("m" + k[1]) / F.col("mass") for k in SECOND}).drop(*("s" + k for k in SECOND))
-    return out.drop("mx", "my", "mz")
+    out = cells.withColumns({"c" + c: F.col("m" + c) / F.col("mass") + o for c, o in zip("xyz", origin, strict=True)}).drop("mx", "my", "mz")
+    if not second:
+        return out
+    low = bodies.select("mass", "x", "y", "z", F.lit(depth).alias("leaf_depth"), keys.prefix_at(F.col("key"), depth, digit).alias("leaf_prefix"))
+    return second_moments(out.withColumn("is_leaf", F.col("depth") == depth), low, digit, first).drop("is_leaf")
+
+
+#: Cells up to which second moments go from the leaves to all levels above at once.
+AT_ONCE = 200_000
+
+
+def second_moments(cells: DataFrame, placed: DataFrame, digit: int = 3, first: int = 0, step: int | None = None) -> DataFrame:
+    """cells with their central second moments: those of leaves about the leaf's own
+    centre of mass, summed over its bodies (placed: mass, x, y, z, leaf_depth,
+    leaf_prefix), then rolled up towards depth `first`.
+
+    What a cell adds to one above it is its own moment and its mass times the
+    product of the distances between the centres (the parallel-axis rule), so
+    nothing is subtracted and small cells far from everything keep their digits.
+    `step` levels are made at a time, from the last that were made and the leaves
+    in between; by default all of a small tree, else as many as 64 children have.
+    """
+    cells = cut(cells)
+    step = step or (keys.KEY_BITS if cells.count() <= AT_ONCE else 6 // digit)
+    centres = cells.select("depth", "prefix", *("c" + c for c in "xyz"))
+
+    def about(sources: DataFrame, at: DataFrame, names: str) -> DataFrame:
+        """Moments about the centres in `at` of sources (depth, prefix, mass, names)."""
+        d = {c: F.col(names + c) - F.col("c" + c) for c in "xyz"}
+        met = sources.join(at, ["depth", "prefix"])
+        own = {k: (F.col("o" + k) if "o" + k in sources.columns else F.lit(0.0)) for k in SECOND}
+        return met.groupBy("depth", "prefix").agg(*(F.sum(own[k] + F.col("mass") * d[k[0]] * d[k[1]]).alias(k) for k in SECOND))
+
+    bodies = placed.select(F.col("leaf_depth").alias("depth"), F.col("leaf_prefix").alias("prefix"), "mass", *(F.col(c).alias("b" + c) for c in "xyz"))
+    leaves = cut(about(bodies, cells.where("is_leaf").select(*centres.columns), "b"))
+    known = cells.select("depth", "prefix", "mass", *(F.col("c" + c).alias("b" + c) for c in "xyz"))
+
+    def sources(moments: DataFrame) -> DataFrame:
+        return moments.select("depth", "prefix", *(F.col(k).alias("o" + k) for k in SECOND)).join(known, ["depth", "prefix"])
+
+    done, last = leaves, leaves.agg(F.max("depth")).first()[0]
+    made = None  # the inner cells at depth `last`
+    while last is not None and last > first:
+        low = max(first, last - step)
+        below = sources(leaves.where(F.col("depth") > low) if made is None else leaves.where((F.col("depth") > low) & (F.col("depth") <= last)).unionByName(made))
+        above = below.withColumn("_d", F.explode(F.sequence(F.lit(low), F.least(F.col("depth"), F.lit(last)) - 1)))
+        above = above.withColumn("prefix", F.call_function("shiftright", "prefix", ((F.col("depth") - F.col("_d")) * digit).cast("int"))).withColumn("depth", F.col("_d")).drop("_d")
+        fresh = cut(about(above, centres.where((F.col("depth") >= low) & (F.col("depth") < last)), "b"))
+        done = done.unionByName(fresh)
+        made, last = fresh.where(F.col("depth") == low), low
+    return cells.join(done, ["depth", "prefix"])
 
 
 def tree(bodies: DataFrame, capacity: int, depth: int = keys.BITS, digit: int = 3, **more) -> DataFrame:
@@ -70,9 +99,10 @@ def tree(bodies: DataFrame, capacity: int, depth: int = keys.BITS, digit: int =
     return tree_by_levels(bodies, capacity, depth, digit, 8 * 3 // digit, **more)
 
 
-def tree_at_once(bodies: DataFrame, capacity: int, depth: int = keys.BITS, digit: int = 3, **more) -> DataFrame:
+def tree_at_once(bodies: DataFrame, capacity: int, depth: int = keys.BITS, digit: int = 3, second: bool = False, **more) -> DataFrame:
     """The same in one query, which counts each key into all depths."""
-    return _kept(all_cells(bodies, depth, digit, **more), capacity, depth, digit)
+    cells = _kept(all_cells(bodies, depth, digit, **more), capacity, depth, digit)
+    return second_moments(cells := cut(cells), with_leaf(bodies, cells, depth, digit), digit) if second else cells
 
 
 def _kept(cells: DataFrame, capacity: int, depth: int, digit: int) -> DataFrame:
@@ -82,7 +112,7 @@ def _kept(cells: DataFrame, capacity: int, depth: int, digit: int) -> DataFrame:
     return kept.drop("_up").withColumn("is_leaf", (F.col("n") <= capacity) | (F.col("depth") == depth))
 
 
-def tree_by_levels(bodies: DataFrame, capacity: int, depth: int = keys.BITS, digit: int = 3, step: int = 7, **more) -> DataFrame:
+def tree_by_levels(bodies: DataFrame, capacity: int, depth: int = keys.BITS, digit: int = 3, step: int = 7, second: bool = False, **more) -> DataFrame:
     """The tree's cells, `step` levels at a time.
 
     Only bodies of cells that are still crowded go on to the next levels, so a
@@ -101,7 +131,8 @@ def tree_by_levels(bodies: DataFrame, capacity: int, depth: int = keys.BITS, dig
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return _kept(every, capacity, depth, digit)
+    cells = _kept(every, capacity, depth, digit)
+    return second_moments(cells := cut(cells), with_leaf(bodies, cells, depth, digit), digit) if second else cells
 
 
 _LEAF = ("_high", "_depth", "_prefix")
