@@ -519,8 +519,9 @@ def one_of_each(docs: DataFrame, num: int = 75, den: int = 100, width: int = 5,
     classes = _classes(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), row.alias("row")), num, den, width)
     own = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row").alias("c"))
     best = _by_class(classes, F.min(own), "best")
-    copies = materialize(best.where("n_shingles > 0 and best is not null and best.c <> row").select(F.col("row").alias("_copy")), "copies")
-    return docs.withColumn("_row", row).join(_sized(copies), F.col("_row") == F.col("_copy"), "left_anti").select(*(docs[f"`{c}`"] for c in names))
+    copies = materialize(best.where("n_shingles > 0 and best is not null and best.c <> row").select(F.col("row").alias("copy")), "copies")
+    kept = docs.select(F.struct(*(docs[f"`{c}`"] for c in names)).alias("doc"), row.alias("key"))  # whatever their columns are called
+    return kept.join(_sized(copies), F.col("key") == F.col("copy"), "left_anti").select("doc.*")
 
 
 ORACLE = r"""

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbitalis.llm import textkernel as tk
-from orbitalis.llm.storage import materialize
+from orbitalis.llm.storage import map_rows, materialize
 
 #: Classes of bytes: 1 capital, 2 other letter, 3 markup symbol, 4 digit, 5 punctuation.
 _CLASS = np.zeros(256, np.uint8)
@@ -267,4 +267,4 @@ def good_rows(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col
             yield batch.filter(pa.array(np.concatenate(good) if good else [], pa.bool_()))
             tk.release()
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)

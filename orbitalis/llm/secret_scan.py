@@ -1,18 +1,30 @@
 """Secret scanning with a recursive decoding worklist.
 
 The patterns run over the text itself first (base spans).  Then a worklist
-unwraps layers: percent escapes and Unicode escapes are decoded in place, runs
-of base64 are decoded on their own and decompressed if they hold gzip or zlib
-data.  Every new layer is scanned again and may yield further layers, until
-nothing new appears.  What a run of base64 holds is worked out once for each
-run, within which a text that was seen before is not taken up again, which ends
-cycles; each place where the run stands gets its own spans.  Each character of a layer knows the span of the original
+unwraps layers: percent escapes and Unicode escapes are decoded in place; runs
+of base64, also over lines of one width, are decoded at all four alignments, so
+that encoded parts are met wherever they begin in a run; compressed data (in base64
+or percent escapes) are decompressed.  Every new layer is scanned and unwrapped again, until
+nothing new appears.  What a layer holds is worked out once for each text, and a text
+within itself is not taken up again, which ends cycles; each place where it
+stands gets its own spans.  Each character of a layer knows the span of the original
 text that it comes from, so every finding is reported as a span of the original
 (code points, end exclusive).  Base spans are always kept.
 
+Formats: %XX; \\uXXXX, \\u{X}, \\UXXXXXXXX, \\xXX, &#N; and &#xX;; base64 in both
+alphabets, of bytes in whatever encoding that has ASCII as single bytes or as
+UTF-16; gzip, zlib, bzip2 and xz, where they begin a run of base64 or follow one of
+its separators (+ / - _), and raw deflate at a run's beginning.  Whatever is
+decoded is scanned, printable or not; decoded bytes are only skipped if they have
+no 14 ASCII characters in a row (the shortest secret, and what encodes one, has as many).
+
+A finding within a run of base64 is reported from the separator before it to that
+after it, as the encoded part may begin and end there, or as the whole run if all of
+that is text; one in compressed data as all of these.
+
 Edge cases: a null or empty text has no spans; equal spans found in several
-layers are reported once; undecodable runs are plain text, but parts of
-them between separators and runs wrapped over lines of one width are tried too;
+layers are reported once; undecodable runs are plain text; bytes that are no
+UTF-8 become replacement characters;
 decompressed data are scanned to the end, in pieces of about `MOST_PLAIN`
 characters that overlap by 1 MiB, so a nested run or a line without end that is
 longer than that may be read in part only, where pieces meet;
@@ -22,11 +34,12 @@ repeated rows and extra columns pass through unchanged.
 from __future__ import annotations
 
 import base64
-import binascii
 import bisect
+import bz2
 import codecs
 import hashlib
 import itertools
+import lzma
 import re
 import zlib
 from collections.abc import Iterator
@@ -37,6 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbitalis.llm import textkernel as tk
+from orbitalis.llm.storage import map_rows
 
 KINDS = ("assign", "access", "hex")
 #: Patterns of the three kinds (fixed values); letters are ASCII ones.
@@ -48,12 +62,19 @@ MOST_PLAIN = 1 << 24
 _STEP, _OVERLAP = 1 << 20, 1 << 20
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _SEPARATOR = re.compile(r"[/_+-]")
 _LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+#: Escapes of the sign that begins an escape, several deep; such chains go at once, or each level would be a layer.
+_CHAIN = re.compile(r"%(?:25){2,}(?=[0-9A-Fa-f]{2})|\\(?:u005[cC]){2,}(?=[uUx])|&(?:#38;|#[xX]26;){2,}(?=#)")
 _TO_PLAIN = str.maketrans("-_", "+/")
+#: Percent escapes that begin as compressed data do.
+_PACKED_PERCENT = re.compile(r"(?:%1[fF]%8[bB]|(?:%78|x)%(?:01|5[eE]|9[cC]|[dD][aA])|%[fF][dD](?:7|%37)(?:z|%7[aA])|(?:B|%42)(?:Z|%5[aA])(?:h|%68))[^\s\"'<>&]*")
+_HEADS = (b"\x1f\x8b", b"x\x01", b"x\x5e", b"x\x9c", b"x\xda", b"BZh", b"\xfd7zXZ\x00")
+_ASCII = re.compile(rb"[\x20-\x7e]{14}")
+_WIDE = tuple(re.compile(x) for x in (rb"(?:[\x09\x0a\x0d\x20-\x7e]\x00){14,}", rb"(?:\x00[\x09\x0a\x0d\x20-\x7e]){14,}"))
 
 Span = tuple[str, int, int]
 
@@ -128,11 +149,8 @@ class Layer:
         return Layer("".join(out), cuts or [0], origin or [(0, 0, False)])
 
 
-def _percent(run: str) -> str | None:
-    try:
-        return unquote_to_bytes(run).decode()
-    except UnicodeDecodeError:
-        return None
+def _percent(run: str) -> str:
+    return unquote_to_bytes(run).decode("utf-8", "replace")
 
 
 def _code(n: int) -> str | None:
@@ -144,20 +162,35 @@ def _unicode(run: str) -> str | None:
         return _code(int(run[3:-1], 16) if run[2] in "xX" else int(run[2:-1]))
     if run.startswith("\\u{"):
         return _code(int(run[3:-1], 16))
+    if run.startswith("\\U"):
+        return _code(int(run[2:], 16))
     if run.startswith("\\x"):
         return chr(int(run[2:], 16))
-    try:  # surrogate pairs are joined
-        return bytes.fromhex(run.replace("\\u", "")).decode("utf-16-be")
-    except UnicodeDecodeError:
-        return None
+    return bytes.fromhex(run.replace("\\u", "")).decode("utf-16-be", "replace")  # surrogate pairs are joined
 
 
 def _packed(data: bytes) -> bool:
-    return data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0)
+    return data.startswith(_HEADS)
+
 
+def _decompressor(data: bytes):
+    return bz2.BZ2Decompressor() if data[:1] == b"B" else lzma.LZMADecompressor() if data[:1] == b"\xfd" else zlib.decompressobj(47)
 
-def _inflated(steps: Iterator[bytes]) -> Iterator[bytes]:
-    """All members of gzip or zlib data, in steps, up to the end or an error."""
+
+def _drained(unzip, data: bytes) -> Iterator[bytes]:
+    """What data give, in steps, until the end of the stream or more data are needed."""
+    while True:
+        out = unzip.decompress(data, _STEP)
+        data = getattr(unzip, "unconsumed_tail", b"")
+        if out:
+            yield out
+        if unzip.eof or not (out or data):
+            return
+
+
+def _inflated(steps: Iterator[bytes], left: list[bytes] | None = None) -> Iterator[bytes]:
+    """All members of compressed data, in steps, up to the end or an error; what
+    follows them goes to `left`."""
     unzip, rest = None, b""
     for step in steps:
         rest += step
@@ -165,18 +198,16 @@ def _inflated(steps: Iterator[bytes]) -> Iterator[bytes]:
             if unzip is None:
                 if not _packed(rest):
                     break
-                unzip = zlib.decompressobj(47)
+                unzip = _decompressor(rest)
             try:
-                out = unzip.decompress(rest, _STEP)
-                rest = unzip.unconsumed_tail
-                if out:
-                    yield out
-                while not rest and not unzip.eof and (out := unzip.decompress(b"", _STEP)):
-                    yield out
-            except zlib.error:
+                yield from _drained(unzip, rest)
+            except (zlib.error, OSError, EOFError, lzma.LZMAError):
                 return
+            rest = unzip.unused_data if unzip.eof else b""
             if unzip.eof:
-                unzip, rest = None, unzip.unused_data
+                unzip = None
+    if left is not None:
+        left.append(rest)
 
 
 def _unpacked(steps: Iterator[bytes], above: tuple[bytes, ...] = ()) -> Iterator[bytes]:
@@ -206,56 +237,104 @@ def _pieces(steps: Iterator[bytes]) -> Iterator[str]:
     yield "".join([*held, decoder.decode(b"", True)])
 
 
-def _base64(run: str) -> Iterator[str]:
-    """The text in a run of base64, decompressed, in pieces; nothing if it holds none."""
-    body = run.rstrip("=")
-    if len(body) % 4 == 1:
-        return
-    try:
-        data = base64.b64decode(body.translate(_TO_PLAIN) + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return
-    if _packed(data):
-        steps = _unpacked(_inflated(iter([data])), (data,))
-        if first := next(steps, b""):
-            yield from _pieces(itertools.chain([first], steps))
-            return
+def _raw(data: bytes) -> Iterator[bytes]:
+    """What raw deflate data give, if they end as such."""
+
+    def steps() -> Iterator[bytes]:
+        unzip = zlib.decompressobj(-15)
+        yield from _drained(unzip, data)
+        if not unzip.eof:
+            raise zlib.error("cut short")
+
     try:
-        text = data.decode()
-    except UnicodeDecodeError:
+        for _ in steps():
+            pass
+    except zlib.error:
         return
-    if text and all(c.isprintable() or c in "\n\r\t" for c in text):
-        yield text
+    yield from steps()
+
+
+class _Memory:
+    """What is known of one document's layers: spans by text, and by run of base64."""
 
+    def __init__(self):
+        self.texts: dict[bytes, set[Span]] = {}
+        self.runs: dict[tuple[str, bool], set[Span]] = {}
 
-def _holds(run: str) -> bool:
-    return next(_base64(run), None) is not None
+
+def _inside(steps: Iterator[bytes], memory: _Memory) -> set[str]:
+    """The kinds of secrets in decompressed data and all layers below."""
+    found: set[str] = set()
+    for piece in _pieces(steps):
+        for text in (piece, piece.replace("\0", "")) if "\0" in piece else (piece,):  # UTF-16
+            found.update(kind for kind, _, _ in _spans(text, memory))
+        if len(found) == len(KINDS):
+            break
+    return found
 
 
-def _may_hold(run: str) -> bool:
-    """Whether the beginning of a run looks like text or compressed data."""
+def _unzipped(data: bytes, memory: _Memory) -> tuple[set[str], int]:
+    """The kinds of secrets in compressed data, and how many bytes these are."""
+    left: list[bytes] = []
+    kinds = _inside(_unpacked(_inflated(iter([data]), left), (data,)), memory)
+    return kinds, len(data) - len(left[0]) if left else len(data)
+
+
+def _clean(data: bytes) -> bool:
     try:
-        data = base64.b64decode((x := run[:16].rstrip("=").translate(_TO_PLAIN))[: len(x) // 4 * 4])
-        return _packed(data) or all(c.isprintable() or c in "\n\r\t" for c in codecs.getincrementaldecoder("utf-8")().decode(data))
-    except (binascii.Error, ValueError):
+        return all(c.isprintable() or c in "\n\r\t" for c in data.decode())
+    except UnicodeDecodeError:
         return False
 
 
-def _parts(run: str) -> Iterator[tuple[int, int]]:
-    """Begin and end of what may be decoded of a run: all of it, or else parts between separators."""
-    if _holds(run):
-        yield 0, len(run)
-        return
-    cuts = [m.start() for m in _SEPARATOR.finditer(run)]
-    done = 0
-    for begin in (0, *(c + 1 for c in cuts)):
-        if begin < done or len(run) - begin < 16 or not _may_hold(run[begin : begin + 16]):
-            continue
-        for end in (len(run), *(c for c in reversed(cuts) if c - begin >= 16)):
-            if (begin or end < len(run)) and _holds(run[begin:end]):
-                yield begin, end
-                done = end
-                break
+def _in_run(run: str, memory: _Memory, narrow: bool = False) -> set[Span]:
+    """The spans, in a run of base64, of what it holds; narrow: not the whole run
+    where all of it is text.
+
+    Decoded from each of its first four characters on, the run gives the bytes of
+    every part that is encoded on its own: parts begin after separators, at one of
+    these alignments, and what stands around them can't be taken for theirs, as
+    separators have the highest values.
+    """
+    if (run, narrow) in memory.runs:
+        return memory.runs[run, narrow]
+    memory.runs[run, narrow] = found = set()
+    body = run.rstrip("=").translate(_TO_PLAIN)
+    bounds = [0, *(m.end() for m in _SEPARATOR.finditer(run))]  # where parts may begin
+    stops = [*(b - 1 for b in bounds[1:]), len(run)]  # and end
+    for k in range(min(4, len(body))):
+        chars = body[k:] if (len(body) - k) % 4 != 1 else body[k:-1]
+        data = base64.b64decode(chars + "=" * (-len(chars) % 4))
+        clean = k == 0 and len(chars) == len(body) and _clean(data)
+        whole = clean and not narrow
+        own = [b for b in bounds if b % 4 == k]
+
+        def put(kind: str, i: int, j: int, k=k, whole=whole, own=own) -> None:
+            a, b = k + 8 * i // 6, min(k - -8 * j // 6, len(run))
+            at, to = bisect.bisect_right(own, a) - 1, bisect.bisect_left(stops, b)
+            found.add((kind, 0, len(run)) if whole else (kind, own[at] if at >= 0 else a, stops[to]))
+
+        if _ASCII.search(data):
+            for span in _spans(data.decode("latin-1"), memory):
+                put(*span)
+        for wide, pattern in enumerate(_WIDE):
+            for m in pattern.finditer(data):
+                for kind, i, j in _spans(m[0][wide::2].decode("latin-1"), memory):
+                    put(kind, m.start() + 2 * i, m.start() + 2 * j)
+        if any(h in data for h in _HEADS):
+            done = 0
+            for b in own:
+                at = (b - k) // 4 * 3
+                if at >= done and data.startswith(_HEADS, at):
+                    kinds, size = _unzipped(data[at:], memory)
+                    for kind in kinds:
+                        to = bisect.bisect_left(stops, min(b - -8 * size // 6, len(run)))
+                        found.add((kind, b, stops[to]))
+                    done = at + size if kinds else done  # what was read needn't be tried again
+        if k == 0 and not clean and not _packed(data):
+            for kind in _inside(_raw(data), memory):
+                found.add((kind, 0, len(run)))
+    return found
 
 
 def _wrapped(text: str) -> Iterator[tuple[str, list[int], list[int]]]:
@@ -268,44 +347,20 @@ def _wrapped(text: str) -> Iterator[tuple[str, list[int], list[int]]]:
             width, j = spans[i][1] - spans[i][0], i + 1
             while j < len(spans) and spans[j][1] - spans[j][0] == width:
                 j += 1
-            ends = [j + 1] if j < len(spans) and spans[j][1] - spans[j][0] < width else []
-            for end in (*ends, j):
-                joined = "".join(text[a:b] for a, b in spans[i:end])
-                if end - i > 1 and _holds(joined):
-                    yield joined, [a for a, _ in spans[i:end]], [b for _, b in spans[i:end]]
-                    break
+            end = j + 1 if j < len(spans) and spans[j][1] - spans[j][0] < width else j
+            if end - i > 1:
+                yield "".join(text[a:b] for a, b in spans[i:end]), [a for a, _ in spans[i:end]], [b for _, b in spans[i:end]]
             i = j
 
 
-def _sub(pattern: re.Pattern[str], decode, text: str) -> str:
-    return pattern.sub(lambda m: m[0] if (got := decode(m[0])) is None else got, text)
-
-
-def _kinds_inside(texts: Iterator[str]) -> frozenset[str]:
-    """The kinds of secrets in decoded texts and all layers below them."""
-    found, work, seen = set(), [texts], set()
-    while work and len(found) < len(KINDS):
-        if (layer := next(work[-1], None)) is None:
-            work.pop()
-            continue
-        if not layer or (key := hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest()) in seen:
-            continue
-        seen.add(key)
-        found.update(kind for kind, _, _ in find_secrets(layer))
-        below = [_sub(_PERCENT, _percent, layer)] if "%" in layer else []
-        if "\\" in layer or "&#" in layer:
-            below.append(_sub(_UNICODE, _unicode, layer))
-        runs = [m[0][a:b] for m in _BASE64.finditer(layer) for a, b in _parts(m[0])]
-        work.append(itertools.chain(below, *map(_base64, [*runs, *(x for x, _, _ in _wrapped(layer))])))
-    return frozenset(found)
-
-
-def all_secrets(text: str) -> tuple[list[Span], list[Span]]:
-    """Base spans and all spans of a text, in order."""
-    base = find_secrets(text)
-    found = set(base)
+def _spans(text: str, memory: _Memory) -> set[Span]:
+    """All spans of a text: its own secrets and those of the layers below."""
+    key = hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+    if key in memory.texts:
+        return memory.texts[key]
+    memory.texts[key] = found = set()  # what a text holds of itself adds nothing
+    found.update(find_secrets(text))
     work, seen = [Layer.root(text)], {text}
-    parts: dict[str, list[tuple[int, int, frozenset[str]]]] = {}  # by run
 
     def take(layer: Layer | None) -> None:
         if layer is not None and layer.text and layer.text not in seen:
@@ -317,24 +372,28 @@ def all_secrets(text: str) -> tuple[list[Span], list[Span]]:
     while work:
         layer = work.pop()
         if "%" in layer.text:
+            for m in _PACKED_PERCENT.finditer(layer.text):
+                for run in {m[0], m[0].replace("+", " ")}:
+                    kinds, _ = _unzipped(unquote_to_bytes(run), memory)
+                    found.update((kind, *layer.span(m.start(), m.end())) for kind in kinds)
+        chained = layer.replaced(_CHAIN, lambda run: run[0]) if "%2525" in layer.text or "u005" in layer.text or "&#" in layer.text else None
+        take(chained)
+        if chained is None and "%" in layer.text:
             take(layer.replaced(_PERCENT, _percent))
-        if "\\" in layer.text or "&#" in layer.text:
+        if chained is None and ("\\" in layer.text or "&#" in layer.text):
             take(layer.replaced(_UNICODE, _unicode))
         for m in _BASE64.finditer(layer.text):
-            if m[0] not in parts:
-                parts[m[0]] = [(a, b, _kinds_inside(_base64(m[0][a:b]))) for a, b in _parts(m[0])]
-            for a, b, kinds in parts[m[0]]:
-                found.update((kind, *layer.span(m.start() + a, m.start() + b)) for kind in kinds)
+            found.update((kind, *layer.span(m.start() + a, m.start() + b)) for kind, a, b in _in_run(m[0], memory))
         for run, starts, ends in _wrapped(layer.text):
-            plain = "".join(itertools.islice(_base64(run), 1))
-            direct = find_secrets(plain) if not _packed(base64.b64decode(run[:4].translate(_TO_PLAIN))) else []
             width = ends[0] - starts[0]
-            for kind, a, b in direct:  # the lines that it stands in
-                lo, hi = (len(plain[:x].encode()) * 4 // 3 // width for x in (a, b - 1))
-                found.add((kind, *layer.span(starts[lo], ends[hi])))
-            for kind in _kinds_inside(_base64(run)) - {kind for kind, _, _ in direct}:
-                found.add((kind, *layer.span(starts[0], ends[-1])))
-    return in_order(base), in_order(found)
+            for kind, a, b in _in_run(run, memory, True):  # the lines that it stands in
+                found.add((kind, *layer.span(starts[a // width], ends[(b - 1) // width])))
+    return found
+
+
+def all_secrets(text: str) -> tuple[list[Span], list[Span]]:
+    """Base spans and all spans of a text, in order."""
+    return in_order(find_secrets(text)), in_order(_spans(text, _Memory()))
 
 
 def spans_text(spans: list[Span]) -> str:
@@ -397,7 +456,7 @@ def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") ->
         for batch in _slices(batches):
             texts = [None if t is None else redact(t, all_secrets(t)[1], mark) for t in batch.column(at).to_pylist()]
             cols = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
 
     out = T.StructType([T.StructField(f.name, T.StringType() if i == at else f.dataType, True) for i, f in enumerate(docs.schema)])
-    return docs.mapInArrow(run, out)
+    return map_rows(docs, run, out)

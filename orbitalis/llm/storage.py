@@ -14,6 +14,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 _SETTING = "spark.checkpoint.dir"
 _written: list[str] = []
@@ -69,6 +70,14 @@ def clear(spark: SparkSession) -> int:
     return n
 
 
+def map_rows(df: DataFrame, run, schema: StructType | None = None) -> DataFrame:
+    """df.mapInArrow with plain column names inside, as mapInArrow takes no name with a
+    dot; the result has df's names (and those of schema's types, else df's)."""
+    plain = [f"c{i}" for i in range(len(df.columns))]
+    fields = (schema or df.schema).fields
+    return df.toDF(*plain).mapInArrow(run, StructType([StructField(c, f.dataType, f.nullable) for c, f in zip(plain, fields, strict=True)])).toDF(*df.columns)
+
+
 _BATCH_SETTING, _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 

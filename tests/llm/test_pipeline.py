@@ -68,3 +68,17 @@ def test_stages_judge_rows(spark, tmp_path):
         assert kept.count() == pu_classifier.score(docs, labels).where("predicted = 1").count() and kept.columns == docs.columns
         for f in (parity_join.one_of_each, lambda d: decontaminate.without_leaks(d, bench), lambda d: pu_classifier.good_rows(d, labels)):
             assert f(docs.where("false")).count() == 0
+
+
+def test_columns_of_any_name_survive_the_stages(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    names = ["_row", "_copy", "row", "copy", "key", "doc", "shard", "sequence_id", "text2", "rank", "cls", "_metadata2", "a.b"]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 60").select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    docs.write.parquet(str(tmp_path / "docs"))
+    for now in (docs, spark.read.parquet(str(tmp_path / "docs"))):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = materialize(stage(spark, now, DATA), name)
+            assert now.columns == docs.columns
+            assert [tuple(r) for r in now.select(*(f"`{n}`" for n in names)).distinct().collect()] == [tuple(range(len(names)))]
+        assert corpus_pipeline.STAGES[-1][1](spark, now, DATA).count() >= now.count() > 10
