@@ -23,11 +23,12 @@ from orbitalis.operators.scratch import cut
 SECOND = ("xx", "yy", "zz", "xy", "xz", "yz")
 
 
-def all_cells(bodies: DataFrame, depth: int = keys.BITS, digit: int = 3, second: bool = False, boxes: bool = False, origin=(0.0, 0.0, 0.0), first: int = 0, domain=None) -> DataFrame:
+def all_cells(bodies: DataFrame, depth: int = keys.BITS, digit: int = 3, second: bool = False, boxes: bool = False, origin=(0.0, 0.0, 0.0), first: int = 0, domain=None, by: tuple[str, ...] = ()) -> DataFrame:
     """Every non-empty cell from depth `first` down to a depth: depth, prefix, n, mass and centre of
     mass; with second, central second moments; with boxes, those of the bodies.
 
-    First moments are summed about the domain's middle, or else about `origin`.
+    First moments are summed about the domain's middle, or else about `origin`.  Cells
+    without mass have no centre (null).  by: columns whose values have cells of their own.
     """
     if domain is not None:
         origin = tuple(lo + domain.span / 2 for lo in domain.low)
@@ -36,14 +37,16 @@ def all_cells(bodies: DataFrame, depth: int = keys.BITS, digit: int = 3, second:
     sums = {"n": F.count("*"), "mass": F.sum(m), "mx": F.sum(m * x), "my": F.sum(m * y), "mz": F.sum(m * z)}
     if boxes:
         sums |= {p + c: f(c) for p, f in (("l", F.min), ("h", F.max)) for c in "xyz"}
-    by_key = bodies.groupBy("key").agg(*(v.alias(k) for k, v in sums.items()))
+    by_key = bodies.groupBy(*by, "key").agg(*(v.alias(k) for k, v in sums.items()))
     level = F.explode(F.sequence(F.lit(first), F.lit(depth))).alias("depth")
     nested = by_key.select("*", level).withColumn("prefix", keys.prefix_at(F.col("key"), F.col("depth"), digit))
     again = {k: (F.min if k[0] == "l" else F.max if k[0] == "h" else F.sum)(k).alias(k) for k in sums}
-    cells = nested.groupBy("depth", "prefix").agg(*again.values())
-    out = cells.withColumns({"c" + c: F.col("m" + c) / F.col("mass") + o for c, o in zip("xyz", origin, strict=True)}).drop("mx", "my", "mz")
+    cells = nested.groupBy(*by, "depth", "prefix").agg(*again.values())
+    out = cells.withColumns({"c" + c: F.try_divide("m" + c, "mass") + o for c, o in zip("xyz", origin, strict=True)}).drop("mx", "my", "mz")
     if not second:
         return out
+    if by:
+        raise ValueError("second moments are those of one tree")
     low = bodies.select("mass", "x", "y", "z", F.lit(depth).alias("leaf_depth"), keys.prefix_at(F.col("key"), depth, digit).alias("leaf_prefix"))
     return second_moments(out.withColumn("is_leaf", F.col("depth") == depth), low, digit, first).drop("is_leaf")
 
@@ -105,14 +108,14 @@ def tree_at_once(bodies: DataFrame, capacity: int, depth: int = keys.BITS, digit
     return second_moments(cells := cut(cells), with_leaf(bodies, cells, depth, digit), digit) if second else cells
 
 
-def _kept(cells: DataFrame, capacity: int, depth: int, digit: int) -> DataFrame:
-    crowded = cells.where(F.col("n") > capacity).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("_up"))
-    kept = cells.withColumn("_up", keys.parent(F.col("prefix"), digit)).join(crowded, ["depth", "_up"], "left_semi")
+def _kept(cells: DataFrame, capacity: int, depth: int, digit: int, by: tuple[str, ...] = ()) -> DataFrame:
+    crowded = cells.where(F.col("n") > capacity).select(*by, (F.col("depth") + 1).alias("depth"), F.col("prefix").alias("_up"))
+    kept = cells.withColumn("_up", keys.parent(F.col("prefix"), digit)).join(crowded, [*by, "depth", "_up"], "left_semi").select(*cells.columns, "_up")
     kept = kept.unionByName(cells.where("depth = 0").withColumn("_up", F.lit(0).cast("long")))
     return kept.drop("_up").withColumn("is_leaf", (F.col("n") <= capacity) | (F.col("depth") == depth))
 
 
-def tree_by_levels(bodies: DataFrame, capacity: int, depth: int = keys.BITS, digit: int = 3, step: int = 7, second: bool = False, **more) -> DataFrame:
+def tree_by_levels(bodies: DataFrame, capacity: int, depth: int = keys.BITS, digit: int = 3, step: int = 7, second: bool = False, by: tuple[str, ...] = (), **more) -> DataFrame:
     """The tree's cells, `step` levels at a time.
 
     Only bodies of cells that are still crowded go on to the next levels, so a
@@ -122,20 +125,21 @@ def tree_by_levels(bodies: DataFrame, capacity: int, depth: int = keys.BITS, dig
     active, parts, first = bodies, [], 0
     while True:
         last = min(first + step, depth)
-        parts.append(cut(all_cells(active, last, digit, first=first + 1 if parts else 0, **more)))
-        crowded = parts[-1].where((F.col("depth") == last) & (F.col("n") > capacity)).select(F.col("prefix").alias("_up"))
+        parts.append(cut(all_cells(active, last, digit, first=first + 1 if parts else 0, by=by, **more)))
+        crowded = parts[-1].where((F.col("depth") == last) & (F.col("n") > capacity)).select(*by, F.col("prefix").alias("_up"))
         if last == depth or crowded.isEmpty():
             break
-        active = active.withColumn("_up", keys.prefix_at(F.col("key"), last, digit)).join(crowded, "_up", "left_semi").drop("_up")
+        active = active.withColumn("_up", keys.prefix_at(F.col("key"), last, digit)).join(crowded, [*by, "_up"], "left_semi").drop("_up")
         first = last
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    cells = _kept(every, capacity, depth, digit)
+    cells = _kept(every, capacity, depth, digit, by)
     return second_moments(cells := cut(cells), with_leaf(bodies, cells, depth, digit), digit) if second else cells
 
 
-_LEAF = ("_high", "_depth", "_prefix")
+_PLACE = ("_part", "_own", "_kind", "_at")
+_LEAF = ("_high", "_depth", "_prefix", "_tree")
 
 
 def _last_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,37 +157,39 @@ def _last_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cols[c] = np.where(at >= 0, own[at], last[c])
             last[c] = int(cols[c][-1])
         keep = pa.array(~leaf)
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("_part", "_kind", "_at")), *(pa.array(cols[c]) for c in _LEAF), b.column("_body")], names=["_part", "_kind", "_at", *_LEAF, "_body"]).filter(keep)
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in _PLACE), *(pa.array(cols[c]) for c in _LEAF), b.column("_body")], names=[*_PLACE, *_LEAF, "_body"]).filter(keep)
         empty = pa.nulls(1, b.column("_body").type)
     if part is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([0], pa.int32()), pa.array([0], pa.int64()), *(pa.array([last[c]]) for c in _LEAF), empty], names=["_part", "_kind", "_at", *_LEAF, "_body"])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([0], pa.int64()), pa.array([0], pa.int32()), pa.array([0], pa.int64()), *(pa.array([last[c]]) for c in _LEAF), empty], names=[*_PLACE, *_LEAF, "_body"])
 
 
-def with_leaf(bodies: DataFrame, cells: DataFrame, depth: int = keys.BITS, digit: int = 3) -> DataFrame:
+def with_leaf(bodies: DataFrame, cells: DataFrame, depth: int = keys.BITS, digit: int = 3, by: str | None = None) -> DataFrame:
     """Bodies with the depth and prefix of their leaf; bodies outside all leaves are left out.
 
     Leaves are ranges of keys that don't overlap, so a body's leaf is the last one
     that begins at its key or before.  Bodies and leaves are sorted by key into
     common ranges, each of which is read once in order and written; what a range
     needs from those before it is one leaf, which goes out in a broadcast table
-    with a row for each range.
+    with a row for each range.  by: a column of whole numbers in bodies and cells,
+    each of whose values has a tree of its own.
     """
     low, high = keys.key_range(F.col("depth"), F.col("prefix"), digit)
     names = [c for c in bodies.columns if c not in ("leaf_depth", "leaf_prefix")]
     body = F.struct(*names)
-    own = zip((high, F.col("depth"), F.col("prefix")), _LEAF, strict=True)
-    leaves = cells.where("is_leaf").select(low.alias("_at"), F.lit(0).alias("_kind"), *(c.cast("long").alias(n) for c, n in own))
-    placed = bodies.select(F.col("key").alias("_at"), F.lit(1).alias("_kind"), body.alias("_body"))
-    both = leaves.unionByName(placed, allowMissingColumns=True).repartitionByRange("_at").sortWithinPartitions("_at", "_kind")
-    kind = "_part int, _kind int, _at long, _high long, _depth long, _prefix long, _body " + placed.schema["_body"].dataType.simpleString()
+    tree_of = F.col(by).cast("long") if by else F.lit(0).cast("long")
+    own = zip((high, F.col("depth"), F.col("prefix"), tree_of), _LEAF, strict=True)
+    leaves = cells.where("is_leaf").select(tree_of.alias("_own"), low.alias("_at"), F.lit(0).alias("_kind"), *(c.cast("long").alias(n) for c, n in own))
+    placed = bodies.select(tree_of.alias("_own"), F.col("key").alias("_at"), F.lit(1).alias("_kind"), body.alias("_body"))
+    both = leaves.unionByName(placed, allowMissingColumns=True).repartitionByRange("_own", "_at").sortWithinPartitions("_own", "_at", "_kind")
+    kind = "_part int, _own long, _kind int, _at long, " + ", ".join(f"{c} long" for c in _LEAF) + ", _body " + placed.schema["_body"].dataType.simpleString()
     fixed = cut(both.withColumn("_part", F.spark_partition_id()).mapInArrow(_last_leaf, kind))
-    before, found = [], (-1, -1, -1)
+    before, found = [], (-1,) * len(_LEAF)
     for part, *last in sorted(fixed.where("_kind = 0").select("_part", *_LEAF).collect()):  # a row for each range
         before.append((part, *found))
         found = tuple(last) if last[0] >= 0 else found
-    known = fixed.where("_kind = 1").join(F.broadcast(bodies.sparkSession.createDataFrame(before, "_part int, h long, d long, p long")), "_part")
+    known = fixed.where("_kind = 1").join(F.broadcast(bodies.sparkSession.createDataFrame(before, "_part int, h long, d long, p long, t long")), "_part")
     first = F.col("_high") < 0
-    met = known.select("_at", "_body", *(F.when(first, F.col(b)).otherwise(F.col(n)).alias(b) for b, n in zip("hdp", _LEAF, strict=True))).where("_at <= h")
+    met = known.select("_own", "_at", "_body", *(F.when(first, F.col(b)).otherwise(F.col(n)).alias(b) for b, n in zip("hdpt", _LEAF, strict=True))).where("_at <= h and _own = t")
     return met.select("_body.*", F.col("d").cast("int").alias("leaf_depth"), F.col("p").alias("leaf_prefix"))
 
 

@@ -17,11 +17,20 @@ from orbitalis.functions import geometry as g
 _BROADCAST_ROWS = 200_000
 
 
-def pairs(targets: DataFrame, sources: DataFrame, condition: Column, block_rows: int = 20_000) -> DataFrame:
-    """Targets (columns t_*) with all sources (s_*) for which the condition holds."""
+def pairs(targets: DataFrame, sources: DataFrame, condition: Column, block_rows: int = 20_000, part: bool = False) -> DataFrame:
+    """Targets (columns t_*) with all sources (s_*) for which the condition holds; part:
+    only those whose t_part is s_dest, which beyond the broadcast are joined on that
+    and dealt into tiles within it."""
     n = sources.count()
+    if part:
+        condition = condition & (F.col("t_part") == F.col("s_dest"))
     if n <= _BROADCAST_ROWS:
         return targets.join(F.broadcast(sources), condition)
+    if part:  # each part in tiles of its own number
+        tiles = sources.groupBy(F.col("s_dest").alias("t_part")).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_n"))
+        t = targets.join(tiles, "t_part").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+        s = sources.join(tiles.withColumnRenamed("t_part", "s_dest"), "s_dest").withColumn("_b", F.pmod(F.xxhash64("s_id"), F.col("_n")).cast("int")).drop("_n")
+        return t.join(s, (t["_b"] == s["_b"]) & condition).drop("_b")
     blocks, rows = math.ceil(n / block_rows), math.ceil(targets.count() / block_rows)
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     s = sources.withColumn("_b", F.pmod(F.xxhash64("s_id"), F.lit(blocks)).cast("int")).withColumn("_a", every(rows))
@@ -61,6 +70,5 @@ def by_records(bodies: DataFrame, records: DataFrame, softening: float = 0.0, gr
     d = g.difference(g.cols("s_"), g.cols("t_"))
     r2 = g.norm2(d) + softening**2
     a = g.monopole(F.col("s_mass"), d, r2)
-    acts = (r2 > least_r2) & (F.col("t_part") == F.col("s_dest")) if part else r2 > least_r2
-    acted = pairs(t, s, acts)
+    acted = pairs(t, s, r2 > least_r2, part=part is not None)
     return acted.groupBy(F.col("t_id").alias("id")).agg(*(F.sum(gravity * c).alias("a" + n) for c, n in zip(a, "xyz", strict=True)), F.sum(gravity * g.potential(F.col("s_mass"), r2)).alias("phi"))

@@ -28,13 +28,17 @@ class Walk:
     """Interactions of a body table: `approx` has rows (tid, mass, cx, cy, cz and
     second moments), `direct` rows (tid, leaf depth, leaf prefix)."""
 
-    def __init__(self, bodies: DataFrame, config, domain: Domain | None = None):
-        self.config = config
+    def __init__(self, bodies: DataFrame, config, domain: Domain | None = None, by: str | None = None):
+        """by: a column of whole numbers; bodies with one value have a tree of their own
+        (mac "body" without second moments only)."""
+        if by and (config.mac != "body" or config.quadrupole):
+            raise ValueError("several trees are walked by bodies and without second moments")
+        self.config, self.by = config, [by] if by else []
         self.domain = domain or cubic_domain(bodies, config.pad)
         self.bodies = cut(keyed(bodies, self.domain))
         middle = tuple(lo + self.domain.span / 2 for lo in self.domain.low)
         wide = config.mac == "bucket"
-        cells = tree.tree(self.bodies, config.leaf_size, config.depth, config.digit, second=config.quadrupole, boxes=wide, origin=middle, domain=self.domain)
+        cells = tree.tree(self.bodies, config.leaf_size, config.depth, config.digit, second=config.quadrupole, boxes=wide, origin=middle, domain=self.domain, by=tuple(self.by))
         if wide:
             cells = tree.radius2(self.bodies, cut(cells), config.depth, config.digit)
         self.cells = cut(cells)
@@ -45,14 +49,14 @@ class Walk:
     def placed(self) -> DataFrame:
         """Bodies with their leaf."""
         if self._placed is None:
-            self._placed = tree.with_leaf(self.bodies, self.cells, self.config.depth, self.config.digit)
+            self._placed = tree.with_leaf(self.bodies, self.cells, self.config.depth, self.config.digit, *self.by)
             self._placed = cut(self._placed)
         return self._placed
 
     def _targets(self) -> DataFrame:
         c = self.config
         if c.mac == "body":
-            return self.bodies.select(F.col("id").alias("tid"), *(F.col(a).alias("t" + a) for a in "xyz"), F.col("key").alias("tkey"))
+            return self.bodies.select(*self.by, F.col("id").alias("tid"), *(F.col(a).alias("t" + a) for a in "xyz"), F.col("key").alias("tkey"))
         leaves = self.cells.where("is_leaf")
         tid = F.struct(F.col("depth").alias("d"), F.col("prefix").alias("p")).alias("tid")
         if c.mac == "bucket":
@@ -80,8 +84,10 @@ class Walk:
     def _levels(self) -> None:
         c = self.config
         extra = [k for k in ("n", "rsq", *tree.SECOND) if k in self.cells.columns]
-        known = self.cells.select("depth", "prefix", *_CELL, *extra)
-        frontier = self._targets().withColumns({"depth": F.lit(0), "prefix": F.lit(0).cast("long")})
+        by, up = self.by, keys.parent(F.col("prefix"), c.digit).alias("_up")
+        # cells without mass, and so all below them, don't act
+        known = self.cells.where("mass > 0 and cx is not null and not isnan(cx + cy + cz)").select(*by, "depth", "prefix", *_CELL, *extra)
+        frontier = self._targets().withColumns({"_up": F.lit(0).cast("long")})
         accept = self._accepts()
         if c.exact_leaves:
             accept = accept & ~F.col("is_leaf")
@@ -89,17 +95,15 @@ class Walk:
         carried = ["tx", "ty", "tz"] if c.mac == "body" else []  # leaf targets get their bodies at the end
         sizes = dict(known.groupBy("depth").count().collect())  # a number for each depth
         for level in range(c.depth + 1):
-            here = known.where(F.col("depth") == level)
+            here = known.where(F.col("depth") == level).select("*", up)  # a row meets the children that there are
             here = F.broadcast(here) if sizes.get(level, 0) <= _BROADCAST_CELLS else here
-            met = cut(frontier.join(here, ["depth", "prefix"]).withColumn("_ok", accept))
+            met = cut(frontier.join(here, [*by, "_up"]).withColumn("_ok", accept))
             approx.append(met.where("_ok"))
-            direct.append(met.where("not _ok and is_leaf").select("tid", *carried, F.col("depth").alias("leaf_depth"), F.col("prefix").alias("leaf_prefix")))
+            direct.append(met.where("not _ok and is_leaf").select(*by, "tid", *carried, F.col("depth").alias("leaf_depth"), F.col("prefix").alias("leaf_prefix")))
             opened = met.where("not _ok and not is_leaf")
             if level == c.depth or opened.isEmpty():
                 break
-            child = F.explode(F.sequence(F.lit(0), F.lit((1 << c.digit) - 1)))
-            nxt = opened.select(*[x for x in frontier.columns if x not in ("depth", "prefix")], (F.col("depth") + 1).alias("depth"), "prefix", child.alias("_o"))
-            frontier = nxt.withColumn("prefix", F.shiftleft("prefix", c.digit) + F.col("_o")).drop("_o")
+            frontier = opened.select(*[x for x in frontier.columns if x != "_up"], F.col("prefix").alias("_up"))
         kept = ["tid", *carried, "mass", "cx", "cy", "cz", *[k for k in extra if k != "rsq"]]
         self.approx = _union([a.select(*kept) for a in approx])
         self.direct = _union(direct)
@@ -110,8 +114,8 @@ class Walk:
 
     def direct_pairs(self) -> DataFrame:
         """Bodies that act one by one: tid, t*, sid, mass, s*."""
-        s = self.placed.select(F.col("id").alias("sid"), F.col("mass"), *(F.col(a).alias("s" + a) for a in "xyz"), "leaf_depth", "leaf_prefix")
-        return self._by_body(self.direct.join(s, ["leaf_depth", "leaf_prefix"])).where("sid <> tid")
+        s = self.placed.select(F.col("id").alias("sid"), F.col("mass"), *(F.col(a).alias("s" + a) for a in "xyz"), "leaf_depth", "leaf_prefix", *self.by)
+        return self._by_body(self.direct.join(s, [*self.by, "leaf_depth", "leaf_prefix"])).where("sid <> tid")
 
     def _by_body(self, rows: DataFrame) -> DataFrame:
         if self.config.mac == "body":

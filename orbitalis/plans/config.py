@@ -43,7 +43,7 @@ class SimConfig:
     max_depth: int = 21
     gravity: float = 1.0
     algorithm: str = "tree"
-    strategy: str = "auto"  # auto: relational; arrow for mac "body" without second moments from arrow_from bodies up to what may be broadcast
+    strategy: str = "auto"  # auto: relational; partitioned for mac "body" without second moments from arrow_from bodies on
     arrow_from: int = 3_000
     integrator: str = "kdk"
     dt: float = 0.01
@@ -89,8 +89,8 @@ class SimConfig:
     def checked(self) -> SimConfig:
         if self.theta < 0 or self.leaf_size < 1 or self.steps < 0 or self.softening < 0:
             raise ValueError("theta, softening and steps are not negative, and leaves hold a body at least")
-        if self.algorithm not in ("tree", "direct") or self.strategy not in ("auto", "relational", "arrow"):
-            raise ValueError("algorithm is tree or direct; strategy is auto, relational or arrow")
+        if self.algorithm not in ("tree", "direct") or self.strategy not in ("auto", "relational", "arrow", "partitioned"):
+            raise ValueError("algorithm is tree or direct; strategy is auto, relational, arrow or partitioned")
         if self.mac not in ("body", "leaf_box", "bucket") or self.digit not in (1, 3):
             raise ValueError("mac is body, leaf_box or bucket; digit is 1 or 3")
         return self

@@ -10,7 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitalis.operators import arrow_walk, direct, motion, walk
+from orbitalis.operators import arrow_walk, direct, motion, partitioned_walk, walk
 from orbitalis.plans.config import SimConfig
 from orbitalis.operators.scratch import cut
 from orbitalis.sources import writers
@@ -44,7 +44,9 @@ def accelerations(bodies: DataFrame, config: SimConfig) -> DataFrame:
     strategy = config.strategy
     if strategy == "auto":
         n = bodies.count()
-        strategy = "arrow" if config.mac == "body" and not config.quadrupole and config.arrow_from <= n <= arrow_walk.MOST_CELLS else "relational"
+        strategy = "partitioned" if config.mac == "body" and not config.quadrupole and config.arrow_from <= n else "relational"
+    if strategy == "partitioned":
+        return partitioned_walk.accelerations(bodies, config).select("id", "ax", "ay", "az", "phi")
     if strategy == "arrow":
         return arrow_walk.accelerations(bodies, config).select("id", "ax", "ay", "az", "phi")
     return walk.Walk(bodies, config).accelerations()

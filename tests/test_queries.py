@@ -1,6 +1,6 @@
 import pytest
 
-from orbitalis.plans import catalog, more_queries  # noqa: F401
+from orbitalis.plans import catalog, more_queries, walk_queries  # noqa: F401
 from tests.oracle import assert_same
 
 
