@@ -1,7 +1,7 @@
 """Chat formatting of conversations with typed content parts.
 
-A turn's content is a text or a list of parts of type text, image, audio or
-document.  A visitor flattens the parts in order: texts are escaped, other
+A turn's content is a list of parts of type text, image, audio or
+document (a text alone is a list of one text part).  A visitor flattens the parts in order: texts are escaped, other
 parts become numbered placeholders, and for each of those an attachment record
 is kept (kind, reference, position, expanded token count).  The template is
 
@@ -12,7 +12,11 @@ text, placeholders included, gets one backslash after its first character; one
 that already has some there gets one more.  What opens like a control string counts as one.  So a formatted text can be parsed
 and unescaped without loss, for any content and any order of roles.
 
-Edge cases: a null text is empty; a null role is the empty role; roles other
+Loss is on the texts of assistant turns only: placeholders lie outside its spans.
+
+Edge cases: a null text is empty; a part that is a bare string is a text part;
+content that isn't a JSON list of parts of known types with whole numbers of tokens and pages is kept, as it stands, as
+one text part; a null role is the empty role; roles other
 than system, user and assistant are written as <|role|> name <|/role|>; turns of
 equal number keep the order of role and text; repeated rows are turns of their
 own; an empty table gives no rows.
@@ -42,8 +46,10 @@ _ESCAPED = re.compile(r"([<\[])\\(\\*)(?=[/sI|<])")
 DEFAULT_TOKENS = {"image": 576, "audio": 750, "document": 1024}
 
 
-def escape(text: str) -> str:
-    return _CONTROL.sub(r"\1\2\\", text)
+def escape(text: str, after: str = "") -> str:
+    """The text with its control strings escaped, given the character that comes after it."""
+    done = _CONTROL.sub(r"\1\2\\", text + after)
+    return done[: len(done) - len(after)]
 
 
 def unescape(text: str) -> str:
@@ -68,6 +74,9 @@ class Formatted:
     attachments: list[Attachment] = field(default_factory=list)
 
 
+Content = str | list[dict | str] | None
+
+
 class PartVisitor:
     """Flattens typed content parts into ordered text and placeholders."""
 
@@ -75,37 +84,71 @@ class PartVisitor:
         self.attachments: list[Attachment] = []
         self._counts: dict[str, int] = {}
 
-    def flatten(self, content: str | list[dict] | None, turn: int, at: int) -> str:
-        if content is None or isinstance(content, str):
-            return escape(content or "")
-        out = ""
-        for part in content:
+    def flatten(self, content: Content, turn: int, at: int) -> tuple[str, list[tuple[int, int]]]:
+        """The formatted content, and the spans of its texts, when it begins at a place."""
+        self._out, self._size, self._text, self._spans, self._turn = [], at, [], [], turn
+        for part in [content or ""] if content is None or isinstance(content, str) else content:
+            part = {"type": "text", "text": part} if isinstance(part, str) else part
             visit = getattr(self, f"visit_{part.get('type')}", None)
             if visit is None:
                 raise ValueError(f"unknown part type: {part.get('type')!r}")
-            out += visit(part, turn, at + len(out))
-        return out
-
-    def visit_text(self, part: dict, turn: int, at: int) -> str:
-        return escape(part.get("text") or "")
-
-    def _attach(self, kind: str, part: dict, turn: int, at: int) -> str:
+            visit(part)
+        self._end_text("")
+        return "".join(self._out), self._spans
+
+    def _put(self, piece: str) -> None:
+        self._out.append(piece)
+        self._size += len(piece)
+
+    def _end_text(self, after: str) -> None:
+        """Neighbouring texts are escaped as one, as control strings may lie across them."""
+        begin, text = self._size, "".join(self._text)
+        self._put(escape(text, after))
+        if self._text:
+            self._spans.append((begin, self._size))
+        self._text = []
+
+    def visit_text(self, part: dict) -> None:
+        self._text.append(part.get("text") or "")
+
+    def _attach(self, kind: str, part: dict) -> None:
         n = self._counts[kind] = self._counts.get(kind, -1) + 1
+        mark = f"<|{kind}_{n}|>"
+        self._end_text(mark[0])
         tokens = int(part.get("tokens") or DEFAULT_TOKENS[kind] * int(part.get("pages") or 1))
-        self.attachments.append(Attachment(kind, str(part.get("ref") or ""), turn, at, tokens))
-        return f"<|{kind}_{n}|>"
+        self.attachments.append(Attachment(kind, str(part.get("ref") or ""), self._turn, self._size, tokens))
+        self._put(mark)
+
+    def visit_image(self, part: dict) -> None:
+        self._attach("image", part)
+
+    def visit_audio(self, part: dict) -> None:
+        self._attach("audio", part)
+
+    def visit_document(self, part: dict) -> None:
+        self._attach("document", part)
+
 
-    def visit_image(self, part: dict, turn: int, at: int) -> str:
-        return self._attach("image", part, turn, at)
+def _known(part) -> bool:
+    if isinstance(part, str):
+        return True
+    if not isinstance(part, dict) or part.get("type") not in ("text", *DEFAULT_TOKENS) or not isinstance(part.get("text"), str | None):
+        return False
+    return all(part.get(k) is None or isinstance(part[k], int) and 0 <= part[k] < 1 << 31 for k in ("tokens", "pages"))
 
-    def visit_audio(self, part: dict, turn: int, at: int) -> str:
-        return self._attach("audio", part, turn, at)
 
-    def visit_document(self, part: dict, turn: int, at: int) -> str:
-        return self._attach("document", part, turn, at)
+def parts_of(text: str | None, parts: str | None = None) -> list[dict | str]:
+    """A turn's content as parts: those of a JSON list, or one text part."""
+    if parts:
+        try:
+            found = json.loads(parts)
+        except ValueError:
+            found = None
+        return found if isinstance(found, list) and all(map(_known, found)) else [{"type": "text", "text": parts}]
+    return [{"type": "text", "text": text or ""}]
 
 
-def format_turns(turns: list[tuple[str, str | list[dict] | None]]) -> Formatted:
+def format_turns(turns: list[tuple[str, Content]]) -> Formatted:
     """The conversation of these (role, content) turns; loss is on assistant texts."""
     visitor, pieces, loss, at = PartVisitor(), [], [], 0
     for i, (role, content) in enumerate(turns):
@@ -117,9 +160,9 @@ def format_turns(turns: list[tuple[str, str | list[dict] | None]]) -> Formatted:
             before, after = SYSTEM_OPEN, SYSTEM_CLOSE
         else:
             before, after = OTHER_OPEN + escape(role) + OTHER_MID, OTHER_CLOSE
-        body = visitor.flatten(content, i, at + len(before))
+        body, texts = visitor.flatten(content, i, at + len(before))
         if role == "assistant":
-            loss.append((at + len(before), at + len(before) + len(body)))
+            loss += texts
         pieces.append(before + body + after)
         at += len(pieces[-1])
     return Formatted("".join(pieces), loss, visitor.attachments)
@@ -184,7 +227,7 @@ def format_conversations(turns: DataFrame, parts_col: str | None = None) -> Data
                         yield emit(done)
                         done, size = [], 0
                 now = conv
-                held.append((role, json.loads(parts_) if parts_ else text))
+                held.append((role, parts_of(text, parts_)))
         if held:
             done.append((now, format_turns(held)))
         if done:
@@ -193,7 +236,7 @@ def format_conversations(turns: DataFrame, parts_col: str | None = None) -> Data
     return ordered.mapInArrow(run, FORMATTED)
 
 
-DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, attachment_tokens long"
 
 
 def digest_formatted(formatted: DataFrame) -> DataFrame:
@@ -202,18 +245,19 @@ def digest_formatted(formatted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for conv, text, loss in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "text", "loss")), strict=True):
+            for conv, text, loss, attached in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "text", "loss", "attachments")), strict=True):
                 turns = parse(text)
                 carried = "".join(unescape(text[s["start"] : s["end"]]) for s in loss)
                 rows.append({
                     "conv_id": conv, "n_turns": len(turns),
                     "turns_sha256": hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(),
                     "loss_chars": len(carried), "loss_sha256": hashlib.sha256(carried.encode()).hexdigest(), "formatted_chars": len(text),
+                    "n_attachments": len(attached), "attachment_tokens": sum(x["tokens"] for x in attached),
                 })
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(n, pa.string() if "sha" in n else pa.int64()) for n in rows[0]]))
 
-    return formatted.select("conv_id", "text", "loss").mapInArrow(run, DIGESTS)
+    return formatted.select("conv_id", "text", "loss", "attachments").mapInArrow(run, DIGESTS)
 
 
 #: SQL of the query over conversations: what is read back is what went in, and the
@@ -233,6 +277,7 @@ WITH t AS (
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(body + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 19 WHEN 'system' THEN 17 ELSE 28 + named END) AS BIGINT) AS formatted_chars
+  CAST(sum(body + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 19 WHEN 'system' THEN 17 ELSE 28 + named END) AS BIGINT) AS formatted_chars,
+  CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS attachment_tokens
 FROM m GROUP BY conv_id
 """

@@ -189,19 +189,23 @@ def _asked(sigs: list[np.ndarray], cls: list[int], band: list[int], least: list[
     sig = np.concatenate(sigs)
     owner = np.repeat(np.arange(len(sigs), dtype=np.uint32), [len(s) for s in sigs])
     part = (((sig >> _U(32)) * _U(parts)) >> _U(32)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
-    order = np.argsort(part, kind="stable")
-    sig, owner, cuts = sig[order], owner[order], np.searchsorted(part[order], np.arange(parts + 1))
-    tables = np.array(cls, np.int64), np.array(band, np.uint16), np.array(least, np.uint32)
-    rows = []
-    for p in range(parts):
-        s, o = sig[cuts[p] : cuts[p + 1]], owner[cuts[p] : cuts[p + 1]]
-        if len(s):
-            used, index = np.unique(o, return_inverse=True)
-            assert len(used) <= 1 << 16, "owners of a part have 16 bits"
-            low = s.view(np.uint8).reshape(-1, 8)[:, :6]
-            rows.append((p, np.ascontiguousarray(low).tobytes(), index.astype(np.uint16).tobytes(), *(t[used].tobytes() for t in tables)))
-    cols = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["part", "sigs", "owner", "cls", "band", "least"])
+    order = np.lexsort((owner, part))
+    sig, owner, part = sig[order], owner[order], part[order]
+    begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))  # of the parts that occur, however many there are
+    fresh = np.concatenate(([True], (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])))
+    used = owner[fresh]
+    index = np.cumsum(fresh) - 1
+    index -= np.repeat(index[begin], np.diff(np.append(begin, len(part))))
+    assert index.max(initial=0) < 1 << 16, "owners of a part have 16 bits"
+
+    def packed(values: np.ndarray, count: np.ndarray) -> pa.Array:
+        ends = np.concatenate(([0], np.cumsum(count * (values.nbytes // max(1, len(values))))))
+        return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+    rows, owners = np.diff(np.append(begin, len(part))), np.add.reduceat(fresh.astype(np.int64), begin)
+    low = np.ascontiguousarray(sig.view(np.uint8).reshape(-1, 8)[:, :6])
+    tables = [packed(t[used], owners) for t in (np.array(cls, np.int64), np.array(band, np.uint16), np.array(least, np.uint32))]
+    return pa.RecordBatch.from_arrays([pa.array(part[begin].astype(np.int32)), packed(low, rows), packed(index.astype(np.uint16), rows), *tables], names=["part", "sigs", "owner", "cls", "band", "least"])
 
 
 _SHARED = "sig long, cls long, band int, least int"

@@ -7,16 +7,25 @@ the risk of a linear score f under the logistic loss is
     p E_pos[l(f)] + max(0, E_all[l(-f)] - p E_pos[l(-f)])
 
 (the non-negative estimator).  As l(f) - l(-f) = -f, the unclipped risk is
-convex, and Newton steps reach its minimum in a few passes; where the second
-part would become negative, the step is halved until it isn't.  Passes go on
-until a step is small.  Each pass is one distributed sum of gradient and
-curvature over a narrow feature table that is written once; partitions' sums are
-added in a fixed order, so equal inputs give equal scores.
-
-The prior is the share of good documents among the training labels.  These are a
-sample of the corpus, so that share is an unbiased estimate of the prior; an
-estimate from positives and unlabelled rows alone would lean on how well the
-model separates them.  Labels of bad documents are used for nothing else.
+convex.  So is the risk with the second part left out (p E_pos[l(f)]), and the
+estimator is the larger of the two: a convex function, whose minimum lies in the
+one's domain, in the other's, or on the border where the second part is 0.  There
+it is the minimum of a mixture of both, p E_pos[l(f)] + m (E_all[l(-f)] - p E_pos[l(-f)])
+with a multiplier m between 0 and 1.  Newton steps minimise the mixture for one m,
+from m = 1; if the second part is negative there, m is found by safeguarded
+Newton steps on that part as a function of m.  Each pass is one distributed sum
+of gradients and curvatures over a narrow feature table that is written once;
+partitions' sums are added in a fixed order, so equal inputs give equal scores.
+
+The prior comes from positives and unlabelled rows only; no label 0 is used for
+anything.  A first fit on half of the positives, with a prior of 0.5, ranks all rows and the other half.  If among the best
+rows, down to any score, there are no bad ones, the share of all rows there is p
+times the share of positives there; with bad ones it is more.  So the least ratio
+of these shares over thresholds, of those that a third of the positives reach,
+is the estimate, less one standard error of the positives' share.  Too small a prior
+moves the threshold little, too large a one puts bad rows above it, so the
+estimate should err downwards, and does, the more the fewer positives there are
+(README has figures).
 
 Features are hashed n-grams (shares of words in WORD_BUCKETS and of byte trigrams
 in BYTE_BUCKETS buckets) and numbers on form: length, shares of symbols,
@@ -27,7 +36,7 @@ are never features.
 Edge cases: a null or empty text has the features of no words and a score; a
 document that is labelled more than once counts as positive only if all its
 training labels are 1; null labels are no labels; without any positive, all
-scores are the prior (0.5 without labels); repeated rows are scored each; an
+scores are 0.5; a fit that `passes` passes don't complete is an error that says so; repeated rows are scored each; an
 empty table gives no rows.
 """
 
@@ -159,26 +168,8 @@ def _matrix(raw: pa.Array, grams: pa.Array) -> np.ndarray:
 _BATCH = 2000  # rows expanded at a time
 
 
-def _sums(table: DataFrame, w: np.ndarray) -> np.ndarray:
-    """Over all rows: n, loss of the negative label, gradient, curvature; over the
-    positives: n, loss of the negative label, sum of the features."""
-    d = len(w)
-    size = 4 + 2 * d + d * d
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = np.zeros(size)
-        for whole in batches:
-            for at in range(0, whole.num_rows, _BATCH):
-                batch = whole.slice(at, _BATCH)
-                z, pos = _matrix(batch.column(0), batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-                f = z @ w
-                s = 1 / (1 + np.exp(-f))
-                soft = np.logaddexp(0, f)
-                acc[:4] += len(z), soft.sum(), pos.sum(), soft[pos].sum()
-                acc[4 : 4 + d] += s @ z
-                acc[4 + d : 4 + 2 * d] += z[pos].sum(0)
-                acc[4 + 2 * d :] += (z.T @ (z * (s * (1 - s))[:, None])).ravel()
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "x": pa.array([acc.tobytes()], pa.binary())})
+def _added(partial: DataFrame, files: int, size: int) -> np.ndarray:
+    """The sum of all partitions' sums (part, x), in the order of the partitions."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
@@ -188,37 +179,127 @@ def _sums(table: DataFrame, w: np.ndarray) -> np.ndarray:
                 total += np.frombuffer(x)
             yield pa.RecordBatch.from_pydict({"part": pa.array([rows[0][0]], pa.int32()), "x": pa.array([total.tobytes()], pa.binary())})
 
-    columns = table.select("raw", "grams", "positive")
-    groups = max(1, math.isqrt(len(table.inputFiles())))  # each adds as many sums as the driver then does
-    partial = columns.mapInArrow(run, "part int, x binary").repartitionById(groups, F.col("part") % groups)
+    groups = max(1, math.isqrt(files))  # each adds as many sums as the driver then does
     out = np.zeros(size)
-    for _, x in sorted(partial.mapInArrow(add, "part int, x binary").collect()):
+    for _, x in sorted(partial.repartitionById(groups, F.col("part") % groups).mapInArrow(add, "part int, x binary").collect()):
         out += np.frombuffer(x)
     return out
 
 
-def fit(table: DataFrame, prior: float, ridge: float = 1e-3, gram_ridge: float = 1e-2, tolerance: float = 1e-2, passes: int = 60) -> np.ndarray:
-    """Weights for a table of (raw, grams, positive) rows; an error if `passes` aren't enough."""
-    d, w, step = FEATURES, np.zeros(FEATURES), np.zeros(FEATURES)
+def _partial(acc: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "x": pa.array([acc.tobytes()], pa.binary())})
+
+
+class Risk:
+    """Sums over a table of (raw, grams, positive) rows for weights w."""
+
+    def __init__(self, table: DataFrame):
+        self.columns = table.select("raw", "grams", "positive")
+        self.files = table.rdd.getNumPartitions()
+        self.passes = 0
+
+    def sums(self, w: np.ndarray) -> tuple[float, ...]:
+        """Over all rows and over the positives: their number, mean loss of the
+        negative label, its gradient, mean features and curvature."""
+        d = len(w)
+        size = 2 * (2 + 2 * d + d * d)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            acc = np.zeros((2, size // 2))
+            for whole in batches:
+                for at in range(0, whole.num_rows, _BATCH):
+                    batch = whole.slice(at, _BATCH)
+                    z, pos = _matrix(batch.column(0), batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                    f = z @ w
+                    s, soft = 1 / (1 + np.exp(-f)), np.logaddexp(0, f)
+                    for a, k in zip(acc, (slice(None), pos), strict=True):
+                        x, t = z[k], s[k]
+                        if len(x):
+                            a[:2] += len(x), soft[k].sum()
+                            a[2 : 2 + d] += t @ x
+                            a[2 + d : 2 + 2 * d] += x.sum(0)
+                            a[2 + 2 * d :] += (x.T @ (x * (t * (1 - t))[:, None])).ravel()
+            yield _partial(acc.ravel())
+
+        self.passes += 1
+        out = _added(self.columns.mapInArrow(run, "part int, x binary"), self.files, size).reshape(2, -1)
+        mean = [a[1:] / max(a[0], 1) for a in out]
+        return tuple((a[0], m[0], m[1 : 1 + d], m[1 + d : 1 + 2 * d], m[1 + 2 * d :].reshape(d, d)) for a, m in zip(out, mean, strict=True))
+
+
+def fit(table: DataFrame, prior: float, ridge: float = 1e-3, gram_ridge: float = 1e-2, tolerance: float = 1e-2, passes: int = 60, start: np.ndarray | None = None) -> np.ndarray:
+    """Weights that minimise the non-negative risk over a table of (raw, grams,
+    positive) rows; an error if `passes` aren't enough."""
+    d, risk = FEATURES, Risk(table)
     ridges = np.concatenate((np.full(FORM, ridge), np.full(GRAMS, gram_ridge)))
-    for _ in range(passes):
-        sums = _sums(table, w)
-        n, soft, n_pos, soft_pos = sums[:4]
+
+    def at(w: np.ndarray, m: float):
+        """The mixture at w, its gradient and curvature, the second part and its gradient."""
+        if risk.passes >= passes:
+            raise ArithmeticError(f"no minimum of the risk within {passes} passes")
+        (n, soft, g, _, h), (n_pos, soft_pos, g_pos, x_pos, h_pos) = risk.sums(w)
         if not n or not n_pos:
-            w[0] = np.log(prior / (1 - prior))
-            return w
-        if soft / n - prior * soft_pos / n_pos < 0:
-            if np.abs(step).max() <= tolerance:
-                return w - step  # the last weights at which the negative part of the risk was none below 0
-            step /= 2
-            w = w - step
-            continue
-        if np.abs(step).max() < tolerance and w.any():
-            return w
-        gradient = sums[4 : 4 + d] / n - prior * sums[4 + d : 4 + 2 * d] / n_pos + ridges * w
-        step = -np.linalg.solve(sums[4 + 2 * d :].reshape(d, d) / n + np.diag(ridges), gradient)
-        w = w + step
-    raise ArithmeticError(f"no minimum of the risk within {passes} passes")
+            return None
+        rest, slope = soft - prior * soft_pos, g - prior * g_pos
+        value = prior * (soft_pos - x_pos @ w) + m * rest + (ridges * w * w).sum() / 2
+        return value, prior * (g_pos - x_pos) + m * slope + ridges * w, prior * (1 - m) * h_pos + m * h + np.diag(ridges), rest, slope
+
+    def least(w: np.ndarray, m: float):
+        """The mixture's minimum, the second part there and how that grows with m."""
+        now = at(w, m)
+        while now is not None:
+            step = -np.linalg.solve(now[2], now[1])
+            if np.abs(step).max() < tolerance:
+                return w, now[3], -now[4] @ np.linalg.solve(now[2], now[4])
+            size, found = 1.0, at(w + step, m)
+            while found[0] > now[0] + 1e-12:  # too far
+                size /= 2
+                found = at(w + size * step, m)
+            w, now = w + size * step, found
+        return None
+
+    first = least(np.zeros(d) if start is None else start, 1.0)
+    if first is None:  # nothing to learn from
+        return np.zeros(d)
+    w, rest, slope = first
+    low, high, m, lowest = 0.0, 1.0, 1.0, False
+    while abs(rest) > _CLOSE and (rest < 0 if m == 1 else rest > 0 if m == 0 else high - low > 1e-9):
+        low, high = (low, m) if rest < 0 else (m, high)
+        m = m - rest / slope if slope < 0 else -1.0
+        if not low < m < high:
+            m, lowest = (0.0, True) if not low and not lowest else ((low + high) / 2, lowest)
+        w, rest, slope = least(w, m)
+    return w
+
+
+_CLOSE = 1e-4  # how near to the border counts as on it
+_BINS = 1000
+START_PRIOR = 0.5
+
+
+def estimate_prior(table: DataFrame, w: np.ndarray, share: float = 1 / 3) -> float:
+    """The prior from the scores of all rows and of positives (see above), with scores
+    in _BINS bins."""
+    size = 2 * _BINS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc = np.zeros((2, _BINS))
+        for whole in batches:
+            for at in range(0, whole.num_rows, _BATCH):
+                batch = whole.slice(at, _BATCH)
+                place = np.minimum((_scores(_matrix(batch.column(0), batch.column(1)), w) * _BINS).astype(np.int64), _BINS - 1)
+                acc[0] += np.bincount(place, minlength=_BINS)
+                acc[1] += np.bincount(place[batch.column(2).to_numpy(zero_copy_only=False).astype(bool)], minlength=_BINS)
+        yield _partial(acc.ravel())
+
+    every, positive = _added(table.select("raw", "grams", "positive").mapInArrow(run, "part int, x binary"), table.rdd.getNumPartitions(), size).reshape(2, -1)
+    n, n_pos = every.sum(), positive.sum()
+    if not n or not n_pos:
+        return START_PRIOR
+    a, b = np.cumsum(every[::-1]) / n, np.cumsum(positive[::-1]) / n_pos
+    enough = b >= share
+    error = np.sqrt(b * (1 - b) / n_pos)
+    return float(np.clip((a[enough] / (b + error)[enough]).min(), 0.01, 0.99))
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -227,14 +308,15 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def train(table: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Weights from a feature table; labels (doc_id, quality): only rows that aren't
-    held out are learned from."""
-    known = labels.where(F.col("quality").isNotNull() & ~held_out()).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("quality"))
-    n, good = known.agg(F.count("*"), F.sum("quality")).first()
-    prior = min(max((good or 0) / n, 0.01), 0.99) if n else 0.5
-    positive = known.groupBy("_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("_id", F.lit(True).alias("positive"))
-    marked = materialize(table.join(positive, table.doc_id == positive["_id"], "left").select("raw", "grams", F.coalesce("positive", F.lit(False)).alias("positive")), "training")
-    return fit(marked, prior)
+    """Weights from a feature table; labels (doc_id, quality): only rows of label 1 that
+    aren't held out are learned from."""
+    known = labels.where(F.col("quality").isNotNull() & ~held_out()).groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
+    positive = known.where("quality = 1").select("_id", F.lit(True).alias("positive"))
+    marks = F.coalesce("positive", F.lit(False)), F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    marked = materialize(table.join(positive, table.doc_id == positive["_id"], "left").select("raw", "grams", marks[0].alias("positive"), (marks[0] & marks[1]).alias("half")), "training")
+    own, others = (marked.select("raw", "grams", x.alias("positive")) for x in (F.col("half"), F.col("positive") & ~F.col("half")))
+    first = fit(own, START_PRIOR, tolerance=0.1)
+    return fit(marked, estimate_prior(others, first), start=first)
 
 
 def _scores(raw: np.ndarray, w: np.ndarray) -> np.ndarray:

@@ -55,19 +55,21 @@ def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[begin], np.diff(np.concatenate((begin, [len(rows)])))
 
 
+def _packed(values: np.ndarray, keep: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """The bytes of the rows to keep of each stretch, as one binary value a stretch."""
+    count = np.add.reduceat(keep.astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
+    ends = np.concatenate(([0], np.cumsum(count * values.itemsize * values.shape[1])))
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values[keep]))])
+
+
 def requests(chunk: int, hashes: np.ndarray, parts: int) -> pa.RecordBatch:
     """The chunk's distinct hashes (rows of one or two) by part, those that it has
-    once and oftener apart."""
+    once and oftener apart.  Only parts that occur have a row, however many there are."""
     values, n = _distinct(hashes)
-    part = ((values[:, 0] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    cuts = np.searchsorted(part, np.arange(parts + 1))
-    rows = []
-    for p in range(parts):
-        v, k = values[cuts[p] : cuts[p + 1]], n[cuts[p] : cuts[p + 1]]
-        if len(v):
-            rows.append((p, chunk, v[k == 1].tobytes(), v[k > 1].tobytes()))
-    cols = zip(*rows, strict=True) if rows else [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _REQUEST.types, strict=True)], schema=_REQUEST)
+    part = (((values[:, 0] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int32)
+    begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+    cols = pa.array(part[begin]), pa.array(np.full(len(begin), chunk, np.int32)), _packed(values, n == 1, begin), _packed(values, n > 1, begin)
+    return pa.RecordBatch.from_arrays(list(cols), schema=_REQUEST)
 
 
 def answers(asked: DataFrame, parts: int, wide: int) -> DataFrame:

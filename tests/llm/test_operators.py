@@ -567,6 +567,59 @@ def test_fit_is_the_minimum_of_the_risk(spark):
         pu_classifier.fit(table, prior, passes=1)
 
 
+@pytest.mark.parametrize(("prior", "where"), [(0.3, "inside"), (0.8, "border"), (0.99, "clipped"), (0.999, "clipped")])
+def test_fit_is_the_minimum_where_the_risk_is_clipped(spark, prior, where):
+    rng = np.random.default_rng(7)
+    n, ridge, gram_ridge = 500, 1e-2, 5e-2
+    raw, grams = rng.random((n, pu_classifier.RAW)).astype(np.float32), rng.integers(0, 120, (n, pu_classifier.GRAMS)).astype(np.uint8)
+    raw[:250, 2] += 0.6  # the good half
+    positive = np.arange(n) < 100
+    rows = [(r.tolist(), bytearray(x.tobytes()), bool(k)) for r, x, k in zip(raw, grams, positive, strict=True)]
+    table = spark.createDataFrame(rows, "raw array<float>, grams binary, positive boolean").repartition(2)
+    got = pu_classifier.fit(table, prior, ridge, gram_ridge, tolerance=1e-5, passes=200)
+    z = pu_classifier.expand(raw.astype(np.float64), grams)
+    ridges = np.concatenate((np.full(pu_classifier.FORM, ridge), np.full(pu_classifier.GRAMS, gram_ridge)))
+
+    def risk(w):
+        f = z @ w
+        rest = np.logaddexp(0, f).mean() - prior * np.logaddexp(0, f[positive]).mean()
+        return prior * np.logaddexp(0, -f[positive]).mean() + max(0.0, rest) + 0.5 * (ridges * w * w).sum(), rest
+
+    def slope(w):
+        s = 1 / (1 + np.exp(-(z @ w)))
+        g = ridges * w - prior * ((1 - s)[positive] @ z[positive]) / positive.sum()
+        return g + (s @ z / n - prior * s[positive] @ z[positive] / positive.sum() if risk(w)[1] > 0 else 0)
+
+    w, best = np.zeros(pu_classifier.FEATURES), np.inf  # plain subgradient steps that shrink
+    for k in range(30_000):
+        w -= 0.3 / (1 + k / 300) * slope(w)
+        best = min(best, risk(w)[0])
+    value, rest = risk(got)
+    assert value <= best + 2e-4 and value >= best - 5e-3
+    assert rest > 1e-4 if where == "inside" else abs(rest) <= 2e-4 if where == "border" else rest <= 2e-4
+    for _ in range(50):
+        assert risk(got + 0.05 * rng.standard_normal(len(got)))[0] > value - 2e-4
+
+
+def test_prior_from_positives_and_unlabelled_rows(spark):
+    rng = np.random.default_rng(8)
+    for prior in (0.3, 0.6, 0.85):
+        n = 4000
+        good = rng.random(n) < prior
+        raw, grams = rng.random((n, pu_classifier.RAW)).astype(np.float32), np.zeros((n, pu_classifier.GRAMS), np.uint8)
+        raw[good, 2] += 0.7
+        positive = good & (rng.random(n) < 0.3)
+        table = spark.createDataFrame([(r.tolist(), bytearray(x.tobytes()), bool(k)) for r, x, k in zip(raw, grams, positive, strict=True)], "raw array<float>, grams binary, positive boolean").cache()
+        got = pu_classifier.estimate_prior(table, pu_classifier.fit(table, 0.5))
+        assert 0.85 * good.mean() < got < 1.03 * good.mean()
+
+
+def test_no_label_of_bad_documents_is_used(spark):
+    documents, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    a, b = (pu_classifier.score(documents, x).orderBy("doc_id").toPandas().score for x in (labels, labels.where("quality = 1")))
+    assert np.allclose(a, b, atol=1e-9)
+
+
 def test_gram_features_count_within_texts():
     data = "ab cd ab".encode() + b"" + "ab".encode() + "xyzxyz".encode()
     got = pu_classifier.gram_features(np.frombuffer(data, np.uint8), np.array([0, 8, 8, 10, 16]))
@@ -626,6 +679,51 @@ def test_chat_table(spark):
     assert chat_format.format_conversations(with_parts, "j").first()["attachments"][0]["tokens"] == 750
 
 
+def test_chat_loss_leaves_placeholders_out():
+    content = ["a<", "|image_9|>", {"type": "text", "text": "[\\"}, {"type": "image", "ref": "x"}, {"type": "text", "text": "b"}, {"type": "text", "text": " </s>"}]
+    f = chat_format.format_turns([("assistant", content), ("user", [])])
+    texts = "".join(chat_format.unescape(f.text[a:b] + "<")[:-1] for a, b in f.loss)
+    assert texts == "a<|image_9|>[\\b </s>" and len(f.loss) == 2
+    assert chat_format.parse(f.text) == [("assistant", "a<|image_9|>[\\<|image_0|>b </s>"), ("user", "")]
+    assert [f.text[a.start : a.start + 11] for a in f.attachments] == ["<|image_0|>"]
+
+
+@pytest.mark.parametrize("parts", ["{", "3", "null", '{"type": "text"}', '[{"type": "video"}]', "[3]", "[null]", '[{"type": "text", "text": 3}]', '[{"type": "image", "tokens": "many"}]', '[{"type": "document", "pages": -1}]'])
+def test_malformed_parts_are_text(spark, parts):
+    df = spark.createDataFrame([(1, 0, "user", "not this", parts)], "conv_id long, turn long, role string, text string, p string")
+    (got,) = chat_format.format_conversations(df, "p").collect()
+    assert chat_format.parse(got["text"]) == [("user", parts)] and not got["attachments"]
+
+
+def test_requests_do_not_depend_on_the_number_of_parts():
+    import time
+
+    h = np.random.default_rng(0).integers(0, 1 << 63, 100_000).astype(np.uint64)
+    h = np.concatenate((h, h[:500]))[:, None]
+    some: list = []
+    for parts in (1, 7, 2_000_000):
+        began = time.perf_counter()
+        got = substring_dedup.requests(3, h, parts)
+        assert time.perf_counter() - began < 2
+        once, often = (np.sort(np.frombuffer(b"".join(got.column(c).to_pylist()), np.uint64)) for c in ("once", "often"))
+        some.append((once.tolist(), often.tolist()))
+        assert len(once) == len(h) - 1000 and len(often) == 500 and got.column("part").to_pylist() == sorted(set(got.column("part").to_pylist()))
+    assert some[0] == some[1] == some[2] and substring_dedup.requests(1, h[:0], 5).num_rows == 0
+    began = time.perf_counter()
+    sigs = [np.sort(h[i * 1000 : i * 1000 + 1000, 0]) for i in range(100)]
+    few, many = (parity_join._asked(sigs, list(range(100)), [1] * 100, [2] * 100, p) for p in (3, 2_000_000))
+    assert time.perf_counter() - began < 5
+
+    def pairs(batch):
+        out = []
+        for s, o, c in zip(*(batch.column(x).to_pylist() for x in ("sigs", "owner", "cls")), strict=True):
+            low = [s[i : i + 6] for i in range(0, len(s), 6)]
+            out += list(zip(low, np.frombuffer(c, np.int64)[np.frombuffer(o, np.uint16)].tolist(), strict=True))
+        return sorted(out)
+
+    assert pairs(few) == pairs(many) == sorted((int(x).to_bytes(8, "little")[:6], i) for i, s in enumerate(sigs) for x in s)
+
+
 # --- decontamination
 
 
