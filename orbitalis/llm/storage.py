@@ -8,6 +8,7 @@ that setting is missing (tests, local runs) a folder of our own is set.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from orbitalis.llm.textkernel import release
+
 _SETTING = "spark.checkpoint.dir"
 _written: list[str] = []
 
@@ -39,6 +42,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/orbitalis/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     _written.append(path.rsplit("/", 1)[0])
+    gc.collect()  # plans that only cycles of the driver's objects still hold
+    release()
     return spark.read.schema(df.schema).parquet(path)
 
 
