@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orbitalis.functions import keys
 from orbitalis.operators.ranking import ranked
+from orbitalis.operators.scratch import cut
 
 
 def key_histogram(bodies: DataFrame, bits: int) -> DataFrame:
@@ -72,9 +73,11 @@ def heaviest(counts: DataFrame, k: int, count: str = "n", by: tuple[str, ...] =
 def refine_bins(bodies: DataFrame, most: float, budget: int, digit: int = 1, depth: int = 63) -> list[tuple[int, int, int]]:
     """(depth, prefix, n) of bins that split, level by level, the most populous
     first, while they hold more than `most` bodies and fewer than `budget` bins
-    exist.  Each round is one grouped count of the bodies in bins that split; the
-    driver sees `budget` rows at most."""
-    n = bodies.count()
+    exist.  Bodies are counted by key once; each round counts the keys of bins that
+    split, found by a semi-join, and keeps only these for the next.  The driver sees
+    `budget` rows at most."""
+    left = cut(bodies.groupBy("key").agg(F.count("*").alias("n")))
+    n = left.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     done: list[tuple[int, int, int]] = []
     active = [(0, 0, n)] if n else []
     for level in range(depth):
@@ -84,9 +87,11 @@ def refine_bins(bodies: DataFrame, most: float, budget: int, digit: int = 1, dep
         done += [b for b in active if b[1] not in split]
         if not split:
             return sorted(done)
-        inside = bodies.where(keys.prefix_at(F.col("key"), level, digit).isin(sorted(split)))
-        counted = inside.groupBy(keys.prefix_at(F.col("key"), level + 1, digit).alias("prefix")).count().collect()
-        active = [(level + 1, r["prefix"], r["count"]) for r in counted]
+        bins = bodies.sparkSession.createDataFrame([(b,) for b in sorted(split)], "_bin long")
+        left = left.join(bins, keys.prefix_at(F.col("key"), level, digit) == F.col("_bin"), "left_semi")
+        left = cut(left) if level % 8 == 7 else left  # short plans, fewer keys
+        counted = left.groupBy(keys.prefix_at(F.col("key"), level + 1, digit).alias("prefix")).agg(F.sum("n").alias("n")).collect()
+        active = [(level + 1, r["prefix"], r["n"]) for r in counted]
     return sorted(done + active)
 
 
