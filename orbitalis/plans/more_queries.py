@@ -112,7 +112,15 @@ def packed_files(spark, sf_dir):
     path, b = place(spark, "many"), views.bodies_emb(spark, sf_dir)
     for i, some in enumerate((b.where("id < 200"), b.where("id >= 200"))):
         binary.write_packed(some, f"{path}/part{i}.bin", False)
-    return binary.read_plain(spark, path, 300)
+    return binary.read_plain(spark, path, 300, rows=70)
+
+
+@query(with_(EMB) + f" SELECT * FROM ({_RANKED}) WHERE id BETWEEN 120 AND 419")
+def body_ranges(spark, sf_dir):
+    """Files of 90 bodies each, written by tasks, and ranges of 40 read from the middle."""
+    path = place(spark, "ranges")
+    binary.write_folder(views.bodies_emb(spark, sf_dir), path, True, 0.1, 2.0, rows=90)
+    return binary.read_preamble(spark, path, 300, start=120, rows=40)
 
 
 @query(with_(EMB) + " SELECT id, mass, x, y, z FROM b")

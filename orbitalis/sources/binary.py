@@ -2,74 +2,103 @@
 
 preamble: int32 count, int32 dimensions, float64 time, then for each body
 x y z vx vy vz mass softening as float64.  plain: x y z vx vy vz mass, no
-preamble.  Ids are the order in the file.  Files are read through Spark's
-binaryFile source, so any file system works.
+preamble.  Ids are the order in the file.  Ranges of bodies are read by many tasks;
+write_folder's files are written by the tasks that hold the bodies.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from orbitalis.sources import pieces
+from orbitalis.sources.pieces import HEAD
 from orbitalis.sources.tables import STATE
 
-_HEAD = "<iid"
+_ORDER = ("x", "y", "z", "vx", "vy", "vz", "mass")
 
 
-def _decoded(spark: SparkSession, path: str, fields: int, head: bool, limit: int | None) -> DataFrame:
-    """The bodies of a file or of a folder's files in the order of their names, ids
-    from 0 over all of them.  A file is read by one task and may have 2 GB; larger
-    sets are folders of part files."""
-    skip = struct.calcsize(_HEAD) if head else 0
+def _decoded(spark: SparkSession, path: str, fields: int, head: bool, limit: int | None, start: int, rows: int) -> DataFrame:
+    """The bodies with ids from start on (limit of them) of a file or of a folder's files
+    in the order of their names, ids from 0 over all of them.  A task reads a range of
+    `rows` bodies; where Arrow doesn't know the file system, a task reads a whole file
+    through Spark, which may have 2 GB then."""
+    skip = struct.calcsize(HEAD) if head else 0
     listed = spark.read.format("binaryFile").load(path).select("path", "length").collect()  # a row for each file
     first, total = {}, 0
     for name, size in sorted(listed):
         if (size - skip) % (8 * fields) or size < skip:
             raise ValueError(f"{size} bytes don't fit whole bodies: {name}")
         first[name], total = total, total + (size - skip) // (8 * fields)
-    most = total if limit is None else min(limit, total)
+    stop = total if limit is None else min(start + limit, total)
+    if all(map(pieces.reachable, sorted(first)[:1])):
+        return pieces.read_ranges(spark, sorted((r[0], r[1]) for r in listed), fields, head, start, stop, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if head:
-                    n, dims, _ = struct.unpack_from(_HEAD, raw)
+                    n, dims, _ = struct.unpack_from(HEAD, raw)
                     if dims != 3 or len(raw) != skip + 8 * fields * n:
-                        raise ValueError(f"{len(raw)} bytes don't fit {n} bodies of {dims} dimensions")
-                a = np.frombuffer(raw, "<f8", offset=skip).reshape(-1, fields)
-                a = a[: max(0, most - first[name])]
+                        raise ValueError(f"{len(raw)} bytes don't fit {n} bodies of {dims} dimensions: {name}")
+                a, low = np.frombuffer(raw, "<f8", offset=skip).reshape(-1, fields), max(0, start - first[name])
+                a = a[low : max(low, stop - first[name])]
                 for at in range(0, len(a), 1 << 16):
-                    p = a[at : at + (1 << 16)]
-                    ids = np.arange(first[name] + at, first[name] + at + len(p))
-                    yield pa.RecordBatch.from_pydict({"id": ids, "mass": p[:, 6].copy(), **{c: p[:, i].copy() for i, c in enumerate(("x", "y", "z", "vx", "vy", "vz"))}})
+                    yield pieces.bodies_of(a[at : at + (1 << 16)], first[name] + low + at)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, STATE)
 
 
-def read_preamble(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    return _decoded(spark, path, 8, True, limit)
+def read_preamble(spark: SparkSession, path: str, limit: int | None = None, start: int = 0, rows: int = 1 << 20) -> DataFrame:
+    return _decoded(spark, path, 8, True, limit, start, rows)
 
 
-def read_plain(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    return _decoded(spark, path, 7, False, limit)
+def read_plain(spark: SparkSession, path: str, limit: int | None = None, start: int = 0, rows: int = 1 << 20) -> DataFrame:
+    return _decoded(spark, path, 7, False, limit, start, rows)
+
+
+def _encoded(bodies: DataFrame, preamble: bool, softening: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[bytes]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        for b in batches:
+            p = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in _ORDER] + [np.full(b.num_rows, softening)] * preamble, 1)
+            yield p.astype("<f8").tobytes()
+
+    return run
+
+
+def write_folder(bodies: DataFrame, path: str, preamble: bool, softening: float = 0.0, time: float = 0.0, rows: int = 1 << 20) -> None:
+    """A folder of whole files of about `rows` bodies each, in id order over the names;
+    each task writes its own, and holds it until its preamble is known."""
+    ends, encoded = "tab" if preamble else "bin", _encoded(bodies, preamble, softening)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held = list(encoded(b for b in batches if b.num_rows))
+        if held:
+            head = [struct.pack(HEAD, sum(map(len, held)) // 64, 3, time)] if preamble else []
+            yield from pieces.chunked(f"part-{TaskContext.get().partitionId():08d}.{ends}", iter(head + held))
+
+    parts = max(1, -(-bodies.count() // rows))
+    ordered = bodies.repartitionByRange(parts, "id").sortWithinPartitions("id").select(*_ORDER)
+    pieces.write_pieces(ordered.mapInArrow(run, "name string, raw binary"), path, overwrite=True)
 
 
 def _chunks(bodies: DataFrame, preamble: bool, softening: float, time: float) -> Iterator[bytes]:
     """The file's bytes in pieces of some thousand bodies, in id order."""
-    cols = ["x", "y", "z", "vx", "vy", "vz", "mass"]
+    encoded = _encoded(bodies, preamble, softening)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in cols] + [np.full(b.num_rows, softening)] * preamble, 1)
-            yield pa.RecordBatch.from_pydict({"raw": pa.array([p.astype("<f8").tobytes()], pa.binary())})
+        for raw in encoded(batches):
+            yield pa.RecordBatch.from_pydict({"raw": pa.array([raw], pa.binary())})
 
     if preamble:
-        yield struct.pack(_HEAD, bodies.count(), 3, time)
-    ordered = bodies.repartitionByRange("id").sortWithinPartitions("id").select(*cols)
+        yield struct.pack(HEAD, bodies.count(), 3, time)
+    ordered = bodies.repartitionByRange("id").sortWithinPartitions("id").select(*_ORDER)
     for (raw,) in ordered.mapInArrow(run, "raw binary").toLocalIterator():
         yield bytes(raw)
 
@@ -80,8 +109,8 @@ def packed(bodies: DataFrame, preamble: bool, softening: float = 0.0, time: floa
 
 
 def write_packed(bodies: DataFrame, path: str, preamble: bool, softening: float = 0.0, time: float = 0.0) -> None:
-    """Writes the file through Spark's file systems; these formats are one file, so
-    the driver writes it, a piece at a time."""
+    """One file, which the driver writes through Spark's file systems, a piece at a time,
+    for programs that want one; write_folder writes large sets."""
     spark = bodies.sparkSession
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)

@@ -182,25 +182,23 @@ def _names(spark, path: str) -> list[str]:
 
 
 def write_appended(bodies: DataFrame, path: str, step: int = 0) -> list[str]:
-    """Pieces with raw appended arrays, <path>_<step>_pe<part>.vtp; their names.  The
-    bytes go through Spark's file system from the driver, a piece at a time."""
+    """Pieces with raw appended arrays, <path>_<step>_pe<part>.vtp; their names.  Each
+    task writes its own."""
+    from orbitalis.sources import pieces
+
     spark, names = bodies.sparkSession, [c for c in ("id", "mass", "x", "y", "z", "vx", "vy", "vz", "ax", "ay", "az", "phi", "key") if c in bodies.columns]
+    folder, _, stem = path.rpartition("/")
+    start = f"{stem}_{step:05d}_pe"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, held = TaskContext.get().partitionId(), [b for b in batches if b.num_rows]
         if held:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "raw": pa.array([vtp_appended(_Piece(held, names), part, names)], pa.binary())})
-
-    out = []
-    for part, raw in bodies.select(*names).mapInArrow(run, "part int, raw binary").toLocalIterator():
-        out.append(f"{path}_{step:05d}_pe{part}.vtp")
-        target = spark._jvm.org.apache.hadoop.fs.Path(out[-1])
-        stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
-        stream.write(bytearray(raw))
-        stream.close()
-    return [x.rsplit("/", 1)[-1] for x in out]
+            yield from pieces.chunked(f"{start}{part}.vtp", iter([vtp_appended(_Piece(held, names), part, names)]))
+
+    pieces.write_pieces(bodies.select(*names).mapInArrow(run, "name string, raw binary"), folder)
+    return [n for n in _names(spark, folder) if n.startswith(start)]
 
 
 def write_boxes(cells: DataFrame, path: str, domain, scalars: tuple[str, ...] = ("n",)) -> None:
