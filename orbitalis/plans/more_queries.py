@@ -19,7 +19,7 @@ from orbitalis.operators.scratch import folder
 from orbitalis.plans import catalog, simulate
 from orbitalis.plans.catalog import DOM, EMB, EMB_TREE, EPS2, KEYED, ORD, ORD_TREE, PLACED, query, rounded
 from orbitalis.plans.config import SimConfig
-from orbitalis.sources import binary, generate, tables, views, writers
+from orbitalis.sources import binary, generate, series, tables, views, writers
 
 STATE = ("id", "mass", "x", "y", "z", "vx", "vy", "vz")
 _BODIES = "SELECT id, mass, x, y, z, vx, vy, vz FROM b"
@@ -149,6 +149,39 @@ def legacy_snapshot_files(spark, sf_dir):
     return points.groupBy("x", "y", "z").agg(F.count("*").alias("n"))
 
 
+def _moved(spark: SparkSession, sf_dir: str, by: float) -> DataFrame:
+    b = views.bodies_emb(spark, sf_dir)
+    return b.withColumns({"x": F.col("x") + by, "ax": F.col("y"), "ay": F.col("z"), "az": F.col("x"), "phi": -F.col("mass"), "key": F.col("id") * 7}).repartition(3)
+
+
+_TIMES = "SELECT 0.5::DOUBLE AS timestep, 1.0::DOUBLE AS m UNION ALL SELECT 1.5, 2.0"
+
+
+@query(with_(EMB) + f" SELECT timestep, id, mass, x + m AS x, y, z, vx, vy, vz, y AS ax, z AS ay, x AS az, -mass AS phi, id * 7 AS key, round(sqrt(vx * vx + vy * vy + vz * vz), 9) + 0.0 AS speed, round(sqrt(y * y + z * z + x * x), 9) + 0.0 AS a_size FROM b, ({_TIMES}) AS t")
+def series_files(spark, sf_dir):
+    """Two frames in text, each with its index, read through their collection."""
+    path = place(spark, "series")
+    for step, by in ((1, 1.0), (2, 2.0)):
+        series.extend_collection(spark, path, step - 0.5, series.write_frame(_moved(spark, sf_dir, by), path, step))
+    return rounded(series.read_series(spark, f"{path}/series.pvd").drop("rank"), 9, "speed", "a_size")
+
+
+@query(with_(EMB) + " SELECT 1.5::DOUBLE AS timestep, id, mass, x + 2.0 AS x, y, z, vx, vy, vz, y AS ax, z AS ay, x AS az, -mass AS phi, id * 7 AS key FROM b")
+def appended_series_files(spark, sf_dir):
+    """Frames of raw appended arrays, of which one is read by its time."""
+    path = place(spark, "series")
+    for step, by in ((1, 1.0), (2, 2.0)):
+        series.extend_collection(spark, path, step - 0.5, series.write_frame(_moved(spark, sf_dir, by), path, step, appended=True))
+    return series.read_series(spark, f"{path}/series.pvd", first=1.0).drop("pe")
+
+
+@query(with_(EMB) + " SELECT id, mass, x + 1.0 AS x, y, z, vx, vy, vz, y AS ax, z AS ay, x AS az, -mass AS phi FROM b")
+def legacy_point_data(spark, sf_dir):
+    path = place(spark, "legacy")
+    writers.write_snapshot(_moved(spark, sf_dir, 1.0), path, "vtk")
+    return series.read_legacy(spark, path, ("id", "mass", "phi"), ("v", "a"))
+
+
 @query("SELECT 0.5 * s_suppkey AS timestep, concat('frame', s_suppkey, '.pvtp') AS file FROM supplier WHERE s_suppkey <= 20")
 def snapshot_index(spark, sf_dir):
     some = sorted(r[0] for r in spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey <= 20").select("s_suppkey").collect())

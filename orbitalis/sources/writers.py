@@ -66,8 +66,9 @@ def vtk_points(p: _Piece, vectors: tuple[str, ...] = ("v",), scalars: tuple[str,
     yield from (f"1 {i}" for i in range(p.n))
     yield f"POINT_DATA {p.n}"
     for s in scalars:
-        yield from (f"SCALARS {s} double 1", "LOOKUP_TABLE default")
-        yield from map(repr, p[s].astype(np.float64).tolist())
+        whole = p[s].dtype.kind in "iu"
+        yield from (f"SCALARS {s} {'long' if whole else 'double'} 1", "LOOKUP_TABLE default")
+        yield from map(repr, (p[s] if whole else p[s].astype(np.float64)).tolist())
     for v in vectors:
         yield f"VECTORS {v} double"
         yield from rows(p.vector(v))
@@ -162,14 +163,24 @@ def _written(df: DataFrame, path: str, names: list[str], lines) -> None:
     df.select(*names).mapInArrow(run, "value string").write.mode("overwrite").text(path)
 
 
+#: Scalars that a snapshot has if the bodies do, and their whole-numbered ones (fixed values).
+_SCALARS = ("id", "mass", "phi", "key", "speed", "a_size", "rank")
+_WHOLE = ("id", "key", "rank", "pe")
+
+
+def snapshot_arrays(columns: list[str]) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Names of the vectors and scalars in a snapshot of bodies with these columns."""
+    vectors = tuple(v for v in ("v", "a") if v + "x" in columns)
+    sizes = {name for v, name in (("v", "speed"), ("a", "a_size")) if v in vectors}
+    return vectors, tuple(s for s in _SCALARS if s in sizes or s == "rank" or s in columns)
+
+
 def write_snapshot(bodies: DataFrame, path: str, kind: str = "vtp") -> list[str]:
     """One piece for each partition below path; the pieces' names.  kind: vtp (XML) or
     vtk (legacy).  Velocities come with their size (speed), accelerations likewise."""
     sizes = {name: F.sqrt(sum((F.pow(F.col(v + c), 2) for c in "yz"), F.pow(F.col(v + "x"), 2))) for v, name in (("v", "speed"), ("a", "a_size")) if v + "x" in bodies.columns}
     bodies = bodies.withColumns({**sizes, "rank": F.spark_partition_id()})
-    have = bodies.columns
-    vectors = tuple(v for v in ("v", "a") if v + "x" in have)
-    scalars = tuple(s for s in ("id", "mass", "phi", "key", "speed", "a_size", "rank") if s in have)
+    vectors, scalars = snapshot_arrays(bodies.columns)
     cols = ["x", "y", "z", *(v + c for v in vectors for c in "xyz"), *scalars]
     make = vtp_piece if kind == "vtp" else vtk_points
     _written(bodies, path, cols, lambda p: make(p, vectors, scalars))
@@ -218,7 +229,7 @@ def histogram_cells(histogram: DataFrame, bits: int) -> DataFrame:
 
 def piece_index(pieces: list[str], vectors: tuple[str, ...] = ("v",), scalars: tuple[str, ...] = ("mass",)) -> str:
     """A parallel index over PolyData pieces."""
-    data = "".join(f'<PDataArray type="Float64" Name="{s}"/>' for s in scalars) + "".join(f'<PDataArray type="Float64" Name="{v}" NumberOfComponents="3"/>' for v in vectors)
+    data = "".join(f'<PDataArray type="{"Int64" if s in _WHOLE else "Float64"}" Name="{s}"/>' for s in scalars) + "".join(f'<PDataArray type="Float64" Name="{v}" NumberOfComponents="3"/>' for v in vectors)
     parts = "".join(f'<Piece Source="{p}"/>' for p in pieces)
     return (
         '<?xml version="1.0"?>\n<VTKFile type="PPolyData" version="1.0" byte_order="LittleEndian"><PPolyData GhostLevel="0">'
