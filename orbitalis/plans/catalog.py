@@ -521,12 +521,16 @@ def durations_days(spark, sf_dir):
     return part.select(F.col("p_partkey").cast("long").alias("id"), (F.round(durations.parse_duration(text), 6) + 0.0).alias("days"))
 
 
-@query()
+@query("SELECT CAST(p_partkey AS BIGINT) AS id, round(3.0 / count(*) OVER (), 12) + 0.0 AS mass, true AS inside, true AS bound FROM part")
 def plummer_sphere(spark, sf_dir):
-    return motion.recentre(generate.plummer(spark, 2000, 3))
+    """A body of a sphere for each part: all within the cutoff and slower than they could escape."""
+    ids = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("id"))
+    r2, v2 = (sum((F.pow(F.col(p + c), 2) for c in "yz"), F.pow(F.col(p + "x"), 2)) for p in ("", "v"))
+    b = generate.plummer_of(ids, ids.count(), 3, total_mass=3.0, scale=2.0, cutoff=8.0)
+    return b.select("id", (F.round("mass", 12) + 0.0).alias("mass"), (r2 <= 256 * (1 + 1e-9)).alias("inside"), (v2 <= 6 / F.sqrt(r2 + 4) * (1 + 1e-9)).alias("bound"))
 
 
 @query()
 def tree_run(spark, sf_dir):
-    _, log = simulate.run(generate.collision(spark, 500, 5), SimConfig.of("body", steps=2, dt=0.01, softening=0.05, strategy="arrow"))
+    _, log = simulate.run(generate.collision(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet").count(), 5), SimConfig.of("body", steps=2, dt=0.01, softening=0.05, strategy="arrow"))
     return log

@@ -578,29 +578,38 @@ def _facts(df: DataFrame, name: str) -> DataFrame:
     return df.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.count_distinct("id").alias("ids"), (F.round(F.sum(m), 6) + 0.0).alias("mass"), *((F.round(F.abs(F.sum(m * F.col(c))), 6) + 0.0).alias("m" + c) for c in ("x", "vx")))
 
 
-@query("""SELECT * FROM (VALUES ('mirrored', 501::BIGINT, 501::BIGINT, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE), ('collision', 400, 400, 1.0, 0.0, 0.0), ('plummer', 300, 300, 5.0, 0.0, 0.0), ('systems', 50, 50, 7.0, 0.0, 0.0)) AS t(name, n, ids, mass, mx, mvx)""")
+@query("""SELECT t.name, CAST(p.n + t.more AS BIGINT) AS n, CAST(p.n + t.more AS BIGINT) AS ids, t.mass, 0.0::DOUBLE AS mx, 0.0::DOUBLE AS mvx
+  FROM (SELECT count(*) AS n FROM part) AS p, (VALUES ('mirrored', 1, 1.0::DOUBLE), ('collision', 0, 1.0), ('plummer', 0, 5.0), ('systems', 20, 7.0)) AS t(name, more, mass)""")
 def generated_sets(spark, sf_dir):
-    config = '{"seed": 4, "systems": [{"particles": 30, "total_mass": 4, "scale_radius": 2}, {"particles": 20, "total_mass": 3, "position": [9, 0, 0]}]}'
+    """Sets of as many bodies as there are parts."""
+    n = spark.read.parquet(f"{sf_dir}/part.parquet").count()
+    config = f'{{"seed": 4, "systems": [{{"particles": {n}, "total_mass": 4, "scale_radius": 2}}, {{"particles": 20, "total_mass": 3, "position": [9, 0, 0]}}]}}'
     sets = {
-        "mirrored": generate.mirrored(spark, 501, 2), "collision": motion.recentre(generate.collision(spark, 400, 3)),
-        "plummer": motion.recentre(generate.plummer(spark, 300, 1, total_mass=5.0)), "systems": motion.recentre(generate.from_json(spark, config)),
+        "mirrored": generate.mirrored(spark, n + 1, 2), "collision": motion.recentre(generate.collision(spark, n, 3)),
+        "plummer": motion.recentre(generate.plummer(spark, n, 1, total_mass=5.0)), "systems": motion.recentre(generate.from_json(spark, config)),
     }
     out = [_facts(df, name) for name, df in sets.items()]
     return out[0].union(out[1]).union(out[2]).union(out[3])
 
 
-@query("SELECT 2000::BIGINT AS n, true AS inside, true AS masses, true AS centred")
+@query("SELECT l_linenumber AS line, count(*) AS n, count(*) AS inside, count(*) AS masses FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY 1")
 def uniform_set(spark, sf_dir):
-    b = generate.uniform_cube(spark, 2000, 5, half=10.0, speed=1.0)
+    """A body in a cube for each order's line."""
+    keys_ = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct()
+    b = generate.uniform_cube_of(keys_.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id")), 5, half=10.0, speed=1.0)
     inside = F.lit(True)
     for c in "xyz":
         inside = inside & F.col(c).between(-10, 10) & F.col("v" + c).between(-1, 1)
-    return b.agg(F.count("*").alias("n"), F.bool_and(inside).alias("inside"), F.bool_and(F.col("mass").between(0.5, 1.5)).alias("masses"), (F.abs(F.avg("x")) < 0.6).alias("centred"))
+    count = lambda test: F.sum(test.cast("long"))
+    return b.groupBy((F.col("id") % 8).cast("int").alias("line")).agg(F.count("*").alias("n"), count(inside).alias("inside"), count(F.col("mass").between(0.5, 1.5)).alias("masses"))
 
 
-@query("SELECT true AS bound, 1200::BIGINT AS n")
+@query("SELECT true AS bound, count(*) AS n FROM customer")
 def plummer_virial(spark, sf_dir):
-    """A sphere is in equilibrium: twice its kinetic energy is about its potential one."""
-    b = generate.plummer(spark, 1200, 3)
+    """A sphere, with a body for each customer, is in equilibrium: twice its kinetic
+    energy is about its potential one."""
+    ids = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("id"))
+    n = ids.count()
+    b = generate.plummer_of(ids, n, 3)
     e = motion.energies(b.join(direct.accelerations(b), "id"))
-    return e.select(F.col("virial").between(0.85, 1.15).alias("bound"), F.lit(b.count()).alias("n"))
+    return e.select(F.col("virial").between(0.8, 1.2).alias("bound"), F.lit(n).alias("n"))

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitalis.operators import motion
-from orbitalis.sources.tables import STATE
 
 
 def _unit(seed: int, name: str):
@@ -18,36 +14,49 @@ def _unit(seed: int, name: str):
     return F.pmod(F.xxhash64(F.lit(seed), F.lit(name), F.col("id")), F.lit(1 << 52)) / float(1 << 52)
 
 
-def uniform_cube(spark: SparkSession, n: int, seed: int = 1, half: float = 1.0, speed: float = 0.0, masses: tuple[float, float] = (0.5, 1.5)) -> DataFrame:
+def uniform_cube_of(ids: DataFrame, seed: int = 1, half: float = 1.0, speed: float = 0.0, masses: tuple[float, float] = (0.5, 1.5)) -> DataFrame:
+    """A body in the cube for each row's id."""
     cols = {"mass": masses[0] + (masses[1] - masses[0]) * _unit(seed, "mass")}
     cols |= {c: (2 * _unit(seed, c) - 1) * half for c in "xyz"} | {"v" + c: (2 * _unit(seed, "v" + c) - 1) * speed for c in "xyz"}
-    return spark.range(n).select("id", *(v.alias(k) for k, v in cols.items()))
+    return ids.select("id", *(v.alias(k) for k, v in cols.items()))
+
+
+def uniform_cube(spark: SparkSession, n: int, seed: int = 1, half: float = 1.0, speed: float = 0.0, masses: tuple[float, float] = (0.5, 1.5)) -> DataFrame:
+    return uniform_cube_of(spark.range(n), seed, half, speed, masses)
+
+
+def _exponential(seed: int, name: str):
+    return -F.log(_unit(seed, name) + 2.0**-53)
+
+
+def _half_square(seed: int, name: str):
+    """Half the square of a normal number."""
+    return _exponential(seed, name) * F.pow(F.cos(2 * np.pi * _unit(seed, name + "'")), 2)
+
+
+def _directed(seed: int, name: str, size) -> list:
+    """A vector of that size in a random direction."""
+    z, phi = 2 * _unit(seed, name + "z") - 1, 2 * np.pi * _unit(seed, name + "phi")
+    flat = size * F.sqrt(1 - z * z)
+    return [flat * F.cos(phi), flat * F.sin(phi), size * z]
+
+
+def plummer_of(ids: DataFrame, n: int, seed: int = 1, total_mass: float = 1.0, scale: float = 1.0, gravity: float = 1.0, cutoff: float = 9.0) -> DataFrame:
+    """A body of a Plummer sphere of n for each row's id.  The radius comes from the mass
+    within it, taken uniformly up to the cutoff's; the square of the speed, as a share
+    of the escape speed's, is Beta(3/2, 9/2), as a share of two Gamma numbers."""
+    within = (1 + cutoff**-2) ** -1.5
+    r = 1 / F.sqrt(F.pow(within * (_unit(seed, "r") + 2.0**-53), -2 / 3) - 1)
+    slow = _exponential(seed, "e0") + _half_square(seed, "g0")
+    fast = sum((_exponential(seed, f"e{i}") for i in (2, 3, 4)), _exponential(seed, "e1")) + _half_square(seed, "g1")
+    drawn = ids.select("id", r.alias("r"), (slow / (slow + fast)).alias("q2"))
+    v = F.sqrt(F.col("q2") * 2 / F.sqrt(1 + F.col("r") * F.col("r"))) * (gravity * total_mass / scale) ** 0.5
+    place, speed = _directed(seed, "p", F.col("r") * scale), _directed(seed, "v", v)
+    return drawn.select("id", F.lit(total_mass / max(n, 1)).alias("mass"), *(c.alias(k) for k, c in zip(("x", "y", "z", "vx", "vy", "vz"), place + speed, strict=True)))
 
 
 def plummer(spark: SparkSession, n: int, seed: int = 1, total_mass: float = 1.0, scale: float = 1.0, gravity: float = 1.0, cutoff: float = 9.0) -> DataFrame:
-    """A Plummer sphere; radii beyond the cutoff and speeds by rejection are drawn anew."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            rows = np.empty((len(ids), 6))
-            for k, i in enumerate(ids.tolist()):
-                rng = np.random.Generator(np.random.PCG64([seed, i]))
-                r = np.inf
-                while not r <= cutoff:
-                    r = (rng.uniform(1e-10, 1) ** (-2 / 3) - 1) ** -0.5
-                q, g = 0.0, 1.0
-                while g > q * q * (1 - q * q) ** 3.5:
-                    q, g = rng.uniform(), rng.uniform(0, 0.1)
-                v = q * 2**0.5 * (1 + r * r) ** -0.25
-                for at, size in ((0, r * scale), (3, v * (gravity * total_mass / scale) ** 0.5)):
-                    z, phi = rng.uniform(-1, 1), rng.uniform(0, 2 * np.pi)
-                    flat = (1 - z * z) ** 0.5
-                    rows[k, at : at + 3] = size * flat * np.cos(phi), size * flat * np.sin(phi), size * z
-            cols = {c: rows[:, j].copy() for j, c in enumerate(("x", "y", "z", "vx", "vy", "vz"))}
-            yield pa.RecordBatch.from_pydict({"id": ids, "mass": np.full(len(ids), total_mass / n), **cols})
-
-    return spark.range(n).mapInArrow(run, STATE)
+    return plummer_of(spark.range(n), n, seed, total_mass, scale, gravity, cutoff)
 
 
 def collision(spark: SparkSession, n: int, seed: int = 1, apart: float = 4.0, approach: float = 0.5, total_mass: float = 1.0, **how) -> DataFrame:

@@ -53,3 +53,16 @@ def test_legacy_arrays():
     a = series.legacy_arrays(text)
     assert a["position"].tolist() == [[1, 2, 3], [4, 5, 6]] and a["id"].tolist() == [7, 8] and a["id"].dtype == np.int64
     assert a["m"].tolist() == [0.5, 1e300] and a["v"].tolist() == [[0, 0, 1], [-1, 0, 0]]
+
+
+def test_plummer_spheres_follow_the_model(spark):
+    n = 200_000
+    b = generate.plummer(spark, n, 3, total_mass=2.0, scale=3.0, gravity=0.5, cutoff=9.0)
+    r2, v2 = (sum((F.pow(F.col(p + c), 2) for c in "yz"), F.pow(F.col(p + "x"), 2)) for p in ("", "v"))
+    q2 = v2 * F.sqrt(r2 + 9) / 2  # as a share of the square of the escape speed: 2 G M / sqrt(r^2 + a^2)
+    row = b.agg(F.count("*"), F.avg((r2 <= 9).cast("int")), F.max(F.sqrt(r2)), F.avg(q2), F.var_samp(q2), F.max(q2), *(F.avg(c) for c in ("x", "y", "z", "vx", "vy", "vz"))).first()
+    assert row[0] == n and abs(row[1] - 0.5**1.5 * (1 + 1 / 81) ** 1.5) < 0.005 and 20 < row[2] <= 27 * (1 + 1e-12)
+    assert abs(row[3] - 1 / 4) < 0.002 and abs(row[4] - 6.75 / 252) < 0.0005 and row[5] < 1 and max(map(abs, row[6:9])) < 0.1 and max(map(abs, row[9:])) < 0.01
+    assert generate.plummer(spark, 0).count() == 0 and generate.plummer(spark, 1).count() == 1
+    plan = b._jdf.queryExecution().toString()
+    assert "Python" not in plan and "MapInArrow" not in plan
