@@ -9,16 +9,18 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import SparkSession
 
-from orbitalis.operators import elements, motion
+from orbitalis.operators import direct, elements, motion
 from orbitalis.operators.domain import cubic_domain, keyed
 from orbitalis.operators.partition import balance, key_histogram, splitters
 from orbitalis.plans import simulate
 from orbitalis.plans.config import DIALECTS, SimConfig
 from orbitalis.sources import binary, generate, tables, writers
 
+_CHECK = "[CHECK]"
 FORMATS = ("csv", "preamble", "plain")
 
 
@@ -36,6 +38,7 @@ def _save(bodies, path: str, kind: str) -> None:
 def run(spark: SparkSession, a: argparse.Namespace) -> list[str]:
     config = SimConfig.from_toml(_text(spark, a.config)) if a.config else SimConfig.of(a.dialect)
     bodies, timers = tables.open_bodies(spark, a.input, a.kind), simulate.Timers()
+    checked = [_checked(bodies, config, a.check)] if a.check is not None else []
     end, log = simulate.run(bodies, config, timers=timers)
     writers.write_state(end, f"{a.out}/state.csv")
     writers.append_energy(log.withColumnRenamed("time", "time_days"), f"{a.out}/energy.csv")
@@ -44,7 +47,15 @@ def run(spark: SparkSession, a: argparse.Namespace) -> list[str]:
     cuts, parts = splitters(hist, a.parts), a.parts
     report = simulate.report(log, timers, balance(placed.withColumn("part", _part(cuts)), parts))
     spark.createDataFrame([(writers.metrics_toml(report),)], "value string").coalesce(1).write.mode("overwrite").text(f"{a.out}/metrics")
-    return simulate.lines(report)
+    return checked + simulate.lines(report)
+
+
+def _checked(bodies, config: SimConfig, most: float) -> str:
+    """Accelerations as configured against the exact pair sums; the relative error of
+    all together may be `most`."""
+    got = simulate.accelerations(bodies, config)
+    error = motion.acceleration_error(got, direct.accelerations(bodies, config.softening, config.gravity)).first()["rms"] or 0.0  # none without bodies
+    return f"{_CHECK} {'passed' if error <= most else 'failed'}: error {error:.3e}, allowed {most:.3e}"
 
 
 def _part(cuts: list[int]):
@@ -84,6 +95,7 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--config")
     one.add_argument("--dialect", default="body", choices=sorted(DIALECTS))
     one.add_argument("--parts", type=int, default=8)
+    one.add_argument("--check", type=float, metavar="ERROR", help="compare accelerations with exact sums; exit code 1 if their relative error is larger")
     one.add_argument("--out", required=True)
     one.set_defaults(f=run)
     one = sub.add_parser("convert")
@@ -107,4 +119,6 @@ def main(words: list[str] | None = None, spark: SparkSession | None = None) -> l
 
 
 if __name__ == "__main__":
-    print("\n".join(main()))
+    said = main()
+    print("\n".join(said))
+    sys.exit(any(line.startswith(f"{_CHECK} failed") for line in said))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitalis.functions import keys
@@ -114,23 +114,22 @@ def by_owner(bodies: DataFrame, parts: int) -> DataFrame:
     return bodies.repartitionByRange(parts, "key")
 
 
+def frontier(cells: DataFrame, budget: int, digit: int = 3) -> DataFrame:
+    """depth, prefix, n: from the root, the most populous cell (of equal ones the smaller
+    key) gives way to its children while at most `budget` cells stand.  A cell has no more
+    bodies than its parent, so cells give way in the order of their numbers, and those
+    that do are a run of that order in which the cells standing never exceed the budget.
+    The budget's most populous inner cells are all that can be needed: `budget` rows
+    are broadcast and summed in one task."""
+    inner = cells.where("not is_leaf").orderBy(F.desc("n"), "depth", "prefix").limit(budget).select(F.col("depth").alias("_d"), F.col("prefix").alias("_p"), F.col("n").alias("_n"))
+    child = cells.where("depth > 0").select("depth", "prefix", "n", (F.col("depth") - 1).alias("_d"), keys.parent(F.col("prefix"), digit).alias("_p"))
+    below = child.join(F.broadcast(inner), ["_d", "_p"])
+    stand = 1 + F.sum(F.col("_kids") - 1).over(Window.orderBy(F.desc("_n"), "_d", "_p").rowsBetween(Window.unboundedPreceding, 0))
+    opened = below.groupBy("_d", "_p", "_n").agg(F.count("*").alias("_kids")).select("_d", "_p", stand.alias("_stand")).where(F.col("_stand") <= budget).select("_d", "_p")
+    met = cells.where("depth = 0").select("depth", "prefix", "n").union(below.join(F.broadcast(opened), ["_d", "_p"]).select("depth", "prefix", "n"))
+    return met.join(F.broadcast(opened), (F.col("depth") == F.col("_d")) & (F.col("prefix") == F.col("_p")), "left_anti")
+
+
 def frontier_cells(cells: DataFrame, budget: int, digit: int = 3) -> list[tuple[int, int, int]]:
-    """(depth, prefix, n): from the root, the most populous cell gives way to its
-    children while there is room.  A cell that gives way has more bodies than at
-    most `budget` others, so the children of the budget's most populous inner
-    cells are all that can be needed: one query, of at most 9 x budget rows."""
-    inner = cells.where("not is_leaf").orderBy(F.desc("n"), "depth", "prefix").limit(budget).select(F.col("depth").alias("_d"), F.col("prefix").alias("_p"))
-    below = cells.join(F.broadcast(inner), (F.col("depth") == F.col("_d") + 1) & (keys.parent(F.col("prefix"), digit) == F.col("_p"))).select("depth", "prefix", "n", "is_leaf")
-    front, kids = {}, {}
-    for r in cells.where("depth = 0").select("depth", "prefix", "n", "is_leaf").union(below).collect():
-        if r["depth"]:
-            kids.setdefault((r["depth"] - 1, r["prefix"] >> digit), {})[r["depth"], r["prefix"]] = (r["n"], r["is_leaf"])
-        else:
-            front[0, 0] = (r["n"], r["is_leaf"])
-    while best := min(((-n, k) for k, (n, leaf) in front.items() if not leaf), default=None):
-        mine = kids.get(best[1], {})
-        if not mine or len(front) - 1 + len(mine) > budget:
-            break
-        del front[best[1]]
-        front |= mine
-    return sorted((d, p, n) for (d, p), (n, _) in front.items())
+    """The rows of frontier(), at most `budget`, in order."""
+    return sorted(tuple(r) for r in frontier(cells, budget, digit).collect())

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbitalis.functions import geometry, keys, sql
@@ -317,6 +317,15 @@ def element_files(spark, sf_dir):
     return rounded(back.select("name", F.coalesce("class", F.lit("")).alias("class"), "central_body", "e", "a", "ma", F.col("H").alias("h")), 9, "e", "a", "ma", "h")
 
 
+@query("WITH " + _SAT + " SELECT name, class, 'Sun' AS central_body, round(e, 9) + 0.0 AS e, round(a, 9) + 0.0 AS a FROM t")
+def sunbound_element_files(spark, sf_dir):
+    """Files without the column of the central body: all are bound to the Sun."""
+    path = place(spark, "elements")
+    _catalogue(spark, sf_dir).drop("row", "central_body").write.csv(path, header=True)
+    back = tables.read_elements(spark, path)
+    return rounded(back.select("name", F.coalesce("class", F.lit("")).alias("class"), "central_body", "e", "a"), 9, "e", "a")
+
+
 @query(catalog.SQL["durations_days"])
 def durations_sql(spark, sf_dir):
     sql.register(spark)
@@ -362,6 +371,27 @@ def box_functions(spark, sf_dir):
     )
 
 
+_OPENED = """kids AS (SELECT depth - 1 AS depth, prefix >> 3 AS prefix, count(*) AS kids FROM c WHERE depth > 0 GROUP BY ALL),
+  steps AS (SELECT c.depth, c.prefix, 1 + sum(kids - 1) OVER (ORDER BY n DESC, c.depth, c.prefix ROWS UNBOUNDED PRECEDING) AS stand FROM c JOIN kids USING (depth, prefix)),
+  opened AS (SELECT depth, prefix FROM steps WHERE stand <= 40)"""
+
+
+@query(EMB_TREE + ", " + _OPENED + " SELECT depth, prefix, n FROM c WHERE (depth = 0 OR (depth - 1, prefix >> 3) IN (SELECT (depth, prefix) FROM opened)) AND (depth, prefix) NOT IN (SELECT (depth, prefix) FROM opened)")
+def frontier_of_tree(spark, sf_dir):
+    """The 40 cells, at most, that the most populous cells are opened into."""
+    return partition.frontier(catalog._emb_tree(spark, sf_dir)[1], 40)
+
+
+@query("SELECT count(*) AS n, true AS apart FROM orders")
+def owned_ranges(spark, sf_dir):
+    """Bodies at the owners of their keys: no two owners' ranges of keys meet."""
+    bodies = views.bodies_ord(spark, sf_dir)
+    owned = partition.by_owner(keyed(bodies, cubic_domain(bodies)), 8).withColumn("owner", F.spark_partition_id())
+    ranges = owned.groupBy("owner").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+    before = F.max("high").over(Window.orderBy("owner").rowsBetween(Window.unboundedPreceding, -1))  # a row for each owner
+    return ranges.select("n", F.coalesce(F.col("low") > before, F.lit(True)).alias("apart")).agg(F.sum("n").alias("n"), F.bool_and("apart").alias("apart"))
+
+
 @query("WITH g AS (" + catalog.SQL["splitters"] + """), t AS (SELECT CAST(sum(cnt) AS BIGINT) AS k FROM g GROUP BY part) SELECT CAST(sum(k) AS BIGINT) AS n, 6::BIGINT AS parts, 6 - count(*) AS empty, CASE WHEN count(*) < 6 THEN 0 ELSE min(k) END AS least, max(k) AS most,
   sum(k) / 6.0 AS mean, round(max(k) * 6 / sum(k), 9) + 0.0 AS ratio FROM t""")
 def part_balance(spark, sf_dir):
