@@ -143,15 +143,15 @@ class _PieceWriter(DataSourceArrowWriter):
         return _Written(pieces)
 
     def commit(self, messages: list[_Written | None]) -> None:
-        """Moves the pieces to their places.  Overwriting deletes the folder's other files."""
+        """Moves the pieces to their places; overwriting then deletes the folder's other files."""
         system, folder = opened(self.path)
         made = {name: staged for m in messages if m is not None for staged, name in m.pieces}
-        if self.overwrite:
-            for info in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
-                if info.type == fs.FileType.File:
-                    system.delete_file(info.path)
         for name, staged in made.items():
             system.move(staged, f"{folder}/{name}")
+        if self.overwrite:
+            for info in system.get_file_info(fs.FileSelector(folder)):
+                if info.type == fs.FileType.File and info.base_name not in made:
+                    system.delete_file(info.path)
         system.delete_dir(opened(self.staging)[1])
 
     def abort(self, messages: list[_Written | None]) -> None:

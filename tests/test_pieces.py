@@ -54,6 +54,9 @@ def test_folders_of_files(spark, tmp_path):
         assert exact(b, (binary.read_preamble if head else binary.read_plain)(spark, path)) == 1000
     n, dims, time = struct.unpack_from("<iid", (tmp_path / "True" / names[0].replace("bin", "tab")).read_bytes())
     assert 200 < n < 400 and (dims, time) == (3, 2.0)
+    binary.write_folder(b.where("id < 100"), path, False, rows=300)  # fewer files than before
+    assert [p.name for p in (tmp_path / "False").iterdir()] == ["part-00000000.bin"]
+    assert exact(b.where("id < 100"), binary.read_plain(spark, path)) == 100
     binary.write_folder(b.where("id < 0"), f"{tmp_path}/none", True)
     assert not list((tmp_path / "none").glob("part*"))
 
