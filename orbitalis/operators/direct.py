@@ -1,26 +1,35 @@
 """Exact sums over all pairs.
 
-The small side is broadcast behind a check of its size; beyond it, targets and
-sources are dealt into blocks and joined block by block, so that a task holds
-one block of either side.
+Bodies are dealt by a hash of their id to a fixed number of blocks and packed to
+arrays.  A task holds the targets of one block and reads the sources of all
+blocks, some thousand at a time, so no table is broadcast, no row is made for a
+pair, and what is shuffled is each source once for each block.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbitalis.functions import geometry as g
+from orbitalis.operators.scratch import cut
 
 _BROADCAST_ROWS = 200_000
+_BLOCK = 100_000  # targets of a block, at most about
+_CHUNK = 4_096  # bodies of a packed row
+_TILE = 16, 4_096  # targets and sources whose pairs are made at a time: arrays that stay in a core's cache
+_PACKED = "_a int, part long, role int, of int, data binary"
+_FORCES = ("ax", "ay", "az", "phi")
 
 
 def pairs(targets: DataFrame, sources: DataFrame, condition: Column, block_rows: int = 20_000, part: bool = False) -> DataFrame:
-    """Targets (columns t_*) with all sources (s_*) for which the condition holds; part:
-    only those whose t_part is s_dest, which beyond the broadcast are joined on that
-    and dealt into tiles within it."""
+    """Targets (columns t_*) with all sources (s_*) for which the condition holds, as
+    rows; part: only those whose t_part is s_dest.  The small side is broadcast behind a
+    check of its size; beyond it, both are dealt into blocks and joined block by block."""
     n = sources.count()
     if part:
         condition = condition & (F.col("t_part") == F.col("s_dest"))
@@ -31,44 +40,148 @@ def pairs(targets: DataFrame, sources: DataFrame, condition: Column, block_rows:
         t = targets.join(tiles, "t_part").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
         s = sources.join(tiles.withColumnRenamed("t_part", "s_dest"), "s_dest").withColumn("_b", F.pmod(F.xxhash64("s_id"), F.col("_n")).cast("int")).drop("_n")
         return t.join(s, (t["_b"] == s["_b"]) & condition).drop("_b")
-    blocks, rows = math.ceil(n / block_rows), math.ceil(targets.count() / block_rows)
+    blocks, rows = -(-n // block_rows), -(-targets.count() // block_rows)
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     s = sources.withColumn("_b", F.pmod(F.xxhash64("s_id"), F.lit(blocks)).cast("int")).withColumn("_a", every(rows))
     t = targets.withColumn("_a", F.pmod(F.xxhash64("t_id"), F.lit(rows)).cast("int")).withColumn("_b", every(blocks))
     return t.join(s, (t["_a"] == s["_a"]) & (t["_b"] == s["_b"]) & condition).drop("_a", "_b")
 
 
-def _side(bodies: DataFrame, p: str) -> DataFrame:
-    return bodies.select(*(F.col(c).alias(p + c) for c in ("id", "mass", "x", "y", "z")))
+def _blocks(bodies: DataFrame) -> int:
+    """Enough blocks to keep all cores busy to the end; an odd number."""
+    return max(4 * bodies.sparkSession.sparkContext.defaultParallelism, -(-bodies.count() // _BLOCK)) | 1
+
+
+def _packed(bodies: DataFrame, blocks: int, role: int, part: Column | None = None, origin: str = "id") -> DataFrame:
+    """Rows of _PACKED (of: the block) with up to _CHUNK bodies' id, mass, x, y, z as arrays.
+    Bodies without a place (or sources without a mass) don't take part."""
+    cols = ("mass", "x", "y", "z")
+    known = bodies.select(F.col(origin).cast("long").alias("id"), *(F.col(c).cast("double").alias(c) for c in cols), (F.lit(0) if part is None else part).cast("long").alias("part"))
+    known = known.dropna(subset=["id", "part"]).where(F.expr(" and ".join(f"{c} is not null" for c in cols[1:]))).withColumn("mass", F.coalesce("mass", F.lit(0.0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            part, block = b.column("part").to_numpy(), b.column("_a").to_numpy()
+            data = np.stack([b.column("id").to_numpy().view(np.float64), *(b.column(c).to_numpy() for c in cols)])
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            rows = [(lo, min(lo + _CHUNK, e)) for s, e in zip(cuts[:-1], cuts[1:], strict=True) for lo in range(s, e, _CHUNK)]
+            of = pa.array([int(block[lo]) for lo, _ in rows], pa.int32())
+            parts, chunks = pa.array([int(part[lo]) for lo, _ in rows], pa.int64()), pa.array([data[:, lo:hi].tobytes() for lo, hi in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([of, parts, pa.array([role] * len(rows), pa.int32()), of, chunks], names=["_a", "part", "role", "of", "data"])
+
+    dealt = known.withColumn("_a", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartitionById(blocks, "_a").sortWithinPartitions("part")
+    return dealt.mapInArrow(run, _PACKED)
+
+
+class _Sums:
+    """Accelerations (unless only the potential is wanted) and potentials of a block's targets."""
+
+    def __init__(self, data: list[np.ndarray], block: int, eps2: float, least_r2: float, known: bool, forces: bool):
+        all_ = np.concatenate(data, 1)
+        self.id, self.mass, self.at = all_[0].view(np.int64), all_[1], np.ascontiguousarray(all_[2:])
+        self.block, self.eps2, self.least, self.known, self.forces = block, eps2, least_r2, known, forces
+        self.acc, self.phi = np.zeros((3, len(self.id))), np.zeros(len(self.id))
+
+    def add(self, data: np.ndarray, block: int) -> None:
+        """The pull of a chunk of sources; bodies of one id, which lie in one block, don't act on each other."""
+        own = data[0].view(np.int64) if self.known and block == self.block else None
+        rows, cols = _TILE
+        d, q, f, w = (np.empty(shape) for shape in ((3, rows, cols), (rows, cols), (rows, cols), (rows, cols)))
+        for a in range(0, len(self.id), rows):
+            t = slice(a, min(a + rows, len(self.id)))
+            for b in range(0, data.shape[1], cols):
+                s = slice(b, min(b + cols, data.shape[1]))
+                self._tile(t, data[2:, s], data[1, s], None if own is None else own[s], *(x[..., : t.stop - a, : s.stop - b] for x in (d, q, f, w)))
+
+    def _tile(self, t: slice, source: np.ndarray, mass: np.ndarray, own: np.ndarray | None, d, q, f, w) -> None:
+        for k in range(3):
+            np.subtract(source[k], self.at[k, t, None], out=d[k])
+        np.multiply(d[0], d[0], out=q)
+        for k in (1, 2):
+            np.multiply(d[k], d[k], out=w)
+            q += w
+        q += self.eps2
+        if own is not None:
+            q[self.id[t, None] == own] = np.inf
+        if self.eps2 <= self.least:  # else no pair is as close
+            q[q <= self.least] = np.inf
+        np.sqrt(q, out=f)
+        np.divide(1.0, f, out=f)
+        self.phi[t] -= f @ mass
+        if self.forces:
+            np.divide(f, q, out=w)
+            w *= mass
+            for k in range(3):
+                self.acc[k, t] += np.einsum("ts,ts->t", d[k], w)
+
+
+def _acted(targets: DataFrame, sources: DataFrame, blocks: int, eps2: float, least_r2: float, known: bool, finish, schema: str, forces: bool = True) -> DataFrame:
+    """finish(sums) gives the record batch of each block of targets (rows of _PACKED)
+    upon which all sources of its part with its _a have acted; known: ids of both
+    are those of bodies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, waiting, sums = None, [], None
+        for b in batches:
+            for block, p, role, of, data in zip(*(b.column(c).to_pylist() for c in ("_a", "part", "role", "of")), b.column("data"), strict=True):
+                if p != part:
+                    if part is not None and (sums or waiting):
+                        yield finish(sums or _Sums(waiting, at, eps2, least_r2, known, forces))
+                    part, waiting, sums = p, [], None
+                array, at = np.frombuffer(data.as_buffer()).reshape(5, -1).copy(), block
+                if role == 0:
+                    waiting.append(array)
+                elif waiting or sums:  # all targets come first
+                    if sums is None:
+                        sums, waiting = _Sums(waiting, block, eps2, least_r2, known, forces), []
+                    sums.add(array, of)
+        if part is not None and (sums or waiting):
+            yield finish(sums or _Sums(waiting, at, eps2, least_r2, known, forces))
+
+    met = targets.unionByName(sources).repartitionById(blocks, "_a").sortWithinPartitions("part", "role")
+    return met.mapInArrow(run, schema)
+
+
+def _forces(targets: DataFrame, sources: DataFrame, blocks: int, eps2: float, gravity: float, least_r2: float, known: bool) -> DataFrame:
+    """id and _FORCES of the targets upon which anything may act."""
+
+    def finish(s: _Sums) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(s.id), *(pa.array(gravity * x) for x in (*s.acc, s.phi))], names=["id", *_FORCES])
+
+    every = sources.withColumn("_a", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    acted = _acted(targets, every.withColumn("role", F.lit(1)), blocks, eps2, least_r2, known, finish, "id long, ax double, ay double, az double, phi double")
+    return acted.groupBy("id").agg(*(F.sum(c).alias(c) for c in _FORCES))
 
 
 def accelerations(bodies: DataFrame, softening: float = 0.0, gravity: float = 1.0, sources: DataFrame | None = None) -> DataFrame:
     """id, ax, ay, az, phi of each body by all others (pairs at distance 0 don't act)."""
-    t, s = _side(bodies, "t_"), _side(bodies if sources is None else sources, "s_")
-    d = g.difference(g.cols("s_"), g.cols("t_"))
-    d2 = g.norm2(d)
-    r2 = d2 + softening**2
-    both = pairs(t, s, F.col("t_id") != F.col("s_id")).where(d2 > 0) if softening == 0 else pairs(t, s, F.col("t_id") != F.col("s_id"))
-    a = g.monopole(F.col("s_mass"), d, r2)
-    acted = both.groupBy("t_id").agg(*(F.sum(gravity * c).alias("a" + n) for c, n in zip(a, "xyz", strict=True)), F.sum(gravity * g.potential(F.col("s_mass"), r2)).alias("phi"))
-    none = {"ax": 0.0, "ay": 0.0, "az": 0.0, "phi": 0.0}
-    return bodies.select("id").join(acted.withColumnRenamed("t_id", "id"), "id", "left").fillna(none)
+    blocks = _blocks(bodies)
+    targets = cut(_packed(bodies, blocks, 0))
+    acting = targets if sources is None else cut(_packed(sources, blocks, 1))
+    acted = _forces(targets, acting, blocks, softening**2, gravity, 0.0, True)
+    return bodies.select("id").join(acted, "id", "left").fillna(dict.fromkeys(_FORCES, 0.0))
 
 
 def potential_energy(bodies: DataFrame, softening: float = 0.0, gravity: float = 1.0) -> DataFrame:
-    """One row: the energy of all pairs, each counted once."""
-    t, s = _side(bodies, "t_"), _side(bodies, "s_")
-    r2 = g.norm2(g.difference(g.cols("s_"), g.cols("t_"))) + softening**2
-    return pairs(t, s, F.col("t_id") < F.col("s_id")).agg(F.coalesce(F.sum(gravity * F.col("t_mass") * g.potential(F.col("s_mass"), r2)), F.lit(0.0)).alias("potential"))
+    """One row: the energy of all pairs, each counted once.  Of two blocks one takes the
+    pairs with the other: each has those that follow it, round the circle, to its far side."""
+    blocks = _blocks(bodies)
+    targets = cut(_packed(bodies, blocks, 0))
+    ahead = targets.withColumn("_a", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks // 2)), lambda k: (F.col("of") + blocks - k) % blocks)))
+
+    def finish(s: _Sums) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([gravity * float(s.mass @ s.phi)])], names=["e"])
+
+    # within a block each pair is met twice
+    inner = _acted(targets, targets.withColumn("role", F.lit(1)), blocks, softening**2, 0.0, True, finish, "e double", False)
+    outer = _acted(targets, ahead.where("_a <> of").withColumn("role", F.lit(1)), blocks, softening**2, 0.0, True, finish, "e double", False)
+    return inner.select((F.col("e") / 2).alias("e")).unionByName(outer).agg(F.coalesce(F.sum("e"), F.lit(0.0)).alias("potential"))
 
 
 def by_records(bodies: DataFrame, records: DataFrame, softening: float = 0.0, gravity: float = 1.0, least_r2: float = 1e-12, part: str | None = None) -> DataFrame:
     """Accelerations and potential of bodies by point records (mass, cx, cy, cz) of
     other places; part: the bodies' column that must equal the records' dest."""
-    s = records.select(F.xxhash64("mass", "cx", "cy", "cz").alias("s_id"), F.col("mass").alias("s_mass"), *(F.col("c" + c).alias("s_" + c) for c in "xyz"), *([F.col("dest").alias("s_dest")] if part else []))
-    t = bodies.select(*(F.col(c).alias("t_" + c) for c in ("id", "mass", "x", "y", "z")), *([F.col(part).alias("t_part")] if part else []))
-    d = g.difference(g.cols("s_"), g.cols("t_"))
-    r2 = g.norm2(d) + softening**2
-    a = g.monopole(F.col("s_mass"), d, r2)
-    acted = pairs(t, s, r2 > least_r2, part=part is not None)
-    return acted.groupBy(F.col("t_id").alias("id")).agg(*(F.sum(gravity * c).alias("a" + n) for c, n in zip(a, "xyz", strict=True)), F.sum(gravity * g.potential(F.col("s_mass"), r2)).alias("phi"))
+    blocks = _blocks(bodies)
+    at = records.select("mass", *(F.col("c" + c).alias(c) for c in "xyz"), *(["dest"] if part else []))
+    sources = _packed(at.withColumn("id", F.xxhash64("mass", *"xyz")), blocks, 1, F.col("dest") if part else None)
+    return _forces(_packed(bodies, blocks, 0, F.col(part) if part else None), cut(sources), blocks, softening**2, gravity, least_r2, False)
