@@ -58,3 +58,12 @@ def test_bodies_without_a_place_or_others(spark):
     lost = one.unionByName(spark.createDataFrame([(2, 1.0, 1.0, None, 0.0), (3, 1.0, 2.0, 0.0, 0.0)], STATE))
     got = {r["id"]: r["phi"] for r in direct.accelerations(lost).collect()}
     assert got == {1: -0.5, 2: 0.0, 3: -1.0}
+
+
+def test_virial_needs_no_forces(spark, monkeypatch):
+    from orbitalis.plans import more_queries
+    from tests.oracle import DATA
+
+    monkeypatch.setattr(direct, "accelerations", None)
+    n = spark.read.parquet(f"{DATA}/customer.parquet").count()
+    assert more_queries.plummer_virial(spark, DATA).collect() == [(True, n)]
