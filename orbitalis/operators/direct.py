@@ -162,6 +162,14 @@ def accelerations(bodies: DataFrame, softening: float = 0.0, gravity: float = 1.
     return bodies.select("id").join(acted, "id", "left").fillna(dict.fromkeys(_FORCES, 0.0))
 
 
+def within_parts(bodies: DataFrame, softening: float, gravity: float, part: str) -> DataFrame:
+    """id, ax, ay, az, phi of each body by all others of its part."""
+    blocks = _blocks(bodies)
+    targets = cut(_packed(bodies, blocks, 0, F.col(part)))
+    acted = _forces(targets, targets, blocks, softening**2, gravity, 0.0, True)
+    return bodies.select("id").join(acted, "id", "left").fillna(dict.fromkeys(_FORCES, 0.0))
+
+
 def potential_energy(bodies: DataFrame, softening: float = 0.0, gravity: float = 1.0) -> DataFrame:
     """One row: the energy of all pairs, each counted once.  Of two blocks one takes the
     pairs with the other: each has those that follow it, round the circle, to its far side."""

@@ -125,5 +125,8 @@ def accelerations(placed: DataFrame, config, domain, theta: float | None = None)
     near = with_bodies(sent, tree.with_leaf(placed, cells, config.depth, config.digit, "part"), "part")
     received = far.unionByName(near.select("dest", "mass", *(F.col(c).alias("c" + c) for c in "xyz")))
     acted = direct.by_records(placed, received, config.softening, config.gravity, 0.0, "part")
-    own = walk.Walk(placed.drop("key"), config, domain, by="part").accelerations()
+    if config.theta == 0:  # nothing is accepted: a walk would meet each body with each cell
+        own = direct.within_parts(placed, config.softening, config.gravity, "part")
+    else:
+        own = walk.Walk(placed.drop("key"), config, domain, by="part").accelerations()
     return acted.unionByName(own).groupBy("id").agg(*(F.sum(c).alias(c) for c in ("ax", "ay", "az", "phi")))

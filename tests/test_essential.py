@@ -105,3 +105,12 @@ def test_tiles_within_parts(spark, monkeypatch):
     monkeypatch.setattr(direct, "pairs", lambda *a, **k: whole(*a, **{**k, "block_rows": 7}))
     got = by_id(direct.by_records(placed, records, 0.1, part="part"))
     assert len(got) == 90 and np.allclose(got[["ax", "ay", "az", "phi"]], want[["ax", "ay", "az", "phi"]])
+
+
+def test_exact_parts_are_not_walked(spark, monkeypatch):
+    """At opening angle 0 a walk would make a row for each body and cell of a part."""
+    config = SimConfig.of("body", theta=0.0, softening=0.05)
+    placed, dom = parts(spark, 70, 2)
+    monkeypatch.setattr(essential.walk, "Walk", None)
+    got, want = by_id(essential.accelerations(placed, config, dom, 0.2)), by_id(direct.accelerations(placed, 0.05))
+    assert np.allclose(got[["ax", "ay", "az", "phi"]], want[["ax", "ay", "az", "phi"]], rtol=0.05, atol=0.05)
