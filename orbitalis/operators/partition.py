@@ -73,28 +73,56 @@ def heaviest(counts: DataFrame, k: int, count: str = "n", by: tuple[str, ...] =
 def refine_bins(bodies: DataFrame, most: float, budget: int, digit: int = 1, depth: int = 63) -> list[tuple[int, int, int]]:
     """(depth, prefix, n) of bins that split, level by level, the most populous
     first, while they hold more than `most` bodies and fewer than `budget` bins
-    exist.  Bodies are counted by key once; each round counts the keys of bins that
-    split, found by a semi-join, and keeps only these for the next.  The driver sees
-    `budget` rows at most."""
+    exist.  Bodies are counted by key once; a round counts the keys of bins that
+    split, found by a semi-join, at some levels at once (see _counted), and keeps only
+    these for the next.  The driver sees `budget` rows of a round at most, or those of one level."""
     left = cut(bodies.groupBy("key").agg(F.count("*").alias("n")))
     n = left.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     done: list[tuple[int, int, int]] = []
     active = [(0, 0, n)] if n else []
+    known, stubborn, below = 0, 0, {}  # the children of bins down to this level
     for level in range(depth):
         heavy = sorted((b for b in active if b[2] > most), key=lambda b: (-b[2], b[1]))
         room = budget - len(done) - len(active)
-        split = {b[1] for b in heavy[: max(0, room) // ((1 << digit) - 1)]}
+        split = {b[1]: b[2] for b in heavy[: max(0, room) // ((1 << digit) - 1)]}
         done += [b for b in active if b[1] not in split]
         if not split:
             return sorted(done)
-        bins = bodies.sparkSession.createDataFrame([(b,) for b in sorted(split)], "_bin long")
-        left = left.join(bins, keys.prefix_at(F.col("key"), level, digit) == F.col("_bin"), "left_semi")
-        left = cut(left) if level % 8 == 7 else left  # short plans, fewer keys
-        counted = left.groupBy(keys.prefix_at(F.col("key"), level + 1, digit).alias("prefix")).agg(F.sum("n").alias("n")).collect()
-        active = [(level + 1, r["prefix"], r["n"]) for r in counted]
+        if level == known:
+            usual = sum(split.values()) / len(split)
+            enough = 1 + math.ceil(math.log2(max(usual / max(most, 1), 2)))  # levels until an even bin has been split enough
+            step, stubborn = min(9, max(enough, stubborn)) // digit, stubborn + 3  # bins that are still left are few
+            left, known, rows = _counted(left, sorted(split), level, min(max(1, step), depth - level), most, budget, digit)
+            below = {}
+            for d, prefix, k in rows:
+                below.setdefault((d, prefix >> digit), []).append((d, prefix, k))
+        active = [b for p in split for b in below[level + 1, p]]
     return sorted(done + active)
 
 
+def _counted(left: DataFrame, split: list[int], level: int, step: int, most: float, budget: int, digit: int) -> tuple[DataFrame, int, list]:
+    """The keys (key, n) of the bins `split` of a level, the level down to which they
+    were counted, and (depth, prefix, n) of bins below them whose parents hold more than
+    `most` bodies.  Keys are summed at the lowest of `step` levels, and these sums
+    up to those above; the levels shrink to one if that gives more than `budget` rows."""
+    if level:
+        bins = left.sparkSession.createDataFrame([(b,) for b in split], "_bin long")
+        left = cut(left.join(F.broadcast(bins), keys.prefix_at(F.col("key"), level, digit) == F.col("_bin"), "left_semi"))
+    while True:
+        last = level + step
+        low = cut(left.groupBy(keys.prefix_at(F.col("key"), last, digit).alias("prefix")).agg(F.sum("n").alias("n")))
+        up = F.call_function("shiftright", "prefix", ((last - F.col("depth")) * digit).cast("int"))
+        nested = low.withColumn("depth", F.explode(F.sequence(F.lit(level + 1), F.lit(last)))).withColumn("prefix", up)
+        every = cut(nested.groupBy("depth", "prefix").agg(F.sum("n").alias("n"))) if step > 1 else nested.select("depth", "prefix", "n")
+        first = F.col("depth") == level + 1
+        crowded = every.where(F.col("n") > most).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("_up"))
+        kept = every.where(~first).withColumn("_up", keys.parent(F.col("prefix"), digit)).join(crowded, ["depth", "_up"], "left_semi")
+        found = cut(every.where(first).unionByName(kept.select("depth", "prefix", "n"))) if step > 1 else every
+        if step == 1 or found.count() <= budget:
+            return left, last, [tuple(r) for r in found.select("depth", "prefix", "n").collect()]
+        step = max(1, step // 2)
+
+
 def tiles(bodies: DataFrame, k: int) -> DataFrame:
     """Near-equal runs of the key order: tile and its size (sizes differ by one at most)."""
     placed = ranked(bodies.select("key", "id"), "_rank", "key", "id")
