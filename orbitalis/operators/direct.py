@@ -48,8 +48,8 @@ def pairs(targets: DataFrame, sources: DataFrame, condition: Column, block_rows:
 
 
 def _blocks(bodies: DataFrame) -> int:
-    """Enough blocks to keep all cores busy to the end; an odd number."""
-    return max(4 * bodies.sparkSession.sparkContext.defaultParallelism, -(-bodies.count() // _BLOCK)) | 1
+    """Enough blocks to keep all cores busy to the end (a round of tasks isn't opened for one more); an odd number."""
+    return max(4 * bodies.sparkSession.sparkContext.defaultParallelism - 1, -(-bodies.count() // _BLOCK) | 1)
 
 
 def _packed(bodies: DataFrame, blocks: int, role: int, part: Column | None = None, origin: str = "id") -> DataFrame:
@@ -74,48 +74,51 @@ def _packed(bodies: DataFrame, blocks: int, role: int, part: Column | None = Non
 
 
 class _Sums:
-    """Accelerations (unless only the potential is wanted) and potentials of a block's targets."""
+    """Accelerations (acc) and potentials (phi) of a block's targets, of which `wanted`
+    are summed, for each of some squared softenings."""
 
-    def __init__(self, data: list[np.ndarray], block: int, eps2: float, least_r2: float, known: bool, forces: bool):
+    def __init__(self, data: list[np.ndarray], block: int, eps2: tuple[float, ...], least_r2: float, known: bool, wanted: str):
         all_ = np.concatenate(data, 1)
         self.id, self.mass, self.at = all_[0].view(np.int64), all_[1], np.ascontiguousarray(all_[2:])
-        self.block, self.eps2, self.least, self.known, self.forces = block, eps2, least_r2, known, forces
-        self.acc, self.phi = np.zeros((3, len(self.id))), np.zeros(len(self.id))
+        self.block, self.eps2, self.least, self.known, self.wanted = block, eps2, least_r2, known, wanted.split()
+        self.acc, self.phi = np.zeros((len(eps2), 3, len(self.id))), np.zeros((len(eps2), len(self.id)))
 
     def add(self, data: np.ndarray, block: int) -> None:
         """The pull of a chunk of sources; bodies of one id, which lie in one block, don't act on each other."""
         own = data[0].view(np.int64) if self.known and block == self.block else None
         rows, cols = _TILE
-        d, q, f, w = (np.empty(shape) for shape in ((3, rows, cols), (rows, cols), (rows, cols), (rows, cols)))
+        d, *more = (np.empty(shape) for shape in ((3, rows, cols), *[(rows, cols)] * 4))
         for a in range(0, len(self.id), rows):
             t = slice(a, min(a + rows, len(self.id)))
             for b in range(0, data.shape[1], cols):
                 s = slice(b, min(b + cols, data.shape[1]))
-                self._tile(t, data[2:, s], data[1, s], None if own is None else own[s], *(x[..., : t.stop - a, : s.stop - b] for x in (d, q, f, w)))
+                self._tile(t, data[2:, s], data[1, s], None if own is None else own[s], *(x[..., : t.stop - a, : s.stop - b] for x in (d, *more)))
 
-    def _tile(self, t: slice, source: np.ndarray, mass: np.ndarray, own: np.ndarray | None, d, q, f, w) -> None:
+    def _tile(self, t: slice, source: np.ndarray, mass: np.ndarray, own: np.ndarray | None, d, r2, q, f, w) -> None:
         for k in range(3):
             np.subtract(source[k], self.at[k, t, None], out=d[k])
-        np.multiply(d[0], d[0], out=q)
+        np.multiply(d[0], d[0], out=r2)
         for k in (1, 2):
             np.multiply(d[k], d[k], out=w)
-            q += w
-        q += self.eps2
+            r2 += w
         if own is not None:
-            q[self.id[t, None] == own] = np.inf
-        if self.eps2 <= self.least:  # else no pair is as close
-            q[q <= self.least] = np.inf
-        np.sqrt(q, out=f)
-        np.divide(1.0, f, out=f)
-        self.phi[t] -= f @ mass
-        if self.forces:
-            np.divide(f, q, out=w)
-            w *= mass
-            for k in range(3):
-                self.acc[k, t] += np.einsum("ts,ts->t", d[k], w)
-
-
-def _acted(targets: DataFrame, sources: DataFrame, blocks: int, eps2: float, least_r2: float, known: bool, finish, schema: str, forces: bool = True) -> DataFrame:
+            r2[self.id[t, None] == own] = np.inf
+        for i, eps2 in enumerate(self.eps2):  # distances are those of all softenings
+            np.add(r2, eps2, out=q)
+            if eps2 <= self.least:  # else no pair is as close
+                q[q <= self.least] = np.inf
+            np.sqrt(q, out=f)
+            np.divide(1.0, f, out=f)
+            if "phi" in self.wanted:
+                self.phi[i, t] -= f @ mass
+            if "acc" in self.wanted:
+                np.divide(f, q, out=w)
+                for k in range(3):
+                    np.multiply(d[k], w, out=q)
+                    self.acc[i, k, t] += q @ mass
+
+
+def _acted(targets: DataFrame, sources: DataFrame, blocks: int, eps2: tuple[float, ...], least_r2: float, known: bool, finish, schema: str, wanted: str = "acc phi") -> DataFrame:
     """finish(sums) gives the record batch of each block of targets (rows of _PACKED)
     upon which all sources of its part with its _a have acted; known: ids of both
     are those of bodies."""
@@ -126,31 +129,35 @@ def _acted(targets: DataFrame, sources: DataFrame, blocks: int, eps2: float, lea
             for block, p, role, of, data in zip(*(b.column(c).to_pylist() for c in ("_a", "part", "role", "of")), b.column("data"), strict=True):
                 if p != part:
                     if part is not None and (sums or waiting):
-                        yield finish(sums or _Sums(waiting, at, eps2, least_r2, known, forces))
+                        yield finish(sums or _Sums(waiting, at, eps2, least_r2, known, wanted))
                     part, waiting, sums = p, [], None
                 array, at = np.frombuffer(data.as_buffer()).reshape(5, -1).copy(), block
                 if role == 0:
                     waiting.append(array)
                 elif waiting or sums:  # all targets come first
                     if sums is None:
-                        sums, waiting = _Sums(waiting, block, eps2, least_r2, known, forces), []
+                        sums, waiting = _Sums(waiting, block, eps2, least_r2, known, wanted), []
                     sums.add(array, of)
         if part is not None and (sums or waiting):
-            yield finish(sums or _Sums(waiting, at, eps2, least_r2, known, forces))
+            yield finish(sums or _Sums(waiting, at, eps2, least_r2, known, wanted))
 
     met = targets.unionByName(sources).repartitionById(blocks, "_a").sortWithinPartitions("part", "role")
     return met.mapInArrow(run, schema)
 
 
-def _forces(targets: DataFrame, sources: DataFrame, blocks: int, eps2: float, gravity: float, least_r2: float, known: bool) -> DataFrame:
-    """id and _FORCES of the targets upon which anything may act."""
+def _forces(targets: DataFrame, sources: DataFrame, blocks: int, eps2: tuple[float, ...], gravity: float, least_r2: float, known: bool, wanted: str = "acc phi") -> DataFrame:
+    """id and _FORCES of the targets upon which anything may act; with several
+    softenings each name ends in the number of its own."""
+    names = list(_FORCES) if len(eps2) == 1 else [f"{c}{i}" for i in range(len(eps2)) for c in _FORCES]
+    names = [c for c in names if ("phi" if c.startswith("phi") else "acc") in wanted.split()]
 
     def finish(s: _Sums) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(s.id), *(pa.array(gravity * x) for x in (*s.acc, s.phi))], names=["id", *_FORCES])
+        each = {f"{c}{i if len(eps2) > 1 else ''}": x for i in range(len(eps2)) for c, x in zip(_FORCES, (*s.acc[i], s.phi[i]), strict=True)}
+        return pa.RecordBatch.from_arrays([pa.array(s.id), *(pa.array(gravity * each[c]) for c in names)], names=["id", *names])
 
     every = sources.withColumn("_a", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    acted = _acted(targets, every.withColumn("role", F.lit(1)), blocks, eps2, least_r2, known, finish, "id long, ax double, ay double, az double, phi double")
-    return acted.groupBy("id").agg(*(F.sum(c).alias(c) for c in _FORCES))
+    acted = _acted(targets, every.withColumn("role", F.lit(1)), blocks, eps2, least_r2, known, finish, "id long, " + ", ".join(f"{c} double" for c in names), wanted)
+    return acted.groupBy("id").agg(*(F.sum(c).alias(c) for c in names))
 
 
 def accelerations(bodies: DataFrame, softening: float = 0.0, gravity: float = 1.0, sources: DataFrame | None = None) -> DataFrame:
@@ -158,15 +165,27 @@ def accelerations(bodies: DataFrame, softening: float = 0.0, gravity: float = 1.
     blocks = _blocks(bodies)
     targets = cut(_packed(bodies, blocks, 0))
     acting = targets if sources is None else cut(_packed(sources, blocks, 1))
-    acted = _forces(targets, acting, blocks, softening**2, gravity, 0.0, True)
+    acted = _forces(targets, acting, blocks, (softening**2,), gravity, 0.0, True)
     return bodies.select("id").join(acted, "id", "left").fillna(dict.fromkeys(_FORCES, 0.0))
 
 
+def by_softenings(bodies: DataFrame, softenings: tuple[float, ...], gravity: float = 1.0) -> DataFrame:
+    """id and, for each of several softenings (numbered from 0), ax0, ay0, az0, ax1 and
+    so on of each body by all others.  Pairs are met once, whatever the number of softenings."""
+    blocks, eps2 = _blocks(bodies), tuple(s**2 for s in softenings)
+    targets = cut(_packed(bodies, blocks, 0))
+    acted = _forces(targets, targets, blocks, eps2, gravity, 0.0, True, "acc")
+    if len(eps2) == 1:
+        acted = acted.withColumnsRenamed({"a" + c: f"a{c}0" for c in "xyz"})
+    names = [f"a{c}{i}" for i in range(len(eps2)) for c in "xyz"]
+    return bodies.select("id").join(acted, "id", "left").fillna(dict.fromkeys(names, 0.0))
+
+
 def within_parts(bodies: DataFrame, softening: float, gravity: float, part: str) -> DataFrame:
     """id, ax, ay, az, phi of each body by all others of its part."""
     blocks = _blocks(bodies)
     targets = cut(_packed(bodies, blocks, 0, F.col(part)))
-    acted = _forces(targets, targets, blocks, softening**2, gravity, 0.0, True)
+    acted = _forces(targets, targets, blocks, (softening**2,), gravity, 0.0, True)
     return bodies.select("id").join(acted, "id", "left").fillna(dict.fromkeys(_FORCES, 0.0))
 
 
@@ -178,11 +197,11 @@ def potential_energy(bodies: DataFrame, softening: float = 0.0, gravity: float =
     ahead = targets.withColumn("_a", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks // 2)), lambda k: (F.col("of") + blocks - k) % blocks)))
 
     def finish(s: _Sums) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([gravity * float(s.mass @ s.phi)])], names=["e"])
+        return pa.RecordBatch.from_arrays([pa.array([gravity * float(s.mass @ s.phi[0])])], names=["e"])
 
     # within a block each pair is met twice
-    inner = _acted(targets, targets.withColumn("role", F.lit(1)), blocks, softening**2, 0.0, True, finish, "e double", False)
-    outer = _acted(targets, ahead.where("_a <> of").withColumn("role", F.lit(1)), blocks, softening**2, 0.0, True, finish, "e double", False)
+    inner = _acted(targets, targets.withColumn("role", F.lit(1)), blocks, (softening**2,), 0.0, True, finish, "e double", "phi")
+    outer = _acted(targets, ahead.where("_a <> of").withColumn("role", F.lit(1)), blocks, (softening**2,), 0.0, True, finish, "e double", "phi")
     return inner.select((F.col("e") / 2).alias("e")).unionByName(outer).agg(F.coalesce(F.sum("e"), F.lit(0.0)).alias("potential"))
 
 
@@ -192,4 +211,4 @@ def by_records(bodies: DataFrame, records: DataFrame, softening: float = 0.0, gr
     blocks = _blocks(bodies)
     at = records.select("mass", *(F.col("c" + c).alias(c) for c in "xyz"), *(["dest"] if part else []))
     sources = _packed(at.withColumn("id", F.xxhash64("mass", *"xyz")), blocks, 1, F.col("dest") if part else None)
-    return _forces(_packed(bodies, blocks, 0, F.col(part) if part else None), cut(sources), blocks, softening**2, gravity, least_r2, False)
+    return _forces(_packed(bodies, blocks, 0, F.col(part) if part else None), cut(sources), blocks, (softening**2,), gravity, least_r2, False)

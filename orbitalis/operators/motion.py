@@ -61,7 +61,11 @@ def distance_error(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def acceleration_error(got: DataFrame, exact: DataFrame) -> DataFrame:
     """One row: rms and largest relative error of accelerations."""
-    both = got.select("id", *(F.col("a" + c).alias("p" + c) for c in "xyz")).join(exact.select("id", *(F.col("a" + c).alias("q" + c) for c in "xyz")), "id")
+    return error_of(got.select("id", *(F.col("a" + c).alias("p" + c) for c in "xyz")).join(exact.select("id", *(F.col("a" + c).alias("q" + c) for c in "xyz")), "id"))
+
+
+def error_of(both: DataFrame) -> DataFrame:
+    """The same of rows that have both: px, py, pz and the exact qx, qy, qz."""
     d2 = sum((F.pow(F.col("p" + c) - F.col("q" + c), 2) for c in "yz"), F.pow(F.col("px") - F.col("qx"), 2))
     q2 = sum((F.pow(F.col("q" + c), 2) for c in "yz"), F.pow(F.col("qx"), 2))
     e2 = F.when(q2 > 0, d2 / q2).otherwise(d2)

@@ -499,7 +499,8 @@ def _sums(name: str, eps2: float) -> str:
 @query(with_(EMB, _sums("p", 0.01), _sums("q", 1e-4), "e AS (SELECT ((p.ax - q.ax) ** 2 + (p.ay - q.ay) ** 2 + (p.az - q.az) ** 2) / (q.ax ** 2 + q.ay ** 2 + q.az ** 2) AS e2 FROM p JOIN q USING (id))") + " SELECT round(sqrt(avg(e2)), 6) + 0.0 AS rms, round(sqrt(max(e2)), 6) + 0.0 AS largest FROM e")
 def softening_error(spark, sf_dir):
     bodies = views.bodies_emb(spark, sf_dir)
-    return rounded(motion.acceleration_error(direct.accelerations(bodies, 0.1), direct.accelerations(bodies, 1e-2)), 6, "rms", "largest")
+    both = direct.by_softenings(bodies, (0.1, 1e-2)).withColumnsRenamed({f"a{c}{i}": n + c for i, n in enumerate("pq") for c in "xyz"})
+    return rounded(motion.error_of(both), 6, "rms", "largest")
 
 
 @query(with_(EMB) + " SELECT round(0.0, 3) + 0.0 AS summed, count(*) AS n FROM b")

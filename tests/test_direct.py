@@ -67,3 +67,23 @@ def test_virial_needs_no_forces(spark, monkeypatch):
     monkeypatch.setattr(direct, "accelerations", None)
     n = spark.read.parquet(f"{DATA}/customer.parquet").count()
     assert more_queries.plummer_virial(spark, DATA).collect() == [(True, n)]
+
+
+@pytest.mark.parametrize("softenings", [(0.1,), (0.1, 0.0, 1e-2)])
+def test_pairs_are_met_once_for_all_softenings(spark, monkeypatch, softenings):
+    monkeypatch.setattr(direct, "_CHUNK", 7)
+    b = bodies(spark)
+    got = direct.by_softenings(b, softenings, 2.0).toPandas().sort_values("id")
+    for i, eps in enumerate(softenings):
+        assert np.allclose(got[[f"a{c}{i}" for c in "xyz"]], 2 * brute(b, eps**2)[0])
+
+
+def test_softening_error_sums_once(spark, monkeypatch):
+    from orbitalis.plans import more_queries
+    from tests.oracle import DATA
+
+    steps = []
+    acted = direct._acted
+    monkeypatch.setattr(direct, "_acted", lambda *a: steps.append(1) or acted(*a))
+    more_queries.softening_error(spark, DATA)
+    assert len(steps) == 1
