@@ -5,7 +5,8 @@ from __future__ import annotations
 import argparse
 import logging
 import tomllib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,19 @@ def rows_of(df: DataFrame, log: logging.Logger, did: str, path: str) -> int:
     return n
 
 
+@contextmanager
+def settings(spark: SparkSession, changed: dict[str, str]) -> Iterator[None]:
+    """The session with some settings changed, which get their old values back."""
+    before = {k: spark.conf.get(k, None) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def command(doc: str, run: Callable[[SparkSession, str, str, dict], dict], default: str, words: list[str] | None = None) -> dict:
     """Runs a job from the command line, in a session of its own."""
     p = argparse.ArgumentParser(description=doc, formatter_class=argparse.RawDescriptionHelpFormatter)
