@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbitalis.functions import durations, geometry, keys
-from orbitalis.operators import arrow_walk, cells, direct, elements, essential, motion, partition, ranking, walk
+from orbitalis.operators import arrow_walk, cells, direct, elements, essential, leaf_walk, motion, partition, ranking, walk
 from orbitalis.operators.scratch import cut  # noqa: F401
 from orbitalis.operators.domain import Domain, bounding_box, cubic_domain, keyed
 from orbitalis.plans import simulate
@@ -329,7 +329,8 @@ def _leaf_walk_sql() -> str:
 
 @query(_leaf_walk_sql())
 def walk_leafbox(spark, sf_dir):
-    return _emb_walk(spark, sf_dir, "leaf_box", softening=0.0).counts()
+    got = leaf_walk.accelerations(views.bodies_emb(spark, sf_dir), SimConfig.of("leaf_box", **{**CONFIG, "softening": 0.0}))
+    return got.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_approx", "n_direct")))
 
 
 _BIN = """lv AS MATERIALIZED (SELECT k.*, depth, key >> CAST(63 - depth AS BIGINT) AS prefix FROM k, range(0, 64) AS t(depth)),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbitalis.functions import geometry, keys, sql
-from orbitalis.operators import arrow_walk, cells, direct, domain, elements, essential, motion, partition, walk
+from orbitalis.operators import arrow_walk, cells, direct, domain, elements, essential, leaf_walk, motion, partition, walk
 from orbitalis.operators.domain import cubic_domain, keyed
 from orbitalis.operators.scratch import folder
 from orbitalis.plans import catalog, simulate
@@ -542,7 +542,8 @@ def _before(sql_text: str, mark: str) -> str:
 
 @query(_before(_LEAFBOX, "SELECT CAST(sum(CASE WHEN ok") .rstrip() + ", " + PLACED + ", " + _MOMENTS + ", " + _acted(True, "pl", EPS2))
 def walk_leafbox_accel(spark, sf_dir):
-    return rounded(catalog._emb_walk(spark, sf_dir, "leaf_box").accelerations(), 4, "ax", "ay", "az", "phi")
+    got = leaf_walk.accelerations(views.bodies_emb(spark, sf_dir), SimConfig.of("leaf_box", **catalog.CONFIG))
+    return rounded(got.select("id", "ax", "ay", "az", "phi"), 4, "ax", "ay", "az", "phi")
 
 
 @query(_before(catalog.SQL["walk_bucket"], "SELECT CAST(sum(CASE WHEN ok").rstrip() + ", pl AS (SELECT lv.*, c.depth AS leaf_depth, c.prefix AS leaf_prefix FROM lv JOIN c ON c.depth = lv.depth AND c.prefix = lv.prefix AND c.is_leaf), " + _acted(False, "pl", EPS2))
