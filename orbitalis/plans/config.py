@@ -43,7 +43,7 @@ class SimConfig:
     max_depth: int = 21
     gravity: float = 1.0
     algorithm: str = "tree"
-    strategy: str = "auto"  # auto: relational; partitioned for mac "body" without second moments from arrow_from bodies on
+    strategy: str = "auto"  # auto: relational; partitioned for mac "body" without second moments, "leaf_box" with them, from arrow_from bodies on
     arrow_from: int = 3_000
     integrator: str = "kdk"
     dt: float = 0.01

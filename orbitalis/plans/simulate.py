@@ -10,7 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitalis.operators import arrow_walk, direct, motion, partitioned_walk, walk
+from orbitalis.operators import arrow_walk, direct, leaf_walk, motion, partitioned_walk, walk
 from orbitalis.plans.config import SimConfig
 from orbitalis.operators.scratch import cut
 from orbitalis.sources import writers
@@ -42,11 +42,12 @@ def accelerations(bodies: DataFrame, config: SimConfig) -> DataFrame:
     if config.algorithm == "direct":
         return direct.accelerations(bodies, config.softening, config.gravity)
     strategy = config.strategy
+    by_leaves = config.mac == "leaf_box" and config.quadrupole and config.digit == 3
     if strategy == "auto":
         n = bodies.count()
-        strategy = "partitioned" if config.mac == "body" and not config.quadrupole and config.arrow_from <= n else "relational"
+        strategy = "partitioned" if (by_leaves or config.mac == "body" and not config.quadrupole) and config.arrow_from <= n else "relational"
     if strategy == "partitioned":
-        return partitioned_walk.accelerations(bodies, config).select("id", "ax", "ay", "az", "phi")
+        return (leaf_walk if by_leaves else partitioned_walk).accelerations(bodies, config).select("id", "ax", "ay", "az", "phi")
     if strategy == "arrow":
         return arrow_walk.accelerations(bodies, config).select("id", "ax", "ay", "az", "phi")
     return walk.Walk(bodies, config).accelerations()

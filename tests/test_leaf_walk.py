@@ -41,3 +41,13 @@ def test_queries_walk_no_frontier_of_rows(spark, monkeypatch):
 
 def test_no_bodies(spark):
     assert leaf_walk.accelerations(bodies(spark).limit(0), SimConfig.of("leaf_box")).count() == 0
+
+
+def test_runs_take_it_from_a_number_of_bodies_on(spark, monkeypatch):
+    from orbitalis.plans import simulate
+
+    config = SimConfig.of("leaf_box", softening=0.05, arrow_from=100)
+    want = walk.Walk(bodies(spark), config).accelerations().toPandas().sort_values("id")
+    monkeypatch.setattr(walk, "Walk", None)
+    got = simulate.accelerations(bodies(spark), config).toPandas().sort_values("id")
+    assert np.allclose(got[NAMES], want[NAMES], rtol=1e-9, atol=1e-9)
